@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media_columns
+from . import chat, licenses, media_columns, quality
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,16 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents"), quality.learnable(3, 1)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", learn)
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media_columns.encode_media(table(spark, sf_dir, "documents")), "media")
     return media_columns.read_media(stored).select(
@@ -34,4 +44,4 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op7_media_columns)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op7_media_columns)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES, THRESHOLD, template_bigrams
+
 OP1 = r"""
 WITH RECURSIVE raw AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -46,5 +48,35 @@ GROUP BY t.conv_id
 """
 
 
+def _op2() -> str:
+    known = sorted((name, template_bigrams(text)) for name, text in TEMPLATES)
+    quoted = lambda grams: "[" + ", ".join(f"'{g}'" for g in grams) + "]"
+    values = ", ".join(f"({k}, '{name}', {quoted(grams)})" for k, (name, grams) in enumerate(known))
+    return f"""
+WITH templates(k, name, ref) AS (VALUES {values}),
+u AS (
+  SELECT doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS unit
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+), w AS (
+  SELECT doc_id, row_number() OVER () AS id,
+    list_filter(string_split(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+  FROM u
+), g AS (
+  SELECT doc_id, id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1
+), d AS (
+  SELECT doc_id, id, k, name, 2e0 * len(list_intersect(grams, ref)) / (len(grams) + len(ref)) AS dice
+  FROM g, templates WHERE len(grams) BETWEEN len(ref) * 0.6 AND len(ref) * 1.6
+), best AS (
+  SELECT * FROM d WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY id ORDER BY dice DESC, k) = 1
+), found AS (
+  SELECT doc_id, count(*) AS n_units, array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses,
+    first(name ORDER BY dice DESC, k) AS license, max(dice) AS dice
+  FROM best GROUP BY doc_id
+)
+SELECT documents.doc_id, license, round(coalesce(dice, 0e0), 6) AS dice, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses
+FROM documents LEFT JOIN found ON found.doc_id = documents.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1}
+    return {"op1_chat_format": OP1, "op2_license_scan": _op2()}
