@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, media_columns, quality
+from . import bpe, chat, licenses, media_columns, quality
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +44,16 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    ranks = bpe.read_ranks(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op7_media_columns)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op7_media_columns, op8_byte_bpe)}

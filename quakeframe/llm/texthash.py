@@ -76,3 +76,41 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix(out * ODD + h[k : len(h) - n + 1 + k])
     return out
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of consecutive, non-empty spans buf[start[i]:end[i]] (end[i] == start[i + 1])."""
+    n = end - start
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    at = start - start[0]
+    offset = np.arange(n.sum()) - np.repeat(at, n)
+    parts = (buf[start[0] : end[-1]].astype(np.uint64) + np.uint64(1)) * powers(int(n.max()))[offset]
+    return mix(np.add.reduceat(parts, at) + n.astype(np.uint64))
+
+
+def to_varint(x: np.ndarray) -> bytes:
+    """Numbers under 2**35, seven bits to a byte, the last byte of each without the high bit."""
+    x = x.astype(np.uint64)
+    out = np.zeros((len(x), 5), np.uint8)
+    n = np.ones(len(x), np.int64)
+    for k in range(1, 5):
+        n += x >= np.uint64(1 << 7 * k)
+    for k in range(5):
+        out[:, k] = (x >> np.uint64(7 * k)).astype(np.uint8) & 127 | np.where(n > k + 1, 128, 0).astype(np.uint8)
+    return out[np.arange(5) < n[:, None]].tobytes()
+
+
+def from_varint(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(b < 128)
+    starts = np.append(0, ends[:-1] + 1)
+    shift = 7 * (np.arange(len(b)) - np.repeat(starts, ends - starts + 1))
+    return np.add.reduceat((b & 127).astype(np.int64) << shift, starts)
+
+
+def flat_ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] numbers), start[1], ..."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
