@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media_columns, quality
+from . import bpe, chat, licenses, media_columns, quality, tokens
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        store = tokens.write_store(table(spark, sf_dir, "documents"), f.read(), vocabulary=49408, end_id=2)
+    return tokens.token_digests(tokens.read_store(store))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media_columns.encode_media(table(spark, sf_dir, "documents")), "media")
     return media_columns.read_media(stored).select(
@@ -56,4 +62,4 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op7_media_columns, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op7_media_columns, op8_byte_bpe)}
