@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media_columns, quality, tokens
+from . import bpe, chat, jaccard, licenses, media_columns, quality, tokens
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return tokens.token_digests(tokens.read_store(store))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("row")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media_columns.encode_media(table(spark, sf_dir, "documents")), "media")
     return media_columns.read_media(stored).select(
@@ -62,4 +66,4 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op7_media_columns, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op6_jaccard_join, op7_media_columns, op8_byte_bpe)}
