@@ -103,16 +103,25 @@ def fit_logistic(margin: np.ndarray, y: np.ndarray, share: float, rounds: int =
     pos, neg = max(1, (y > 0).sum()), max(1, (y <= 0).sum())
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     weight = np.where(y > 0, share / pos, (1 - share) / neg)
-    x = np.stack([margin, np.ones_like(margin)], 1)
-    ab = np.array([1.0, 0.0])
+    center, scale = margin.mean(), max(margin.std(), 1e-9)
+    x = np.stack([(margin - center) / scale, np.ones_like(margin)], 1)
+    ab = np.zeros(2)
+
+    def loss(ab: np.ndarray) -> float:
+        z = x @ ab
+        return float(weight @ (np.logaddexp(0, z) - target * z))
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
         grad = x.T @ (weight * (p - target))
-        hess = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-6 * np.eye(2)
+        hess = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-9 * np.eye(2)
         step = np.linalg.solve(hess, grad)
-        ab -= np.clip(step, -2, 2)
+        while loss(ab - step) > loss(ab) and abs(step).max() > 1e-7:
+            step = step / 2
+        ab = ab - step
         if abs(step).max() < 1e-6:
             break
+    ab = np.array([ab[0] / scale, ab[1] - ab[0] * center / scale])
     return float(ab[0]), float(ab[1])
 
 

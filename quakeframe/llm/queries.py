@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, media_columns, quality, suffix, tokens
+from . import bpe, chat, jaccard, licenses, media_columns, quality, suffix, tokens, toxicity
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +65,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents"), quality.learnable(4, 2)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", learn)
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op6_jaccard_join, op7_media_columns, op8_byte_bpe, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op6_jaccard_join, op7_media_columns, op8_byte_bpe, op9_toxicity, op10_suffix_dedup)}
