@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, media_columns, quality, suffix, tokens, toxicity
+from . import bpe, chat, decontam, jaccard, licenses, media_columns, quality, suffix, tokens, toxicity
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return tokens.token_digests(tokens.read_store(store))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and test item that it holds."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("row")
 
@@ -76,4 +81,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op6_jaccard_join, op7_media_columns, op8_byte_bpe, op9_toxicity, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op5_decontamination, op6_jaccard_join, op7_media_columns, op8_byte_bpe, op9_toxicity, op10_suffix_dedup)}
