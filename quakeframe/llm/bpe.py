@@ -1,12 +1,11 @@
 """Byte-level BPE: encoding by one global shuffle of distinct words, decoding by the token-byte table.
 
-A block is some megabytes of documents. Their pre-tokens are exploded with positions and grouped
-by word, so a block has one entry for each distinct word: the word and all its positions. Entries
-go to the word's bucket, packed in one row for each block and bucket; there each distinct word is
-encoded once, however many blocks have it, and the ids go back, with the positions, to the block,
-where documents are put together by position. A word that makes up a third of all text is still
-one entry a block. A block has a fixed size (a longer text is a block by itself), so no group is
-larger than that.
+A block is some megabytes of documents. Its pre-tokens are numbered by word, position by position, and grouped
+by word, so a block has one entry for each distinct word. Entries go to the word's bucket, packed in one
+row for each block and bucket; there each distinct word is encoded once, however many blocks have
+it, and the ids go back to the block, where documents are put together by position. A word that makes up a
+third of all text is still one entry a block. A block has a fixed size (a longer text is a block by
+itself), so no group is larger than that.
 
 Decoding joins ids with the token-byte table, which is as large as the vocabulary file (some 50,000
 entries; it is read once, on the driver, and broadcast).
@@ -70,22 +69,9 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
     return from_varint(raw[4 : 4 + n]), raw[4 + n :]
 
 
-def deltas(positions: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of positions that are grouped by word and ascend in each group; a group's first stays."""
-    out = np.diff(positions, prepend=0)
-    first = np.cumsum(counts) - counts
-    out[first] = positions[first]
-    return out
-
-
-def undo_deltas(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    total = np.cumsum(d)
-    first = np.cumsum(counts) - counts
-    return total - np.repeat(total[first] - d[first], counts)
-
-
-def words_of(block: list[str | None], split: regex.Pattern, buckets: int) -> tuple[list[int], list[tuple[int, bytes]]]:
-    """Pre-tokens of each text, and for each bucket its packed words with their positions."""
+def words_of(block: list[str | None], split: regex.Pattern, buckets: int) -> tuple[list[int], np.ndarray, list[tuple[int, bytes]]]:
+    """Number of pre-tokens of each text, the word at each position of the block, and for each bucket its packed words, the
+    commonest first. Word j of bucket k goes by the number j * buckets + k, so that common words have small numbers."""
     counts, found = [], []
     for text in block:
         got = split.findall(text) if text else []
@@ -95,42 +81,36 @@ def words_of(block: list[str | None], split: regex.Pattern, buckets: int) -> tup
     codes, words = coded.indices.to_numpy(), coded.dictionary
     del found, coded
     if not len(words):
-        return counts, []
+        return counts, np.zeros(0, np.int64), []
     ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
     text = np.frombuffer(words.buffers()[2], np.uint8, ends[-1])
     bucket = (span_hashes(text, ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    codes = place[codes]
-    where = np.argsort(codes, kind="stable")
-    n = np.bincount(codes, minlength=len(words))
-    gaps = deltas(where, n)
+    order = np.lexsort((-np.bincount(codes, minlength=len(words)), bucket))
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    number = np.empty_like(order)
+    number[order] = (np.arange(len(order)) - edge[bucket[order]]) * buckets + bucket[order]
     size = np.diff(ends)[order]
     sorted_text = text[flat_ranges(ends[order], size)].tobytes()
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    at_word, at_text = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(size))
+    at_text = np.append(0, np.cumsum(size))
     out = []
-    for k in range(buckets):
+    for k in np.flatnonzero(np.diff(edge)).tolist():
         a, b = edge[k], edge[k + 1]
-        if a < b:
-            numbers = np.concatenate([[b - a], size[a:b], n[a:b], gaps[at_word[a] : at_word[b]]])
-            out.append((k, pack(numbers, sorted_text[at_text[a] : at_text[b]])))
-    return counts, out
+        out.append((k, pack(np.concatenate([[b - a], size[a:b]]), sorted_text[at_text[a] : at_text[b]])))
+    return counts, number[codes], out
 
 
 def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """(block, bucket, payload): packed words and positions; bucket -1 - b is the block's list of documents."""
+    """(block, bucket, payload): packed words; a negative bucket has the block's documents and the word at each position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, block = splitter(pattern), TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in chunks(texts, BLOCK):
-                counts, rows = words_of(texts[lo:hi], split, buckets)
+                counts, at, rows = words_of(texts[lo:hi], split, buckets)
                 null = np.array([x is None for x in ids[lo:hi]], np.int64)
                 raw = np.array([x or 0 for x in ids[lo:hi]], "<i8").tobytes()
-                rows.append((-1 - block % buckets, pack(np.concatenate([[hi - lo], counts, null]), raw)))
+                rows.append((-1 - block % buckets, pack(np.concatenate([[hi - lo], counts, null, at]), raw)))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([k for k, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
                 block += 1
 
@@ -160,39 +140,34 @@ def encode_words(words: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
                     got.append(ids)
                 size = np.fromiter(map(len, got), np.int64, n)
                 flat = np.fromiter(chain.from_iterable(got), np.int64, int(size.sum()))
-                out.append(pack(np.concatenate([[n], size, numbers[n + 1 :]]), flat.astype("<u4" if enc.n_vocab > 1 << 16 else "<u2").tobytes()))
+                out.append(pack(np.concatenate([[n], size]), flat.astype("<u4" if enc.n_vocab > 1 << 16 else "<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
 
     return words.mapInArrow(run, "block long, bucket int, payload binary")
 
 
-def reassemble(coded: DataFrame, wide: bool) -> DataFrame:
+def reassemble(coded: DataFrame, wide: bool, buckets: int) -> DataFrame:
     """(doc_id, ids) of each document of each block."""
 
     def run(block: pa.Table) -> pa.Table:
-        parts, head = [], None
+        base, n_words, sizes, ids = np.zeros(buckets, np.int64), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for bucket, payload in zip(block.column("bucket").to_pylist(), block.column("payload").to_pylist(), strict=True):
+            numbers, raw = unpack(payload)
             if bucket < 0:
-                head = unpack(payload)
-            else:
-                parts.append(unpack(payload))
-        n_docs = int(head[0][0])
-        counts, null = head[0][1 : n_docs + 1], head[0][n_docs + 1 :].astype(bool)
-        doc_ids = pa.array(np.frombuffer(head[1], "<i8"), mask=null)
-        word_at = np.zeros(counts.sum(), np.int64)
-        sizes, ids, base = [], [], 0
-        for numbers, raw in parts:
-            n = int(numbers[0])
-            size, times, gaps = numbers[1 : n + 1], numbers[n + 1 : 2 * n + 1], numbers[2 * n + 1 :]
-            word_at[undo_deltas(gaps, times)] = np.repeat(np.arange(base, base + n), times)
-            base += n
-            sizes.append(size)
+                head, doc_ids = numbers, np.frombuffer(raw, "<i8")
+                continue
+            base[bucket] = n_words
+            n_words += int(numbers[0])
+            sizes.append(numbers[1:])
             ids.append(np.frombuffer(raw, "<u4" if wide else "<u2").astype(np.int32))
-        size = np.concatenate([np.zeros(0, np.int64), *sizes])
+        n_docs = int(head[0])
+        counts, null, at = head[1 : n_docs + 1], head[n_docs + 1 : 2 * n_docs + 1].astype(bool), head[2 * n_docs + 1 :]
+        size = np.concatenate(sizes)
         first = np.cumsum(size) - size
-        flat = np.concatenate([np.zeros(0, np.int32), *ids])[flat_ranges(first[word_at], size[word_at])]
-        ends = np.append(0, np.cumsum(size[word_at]))[np.append(0, np.cumsum(counts))]
-        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))})
+        word = base[at % buckets] + at // buckets
+        flat = np.concatenate(ids)[flat_ranges(first[word], size[word])]
+        ends = np.append(0, np.cumsum(size[word]))[np.append(0, np.cumsum(counts))]
+        return pa.table({"doc_id": pa.array(doc_ids, mask=null), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))})
 
     return coded.groupBy("block").applyInArrow(run, "doc_id long, ids array<int>")
 
@@ -204,7 +179,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     buckets = 2 * parts
     shared = spark.sparkContext.broadcast(ranks)
     words = split_words(docs, pattern, buckets).repartition(parts, "bucket")
-    return reassemble(encode_words(words, shared, pattern), len(ranks) > 1 << 16)
+    return reassemble(encode_words(words, shared, pattern), len(ranks) > 1 << 16, buckets)
 
 
 def token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> Broadcast:
