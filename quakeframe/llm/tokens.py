@@ -14,7 +14,8 @@ Reading joins recipes with chunks, puts ids together in order, and hashes everyt
 document or segment whose root differs raises an error.
 
 As the library's normaliser and splitter never look across white space, words are encoded once for each
-batch and looked up; a test compares this with the library's encoding of whole texts.
+Python worker and looked up; texts that hold a special token's name are encoded whole. A test compares this with the library's encoding of
+whole texts.
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes first; rows with
 equal doc_id are kept, in an order that a run keeps to; an empty table gives empty tables.
@@ -23,11 +24,11 @@ equal doc_id are kept, in an order that a run keeps to; an empty table gives emp
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,44 +42,100 @@ from .texthash import ODD, chunks, flat_ranges, mix
 
 MIN, MASK, MAX, LOOK = 64, np.uint64(255), 1024, 8
 #: Words that a Python worker remembers the ids of.
-REMEMBER = 400_000
-_WORKER: dict = {}
+REMEMBER = 600_000
+#: Words of letters that are encoded in one text.
+JOINED = 512
+_WORKER: list = []
 
 
-def tokenizer(key: str, json: str):
-    if _WORKER.get("key") != key:
+class Encoder:
+    """The library's encoding of words, each word once for each Python worker as long as it is remembered."""
+
+    def __init__(self, key: str, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORKER.update(key=key, tokenizer=Tokenizer.from_str(json), words={"": ()})
-    return _WORKER["tokenizer"]
-
-
-def encode_texts(texts: pa.Array, key: str, json: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.key, self.tokenizer = key, Tokenizer.from_str(text)
+        model = json.loads(text)["model"]
+        suffix = model.get("end_of_word_suffix") or ""
+        #: ids that end a piece, if the model marks them
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        if suffix:
+            self.last[[v for k, v in model["vocab"].items() if k.endswith(suffix)]] = True
+        self.special = [t["content"] for t in json.loads(text).get("added_tokens", [])]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words. Words of letters alone are one piece each, so many are encoded in one text and told apart
+        by the ids that end a piece; if those aren't as many as the words, and for all other words, each is encoded by itself."""
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() else other).append(w)
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                self.remember(group, ids, np.diff(ends, prepend=0))
+            else:
+                other += group
+        if other:
+            got = self.whole(other)
+            self.remember(other, np.concatenate(got), np.array([len(x) for x in got], np.int64))
+
+    def remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ids.append(ids)
+        self.sizes.append(sizes)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All remembered ids, and where those of each word start and how many they are."""
+        if len(self.known) > REMEMBER:
+            self.forget()
+        if new := [w for w in words if w not in self.known]:
+            self.learn(new)
+        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
+        size = self.sizes[0]
+        slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.ids[0], (np.cumsum(size) - size)[slot], size[slot]
+
+
+def encoder(key: str, text: str) -> Encoder:
+    if not _WORKER or _WORKER[0].key != key:
+        _WORKER[:] = [Encoder(key, text)]
+    return _WORKER[0]
+
+
+def encode_texts(texts: pa.Array, key: str, tokenizer_json: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of some texts in a row, and where each text's start (one more than texts)."""
-    tok = tokenizer(key, json)
-    known = _WORKER["words"]
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    enc = encoder(key, tokenizer_json)
+    texts = pc.fill_null(texts, "")
+    odd = np.zeros(len(texts), bool)
+    for token in enc.special:  # may hold what isn't split as words are
+        odd |= pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+    plain = pc.ascii_lower(pc.if_else(pa.array(odd), "", texts))
+    # The library parts a letter or digit from a stop behind it too, and so more words are alike.
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, r"([\pL\pN])([,.;:!?])(\s|$)", r"\1 \2\3"))
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    # Letters are made lower case anyway; other alphabets are left to the library.
-    if new := {w.lower() if w.isascii() else w for w in words if w not in known}:
-        new = sorted(new)
-        got = {w: tuple(e.ids) for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        found = [known[w] if w in known else got[w.lower() if w.isascii() else w] for w in words]
-        if len(known) > REMEMBER:
-            known.clear()
-        known.update(zip(words, found, strict=True))
-    else:
-        found = [known[w] for w in words]
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-    first = np.cumsum(size) - size
+    flat, first, size = enc.words(coded.dictionary.to_pylist())
     code = coded.indices.to_numpy()
     n = np.append(0, np.cumsum(size[code]))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     ends = n[offsets - offsets[0]]
     ids = flat[flat_ranges(first[code], size[code])]
+    if odd.any():
+        parts = np.split(ids, ends[1:-1])
+        where = np.flatnonzero(odd).tolist()
+        for i, got in zip(where, enc.whole([texts[i].as_py() for i in where]), strict=True):
+            parts[i] = got
+        ids = np.concatenate(parts)
+        ends = np.append(0, np.cumsum([len(x) for x in parts]))
     at = ends + np.arange(len(ends))
     out = np.empty(at[-1], np.uint32)
     out[at[1:] - 1] = end_id
