@@ -1,7 +1,7 @@
 """Content-addressed store of token ids.
 
 Documents are encoded whole with the tokenizers library, and an end id is appended. A rolling hash
-over the last ids cuts each document's ids into chunks (between ``MIN`` and ``MAX`` ids, some 256 on
+over the last ids cuts each document's ids into chunks (between ``MIN`` and ``MAX`` ids, some 512 on
 average), so equal passages give equal chunks wherever they stand. The store has three tables:
 
 * chunks: SHA-256 and ids (little-endian, 2 bytes an id if the vocabulary allows, else 4), once each;
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .texthash import ODD, chunks, flat_ranges, mix
 
-MIN, MASK, MAX, LOOK = 64, np.uint64(255), 1024, 8
+MIN, MASK, MAX, LOOK = 128, np.uint64(511), 2048, 8
 #: Words that a Python worker remembers the ids of.
 REMEMBER = 600_000
 #: Words of letters that are encoded in one text.
