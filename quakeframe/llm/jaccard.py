@@ -11,9 +11,9 @@ Parts can be empty, and what says only "empty" would be shared by many. So there
 needed: that many more of them must agree as well. A set with no more than ``spare`` groups in which a choice is empty
 leaves such choices out, as one of the agreeing groups has none of them; other sets give them all.
 
-Links are found without pairing everyone in a bucket. In each bucket the first set is compared with
-the others, exactly, on the sets themselves; components follow; buckets whose sets are all in one component
-are settled. In those that are not, the next 8, 64, ... sets are compared with later ones of
+Links are found without pairing everyone in a bucket. Each set is compared, exactly, on the sets themselves, with the
+least of the first sets of its buckets, then with those firsts that are in other components still; buckets whose sets are
+all in one component are settled. In those that are not, the next 8, 64, ... sets are compared with later ones of
 other components, until all buckets are settled or used up. Sets in different components are thus compared if they
 share any bucket; within a component no link is missing that could change it.
 
@@ -43,6 +43,8 @@ from .texthash import ODD, Words, chunks, mix, ngram_hashes
 
 #: A candidate list of so many rows at most is broadcast to find its documents; a longer one is shuffled.
 BROADCAST_ROWS = 500_000
+#: Sets that are compared with one center in one part.
+PART = 512
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
@@ -197,42 +199,59 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of rows whose sets, made anew from the texts, are similar."""
+    """The pairs (a, b) of rows whose sets, made anew from the texts, are similar.
+
+    Sets of a's go to their b's, where b's own set meets them; a b with many a's is dealt in parts of some ``PART``."""
     sized = pairs.join(meta.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").join(meta.select(F.col("row").alias("b"), F.col("n").alias("nb")), "b")
     # sizes alone rule some out
     pairs = written(sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b"), "pairs")
-    rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    wanted = written(rows.join(meta, "row").select("row", "doc_id", "d1", "d2"), "wanted")
+    parts = pairs.groupBy("b").agg((F.floor(F.count("*") / PART) + 1).cast("int").alias("parts"))
+    place = F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    members = pairs.join(parts, "b").groupBy(F.col("a").alias("row")).agg(F.collect_list(place).alias("at"))  # no more than the row's signatures
+    centers = parts.select(F.col("b").alias("row"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.col("b"), k.alias("part"))).alias("at"))
+    wanted = members.withColumn("center", F.lit(0)).unionByName(centers.withColumn("center", F.lit(1)))
+    wanted = written(wanted.join(meta, "row").select("row", "center", "at", "doc_id", "d1", "d2"), "wanted")
     small = wanted.count() <= BROADCAST_ROWS
-    names = ["row", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                out = [
-                    (row, s.tobytes())
-                    for row, d1, d2, s in zip(*(part.column(i).to_pylist() for i in range(3)), shingle_sets(part.column(3).to_pylist(), n), strict=True)
-                    if (d1, d2) == digest(s)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=names)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = shingle_sets(part.column(5).to_pylist(), n)
+                found = [s.tobytes() if (d1, d2) == digest(s) else None for d1, d2, s in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), sets, strict=True)]
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found, pa.binary())], names=["row", "center", "at", "set"])
+                yield out.filter(out.column(3).is_valid())
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("raw"))
-    found = texts.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("row", "d1", "d2", "raw")
-    # rows with one doc_id that hold the same set give it several times
-    sets = written(found.mapInArrow(run, "row long, set binary").dropDuplicates(["row"]), "sets")
+    found = texts.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("row", "center", "at", "d1", "d2", "raw")
+    sets = found.mapInArrow(run, "row long, center int, at array<struct<b:long,part:int>>, set binary")
+    sets = sets.select("row", "center", F.explode("at").alias("at"), "set").select("at.b", "at.part", "center", "row", "set")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(common * den >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+        at, own = None, None
+        for batch in batches:
+            hits = []
+            for b, part, center, row, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if center:
+                    at, own = (b, part), s.copy()
+                elif at == (b, part):
+                    common = len(s) + len(own) - len(np.union1d(s, own))
+                    if common * den >= num * (len(s) + len(own) - common):
+                        hits.append((row, b))
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.repartition(shuffled, "b", "part").sortWithinPartitions("b", "part", F.desc("center"))
+    return dealt.mapInArrow(similar, "a long, b long").distinct()
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose rows are in different components."""
+    found = pairs
+    for x in ("a", "b"):
+        found = found.join(comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+    return found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -248,10 +267,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     least = meta.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("b"))
     edges = meta.where("n > 0").join(least, ["n", "d1", "d2"]).where(F.col("row") != F.col("b")).select(F.col("row").alias("a"), "b")
     edges = written(edges, "links")
-    pairs, centers, done = buckets.where("rank > 0").select(F.col("row").alias("a"), F.col("center").alias("b")).distinct(), 8, 1
-    while True:
+    # each set with the first of each of its buckets: first with the least of those, then with those of other components
+    met = written(buckets.where("rank > 0").select(F.col("row").alias("a"), F.col("center").alias("b")).distinct(), "first-pairs")
+    comp = None
+    for pairs in (met.groupBy("a").agg(F.min("b").alias("b")), None):
+        pairs = pairs or _apart(met, comp)
         edges = edges.unionByName(written(_verified(docs, meta, pairs, n, num, den), "links"))
         comp = written(components(edges), "components")
+    # buckets that have a set of another component than their first
+    apart = _apart(met, comp).select(F.col("a").alias("row"), F.col("b").alias("center"))
+    open_ = buckets.join(apart, ["row", "center"], "left_semi").select("sig").distinct()
+    buckets, centers, done = written(buckets.join(open_, "sig", "left_semi").where("rank > 0"), "open-buckets"), 8, 1
+    while True:
         # the component of each row of a bucket that is left; rows without links are their own
         left = buckets.where(F.col("rank") >= done).join(comp.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", "rank", F.coalesce("component", "row").alias("comp"))
         open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
@@ -259,9 +286,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         if left.isEmpty():
             break
         first = left.where(F.col("rank") < done + centers).select("sig", F.col("row").alias("b"), F.col("comp").alias("own"), F.col("rank").alias("at"))
-        met = left.join(first, "sig").where((F.col("rank") > F.col("at")) & (F.col("comp") != F.col("own")))
-        pairs = met.select(F.greatest("row", "b").alias("a"), F.least("row", "b").alias("b")).distinct()
+        near = left.join(first, "sig").where((F.col("rank") > F.col("at")) & (F.col("comp") != F.col("own")))
+        pairs = near.select(F.greatest("row", "b").alias("a"), F.least("row", "b").alias("b")).distinct()
         done, centers = done + centers, centers * 8
+        edges = edges.unionByName(written(_verified(docs, meta, pairs, n, num, den), "links"))
+        comp = written(components(edges), "components")
 
     labelled = meta.select("row", "doc_id", "n").join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
