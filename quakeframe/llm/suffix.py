@@ -38,7 +38,7 @@ from .bpe import pack, unpack
 from .common import written
 from .texthash import ODD, chunks, flat_ranges, mix
 
-BLOCK = 4 << 20
+BLOCK, PIECE = 4 << 20, 1 << 19
 GRAM = 16
 NONE = np.iinfo(np.int64).max
 HASH_BITS = 48
@@ -85,26 +85,29 @@ class Block:
         where = np.array(self.text_of, np.int64)[known]
         np.minimum.at(self.least, where, own)
         np.maximum.at(self.most, where, own)
-        w = length - GRAM + 1
-        n = int(self.at[-1])
+        found = [self.units_of(lo, hi, length) for lo, hi in chunks(distinct, PIECE)]
+        #: first byte of each unit, its number of starts, its anchor's hash, and its text's number
+        self.start, self.n, self.hash = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        self.owner = np.searchsorted(self.at, self.start, "right") - 1
+
+    def units_of(self, lo: int, hi: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units of some texts; a piece of the block at a time, as the hashes of all grams take many times its size."""
+        w, first, n = length - GRAM + 1, int(self.at[lo]), int(self.at[hi] - self.at[lo])
         if n < length:
-            self.start = self.n = self.hash = self.owner = np.zeros(0, np.int64)
-            return
-        word = words_at(self.buf)
+            return (np.zeros(0, np.int64),) * 3
+        word = words_at(self.buf[first : first + n + 8])
         h = mix(mix(word[: n - GRAM + 1] * ODD) + word[GRAM - 8 : n - 7])
         key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         pick = (sliding_min(key, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        at, size = self.at[lo:hi] - first, np.diff(self.at[lo : hi + 1])
+        fits = (size >= length) & (self.least[lo:hi] < NONE)
         valid = np.zeros(n - length + 1, bool)
-        fits = (size >= length) & (self.least < NONE)
-        valid[flat_ranges(self.at[:-1][fits], size[fits] - length + 1)] = True
+        valid[flat_ranges(at[fits], size[fits] - length + 1)] = True
         edge = valid.copy()
         edge[1:] &= (pick[1:] != pick[:-1]) | ~valid[:-1]
-        self.start = np.flatnonzero(edge)
+        start = np.flatnonzero(edge)
         stop = np.flatnonzero(valid & ~np.append(valid[1:] & ~edge[1:], False)) + 1
-        #: starts in each unit, its anchor's hash, and its text's number
-        self.n = stop - self.start
-        self.hash = (mix(h[pick[self.start]] + ODD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        self.owner = np.searchsorted(self.at, self.start, "right") - 1
+        return start + first, stop - start, (mix(h[pick[start]] + ODD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes in order, and whether several ids of this block have one."""
@@ -168,25 +171,29 @@ def two_stage_order(buf: np.ndarray, start: np.ndarray, size: np.ndarray, wanted
     """Suffixes at the first ``wanted`` bytes of each piece buf[start:start + size], ordered by their first
     ``depth`` bytes at least. A piece's end is smaller than any byte."""
     n = int(start[-1] + size[-1]) if len(start) else 0
-    text = buf[:n]
-    piece_end = np.repeat(start + size, size)
-    where = np.arange(n)
-    # the next byte that differs, in the same piece
-    change = np.append(text[1:] != text[:-1], True)
-    change[start + size - 1] = True
-    after = np.minimum.accumulate(np.where(change, where, n)[::-1])[::-1] + 1
-    smaller = (after < piece_end) & (text[np.minimum(after, n - 1)] > text)
+    text, ends = buf[:n], start + size - 1
+    where = np.arange(n, dtype=np.int32)
+
+    def next_of(marks: np.ndarray) -> np.ndarray:
+        """Place of the next mark, n without one."""
+        return np.minimum.accumulate(np.where(marks, where, np.int32(n))[::-1])[::-1]
+
+    # the last byte before one that differs, or before the piece's end
+    closing = np.zeros(n, bool)
+    closing[ends] = True
+    change = next_of(np.append(text[1:] != text[:-1], True) | closing)
+    smaller = ~closing[change] & (text[np.minimum(change + 1, n - 1)] > text)
+    del change, closing
     # what is wanted, and what it is induced from: on to the next suffix that is sorted directly
     need = np.zeros(n, bool)
     need[flat_ranges(start, wanted)] = True
-    stop = np.where(smaller, where, n)
-    stop = np.minimum.accumulate(stop[::-1])[::-1]
     last = start + wanted - 1
-    until = np.minimum(stop[last], start + size - 1)
+    until = np.minimum(next_of(smaller)[last], ends)
     need[flat_ranges(last, until - last + 1)] = True
+    del where
 
     direct = np.flatnonzero(need & smaller)
-    direct = direct_sort(buf, direct, piece_end[direct], depth)
+    direct = direct_sort(buf, direct, ends[np.searchsorted(ends, direct)] + 1, depth)
     edges = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     larger = need & ~smaller
@@ -205,7 +212,6 @@ def two_stage_order(buf: np.ndarray, start: np.ndarray, size: np.ndarray, wanted
         for b in np.flatnonzero(np.diff(at)).tolist():
             induced[b].append(pos[at[b] : at[b + 1]])
 
-    ends = start + size - 1
     give(ends[larger[ends]])
     out = []
     for c in range(256):
@@ -389,7 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     the text as it was) and kept (the bytes that are left). ``length`` must be at least ``GRAM``."""
     docs = docs.drop(*(f.name for f in RESULTS))
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = StructType([*docs.schema.fields, *RESULTS])
     blocks = written(_blocks(docs, length, buckets), "suffix-blocks", ("kind",))
     texts, anchors = blocks.where("kind = 0"), blocks.where("kind = 1")
