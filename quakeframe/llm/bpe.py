@@ -72,14 +72,18 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
 def words_of(block: list[str | None], split: regex.Pattern, buckets: int) -> tuple[list[int], np.ndarray, list[tuple[int, bytes]]]:
     """Number of pre-tokens of each text, the word at each position of the block, and for each bucket its packed words, the
     commonest first. Word j of bucket k goes by the number j * buckets + k, so that common words have small numbers."""
-    counts, found = [], []
+    counts, found, packed = [], [], []
     for text in block:
         got = split.findall(text) if text else []
         counts.append(len(got))
         found += got
-    coded = pa.array(found, pa.string()).dictionary_encode()
+        if len(found) > 100_000:  # a Python string takes some ten times its bytes
+            packed.append(pa.array(found, pa.string()))
+            found = []
+    packed.append(pa.array(found, pa.string()))
+    coded = pa.concat_arrays(packed).dictionary_encode()
     codes, words = coded.indices.to_numpy(), coded.dictionary
-    del found, coded
+    del found, packed, coded
     if not len(words):
         return counts, np.zeros(0, np.int64), []
     ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
