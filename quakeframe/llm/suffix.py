@@ -10,8 +10,8 @@ can't be distributed, so the work is dealt by content, without losing a match:
 2. Only units of such anchors go on: a block sends each distinct unit text, with the least id that has it,
    to its anchor's bucket. A bucket joins its units and orders their suffixes by two-stage sorting: only suffixes
    smaller than their successors are sorted directly, the others are induced by bucket scans. Adjacent common prefixes
-   tell which starts have equal strings; the least id of each is sent back.
-3. Blocks mark the starts with a smaller id elsewhere, and cut what their strings cover.
+   tell which starts have equal strings; a bit for each start is sent back: whether a smaller id has its string.
+3. Blocks find their units again, mark the starts with a smaller id elsewhere, and cut what their strings cover.
 
 A passage that a third of all documents share is one unit text a block, not one a document; a group of
 thousands of copies likewise. Groups are blocks (``BLOCK`` bytes, or one longer text) and buckets.
@@ -308,44 +308,52 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, ROWS)
 
 
-def _units(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Kind 3: distinct unit texts of a block and bucket, with the least id of each; kind 4: where a block's units are."""
+class Candidates:
+    """A block's units whose anchors several ids have; distinct texts of units are numbered by bucket."""
 
-    def run(t: pa.Table) -> pa.Table:
-        number = t.column("block")[0].as_py()
-        parts = sorted(zip(t.column("bucket").to_pylist(), t.column("payload").to_pylist(), strict=True))
-        block = Block(*_texts(_read_ipc(parts[0][1])), length)
+    def __init__(self, block: Block, bits: list[tuple[int, bytes]], length: int, buckets: int):
         h, _ = block.anchors()
         edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
         several = np.zeros(len(h), bool)
-        for k, bits in parts[1:]:
+        for k, packed in bits:
             a, b = int(edge[k]), int(edge[k + 1])
-            several[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+            several[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
         on = np.flatnonzero(several[np.searchsorted(h, block.hash)]) if len(h) else np.zeros(0, np.int64)
-        start, n = block.start[on], block.n[on]
+        self.start, self.n = block.start[on], block.n[on]
         text, place = block.buf.tobytes(), {}
-        unit = np.array([place.setdefault(text[a : a + m], len(place)) for a, m in zip(start.tolist(), (n + length - 1).tolist(), strict=True)], np.int64)
+        unit = np.array([place.setdefault(text[a : a + m], len(place)) for a, m in zip(self.start.tolist(), (self.n + length - 1).tolist(), strict=True)], np.int64)
         least, bucket = np.full(len(place), NONE), np.zeros(len(place), np.int64)
         np.minimum.at(least, unit, block.least[block.owner[on]])
         bucket[unit] = bucket_of(block.hash[on], buckets)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         distinct = list(place)
-        sizes = np.array([len(x) for x in distinct], np.int64)
-        out = [(4, number, -1, pack(np.concatenate([[len(on), len(order)], sizes[order] - length + 1, np.diff(start, prepend=0), rank[unit]])))]
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            own = order[edge[k] : edge[k + 1]]
-            ids = squeeze(least[own])
-            out.append((3, number, k, pack(np.concatenate([[len(own), len(ids)], sizes[own]]), ids + b"".join(distinct[i] for i in own.tolist()))))
+        #: of each unit of the block its text's number; texts, least ids that have them in this block, and each bucket's first one
+        self.unit, self.texts, self.least = rank[unit], [distinct[i] for i in order.tolist()], least[order]
+        self.edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _units(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Kind 3: distinct unit texts of a block and bucket, with the least id of each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        number = t.column("block")[0].as_py()
+        parts = sorted(zip(t.column("bucket").to_pylist(), t.column("payload").to_pylist(), strict=True))
+        c = Candidates(Block(*_texts(_read_ipc(parts[0][1])), length), parts[1:], length, buckets)
+        out = []
+        for k in np.flatnonzero(np.diff(c.edge)).tolist():
+            a, b = int(c.edge[k]), int(c.edge[k + 1])
+            ids = squeeze(c.least[a:b])
+            out.append((3, number, k, pack(np.array([b - a, len(ids), *map(len, c.texts[a:b])], np.int64), ids + b"".join(c.texts[a:b]))))
         return pa.Table.from_batches([_rows(out)])
 
     return rows.groupBy("block").applyInArrow(run, ROWS)
 
 
 def _answers(rows: DataFrame, length: int) -> DataFrame:
-    """Kind 5: for the units of a block and bucket, in their order, the least id of each start."""
+    """Kind 5: for the units of a block and bucket, in their order, a bit for each start: whether its string has a smaller id
+    than the least of the unit in the block. (Which id doesn't matter: where it is smaller, all of the block's are greater.)"""
 
     def run(t: pa.Table) -> pa.Table:
         place: dict[bytes, int] = {}
@@ -365,9 +373,8 @@ def _answers(rows: DataFrame, length: int) -> DataFrame:
         out = []
         for i, (block, bucket) in enumerate(zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), strict=True)):
             own = unit[edges[i] : edges[i + 1]]
-            got = found[flat_ranges(at[own], n[own])]
-            first = np.flatnonzero(np.append(True, got[1:] != got[:-1]))
-            out.append((5, block, bucket, pack(np.diff(np.append(first, len(got))), squeeze(got[first]))))
+            smaller = found[flat_ranges(at[own], n[own])] < np.repeat(ids[i], n[own])
+            out.append((5, block, bucket, zstandard.ZstdCompressor(level=3).compress(np.packbits(smaller).tobytes())))
         return pa.Table.from_batches([_rows(out)])
 
     return rows.groupBy("bucket").applyInArrow(run, ROWS)
@@ -398,26 +405,29 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = StructType([*docs.schema.fields, *RESULTS])
     blocks = written(_blocks(docs, length, buckets), "suffix-blocks", ("kind",))
-    texts, anchors = blocks.where("kind = 0"), blocks.where("kind = 1")
-    units = written(_units(texts.unionByName(_shared_anchors(anchors)), length, buckets), "suffix-units", ("kind",))
-    answers = _answers(units.where("kind = 3"), length)
+    texts = blocks.where("kind = 0")
+    shared = written(_shared_anchors(blocks.where("kind = 1")), "suffix-anchors")
+    answers = _answers(_units(texts.unionByName(shared), length, buckets), length)
 
     def cut(t: pa.Table) -> pa.Table:
         parts = sorted(zip(t.column("kind").to_pylist(), t.column("bucket").to_pylist(), t.column("payload").to_pylist(), strict=True))
         table = _read_ipc(parts[0][2])
         ids, raw = _texts(table)
         block = Block(ids, raw, length)
-        numbers, _ = unpack(parts[1][2])
-        n_units, distinct = int(numbers[0]), int(numbers[1])
-        size = numbers[2 : distinct + 2]
-        start, unit = np.cumsum(numbers[distinct + 2 : distinct + 2 + n_units]), numbers[distinct + 2 + n_units :]
-        found = [np.zeros(0, np.int64)]
-        for _, _, payload in parts[2:]:
-            times, rest = unpack(payload)
-            found.append(np.repeat(unsqueeze(rest).astype(np.int64), times))
-        found, at = np.concatenate(found), np.cumsum(size) - size
+        c = Candidates(block, [(k, p) for kind, k, p in parts if kind == 2], length, buckets)
+        size = np.array([len(x) for x in c.texts], np.int64) - length + 1
+        at, bits = np.cumsum(size) - size, np.zeros(int(size.sum()), bool)
+        for kind, k, p in parts:
+            if kind == 5:
+                a, b = int(c.edge[k]), int(c.edge[k + 1])
+                n = int(size[a:b].sum())
+                bits[at[a] : at[a] + n] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8), count=n).astype(bool)
+        # a start is cut in documents with a greater id than this
         least = np.full(int(block.at[-1]) + 1, NONE)
-        least[flat_ranges(start, size[unit])] = found[flat_ranges(at[unit], size[unit])]
+        for lo in range(0, len(c.unit), 1 << 16):
+            unit, start = c.unit[lo : lo + (1 << 16)], c.start[lo : lo + (1 << 16)]
+            smaller = bits[flat_ranges(at[unit], size[unit])]
+            least[flat_ranges(start, size[unit])] = np.where(smaller, -NONE, np.repeat(c.least[unit], size[unit]))
         n_bytes, spans, kept, cleaned = [], [], [], []
         for doc_id, text, which in zip(ids, raw, block.text_of, strict=True):
             a, b = int(block.at[which]), int(block.at[which + 1])
@@ -439,7 +449,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             table = table.append_column(name, pa.array(values, kind))
         return table
 
-    return texts.unionByName(units.where("kind = 4")).unionByName(answers).groupBy("block").applyInArrow(cut, schema)
+    return texts.unionByName(shared).unionByName(answers).groupBy("block").applyInArrow(cut, schema)
 
 
 def repeat_digests(cut: DataFrame) -> DataFrame:
