@@ -89,7 +89,7 @@ def lsqr(forward: Callable, transposed: Callable, b: np.ndarray, n: int, damp: f
         phi, phi_bar = c * phi_bar, s * phi_bar
         x = x + (phi / rho) * w
         w = v - (theta / rho) * w
-        if phi_bar * alpha * abs(c) <= tolerance * start or alpha == 0:
+        if abs(phi_bar) * alpha * abs(c) <= tolerance * start or alpha == 0:
             break
     return x
 

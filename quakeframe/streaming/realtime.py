@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
-def debounced(updates: DataFrame, delay: str = "10 seconds", late: str = "1 minute", key: str = "public_id", time: str = "time") -> DataFrame:
+def debounced(updates: DataFrame, delay: str = "10 seconds", late: str | None = "1 minute", key: str = "public_id", time: str = "time") -> DataFrame:
     """The last update of each burst: updates of one key that follow each other within ``delay``. On a stream a burst is given
-    out once the watermark has passed its end; on a table all are."""
+    out once the watermark has passed its end; on a table all are. ``late`` None keeps the watermark that the stream has, as after ``latest``."""
     rest = [c for c in updates.columns if c not in (key, time)]
-    rows = updates.withWatermark(time, late) if updates.isStreaming else updates
+    rows = updates.withWatermark(time, late) if updates.isStreaming and late else updates
     last = F.max(F.struct(F.col(time), *map(F.col, rest)))
     found = rows.groupBy(key, F.session_window(time, delay).alias("burst")).agg(last.alias("last"), F.count("*").alias("updates"))
     return found.select(key, "last.*", "updates", F.col("burst.end").alias("due"))
