@@ -132,7 +132,7 @@ add("dist_binned_residuals", f'{BASE}, {pairs(5)}, x AS (SELECT round(distance,
 add("xcorr_summary", f"{BASE}, {XC} SELECT type, station_id, count(*) AS attempted, count(*) FILTER (WHERE NOT valid) AS failed, count(*) FILTER (WHERE valid AND abs(coefficient) >= 0.6e0) AS good, round(avg(abs(coefficient)) FILTER (WHERE valid), 6) AS mean_coefficient, round(100e0 * count(*) FILTER (WHERE NOT valid) / count(*), 6) AS failed_percent, round(100e0 * count(*) FILTER (WHERE valid AND abs(coefficient) >= 0.6e0) / count(*), 6) AS good_percent FROM xc GROUP BY ROLLUP (type, station_id)")
 add("origin_quality", f"{BASE}, {TIMED}, u AS (SELECT *, class_weight >= 0.25e0 AS used, travel_time * 5.8e0 AS d FROM timed) SELECT event_id, count(*) AS phases, count(*) FILTER (WHERE used) AS used_phases, count(DISTINCT station_id) AS stations, count(DISTINCT station_id) FILTER (WHERE used) AS used_stations, round(median(d) FILTER (WHERE used), 6) AS median_distance, round(min(d) FILTER (WHERE used), 6) AS min_distance, round(max(d) FILTER (WHERE used), 6) AS max_distance, round(sqrt(avg(residual * residual) FILTER (WHERE used)), 6) AS standard_error FROM u GROUP BY 1")
 add("azimuthal_gap", f"{BASE}, {TIMED}, a AS (SELECT DISTINCT event_id, round({wrap('azimuth')}, 6) AS z FROM timed), t AS (SELECT * FROM a UNION ALL SELECT event_id, z + 360e0 FROM a), g AS (SELECT event_id, z, lead(z, 1) OVER w - z AS g1, lead(z, 2) OVER w - z AS g2 FROM t WINDOW w AS (PARTITION BY event_id ORDER BY z)) SELECT event_id, round(CASE WHEN count(*) < 2 THEN 360e0 ELSE max(g1) END, 6) AS gap, round(CASE WHEN count(*) < 2 THEN 360e0 ELSE least(360e0, max(g2)) END, 6) AS secondary_gap FROM g WHERE z < 360 GROUP BY 1")
-add("rms_quantiles", f"{BASE}, {TIMED}, r AS (SELECT round(sqrt(sum(pow(residual * class_weight, 2)) / sum(pow(class_weight, 2))), 6) AS rms FROM timed GROUP BY event_id), q AS (SELECT quantile_cont(rms, [{', '.join(f'{i / 20}' for i in range(21))}]) AS q FROM r) SELECT CAST(k AS BIGINT) AS k, round(q[k + 1], 6) AS rms FROM q, (SELECT unnest(range(21)) AS k)")
+add("rms_quantiles", f"{BASE}, {TIMED}, r AS (SELECT round(sqrt(sum(pow(residual * class_weight, 2)) / sum(pow(class_weight, 2))), 6) AS rms FROM timed GROUP BY event_id), q AS (SELECT quantile_cont(rms, [{', '.join(f'{i / 20}' for i in range(21))}]) AS q FROM r) SELECT CAST(k AS BIGINT) AS k, round(q[k + 1], 9) AS rms FROM q, (SELECT unnest(range(21)) AS k)")
 add("equal_frequency", f"{BASE}, q AS (SELECT list_distinct(quantile_cont(depth, [{', '.join(f'{i / 10}' for i in range(1, 10))}])) AS c FROM ev), b AS (SELECT depth, len(list_filter(c, lambda x: x < depth)) AS bin FROM ev, q) SELECT bin, count(*) AS n, round(min(depth), 6) AS low, round(max(depth), 6) AS high FROM b GROUP BY 1")
 _RULES = {"last": "created_s DESC", "first": "created_s", "max-phases": "n_phases DESC", "min-phases": "n_phases", "max-rms": "rms_milli DESC", "min-rms": "rms_milli"}
 add("best_origin", BASE + " " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{r}' AS rule, event_id, seq FROM o QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {k}, seq DESC) = 1)" for r, k in _RULES.items()))

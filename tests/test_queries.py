@@ -23,7 +23,7 @@ def duck():
 
 
 def key(row):
-    return tuple("" if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row)
+    return tuple("" if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.9f}" if isinstance(v, float) else str(v) for v in row)
 
 
 def test_all_queries_have_sql():
