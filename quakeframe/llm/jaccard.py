@@ -17,6 +17,9 @@ all in one component are settled. In those that are not, the next 8, 64, ... set
 other components, until all buckets are settled or used up. Sets in different components are thus compared if they
 share any bucket; within a component no link is missing that could change it.
 
+Before sets are sent to each other, their sketches are (a bit for each hash of an element): bits that only one of two has
+bound the elements that only one of them has, so most pairs are ruled out for certain at an eighth of the bytes.
+
 Copies share a class and are compared once for each task that read one.
 
 Defined results: without words, or with null text, a set is empty, n_shingles is 0 and the document is
@@ -27,7 +30,7 @@ component_id is the least non-null doc_id of the component.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -88,7 +91,7 @@ def scheme(k: int) -> tuple[int, int, int, np.ndarray]:
     if k <= 5:
         k2, n2, needed, spare = k, (1, 5, 5, 6, 7, 8)[k], 1, 0
     else:
-        k2, n2, needed, spare = 1, 3, (k + 2) // 2, 2
+        k2, n2, needed, spare = 1, 2, (k + 2) // 2, 2
     return needed + spare, n2, spare, np.array(list(combinations(range(n2), n2 - k2)))
 
 
@@ -119,7 +122,30 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-ROWS = "kind int, sig long, row long, doc_id long, n long, d1 long, d2 long"
+def sketch(s: np.ndarray) -> bytes:
+    """The set's size, and a bit for each hash of an element: 4 to 8 bits for each element."""
+    bits = max(64, 4 << (len(s) - 1).bit_length()) if len(s) else 64
+    own = np.zeros(bits, bool)
+    own[(mix(s + ODD) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)] = True
+    return len(s).to_bytes(8, "little") + np.packbits(own).tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, num: int, den: int) -> bool:
+    """False only if two sets aren't similar: each bit that one of their sketches has alone is an element that one of them has alone.
+    The finer sketch is folded to the other's size."""
+    nx, ny = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+    if min(nx, ny) * den < max(nx, ny) * num:
+        return False
+    a, b = np.unpackbits(np.frombuffer(x, np.uint8)[8:]), np.unpackbits(np.frombuffer(y, np.uint8)[8:])
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).any(axis=1)
+    apart = int((a != b).sum())
+    return (nx + ny - apart) * den >= num * (nx + ny + apart)
+
+
+ROWS = "kind int, sig long, row long, doc_id long, n long, d1 long, d2 long, sketch binary"
 
 
 def _rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -130,10 +156,11 @@ def _rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for lo, hi in chunks(texts, 1 << 20):
-                meta, sigs, rows = [], [], []
+                meta, sketches, sigs, rows = [], [], [], []
                 for doc_id, s in zip(ids[lo:hi], shingle_sets(texts[lo:hi], n), strict=True):
                     key = digest(s)
                     meta.append((row, doc_id, len(s), *key))
+                    sketches.append(sketch(s))
                     if len(s) and key not in seen:
                         seen.add(key)
                         sigs.append(signatures(s, num, den).view(np.int64))
@@ -146,8 +173,8 @@ def _rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 owner = pa.array(np.repeat(np.array(rows, np.int64), [len(x) for x in sigs]))
                 kind = pa.array(np.append(np.zeros(m, np.int32), np.ones(len(sig) - m, np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [kind, pa.array(sig), pa.concat_arrays([cols[0], owner]), *(pa.concat_arrays([c, null]) for c in cols[1:])],
-                    names=["kind", "sig", "row", "doc_id", "n", "d1", "d2"],
+                    [kind, pa.array(sig), pa.concat_arrays([cols[0], owner]), *(pa.concat_arrays([c, null]) for c in cols[1:]), pa.array(sketches + [None] * len(null), pa.binary())],
+                    names=["kind", "sig", "row", "doc_id", "n", "d1", "d2", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, ROWS)
@@ -164,10 +191,10 @@ def _shared(rows: DataFrame) -> DataFrame:
             n = len(sig)
             null = pa.nulls(n, pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), pa.array(sig), pa.array(row), null, null, null, null, pa.array(rank), pa.array(center)], names=names
+                [pa.array(np.ones(n, np.int32)), pa.array(sig), pa.array(row), null, null, null, null, pa.nulls(n, pa.binary()), pa.array(rank), pa.array(center)], names=names
             )
 
-        names = ["kind", "sig", "row", "doc_id", "n", "d1", "d2", "rank", "center"]
+        names = ["kind", "sig", "row", "doc_id", "n", "d1", "d2", "sketch", "rank", "center"]
         for b in batches:
             kind = b.column(0).to_numpy()
             cut = int(np.searchsorted(kind, 1))
@@ -198,52 +225,63 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ROWS + ", rank long, center long")
 
 
-def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of rows whose sets, made anew from the texts, are similar.
-
-    Sets of a's go to their b's, where b's own set meets them; a b with many a's is dealt in parts of some ``PART``."""
-    sized = pairs.join(meta.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").join(meta.select(F.col("row").alias("b"), F.col("n").alias("nb")), "b")
-    # sizes alone rule some out
-    pairs = written(sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b"), "pairs")
+def _places(pairs: DataFrame) -> DataFrame:
+    """(row, center, at): where each row of the pairs (a, b) has to go. a's go to their b's; a b with many a's is dealt in parts
+    of some ``PART``, and goes to all of them."""
     parts = pairs.groupBy("b").agg((F.floor(F.count("*") / PART) + 1).cast("int").alias("parts"))
     place = F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     members = pairs.join(parts, "b").groupBy(F.col("a").alias("row")).agg(F.collect_list(place).alias("at"))  # no more than the row's signatures
     centers = parts.select(F.col("b").alias("row"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.col("b"), k.alias("part"))).alias("at"))
-    wanted = members.withColumn("center", F.lit(0)).unionByName(centers.withColumn("center", F.lit(1)))
-    wanted = written(wanted.join(meta, "row").select("row", "center", "at", "doc_id", "d1", "d2"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
+    return members.withColumn("center", F.lit(0)).unionByName(centers.withColumn("center", F.lit(1)))
+
+
+def _met(values: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) whose values are similar; values: row, center, at, value."""
+    dealt = values.select("row", "center", F.explode("at").alias("at"), "value").select("at.b", "at.part", "center", "row", "value")
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.desc("center"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, b""
+        for batch in batches:
+            hits = []
+            for b, part, center, row, value in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if center:
+                    at, own = (b, part), value.as_py()
+                elif at == (b, part) and similar(value.as_py(), own):
+                    hits.append((row, b))
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of rows whose sets are similar: first their sketches meet, which rule most others out for certain, then
+    the sets of the rest, made anew from the texts."""
+    wanted = written(_places(pairs), "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    values = meta.select("row", F.col("sketch").alias("value")).join(F.broadcast(wanted) if small else wanted, "row")
+    pairs = written(_met(values, lambda x, y: may_be_similar(x, y, num, den)), "pairs")
+
+    wanted = written(_places(pairs).join(meta, "row").select("row", "center", "at", "doc_id", "d1", "d2"), "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                sets = shingle_sets(part.column(5).to_pylist(), n)
-                found = [s.tobytes() if (d1, d2) == digest(s) else None for d1, d2, s in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), sets, strict=True)]
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found, pa.binary())], names=["row", "center", "at", "set"])
+                found = [s.tobytes() if (d1, d2) == digest(s) else None for d1, d2, s in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), shingle_sets(part.column(5).to_pylist(), n), strict=True)]
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found, pa.binary())], names=["row", "center", "at", "value"])
                 yield out.filter(out.column(3).is_valid())
 
+    def similar(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(a) + len(b) - len(np.union1d(a, b))
+        return common * den >= num * (len(a) + len(b) - common)
+
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("raw"))
     found = texts.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("row", "center", "at", "d1", "d2", "raw")
-    sets = found.mapInArrow(run, "row long, center int, at array<struct<b:long,part:int>>, set binary")
-    sets = sets.select("row", "center", F.explode("at").alias("at"), "set").select("at.b", "at.part", "center", "row", "set")
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
-        for batch in batches:
-            hits = []
-            for b, part, center, row, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                if center:
-                    at, own = (b, part), s.copy()
-                elif at == (b, part):
-                    common = len(s) + len(own) - len(np.union1d(s, own))
-                    if common * den >= num * (len(s) + len(own) - common):
-                        hits.append((row, b))
-            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sets.repartition(shuffled, "b", "part").sortWithinPartitions("b", "part", F.desc("center"))
-    return dealt.mapInArrow(similar, "a long, b long").distinct()
+    return _met(found.mapInArrow(sets, "row long, center int, at array<struct<b:long,part:int>>, value binary"), similar)
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -260,7 +298,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(docs, n, num, den).repartition(parts, "sig").sortWithinPartitions("kind", "sig", "row")
     both = written(_shared(rows), "signatures", ("kind",))
-    meta = both.where("kind = 0").select("row", "doc_id", "n", "d1", "d2")
+    meta = both.where("kind = 0").select("row", "doc_id", "n", "d1", "d2", "sketch")
     buckets = both.where("kind = 1").select("sig", "row", "rank", "center")
 
     # copies: every row of a class to the least of them
