@@ -214,7 +214,7 @@ def xcorr_rows(x: Lens) -> DataFrame:
 def xcorr_symmetric_lookup(x: Lens) -> DataFrame:
     cache = joins.canonical_xcorr(xcorr_rows(x), "seq")
     edges = xcorr_rows(x).select(F.col("ev2").alias("ref_id"), F.col("ev1").alias("neigh_id"), "station_id", "type").distinct()
-    return joins.lookup_xcorr(edges, cache).select("ref_id", "neigh_id", "station_id", "type", F.col("valid").cast("int").alias("valid"), r6("coefficient").alias("coefficient"), r6("lag").alias("lag"))
+    return joins.lookup_xcorr(edges, cache).select("ref_id", "neigh_id", "station_id", "type", F.col("valid").cast("int").alias("valid"), (r6("coefficient") + 0.0).alias("coefficient"), (r6("lag") + 0.0).alias("lag"))
 
 
 @query

@@ -108,7 +108,7 @@ add("knn_events", f"{BASE}, d AS (SELECT a.id AS a_id, b.id AS b_id, {km3('a', '
 add("nearest_station", f"{BASE}, d AS (SELECT a.id AS a_id, b.number AS b_id, {km3('a', 'b', 'a.depth', '(-(b.elevation / 1e3))')} AS distance FROM ev a, st b) SELECT a_id, b_id, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) = 1")
 add("catalog_compare", f"{BASE}, m AS (SELECT a.id, b.id AS b_id, b.t_us - a.t_us AS time_us, {km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} * 1e3 AS epi, (b.depth - a.depth) * 1e3 AS dep, count(*) OVER (PARTITION BY a.id) AS n FROM ev a JOIN ev2 b ON abs(a.t_us - b.t_us) < 250000) SELECT e.id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, b_id, time_us, round(epi, 3) AS epi_m, round(dep, 3) AS depth_m, round(sqrt(epi * epi + dep * dep), 3) AS hypo_m FROM ev e LEFT JOIN m ON m.id = e.id")
 XC = "xc AS (SELECT seq, seq * 7 % 50 AS ev1, seq * 13 % 50 + 50 * (seq % 2) AS ev2, 'S' || (seq % 4) AS station_id, CASE WHEN seq % 3 = 0 THEN 'S' ELSE 'P' END AS type, seq % 5 <> 0 AS valid, CAST(seq % 199 - 99 AS DOUBLE) / 99e0 AS coefficient, CAST(seq % 21 - 10 AS DOUBLE) / 100e0 AS lag FROM o WHERE seq * 7 % 50 <> seq * 13 % 50 + 50 * (seq % 2))"
-add("xcorr_symmetric_lookup", f"{BASE}, {XC}, c AS (SELECT least(ev1, ev2) AS lo, greatest(ev1, ev2) AS hi, station_id, type, valid, coefficient, CASE WHEN ev1 > ev2 THEN -lag ELSE lag END AS lag FROM xc QUALIFY row_number() OVER (PARTITION BY least(ev1, ev2), greatest(ev1, ev2), station_id, type ORDER BY seq DESC) = 1), e AS (SELECT DISTINCT ev2 AS ref_id, ev1 AS neigh_id, station_id, type FROM xc) SELECT ref_id, neigh_id, e.station_id, e.type, CAST(valid AS INT) AS valid, round(coefficient, 6) AS coefficient, round(CASE WHEN ref_id > neigh_id THEN -lag ELSE lag END, 6) AS lag FROM e JOIN c ON c.lo = least(ref_id, neigh_id) AND c.hi = greatest(ref_id, neigh_id) AND c.station_id = e.station_id AND c.type = e.type")
+add("xcorr_symmetric_lookup", f"{BASE}, {XC}, c AS (SELECT least(ev1, ev2) AS lo, greatest(ev1, ev2) AS hi, station_id, type, valid, coefficient, CASE WHEN ev1 > ev2 THEN -lag ELSE lag END AS lag FROM xc QUALIFY row_number() OVER (PARTITION BY least(ev1, ev2), greatest(ev1, ev2), station_id, type ORDER BY seq DESC) = 1), e AS (SELECT DISTINCT ev2 AS ref_id, ev1 AS neigh_id, station_id, type FROM xc) SELECT ref_id, neigh_id, e.station_id, e.type, CAST(valid AS INT) AS valid, round(coefficient, 6) + 0e0 AS coefficient, round(CASE WHEN ref_id > neigh_id THEN -lag ELSE lag END, 6) + 0e0 AS lag FROM e JOIN c ON c.lo = least(ref_id, neigh_id) AND c.hi = greatest(ref_id, neigh_id) AND c.station_id = e.station_id AND c.type = e.type")
 add("sensor_validity_join", f"{BASE}, s AS (SELECT id, k, 1577836800000000 + k * 30000000000 AS a, CASE WHEN k < 3 THEN 1577836800000000 + (k + 1) * 30000000000 + 1000 END AS b FROM st, (SELECT unnest([0, 1, 3]) AS k)), m AS (SELECT p.*, (SELECT arg_max(k, a) FROM s WHERE s.id = p.station_id AND p.t_us >= a AND (b IS NULL OR p.t_us < b)) AS epoch FROM ph p) SELECT station_id, epoch, count(*) AS n, max(t_us) AS last_us FROM m GROUP BY 1, 2")
 add("request_coalesce", f"{BASE}, q AS (SELECT station_id, t_us - 20000000 AS a, t_us + 25000000 AS b FROM ph), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY station_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2000000 THEN 0 ELSE 1 END AS fresh FROM q), g AS (SELECT *, sum(fresh) OVER (PARTITION BY station_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT station_id, min(a) AS start_us, max(b) AS end_us, count(*) AS n FROM g GROUP BY station_id, k")
 add("containing_trace", f"{BASE}, t AS (SELECT station_id, t_us - 60000000 AS a, t_us + 90000000 AS b, event_id AS k FROM ph WHERE event_id % 2 = 0), q AS (SELECT DISTINCT station_id, t_us - 10000000 AS x, t_us + 10000000 AS y FROM ph), m AS (SELECT q.station_id, k FROM q JOIN t ON t.station_id = q.station_id AND a <= x AND b >= y QUALIFY row_number() OVER (PARTITION BY q.station_id, x, y ORDER BY a, k) = 1) SELECT station_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM m GROUP BY 1")
