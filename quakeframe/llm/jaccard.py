@@ -44,8 +44,8 @@ from .common import written
 from .components import components
 from .texthash import ODD, Words, chunks, mix, ngram_hashes
 
-#: A candidate list of so many rows at most is broadcast to find its documents; a longer one is shuffled.
-BROADCAST_ROWS = 500_000
+#: A candidate list of so many places (some 20 bytes each) at most is broadcast to find its rows; a longer one is shuffled.
+BROADCAST_ROWS = 250_000
 #: Sets that are compared with one center in one part.
 PART = 512
 
@@ -91,7 +91,7 @@ def scheme(k: int) -> tuple[int, int, int, np.ndarray]:
     if k <= 5:
         k2, n2, needed, spare = k, (1, 5, 5, 6, 7, 8)[k], 1, 0
     else:
-        k2, n2, needed, spare = 1, 2, (k + 2) // 2, 2
+        k2, n2, needed, spare = 1, 3, (k + 2) // 2, 2
     return needed + spare, n2, spare, np.array(list(combinations(range(n2), n2 - k2)))
 
 
@@ -235,6 +235,10 @@ def _places(pairs: DataFrame) -> DataFrame:
     return members.withColumn("center", F.lit(0)).unionByName(centers.withColumn("center", F.lit(1)))
 
 
+def _places_in(wanted: DataFrame) -> int:
+    return wanted.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+
+
 def _met(values: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
     """The pairs (a, b) whose values are similar; values: row, center, at, value."""
     dealt = values.select("row", "center", F.explode("at").alias("at"), "value").select("at.b", "at.part", "center", "row", "value")
@@ -259,12 +263,12 @@ def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, num: i
     """The pairs (a, b) of rows whose sets are similar: first their sketches meet, which rule most others out for certain, then
     the sets of the rest, made anew from the texts."""
     wanted = written(_places(pairs), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
+    small = _places_in(wanted) <= BROADCAST_ROWS
     values = meta.select("row", F.col("sketch").alias("value")).join(F.broadcast(wanted) if small else wanted, "row")
     pairs = written(_met(values, lambda x, y: may_be_similar(x, y, num, den)), "pairs")
 
     wanted = written(_places(pairs).join(meta, "row").select("row", "center", "at", "doc_id", "d1", "d2"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
+    small = _places_in(wanted) <= BROADCAST_ROWS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
