@@ -526,5 +526,7 @@ def queries() -> dict[str, Query]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relocated catalog: neighbours, clusters, and the solution of each."""
-    return QUERIES["relocate_multi"](spark, sf_dir)
+    """The relocated catalog: neighbours, clusters, and the solution of each; sparse catalogs need wide neighbourhoods."""
+    x = Lens(spark, sf_dir)
+    wide = neighbours.Selection(max_km=20.0, min_neighbours=4, max_neighbours=20, min_phases=4)
+    return relocate.relocate_catalog(cat1(x), picks(x), relocate.Options(iterations=5, s_km_s=3.4, omega=(0.1, 0.1), selection=wide))
