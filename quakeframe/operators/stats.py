@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settled
+
 FIVE = ("min", "q1", "q2", "q3", "max")
 
 
@@ -61,7 +63,8 @@ def binned_residuals(df: DataFrame, distance: str, value: str, bins: int = 20, o
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     """df with ``_rank`` (1, 2, ... in an order, ties anyhow) and ``_total``: rows are dealt by range, ranked in their part, and
     the parts' sizes, one row each, are added up."""
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    # written once: bounds are drawn from a sample, and must be the same for the sizes and for the rows
+    parts = settled(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
