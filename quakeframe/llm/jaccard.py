@@ -323,7 +323,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     while True:
         # the component of each row of a bucket that is left; rows without links are their own
         left = buckets.where(F.col("rank") >= done).join(comp.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", "rank", F.coalesce("component", "row").alias("comp"))
-        open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+        # of buckets with the same sets one stands for all: their number and two sums of hashes tell them apart
+        same = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+        open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets"), *same).where("lo < hi")
+        open_ = open_.groupBy("sets", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
         left = written(left.join(open_, "sig"), "open-buckets")
         if left.isEmpty():
             break
