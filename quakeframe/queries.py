@@ -150,8 +150,9 @@ def time_windows(x: Lens) -> DataFrame:
 
 @query
 def azimuth(x: Lens) -> DataFrame:
-    a, b = x.events, x.stations.where("number < 20")
-    rows = a.where("id < 200").crossJoin(F.broadcast(b.select(F.col("id").alias("station_id"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))))  # 20 stations
+    """Every event with every station: the result is the product of both tables, so it is a cross join."""
+    b = x.stations.select(F.col("id").alias("station_id"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
+    rows = x.events.crossJoin(b)
     args = [F.col(c) for c in ("latitude", "longitude", "lat2", "lon2")]
     return rows.select("id", "station_id", r6(geo.normalize_azimuth(F.degrees(geo.azimuth(*args)))).alias("azimuth"), r6(geo.distance(*args, F.col("depth"))).alias("km"))
 
