@@ -8,10 +8,11 @@ average), so equal passages give equal chunks wherever they stand. The store has
 * recipes: in ascending doc_id order, cut in segments, a document's number of ids, the hashes of its
   chunks and the root of their Merkle tree;
 * manifest: for each segment the first and last doc_id, documents, ids, ids of all segments before,
-  and the root over its documents' roots.
+  and the root over its recipe rows (place, doc_id, start, number of ids and document root of each).
 
-Reading joins recipes with chunks, puts ids together in order, and hashes everything again; a
-document or segment whose root differs raises an error.
+Reading first makes each segment's manifest row anew from its recipes and compares all of them with the manifest; then it
+joins recipes with chunks, puts ids together in order, and hashes everything again. A document or segment that
+is missing, or whose root or numbers differ, raises an error.
 
 As the library's normaliser and splitter never look across white space, words are encoded once for each
 Python worker and looked up; texts that hold a special token's name are encoded whole. A test compares this with the library's encoding of
@@ -173,6 +174,11 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"\0").digest()
 
 
+def leaf(place: int, doc_id: int | None, start: int, n_tokens: int, root: bytes) -> bytes:
+    """What a segment's root covers of one recipe row."""
+    return f"{place},{doc_id},{start},{n_tokens},".encode() + root
+
+
 @dataclass(frozen=True)
 class TokenStore:
     """``chunks`` (hash, ids), ``recipes`` (segment, place, doc_id, start, n_tokens, hashes, root; start
@@ -186,6 +192,9 @@ class TokenStore:
 
 CUT = "kind int, hash binary, ids binary, doc_id long, row long, n_tokens long, hashes binary, root binary"
 RECIPE = "segment int, place long, doc_id long, start long, n_tokens long, hashes binary, root binary"
+ORDERED = f"kind int, {RECIPE}, first_doc long, last_doc long, n_docs long"
+SUMMARY = "segment int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary"
+MANIFEST = "segment int, first_doc long, last_doc long, n_docs long, n_tokens long, start long, root binary"
 
 
 def write_store(docs: DataFrame, tokenizer_json: str, vocabulary: int, end_id: int) -> TokenStore:
@@ -196,6 +205,7 @@ def write_store(docs: DataFrame, tokenizer_json: str, vocabulary: int, end_id: i
     shared = spark.sparkContext.broadcast(tokenizer_json)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [x.split()[0] for x in CUT.split(", ")]
+    ordered = [x.split()[0] for x in ORDERED.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, seen = TaskContext.get().partitionId() << 40, set()
@@ -226,50 +236,80 @@ def write_store(docs: DataFrame, tokenizer_json: str, vocabulary: int, end_id: i
             yield b.filter(pa.array(keep, pa.bool_()))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kind 0: recipes; kind 1: the segment's summary, which needs no shuffle here as a partition is a segment."""
         segment, place, start = TaskContext.get().partitionId(), 0, 0
+        first, last, leaves = None, None, []
         for b in batches:
+            if not b.num_rows:
+                continue
             n = b.column("n_tokens").to_numpy()
             at = start + np.cumsum(n) - n
-            ints = (pa.array(np.full(len(n), segment), pa.int32()), pa.array(place + np.arange(len(n))))
-            yield pa.RecordBatch.from_arrays([*ints, b.column("doc_id"), pa.array(at), b.column("n_tokens"), b.column("hashes"), b.column("root")], names=[x.split()[0] for x in RECIPE.split(", ")])
+            ids, places = b.column("doc_id").to_pylist(), range(place, place + len(n))
+            leaves += map(leaf, places, ids, at.tolist(), n.tolist(), b.column("root").to_pylist())
+            first, last = ids[0] if not place else first, ids[-1]
+            none = pa.nulls(len(n), pa.int64())
+            ints = (pa.array(np.full(len(n), 0), pa.int32()), pa.array(np.full(len(n), segment), pa.int32()), pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*ints, b.column("doc_id"), pa.array(at), b.column("n_tokens"), b.column("hashes"), b.column("root"), none, none, none], names=ordered)
             place, start = place + len(n), start + int(n.sum())
+        if place:
+            row = (1, segment, None, None, None, start, None, merkle(leaves), first, last, place)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=ordered)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, CUT)
     rows = rows.repartition(parts, F.coalesce("hash", F.col("row").cast("string").cast("binary"))).mapInArrow(once, CUT)
     both = written(rows, "token-store", ("kind",))
     stored = both.where("kind = 1").select("hash", "ids")
     recipes = both.where("kind = 0").select("doc_id", "row", "n_tokens", "hashes", "root")
-    recipes = recipes.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(order, RECIPE)
-    recipes = written(recipes, "token-recipes")
-    return TokenStore(stored, recipes, written(manifest_of(recipes), "token-manifest"), width)
+    recipes = recipes.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(order, ORDERED)
+    both = written(recipes, "token-recipes", ("kind",))
+    recipes = both.where("kind = 0").select([x.split()[0] for x in RECIPE.split(", ")])
+    manifest = spark.createDataFrame(manifest_rows(both.where("kind = 1")), MANIFEST)
+    return TokenStore(stored, recipes, written(manifest, "token-manifest"), width)
 
 
-def manifest_of(recipes: DataFrame) -> DataFrame:
-    """One row for each segment; segments are as many as partitions were written, and no document's data
-    leaves its segment, only 32 bytes of each."""
+def summaries(recipes: DataFrame) -> DataFrame:
+    """One row for each segment, made from its recipes; no document's data leaves its segment, only 32 bytes and
+    the numbers of each."""
 
-    def root(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summary(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         for b in rows:
-            found += zip(b.column("place").to_pylist(), b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), strict=True)
+            found += zip(*(b.column(c).to_pylist() for c in ("place", "doc_id", "start", "n_tokens", "root")), strict=True)
         found.sort(key=lambda x: x[0])
-        out = (key[0].as_py(), found[0][1], found[-1][1], len(found), sum(x[2] for x in found), merkle([x[3] for x in found]))
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["segment", "first_doc", "last_doc", "n_docs", "n_tokens", "root"])
+        out = (key[0].as_py(), found[0][1], found[-1][1], len(found), sum(x[3] for x in found), merkle([leaf(*x) for x in found]))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=[x.split()[0] for x in SUMMARY.split(", ")])
+
+    return recipes.select("segment", "place", "doc_id", "start", "n_tokens", "root").groupBy("segment").applyInArrow(summary, SUMMARY)
+
+
+def manifest_rows(found: DataFrame) -> list[tuple]:
+    """The manifest's rows in order. There is one for each segment, and segments are as many as partitions were written: small,
+    so the running sum may be taken on the driver."""
+    rows = sorted(((r.segment, r.first_doc, r.last_doc, r.n_docs, r.n_tokens, bytes(r.root)) for r in found.collect()), key=lambda r: r[0])
+    before = np.cumsum([0, *(r[4] for r in rows)]).tolist()
+    return [(*r[:5], before[i], r[5]) for i, r in enumerate(rows)]
+
 
-    found = recipes.select("segment", "place", "doc_id", "n_tokens", "root").groupBy("segment").applyInArrow(root, "segment int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
-    spark = recipes.sparkSession
-    # A row for each segment: small, so the running sum may be taken on the driver.
-    rows = sorted(found.collect())
-    before = np.cumsum([0, *(r.n_tokens for r in rows)]).tolist()
-    return spark.createDataFrame(
-        [(r.segment, r.first_doc, r.last_doc, r.n_docs, r.n_tokens, before[i], bytes(r.root)) for i, r in enumerate(rows)],
-        "segment int, first_doc long, last_doc long, n_docs long, n_tokens long, start long, root binary",
-    )
+def check_manifest(store: TokenStore) -> None:
+    """Raises unless the recipes give exactly the manifest's rows."""
+    names = [x.split()[0] for x in MANIFEST.split(", ")]
+    rows = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in store.manifest.select(names).collect()]
+    want, got = {r[0]: r for r in rows}, {r[0]: r for r in manifest_rows(summaries(store.recipes))}
+    if len(want) != len(rows):
+        raise ValueError("the manifest has a segment twice")
+    for segment in sorted(want.keys() | got.keys()):
+        if segment not in got or segment not in want:
+            raise ValueError(f"segment {segment} has no {'recipes' if segment in want else 'row in the manifest'}")
+        differ = [n for n, x, y in zip(names, want[segment], got[segment], strict=True) if x != y]
+        if differ:
+            raise ValueError(f"segment {segment} doesn't have its {', '.join(differ)}")
 
 
 def read_store(store: TokenStore) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (binary, little-endian, 4 bytes an id) of every
-    document, put together from its chunks and verified."""
+    document, put together from its chunks and verified. The recipes are held against the manifest at once."""
+    check_manifest(store)
     width = store.width
     recipes = store.recipes
     refs = recipes.select(
