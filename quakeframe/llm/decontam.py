@@ -13,9 +13,12 @@ their postings scored in full. Everything above the threshold is retrieved; ther
 Passages are overlapping windows: twice the longest item's words, stepping by half of that, so that each item
 that a document holds lies whole in one of them. A retrieved pair is verified on the passage's words: the item's
 question is its sentences but the last, its answer is the last one (of a single sentence: the first two thirds and the
-rest), and of both at least ``overlap`` of the distinct ``gram``-word shingles must be in the passage (of a part with
-fewer words, the whole part).
+rest). A part's overlap is the greater of two shares: of its distinct ``gram``-word shingles that are in the passage (of a part
+with fewer words, the whole part), and of its words that an alignment with the best run of the passage's words leaves
+unedited. Both parts must reach ``overlap``, or the whole item must lie in the passage with one word edited at most (and so
+with a share of ``overlap`` too, which one edit of fewer than five words hasn't).
 
+Numbers of items that have a term, of all items, and the mean length are those of the whole benchmark, whatever the shards.
 The index has a proven bound: items are read in shards of ``SHARD_BYTES`` of text at most (a longer item is a
 shard of its own), each of which is broadcast and meets all passages in turn.
 
@@ -36,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .texthash import Words, chunks, flat_ranges, ngram_hashes
 
 K1, B = 1.2, 0.75
@@ -70,10 +74,11 @@ def halves(text: str) -> tuple[str, str]:
 class Index:
     """Inverted index of one shard of items (id, text)."""
 
-    def __init__(self, items: list[tuple[int | None, str]], gram: int):
+    def __init__(self, items: list[tuple[int | None, str]], gram: int, whole: tuple[int, float, dict[int, int]] | None = None):
+        """``whole``: items, mean length and, of each term here, the items that have it in the whole benchmark, if these are but a shard."""
         h, first = hashes([t.encode() for _, t in items])
         bags = [Counter(h[a:b].tolist()) for a, b in zip(first, first[1:], strict=False)]
-        df = Counter(t for bag in bags for t in bag)
+        df = whole[2] if whole else Counter(t for bag in bags for t in bag)
         order = sorted((i for i in range(len(items)) if bags[i]), key=lambda i: (min((df[t], t) for t in bags[i]), items[i][0] is None, items[i][0] or 0, items[i][1]))
         self.ids = [items[i][0] for i in order]
         self.texts = [items[i][1] for i in order]
@@ -81,8 +86,8 @@ class Index:
         n = len(order)
         length = np.array([b.total() for b in bags], np.int64)
         self.longest = int(length.max()) if n else 0
-        mean = length.mean() if n else 1.0
-        idf = {t: np.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+        total, mean = whole[:2] if whole else (n, length.mean() if n else 1.0)
+        idf = {t: np.log(1 + (total - c + 0.5) / (c + 0.5)) for t, c in df.items()}
         self.terms = np.array(sorted(df), np.uint64)
         place = {int(t): k for k, t in enumerate(self.terms.tolist())}
         term, item, impact = [], [], []
@@ -104,6 +109,7 @@ class Index:
         np.maximum.at(self.block_max, (np.array(term, np.int64)[by], self.item // BLOCK_ITEMS), self.impact)
         self.most = self.block_max.max(axis=1) if len(self.terms) else np.zeros(0)
         qa = [halves(t) for t in self.texts]
+        self.parts = [[hashes([p.encode()])[0] for p in pair] for pair in qa]
         self.shingles = [[shingles(x[0], gram) for x in (hashes([p.encode()]) for p in pair)] for pair in qa]
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
@@ -163,10 +169,55 @@ def search(index: Index, h: np.ndarray, start: np.ndarray, end: np.ndarray, thre
     return alive[keep[pair[hit] // len(index.ids)]], pair[hit] % len(index.ids), total[hit]
 
 
+def fewest_edits(part: np.ndarray, words: np.ndarray) -> int:
+    """Words to put in, take out or replace, at least, to make ``part`` of a run of ``words``."""
+    place = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64)
+    for k, word in enumerate(part, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (words != word))
+        row = np.minimum.accumulate(np.append(k, step) - place) + place
+    return int(row.min())
+
+
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.where(F.length("text") > 0).distinct()
+
+
+def term_counts(items: DataFrame) -> DataFrame:
+    """term, n (items that have it), words (that it has in them all); term is null in a row for the items as such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, first = hashes([(t or "").encode() for t in batch.column(0).to_pylist()])
+            bags = [np.unique(h[a:b], return_counts=True) for a, b in zip(first, first[1:], strict=False) if b > a]
+            term = np.concatenate([np.zeros(0, np.uint64), *(t for t, _ in bags)]).view(np.int64)
+            count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in bags)])
+            yield pa.RecordBatch.from_arrays([pa.array([*term.tolist(), *[None] * len(bags)], pa.int64()), pa.array([*count.tolist(), *(int(c.sum()) for _, c in bags)], pa.int64())], names=["term", "words"])
+
+    return items.select("text").mapInArrow(run, "term long, words long").groupBy("term").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+
+
+def indexes(benchmark: DataFrame, gram: int) -> Iterator[Index]:
+    """The index of each shard, with the whole benchmark's numbers."""
+    items = distinct_items(benchmark)
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= SHARD_BYTES:  # one shard is the whole
+        for shard in shards(benchmark):
+            yield Index(shard, gram)
+        return
+    counts = written(term_counts(items), "benchmark-terms")
+    all_items = counts.where("term IS NULL").first()
+    n, mean = (all_items.n, all_items.words / all_items.n) if all_items else (0, 1.0)
+    for shard in shards(benchmark):
+        own = np.unique(hashes([t.encode() for _, t in shard])[0]).view(np.int64)
+        # a shard's terms: no more than half its bytes
+        terms = items.sparkSession.createDataFrame([(t,) for t in own.tolist()], "term long")
+        yield Index(shard, gram, (n, mean, {r.term % (1 << 64): r.n for r in counts.join(F.broadcast(terms), "term").collect()}))
+
+
 def shards(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """Items in shards of ``SHARD_BYTES`` at most, read one after the other."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where(F.length("text") > 0).distinct()
+    items = distinct_items(benchmark)
     shard, size = [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
         if shard and size + len(r.text) > SHARD_BYTES:
@@ -184,8 +235,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7,
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = None
-    for number, items in enumerate(shards(benchmark)):
-        part = _with_shard(texts, spark.sparkContext.broadcast(Index(items, gram)), number, threshold, overlap, gram)
+    for number, index in enumerate(indexes(benchmark, gram)):
+        part = _with_shard(texts, spark.sparkContext.broadcast(index), number, threshold, overlap, gram)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], RESULT)
@@ -222,14 +273,21 @@ def found_in(index: Index, texts: list[bytes | None], threshold: float, overlap:
             words = h[start[p] : end[p]]
             had, grams = p, {gram: shingles(words, gram)}
         shares = []
-        for part in index.shingles[i]:
+        for part, own in zip(index.shingles[i], index.parts[i], strict=True):
             n = gram
             if len(part) == 1:  # perhaps a part with fewer words
                 n = index_words(index, i, part, gram)
             if n not in grams:
                 grams[n] = shingles(words, n)
-            shares.append(float(np.isin(part, grams[n]).mean()) if len(part) else 1.0)
-        if min(shares) >= overlap:
+            share = float(np.isin(part, grams[n]).mean()) if len(part) else 1.0
+            if share < overlap:
+                share = max(share, 1 - fewest_edits(own, words) / len(own))
+            shares.append(share)
+        held = min(shares) >= overlap
+        if not held:
+            item = np.concatenate(index.parts[i])
+            held = 1 - 1 / len(item) >= overlap and fewest_edits(item, words) <= 1
+        if held:
             key = (int(text[p]), i)
             best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (s, *shares))
     return best
@@ -246,8 +304,8 @@ def index_words(index: Index, item: int, part: np.ndarray, gram: int) -> int:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, gram: int = 5) -> DataFrame:
     """``docs`` without the rows that hold a test item; a filter, so rows aren't shuffled."""
-    for items in shards(benchmark):
-        docs = _without_shard(docs, docs.sparkSession.sparkContext.broadcast(Index(items, gram)), threshold, overlap, gram)
+    for index in indexes(benchmark, gram):
+        docs = _without_shard(docs, docs.sparkSession.sparkContext.broadcast(index), threshold, overlap, gram)
     return docs
 
 
