@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
     A local session that doesn't set it (tests) gets a temporary folder; there the driver and
-    the executors are one process.
+    the executors are one process. On a cluster it has to be set.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them see")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="spark-")
     return _OWN["dir"]
@@ -37,7 +40,16 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,19 +24,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.unionByName(least.where(F.col("a") != F.col("m")).select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b); a component's name is its least node.
+def settled(edges: DataFrame) -> DataFrame:
+    """(a, b) for every node of ``edges`` (a, b) but the least of its component, which is b. A written table.
 
-    Edges with equal or null ends count for nothing; repeated and reversed ones count once."""
+    Edges with equal or null ends count for nothing; repeated and reversed ones count once. Each round's table replaces the one before."""
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = written(now, "edges"), None
-    for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
+    while (state := now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != before and state[0]:
         before = state
-        now = written(_star(_star(now, large=True), large=False), "edges")
-    else:
-        raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
+        after = written(_star(_star(now, large=True), large=False), "edges")
+        drop_written(now)
+        now = after
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b); a component's name is its least node."""
+    now = settled(edges)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -1,53 +1,55 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
-A document's set is that of its distinct word n-grams. Sets whose sizes lie in one band differ, if their
-Jaccard similarity is at least the threshold, in at most k elements, where k follows from the band's
-greatest size. The feature domain is partitioned: by hash into ``n1`` groups of ``n2`` parts. If two sets
-differ in at most k elements, some group holds at most ``k2`` of the differences, so some choice of
-n2 - k2 of its parts is equal in both sets; each choice of each group is a signature, and similar sets of
-a band share one. A band also takes the somewhat smaller sets that a set of its own may be similar to.
+A document's set is that of its distinct word n-grams. Sets whose sizes lie in one band differ, if their Jaccard
+similarity is at least the threshold, in at most k elements, where k follows from the band's greatest size. The feature
+domain is partitioned: by hash into ``n1`` groups of ``n2`` parts. If two sets differ in at most k elements, some group
+holds at most ``k2`` of the differences, so some choice of n2 - k2 of its parts is equal in both sets; each choice of each
+group is a signature, and similar sets of a band share one. A band also takes the somewhat smaller sets that a set of its
+own may be similar to.
 
 Parts can be empty, and what says only "empty" would be shared by many. So there are ``spare`` more groups than
 needed: that many more of them must agree as well. A set with no more than ``spare`` groups in which a choice is empty
 leaves such choices out, as one of the agreeing groups has none of them; other sets give them all.
 
-Links are found without pairing everyone in a bucket. Each set is compared, exactly, on the sets themselves, with the
-least of the first sets of its buckets, then with those firsts that are in other components still; buckets whose sets are
-all in one component are settled. In those that are not, the next 8, 64, ... sets are compared with later ones of
-other components, until all buckets are settled or used up. Sets in different components are thus compared if they
-share any bucket; within a component no link is missing that could change it.
+Sets with one signature are a bucket; buckets with the same members count once. Members are compared inside their bucket,
+before a pair exists, by size and by parity sketch: a bit for each hash value, flipped by each element that has it, so
+sets that differ in h elements have at most h bits apart. What that can't rule out is emitted as a pair only if the two
+aren't tied yet, by a verified link or by a pair of this pass, so a bucket emits a forest and never all of its pairs.
+Emitted pairs are verified on the sets themselves, made anew from the texts. Then those buckets that gave pairs and still
+have members of several components are compared again, without the pairs that failed and with more pairs allowed
+between two components, until no pair is left. So every two sets that are similar end in one component.
 
-Before sets are sent to each other, their sketches are (a bit for each hash of an element): bits that only one of two has
-bound the elements that only one of them has, so most pairs are ruled out for certain at an eighth of the bytes.
+A bucket of more than ``chunk`` members is dealt to parts of that many. Each pass compares all parts with ``chunk``
+leaders (eight times as many each pass), drawn from the members outside the bucket's largest component; it's done when all
+of those have been leaders.
 
-Copies share a class and are compared once for each task that read one.
+Texts with the same set are one node: ``node`` is a 64-bit hash of the set, as its elements are 64-bit hashes of n-grams.
 
-Defined results: without words, or with null text, a set is empty, n_shingles is 0 and the document is
-linked with nothing; fewer words than n make one shingle. Rows with equal or null doc_id are documents of their own;
-component_id is the least non-null doc_id of the component.
+Defined results: without words, or with null text, a set is empty, n_shingles is 0 and the document is linked with
+nothing; fewer words than n make one shingle. Rows with equal or null doc_id are documents of their own; component_id is
+the least non-null doc_id of the component. Of other columns, whatever their names, nothing is read. A very long text is one
+set like any other; its signatures, some 0.4 for each shingle, leave the task a chunk of texts at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import components
+from .common import drop_written, written
+from .components import settled
 from .texthash import ODD, Words, chunks, mix, ngram_hashes
 
-#: A candidate list of so many places (some 20 bytes each) at most is broadcast to find its rows; a longer one is shuffled.
-BROADCAST_ROWS = 250_000
-#: Sets that are compared with one center in one part.
-PART = 512
+#: Members of a bucket that one part compares with each other.
+CHUNK = 2048
+#: Bits of the filter by which texts are picked before they are shuffled.
+FILTER_BITS = 24
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
@@ -67,17 +69,17 @@ def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
 
 @lru_cache(maxsize=None)
 def band_edges(most: int) -> tuple[int, ...]:
-    """Least sizes of the bands, half as large again each time, beyond ``most``."""
+    """Least sizes of the bands, three tenths larger each time, beyond ``most``."""
     edges = [1]
     while edges[-1] <= most:
-        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
+        edges.append(max(edges[-1] + 1, edges[-1] * 13 // 10))
     return tuple(edges)
 
 
 def bands_of(size: int, num: int, den: int) -> list[tuple[int, int]]:
     """(band, greatest size in it) of each band in which a set of this size may meet a similar one."""
     edges = band_edges(1 << size.bit_length() + 1)
-    own = next(i for i in range(len(edges)) if size < edges[i + 1])
+    own = int(np.searchsorted(edges, size, "right")) - 1
     found = [(own, edges[own + 1] - 1)]
     while den * size >= num * edges[own + 1]:
         own += 1
@@ -90,24 +92,25 @@ def scheme(k: int) -> tuple[int, int, int, np.ndarray]:
     """Groups, parts of a group, spare groups, and the choices of parts, for k differences."""
     if k <= 5:
         k2, n2, needed, spare = k, (1, 5, 5, 6, 7, 8)[k], 1, 0
+    elif k <= 11:
+        k2, n2, needed, spare = 3, 6, k // 4 + 1, 0
     else:
-        k2, n2, needed, spare = 1, 3, (k + 2) // 2, 2
+        k2, n2, needed = 1, 2, k // 2 + 1
+        spare = 3 + needed // 12
     return needed + spare, n2, spare, np.array(list(combinations(range(n2), n2 - k2)))
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The signatures of a non-empty set of hashes, over all its bands."""
-    out = []
+    out, own = [], mix(s * ODD)
     for band, most in bands_of(len(s), num, den):
-        k = (den - num) * 2 * most // (den + num)
-        n1, n2, spare, choices = scheme(k)
-        part = (mix(s + np.uint64(band)) >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)
+        n1, n2, spare, choices = scheme((den - num) * 2 * most // (den + num))
+        part = ((mix(s + np.uint64(band)) >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part.astype(np.uint16) if n1 * n2 < 1 << 16 else part, kind="stable")
-        counts = np.bincount(part.astype(np.int64), minlength=n1 * n2)
+        counts = np.bincount(part, minlength=n1 * n2)
         full = np.flatnonzero(counts)
         sums = np.zeros(n1 * n2, np.uint64)
-        at = np.cumsum(counts) - counts
-        sums[full] = np.add.reduceat(mix(s * ODD)[order], at[full])
+        sums[full] = np.add.reduceat(own[order], (np.cumsum(counts) - counts)[full])
         sums, counts = sums.reshape(n1, n2), counts.reshape(n1, n2)
         h = np.full((n1, len(choices)), np.uint64(band)) + np.arange(n1, dtype=np.uint64)[:, None] * ODD
         for j in range(choices.shape[1]):
@@ -117,226 +120,276 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    d = hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def node_of(s: np.ndarray) -> int:
+    """A hash of a set, the same for the same elements."""
+    h = mix(np.array([len(s), int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ ODD).sum(dtype=np.uint64))], np.uint64))
+    return int(ngram_hashes(h, 3).view(np.int64)[0])
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """The set's size, and a bit for each hash of an element: 4 to 8 bits for each element."""
-    bits = max(64, 4 << (len(s) - 1).bit_length()) if len(s) else 64
-    own = np.zeros(bits, bool)
-    own[(mix(s + ODD) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)] = True
-    return len(s).to_bytes(8, "little") + np.packbits(own).tobytes()
+    """Parity sketch: 1.5 to 3 bits for each element, 64 at least, a power of two."""
+    bits = 64
+    while bits < 1.5 * len(s):
+        bits *= 2
+    at = (mix(s + ODD) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def may_be_similar(x: bytes, y: bytes, num: int, den: int) -> bool:
-    """False only if two sets aren't similar: each bit that one of their sketches has alone is an element that one of them has alone.
-    The finer sketch is folded to the other's size."""
-    nx, ny = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
-    if min(nx, ny) * den < max(nx, ny) * num:
-        return False
-    a, b = np.unpackbits(np.frombuffer(x, np.uint8)[8:]), np.unpackbits(np.frombuffer(y, np.uint8)[8:])
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) > len(b):
-        a = a.reshape(len(b), -1).any(axis=1)
-    apart = int((a != b).sum())
-    return (nx + ny - apart) * den >= num * (nx + ny + apart)
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits apart of sketches (rows of words of the same length): no more than the elements that one of two sets has alone."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-ROWS = "kind int, sig long, row long, doc_id long, n long, d1 long, d2 long, sketch binary"
+def folded(words: np.ndarray, to: int) -> np.ndarray:
+    """A sketch folded to fewer words: hash values that agree in the lower bits share one."""
+    return np.bitwise_xor.reduce(words.reshape(-1, to), axis=0)
+
+
+DOC = "struct<doc_id:bigint,n:int,picked:bigint,sketch:binary>"
 
 
 def _rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A row of kind 0 for each document, rows of kind 1 for its signatures."""
+    """A row with ``doc`` for each document, and one without for each of its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, seen = TaskContext.get().partitionId() << 40, set()
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            texts = batch.column(2).to_pylist()
             for lo, hi in chunks(texts, 1 << 20):
-                meta, sketches, sigs, rows = [], [], [], []
-                for doc_id, s in zip(ids[lo:hi], shingle_sets(texts[lo:hi], n), strict=True):
-                    key = digest(s)
-                    meta.append((row, doc_id, len(s), *key))
-                    sketches.append(sketch(s))
-                    if len(s) and key not in seen:
-                        seen.add(key)
-                        sigs.append(signatures(s, num, den).view(np.int64))
-                        rows.append(row)
-                    row += 1
-                m = len(meta)
-                sig = np.concatenate([mix(np.array([x[0] for x in meta], np.uint64)).view(np.int64), *sigs])
-                null = pa.nulls(len(sig) - m, pa.int64())
-                cols = [pa.array(c, pa.int64()) for c in zip(*meta, strict=True)]
-                owner = pa.array(np.repeat(np.array(rows, np.int64), [len(x) for x in sigs]))
-                kind = pa.array(np.append(np.zeros(m, np.int32), np.ones(len(sig) - m, np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [kind, pa.array(sig), pa.concat_arrays([cols[0], owner]), *(pa.concat_arrays([c, null]) for c in cols[1:]), pa.array(sketches + [None] * len(null), pa.binary())],
-                    names=["kind", "sig", "row", "doc_id", "n", "d1", "d2", "sketch"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, ROWS)
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """Keeps documents, and of the signatures those of several rows, which must come sorted by signature: ``rank``
-    counts the rows of one, ``center`` is the first of them. Only the last row is held over between batches."""
+                sets = list(shingle_sets(texts[lo:hi], n))
+                nodes, first = np.unique(np.array([node_of(s) for s in sets], np.int64), return_index=True)
+                own = [signatures(sets[i], num, den).view(np.int64) for i in first if len(sets[i])]
+                owner = np.repeat([x for x, i in zip(nodes, first, strict=True) if len(sets[i])], [len(x) for x in own])
+                doc = pa.StructArray.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), batch.column(1).slice(lo, hi - lo), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "n", "picked", "sketch"])
+                node = pa.array([node_of(s) for s in sets], pa.int64())
+                sig = pa.array(np.concatenate([mix(np.asarray(batch.column(1).slice(lo, hi - lo)).view(np.uint64)).view(np.int64), *own]))
+                yield pa.RecordBatch.from_arrays([sig, pa.concat_arrays([node, pa.array(owner, pa.int64())]), pa.concat_arrays([doc, pa.nulls(len(owner), doc.type)])], names=["sig", "node", "doc"])
+
+    return _texts(docs).mapInArrow(run, f"sig long, node long, doc {DOC}")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, picked (a hash of the row by which it is found again) and the text's bytes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("picked"), F.col("text").cast("binary").alias("raw"))
+
+
+def _buckets(rows: DataFrame, chunk: int) -> DataFrame:
+    """Documents as they are (kind 0); signatures, which must come sorted, as buckets of several nodes (kind 1), in pieces of ``chunk``
+    members; ``whole`` if one piece is all. No more than a piece is held."""
+    names = ["kind", "bucket", "whole", "members", "node", "doc"]
+
+    def give(sig: np.ndarray, node: np.ndarray, whole: bool) -> pa.RecordBatch | None:
+        """Sorted by sig and node, without repeats."""
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(start, len(sig)))
+        take = np.repeat(size > 1, size) if whole else np.ones(len(sig), bool)
+        start, kept = start[size > 1] if whole else start, size[size > 1] if whole else size
+        if not len(kept):
+            return None
+        members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)), pa.int32()), pa.array(node[take]))
+        m = len(kept)
+        doc_type = pa.struct([("doc_id", pa.int64()), ("n", pa.int32()), ("picked", pa.int64()), ("sketch", pa.binary())])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(sig[start]), pa.array(np.full(m, whole)), members, pa.nulls(m, pa.int64()), pa.nulls(m, doc_type)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # last signature row: sig, row, rank, center, whether it was given out
-
-        def give(sig, row, rank, center):
-            n = len(sig)
-            null = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), pa.array(sig), pa.array(row), null, null, null, null, pa.nulls(n, pa.binary()), pa.array(rank), pa.array(center)], names=names
-            )
-
-        names = ["kind", "sig", "row", "doc_id", "n", "d1", "d2", "sketch", "rank", "center"]
-        for b in batches:
-            kind = b.column(0).to_numpy()
-            cut = int(np.searchsorted(kind, 1))
-            if cut:
-                docs = b.slice(0, cut)
-                null = pa.nulls(cut, pa.int64())
-                yield pa.RecordBatch.from_arrays([*docs.columns, null, null], names=names)
-            if cut == b.num_rows:
+        sig = node = np.zeros(0, np.int64)
+        long = None  # the signature of which pieces were given
+        for batch in batches:
+            is_doc = batch.column(2).is_valid()
+            docs = batch.filter(is_doc)
+            if docs.num_rows:
+                m = docs.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.list_(pa.int64())), docs.column(1), docs.column(2)], names=names)
+            keep = ~np.asarray(is_doc)
+            sig, node = np.append(sig, batch.column(0).to_numpy()[keep]), np.append(node, batch.column(1).to_numpy()[keep])
+            if not len(sig):
                 continue
-            sig, row = b.column(1).slice(cut).to_numpy(), b.column(2).slice(cut).to_numpy()
-            first = np.append(True, sig[1:] != sig[:-1])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-            rank, center = np.arange(len(sig)) - at, row[at]
-            same_as_held = held is not None and held[0] == sig[0]
-            if same_as_held:
-                run_of = at == 0
-                rank[run_of] += held[2] + 1
-                center[run_of] = held[3]
-            again = ~first
-            again[0] = same_as_held
-            keep = again | np.append(again[1:], False)
-            if same_as_held and not held[4]:
-                yield give(*(np.array([x]) for x in held[:4]))
-            if keep.any():
-                yield give(sig[keep], row[keep], rank[keep], center[keep])
-            held = (sig[-1], row[-1], rank[-1], center[-1], bool(keep[-1]))
-
-    return rows.mapInArrow(run, ROWS + ", rank long, center long")
-
-
-def _places(pairs: DataFrame) -> DataFrame:
-    """(row, center, at): where each row of the pairs (a, b) has to go. a's go to their b's; a b with many a's is dealt in parts
-    of some ``PART``, and goes to all of them."""
-    parts = pairs.groupBy("b").agg((F.floor(F.count("*") / PART) + 1).cast("int").alias("parts"))
-    place = F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    members = pairs.join(parts, "b").groupBy(F.col("a").alias("row")).agg(F.collect_list(place).alias("at"))  # no more than the row's signatures
-    centers = parts.select(F.col("b").alias("row"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.col("b"), k.alias("part"))).alias("at"))
-    return members.withColumn("center", F.lit(0)).unionByName(centers.withColumn("center", F.lit(1)))
-
-
-def _places_in(wanted: DataFrame) -> int:
-    return wanted.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
-
-
-def _met(values: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs (a, b) whose values are similar; values: row, center, at, value."""
-    dealt = values.select("row", "center", F.explode("at").alias("at"), "value").select("at.b", "at.part", "center", "row", "value")
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.desc("center"))
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
+            new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+            sig, node = sig[new], node[new]
+            cut = int(np.searchsorted(sig, sig[-1]))
+            if long is not None and cut:  # the last piece of a long bucket
+                end = int(np.searchsorted(sig, long, "right"))
+                if end and (out := give(sig[:end], node[:end], False)):
+                    yield out
+                sig, node, cut, long = sig[end:], node[end:], cut - end, None
+            if cut and (out := give(sig[:cut], node[:cut], True)):
+                yield out
+            sig, node = sig[cut:], node[cut:]
+            if len(sig) > chunk:
+                yield give(sig, node, False)
+                sig, node, long = sig[:0], node[:0], sig[0]
+        if len(sig) and (out := give(sig, node, long != sig[0])):
+            yield out
+
+    return rows.mapInArrow(run, f"kind int, bucket long, whole boolean, members array<long>, node long, doc {DOC}")
+
+
+def _members(buckets: DataFrame) -> DataFrame:
+    """(bucket, node); of buckets with the same members one stands for all."""
+    whole = buckets.where("whole").groupBy("members").agg(F.min("bucket").alias("bucket"))
+    found = whole.select("bucket", "members").unionByName(buckets.where("not whole").select("bucket", "members"))
+    return found.select("bucket", F.explode("members").alias("node"))
+
+
+def _dealt(members: DataFrame, comp: DataFrame | None, chunk: int, most: int) -> DataFrame:
+    """(bucket, part, node, comp, lead, done) of buckets with several components. Small ones are one part of leaders. Of others, each part
+    gets the leaders of the bucket; ``done`` if all outside its largest component are among those."""
+    if comp is None:
+        left = members.withColumn("comp", F.col("node"))
+    else:
+        left = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    sums = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    sums = sums.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    sums = sums.select("bucket", F.ceil(F.col("size") / chunk).cast("int").alias("parts"), F.col("top.comp").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("top.n")) / most)).cast("long").alias("of"))
+    left = left.join(sums, "bucket")
+    small = F.col("parts") == 1
+    lead = small | ((F.col("comp") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(most)), F.col("of")) == 0))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    to = F.when(lead, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    return left.select("bucket", "node", "comp", lead.alias("lead"), (small | (F.col("of") == 1)).alias("done"), F.explode(to).alias("part"))
+
+
+def _compared(dealt: DataFrame, num: int, den: int, allowed: int) -> DataFrame:
+    """(bucket, a, b): pairs of leaders and members of other components, a > b, that sketches can't rule out; no more than
+    ``allowed`` of two that are tied by them. A bucket that isn't ``done`` has a row without a pair besides."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["bucket", "part", "node", "comp", "lead", "n", "sketch", "bad", "done"]
+    dealt = dealt.select(*columns).repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part")
+
+    def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        node, comp, lead, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
+        words = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(6)]
+        least = min(map(len, words))
+        bits = np.stack([folded(w, least) for w in words])
+        bad = {}
+        if rows.column(7).null_count < len(node):
+            for i, others in enumerate(rows.column(7).to_pylist()):
+                for j in np.flatnonzero(np.isin(node, others)) if others else ():
+                    bad.setdefault(i, []).append(j)
+                    bad.setdefault(j, []).append(i)
+        root, tied, a, b = comp.copy(), {}, [], []
+        for i in np.flatnonzero(lead):
+            x = np.flatnonzero((root != root[i]) & (node != node[i]))
+            both = n[x] + n[i]
+            x = x[(both - (d := apart(bits[x], bits[i]))) * den >= num * (both + d)]
+            for j in np.setdiff1d(x, bad[i]) if i in bad else x:
+                if root[i] != root[j]:
+                    a.append(i)
+                    b.append(j)
+                    key = (min(root[i], root[j]), max(root[i], root[j]))
+                    tied[key] = tied.get(key, 0) + 1
+                    if tied[key] >= allowed:
+                        root[root == root[j]] = root[i]
+        x, y = node[a], node[b]
+        return np.maximum(x, y), np.minimum(x, y)
+
+    def give(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out, bucket, done = [], rows.column(0).to_numpy(), rows.column(8).to_numpy(zero_copy_only=False)
+        open_ = pa.array(bucket[bounds[:-1]][~done[bounds[:-1]]])
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            a, b = compare(rows.slice(lo, hi - lo))
+            if len(a):
+                out.append((np.full(len(a), bucket[lo]), a, b))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["bucket", "a", "b"])
+        if len(open_):
+            yield pa.RecordBatch.from_arrays([open_, *[pa.nulls(len(open_), pa.int64())] * 2], names=["bucket", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            bucket, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])))
+            yield from give(rows, starts)
+            held = rows.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from give(held, np.array([0, held.num_rows]))
+
+    return dealt.mapInArrow(run, "bucket long, a long, b long")
+
+
+def _bits(picked: Column) -> tuple[Column, Column]:
+    """Word and bit of the filter for a hash."""
+    at = F.pmod(picked, F.lit(1 << FILTER_BITS))
+    return F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, raw) for the wanted (node, picked). A filter of fixed size (2**18 words of 64 bits) keeps most other texts out of the shuffle."""
+    word, bit = _bits(F.col("picked"))
+    on = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("on"))
+    found = _texts(docs).select("picked", "raw", word.alias("word"), bit.alias("bit")).join(F.broadcast(on), "word").where(F.expr("on & shiftleft(1L, bit)") != 0)
+    found = found.groupBy("picked").agg(F.first("raw").alias("raw"))
+    return wanted.join(found, "picked").select("node", "raw")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b, good): whether the sets of two nodes are similar, on sets made anew from the texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(_texts_of(docs, written(nodes.join(ends, "node").select("node", "picked"), "wanted")), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("raw").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, b""
+        last, own = None, None
         for batch in batches:
-            hits = []
-            for b, part, center, row, value in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-                if center:
-                    at, own = (b, part), value.as_py()
-                elif at == (b, part) and similar(value.as_py(), own):
-                    hits.append((row, b))
-            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of rows whose sets are similar: first their sketches meet, which rule most others out for certain, then
-    the sets of the rest, made anew from the texts."""
-    wanted = written(_places(pairs), "wanted")
-    small = _places_in(wanted) <= BROADCAST_ROWS
-    values = meta.select("row", F.col("sketch").alias("value")).join(F.broadcast(wanted) if small else wanted, "row")
-    pairs = written(_met(values, lambda x, y: may_be_similar(x, y, num, den)), "pairs")
-
-    wanted = written(_places(pairs).join(meta, "row").select("row", "center", "at", "doc_id", "d1", "d2"), "wanted")
-    small = _places_in(wanted) <= BROADCAST_ROWS
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                found = [s.tobytes() if (d1, d2) == digest(s) else None for d1, d2, s in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), shingle_sets(part.column(5).to_pylist(), n), strict=True)]
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found, pa.binary())], names=["row", "center", "at", "value"])
-                yield out.filter(out.column(3).is_valid())
-
-    def similar(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        common = len(a) + len(b) - len(np.union1d(a, b))
-        return common * den >= num * (len(a) + len(b) - common)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("raw"))
-    found = texts.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("row", "center", "at", "d1", "d2", "raw")
-    return _met(found.mapInArrow(sets, "row long, center int, at array<struct<b:long,part:int>>, value binary"), similar)
-
-
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose rows are in different components."""
-    found = pairs
-    for x in ("a", "b"):
-        found = found.join(comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
-    return found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+            xs, ys, good = batch.column(2), batch.column(3), []
+            size = xs.nbytes // max(1, batch.num_rows) + 1
+            step = max(1, (1 << 22) // size)
+            for lo in range(0, batch.num_rows, step):
+                for y, b, x in zip(ys.slice(lo, step), batch.column(1).slice(lo, step).to_pylist(), shingle_sets(xs.slice(lo, step).to_pylist(), n)):
+                    if b != last:
+                        last, own = b, next(shingle_sets([y.as_py()], n))
+                    common = len(np.intersect1d(x, own, assume_unique=True))
+                    good.append(common * den >= num * (len(x) + len(own) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    checked = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, good boolean"), "checked")
+    drop_written(texts)
+    return checked
+
+
+def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, n: int, num: int, den: int, chunk: int = CHUNK) -> DataFrame:
+    """(node, component), without the components' own least nodes, of nodes (node, n, picked, sketch) that meet in ``members``,
+    a written table that is deleted."""
+    comp = failed = None
+    most, allowed = chunk, 1
+    while True:
+        dealt = _dealt(members, comp, chunk, most)
+        rows = dealt.join(nodes.select("node", "n", "sketch"), "node")
+        if failed is None:
+            rows = rows.withColumn("bad", F.lit(None).cast("array<long>"))
+        else:
+            rows = rows.join(failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("bad")), "node", "left")
+        found = written(_compared(rows, num, den, allowed), "pairs")
+        again = written(members.join(found.select("bucket").distinct(), "bucket", "left_semi"), "members")
+        pairs = written(found.where("a is not null").select("a", "b").distinct(), "distinct-pairs")
+        checked = _verified(docs, nodes, pairs, n, num, den)
+        good, bad = checked.where("good").select("a", "b"), checked.where("not good").select("a", "b")
+        ties = settled(good if comp is None else good.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        drop_written(found, pairs, members)
+        comp, members = ties.select(F.col("a").alias("node"), F.col("b").alias("component")), again
+        failed = bad if failed is None else failed.unionByName(bad)
+        if members.isEmpty():
+            return comp
+        most, allowed = most * 8, allowed * 32
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles and component_id for each document (columns doc_id, text); documents link when
     den * intersection >= num * union."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _rows(docs, n, num, den).repartition(parts, "sig").sortWithinPartitions("kind", "sig", "row")
-    both = written(_shared(rows), "signatures", ("kind",))
-    meta = both.where("kind = 0").select("row", "doc_id", "n", "d1", "d2", "sketch")
-    buckets = both.where("kind = 1").select("sig", "row", "rank", "center")
-
-    # copies: every row of a class to the least of them
-    least = meta.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("b"))
-    edges = meta.where("n > 0").join(least, ["n", "d1", "d2"]).where(F.col("row") != F.col("b")).select(F.col("row").alias("a"), "b")
-    edges = written(edges, "links")
-    # each set with the first of each of its buckets: first with the least of those, then with those of other components
-    met = written(buckets.where("rank > 0").select(F.col("row").alias("a"), F.col("center").alias("b")).distinct(), "first-pairs")
-    comp = None
-    for pairs in (met.groupBy("a").agg(F.min("b").alias("b")), None):
-        pairs = pairs or _apart(met, comp)
-        edges = edges.unionByName(written(_verified(docs, meta, pairs, n, num, den), "links"))
-        comp = written(components(edges), "components")
-    # buckets that have a set of another component than their first
-    apart = _apart(met, comp).select(F.col("a").alias("row"), F.col("b").alias("center"))
-    open_ = buckets.join(apart, ["row", "center"], "left_semi").select("sig").distinct()
-    buckets, centers, done = written(buckets.join(open_, "sig", "left_semi").where("rank > 0"), "open-buckets"), 8, 1
-    while True:
-        # the component of each row of a bucket that is left; rows without links are their own
-        left = buckets.where(F.col("rank") >= done).join(comp.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", "rank", F.coalesce("component", "row").alias("comp"))
-        # of buckets with the same sets one stands for all: their number and two sums of hashes tell them apart
-        same = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
-        open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets"), *same).where("lo < hi")
-        open_ = open_.groupBy("sets", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
-        left = written(left.join(open_, "sig"), "open-buckets")
-        if left.isEmpty():
-            break
-        first = left.where(F.col("rank") < done + centers).select("sig", F.col("row").alias("b"), F.col("comp").alias("own"), F.col("rank").alias("at"))
-        near = left.join(first, "sig").where((F.col("rank") > F.col("at")) & (F.col("comp") != F.col("own")))
-        pairs = near.select(F.greatest("row", "b").alias("a"), F.least("row", "b").alias("b")).distinct()
-        done, centers = done + centers, centers * 8
-        edges = edges.unionByName(written(_verified(docs, meta, pairs, n, num, den), "links"))
-        comp = written(components(edges), "components")
-
-    labelled = meta.select("row", "doc_id", "n").join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row")
+    rows = _rows(docs, n, num, den).repartition(parts, "sig").sortWithinPartitions("sig")
+    both = written(_buckets(rows, chunk), "signatures", ("kind",))
+    meta = both.where("kind = 0").select("node", "doc.*")
+    members = written(_members(both.where("kind = 1").select("bucket", "whole", "members")), "members")
+    nodes = meta.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("picked", "n", "sketch")).alias("doc")).select("node", "doc.*")
+    comp = linked(docs, written(nodes, "nodes"), members, n, num, den, chunk)
+
+    own = meta.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    own = own.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = own.join(names, "component").select("node", "component_id")
+    linked_docs = meta.where("n > 0").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return linked_docs.unionByName(meta.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))

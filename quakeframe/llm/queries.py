@@ -49,7 +49,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("row")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
