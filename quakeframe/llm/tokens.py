@@ -121,8 +121,9 @@ def encode_texts(texts: pa.Array, key: str, tokenizer_json: str, end_id: int) ->
     for token in enc.special:  # may hold what isn't split as words are
         odd |= pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
     plain = pc.ascii_lower(pc.if_else(pa.array(odd), "", texts))
-    # The library parts a letter or digit from a stop behind it too, and so more words are alike.
-    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, r"([\pL\pN])([,.;:!?])(\s|$)", r"\1 \2\3"))
+    # The library parts a letter or digit from a stop behind it too, and so more words are alike. It normalises first, so only letters
+    # that stay one letter then are parted here: those of ASCII and small ones of Latin-1.
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, r"([a-z0-9ß-öø-ÿ])([,.;:!?])(\s|$)", r"\1 \2\3"))
     coded = lists.flatten().dictionary_encode()
     flat, first, size = enc.words(coded.dictionary.to_pylist())
     code = coded.indices.to_numpy()
