@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 
 UNIT, CHUNK_UNITS, SYNC_EVERY, RATE = 64, 256, 16, 8000
+#: Boxes in each other, at most; the deepest that is read here is the sixth.
+DEEPEST = 32
 #: Boxes whose body is a list of boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -71,9 +73,14 @@ def store_media(data: bytes) -> bytes:
     return ftyp + mdat + box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
 
-def walk(buf: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start and end of the body) of each box, parents before their children."""
-    while start < end:
+def walk(buf: memoryview, start: int, end: int) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, start and end of the body) of each box, parents before their children. What is still to be read lies on a stack, so
+    nesting takes no Python frames; more than ``DEEPEST`` boxes in each other are an error."""
+    to_read: list[tuple[tuple[bytes, ...], int, int]] = [((), start, end)]
+    while to_read:
+        path, start, end = to_read.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("a box header is cut off")
         size, kind = struct.unpack_from(">I4s", buf, start)
@@ -90,9 +97,11 @@ def walk(buf: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) ->
         if start + size > end or start + size < body:
             raise ValueError("a box is longer than what holds it")
         yield (*path, kind), body, start + size
+        to_read.append((path, start + size, end))
         if kind in CONTAINERS:
-            yield from walk(buf, body, start + size, (*path, kind))
-        start += size
+            if len(path) >= DEEPEST:
+                raise ValueError("boxes are nested too deep")
+            to_read.append(((*path, kind), body, start + size))
 
 
 def table_of(buf: memoryview, at: int, end: int, count: int, dtype: str, columns: int = 1) -> np.ndarray:
@@ -133,15 +142,18 @@ def sample_table(buf: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
     codec = bytes(buf[at + 12 : at + 16]).decode("latin-1") if number(at + 4, end) else ""
     at, end = part(b"stsz")
     fixed, n = number(at + 4, end), number(at + 8, end)
+    if fixed * n > len(buf):
+        raise ValueError("the samples are larger than the file")
     sizes = np.full(n, fixed, np.int64) if fixed else table_of(buf, at + 12, end, n, ">u4")[:, 0]
     wide = b"co64" in boxes
     at, end = part(b"co64" if wide else b"stco")
     chunks = table_of(buf, at + 8, end, number(at + 4, end), ">u8" if wide else ">u4")[:, 0]
     at, end = part(b"stsc")
     runs = table_of(buf, at + 8, end, number(at + 4, end), ">u4", 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    if len(per_chunk) != len(chunks) or per_chunk.sum() != n:
+    length = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if (length < 0).any() or length.sum() != len(chunks) or (runs[:, 1] < 1).any() or (runs[:, 1] * length).sum() != n:
         raise ValueError("the chunks don't hold the samples")
+    per_chunk = np.repeat(runs[:, 1], length)
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per_chunk) - per_chunk
     offsets = before + np.repeat(chunks - (before[first] if n else 0), per_chunk)
@@ -151,7 +163,9 @@ def sample_table(buf: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
         sync = table_of(buf, at + 8, end, number(at + 4, end), ">u4")[:, 0] - 1
     at, end = part(b"stts")
     times = table_of(buf, at + 8, end, number(at + 4, end), ">u4", 2)
-    if n and (offsets.max() + sizes[offsets.argmax()] > len(buf) or len(sync) and not 0 <= sync.min() <= sync.max() < n):
+    if times[:, 0].sum() != n:
+        raise ValueError("the samples don't have a duration each")
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(buf) or len(sync) and not 0 <= sync.min() <= sync.max() < n):
         raise ValueError("a sample lies outside the file")
     ends = first + per_chunk - 1
     spans = list(zip(chunks.tolist(), (offsets[ends] + sizes[ends] - chunks).tolist(), strict=True)) if n else []

@@ -55,7 +55,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media_columns.encode_media(table(spark, sf_dir, "documents")), "media")
     return media_columns.read_media(stored).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "n_keyframes"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "n_keyframes", "keyframes"
     )
 
 
