@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .texthash import chunks, flat_ranges, from_varint, span_hashes, to_varint
 
 BLOCK = 8 << 20
+#: Ids that are decoded at once.
+DECODED = 4 << 20
 #: Unicode White_Space, as \s of the library's pattern engine has it.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
@@ -202,8 +205,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, at = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist()
+            for lo, hi in chunks([range(n) for n in sizes], DECODED):
+                part = batch.slice(lo, hi - lo)
                 ids = part.column(1)
                 flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 n = np.diff(at)[flat]
