@@ -14,7 +14,9 @@ can't be distributed, so the work is dealt by content, without losing a match:
 3. Blocks find their units again, mark the starts with a smaller id elsewhere, and cut what their strings cover.
 
 A passage that a third of all documents share is one unit text a block, not one a document; a group of
-thousands of copies likewise. Groups are blocks (``BLOCK`` bytes, or one longer text) and buckets.
+thousands of copies likewise. A phrase shorter than ``length`` with other text around it in each document would be one anchor with a
+unit text for each of them: anchors with more than ``hot`` units are told apart when they are reported, and their units
+are cut in single strings, which go to buckets by their own hash. Groups are blocks (``BLOCK`` bytes, or one longer text) and buckets.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` bytes keep all. Rows with equal
 ids don't cut each other; a row with null id neither cuts nor is cut. Other columns pass through, except any named like
@@ -42,6 +44,8 @@ BLOCK, PIECE = 4 << 20, 1 << 19
 GRAM = 16
 NONE = np.iinfo(np.int64).max
 HASH_BITS = 48
+#: Units with one anchor (some 70 bytes each) that one bucket takes.
+HOT = 1 << 17
 ROWS = "kind int, block long, bucket int, payload binary"
 
 
@@ -110,13 +114,16 @@ class Block:
         return start + first, stop - start, (mix(h[pick[start]] + ODD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes in order, and whether several ids of this block have one."""
+        """Distinct hashes in order, and a code for each: in the low bit whether several ids of this block have it, above it
+        a number c for 2**c units at most (15 for any more, of which a block of ``BLOCK`` bytes has few)."""
         if not len(self.hash):
-            return self.hash, np.zeros(0, bool)
+            return self.hash, np.zeros(0, np.int64)
         order = np.argsort(self.hash, kind="stable")
         h, own = self.hash[order], self.owner[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        return h[first], np.minimum.reduceat(self.least[own], first) != np.maximum.reduceat(self.most[own], first)
+        several = np.minimum.reduceat(self.least[own], first) != np.maximum.reduceat(self.most[own], first)
+        units = np.diff(np.append(first, len(h)))
+        return h[first], np.minimum(np.ceil(np.log2(units)).astype(np.int64), 15) << 1 | several
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -278,53 +285,72 @@ def _blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids, texts = _texts(batch)
             for lo, hi in chunks(texts, BLOCK):
-                h, several = Block(ids[lo:hi], texts[lo:hi], length).anchors()
+                h, code = Block(ids[lo:hi], texts[lo:hi], length).anchors()
                 edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
                 rows = [(0, number, -1, _ipc(batch.slice(lo, hi - lo)))]
                 for k in np.flatnonzero(np.diff(edge)).tolist():
                     a, b = edge[k], edge[k + 1]
                     gaps = np.diff(h[a:b], prepend=0)
-                    rows.append((1, number, k, squeeze(gaps << 1 | several[a:b])))
+                    rows.append((1, number, k, squeeze(gaps << 5 | code[a:b])))
                 yield _rows(rows)
                 number += 1
 
     return docs.mapInArrow(run, ROWS)
 
 
-def _shared_anchors(rows: DataFrame) -> DataFrame:
-    """Kind 2: for each block and bucket, a bit for each anchor that several ids have."""
+def _shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
+    """Kind 2: for each block and bucket, a bit for each anchor that several ids have, and then one for each that has more units than ``hot``."""
 
     def run(t: pa.Table) -> pa.Table:
         got = [unsqueeze(p).astype(np.int64) for p in t.column("payload").to_pylist()]
         n = np.array([len(x) for x in got])
-        h = np.concatenate([np.cumsum(x >> 1) for x in got])
+        h = np.concatenate([np.cumsum(x >> 5) for x in got])
         _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        code = np.concatenate(got) & 31
         several = times > 1
-        several[which[np.concatenate(got) & 1 == 1]] = True
-        bits, at = several[which], np.cumsum(n) - n
+        several[which[code & 1 == 1]] = True
+        units = np.bincount(which, np.exp2(code >> 1), len(times))
+        bits, large, at = several[which], (several & (units > hot))[which], np.cumsum(n) - n
         block, bucket = t.column("block").to_pylist(), t.column("bucket").to_pylist()
-        return pa.Table.from_batches([_rows([(2, block[i], bucket[i], np.packbits(bits[at[i] : at[i] + n[i]]).tobytes()) for i in range(len(n))])])
+        own = [slice(at[i], at[i] + n[i]) for i in range(len(n))]
+        return pa.Table.from_batches([_rows([(2, block[i], bucket[i], np.packbits(np.append(bits[x], large[x])).tobytes()) for i, x in enumerate(own)])])
 
     return rows.groupBy("bucket").applyInArrow(run, ROWS)
 
 
+def string_hashes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes, as large as anchors', of the strings that start at these bytes."""
+    word = words_at(buf)
+    h = np.full(len(at), ODD)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        h = mix(h * ODD + word[at + k])
+    return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
 class Candidates:
     """A block's units whose anchors several ids have; distinct texts of units are numbered by bucket."""
 
     def __init__(self, block: Block, bits: list[tuple[int, bytes]], length: int, buckets: int):
         h, _ = block.anchors()
         edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-        several = np.zeros(len(h), bool)
+        several, hot = np.zeros((2, len(h)), bool)
         for k, packed in bits:
             a, b = int(edge[k]), int(edge[k + 1])
-            several[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
-        on = np.flatnonzero(several[np.searchsorted(h, block.hash)]) if len(h) else np.zeros(0, np.int64)
-        self.start, self.n = block.start[on], block.n[on]
+            several[a:b], hot[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=2 * (b - a)).astype(bool).reshape(2, -1)
+        anchor = np.searchsorted(h, block.hash)
+        on = np.flatnonzero(several[anchor]) if len(h) else np.zeros(0, np.int64)
+        self.start, self.n, owner, home = block.start[on], block.n[on], block.owner[on], block.hash[on]
+        if hot.any():  # each string of their units by itself
+            large = hot[anchor[on]]
+            single = flat_ranges(self.start[large], self.n[large])
+            owner = np.append(owner[~large], np.repeat(owner[large], self.n[large]))
+            home = np.append(home[~large], string_hashes(block.buf, single, length))
+            self.start, self.n = np.append(self.start[~large], single), np.append(self.n[~large], np.ones(len(single), np.int64))
         text, place = block.buf.tobytes(), {}
         unit = np.array([place.setdefault(text[a : a + m], len(place)) for a, m in zip(self.start.tolist(), (self.n + length - 1).tolist(), strict=True)], np.int64)
         least, bucket = np.full(len(place), NONE), np.zeros(len(place), np.int64)
-        np.minimum.at(least, unit, block.least[block.owner[on]])
-        bucket[unit] = bucket_of(block.hash[on], buckets)
+        np.minimum.at(least, unit, block.least[owner])
+        bucket[unit] = bucket_of(home, buckets)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
@@ -397,7 +423,7 @@ RESULTS = [
 ]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with ``text`` cut, and n_bytes, n_removed, spans (of bytes of
     the text as it was) and kept (the bytes that are left). ``length`` must be at least ``GRAM``."""
     docs = docs.drop(*(f.name for f in RESULTS))
@@ -406,7 +432,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     schema = StructType([*docs.schema.fields, *RESULTS])
     blocks = written(_blocks(docs, length, buckets), "suffix-blocks", ("kind",))
     texts = blocks.where("kind = 0")
-    shared = written(_shared_anchors(blocks.where("kind = 1")), "suffix-anchors")
+    shared = written(_shared_anchors(blocks.where("kind = 1"), hot), "suffix-anchors")
     answers = _answers(_units(texts.unionByName(shared), length, buckets), length)
 
     def cut(t: pa.Table) -> pa.Table:
