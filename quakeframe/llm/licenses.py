@@ -1,23 +1,38 @@
-"""Licence scans: texts and their lines against licence templates, with DataFrame functions only.
+"""Licence scans: texts, their lines and windows of their words against licence templates, with DataFrame functions only.
 
-A unit (the whole text, or one line of it) is lower-cased; runs of anything but a-z and 0-9 become
-one space. Its set is its distinct word bigrams. For a template of t bigrams and a unit of u, the
+A unit is the whole text, one line of it, or a window of the text's words. It is lower-cased; runs of anything but a-z and 0-9
+become one space. Its set is its distinct word bigrams. For a template of t bigrams and a unit of u, the
 Dice coefficient 2 * common / (t + u) can reach ``threshold`` only if u lies between
 t * threshold / (2 - threshold) and t * (2 - threshold) / threshold; other pairs are never compared,
 and units that no template's bounds admit get no bigrams at all. A unit has at most one bigram less than words, and at least one
 less than distinct words, so most units are pruned before their bigrams are made.
 
+Windows find notices that are wrapped over lines or stand inside a paragraph. Each template has anchors: of its words, by
+length, so many that no unit that matches can lack them all. A window has as many words as the template and starts
+so that an anchor in it lies where the template has it; words between lines count on, whatever marks a comment. So only texts that
+hold an anchor have windows, and only a few each.
+
 Defined results: a null or empty text, or one of fewer than two words, has no bigrams and matches
 nothing (null licence, Dice 0, 0 units). Ties between templates go to the first identifier by
-alphabet. Rows are independent, so repeated rows give repeated results and hot sources don't matter.
+alphabet. Rows are independent, so repeated rows give repeated results and hot sources don't matter. A very long text is read whole, as
+one row until its units are made. Other columns, also with names of result columns, are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Notices and texts of public licences, by SPDX identifier; a licence may have several.
+BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -27,6 +42,22 @@ TEMPLATES: list[tuple[str, str]] = [
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
         "See the License for the specific language governing permissions and limitations under the License.",
     ),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. " + BSD_DISCLAIMER,
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission. " + BSD_DISCLAIMER,
+    ),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -37,6 +68,11 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/",
+    ),
     (
         "GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -53,6 +89,16 @@ TEMPLATES: list[tuple[str, str]] = [
         "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
         "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0-or-later",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     (
@@ -80,12 +126,31 @@ TEMPLATES: list[tuple[str, str]] = [
 THRESHOLD = 0.8
 
 
+def template_words(text: str) -> list[str]:
+    """Words of a template, as a unit's are made."""
+    return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
-    """Distinct word bigrams of a template, as a unit's are made."""
-    words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+    """Distinct word bigrams of a template."""
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def anchors(text: str, threshold: float) -> list[tuple[str, int, int]]:
+    """(word, its place in the template, words of the template) of a template's anchors: its longest words, so many that fewer bigrams
+    are without any than a match has in common."""
+    words, grams = template_words(text), template_bigrams(text)
+    lo, hi = size_bounds(len(grams), threshold)
+    need = min(math.ceil(threshold * (len(grams) + u) / 2 - 1e-9) for u in range(lo, hi + 1))
+    chosen: set[str] = set()
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        if sum(not chosen.intersection(g.split()) for g in grams) < need:
+            break
+        chosen.add(w)
+    return [(w, k, len(words)) for k, w in enumerate(words) if w in chosen]
+
+
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     """Least and greatest number of bigrams with which a unit can match a template of n."""
     fits = [u for u in range(1, int(n * (2 - threshold) / threshold) + 2) if 2 * min(n, u) >= threshold * (n + u)]
@@ -123,9 +188,23 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list
         ]
         return F.greatest(*scored)
 
+    starts: dict[str, set[tuple[int, int]]] = {}
+    for _, notice in templates or TEMPLATES:
+        for w, place, n in anchors(notice, threshold) if template_bigrams(notice) else ():
+            starts.setdefault(w, set()).add((place, n))
+    marks = F.array(*map(F.lit, sorted(starts)))
+    places = F.create_map(*(x for w in sorted(starts) for x in (F.lit(w), F.array(*(F.struct(F.lit(p).alias("place"), F.lit(n).alias("n")) for p, n in sorted(starts[w]))))))
+
+    def windows(all_words: Column) -> Column:
+        """The windows of a text's words, each once."""
+        at = F.filter(F.transform(all_words, lambda w, i: F.when(F.array_contains(marks, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+        spans = F.flatten(F.transform(at, lambda x: F.transform(places[x["w"]], lambda p: F.struct(F.greatest(x["i"] - p["place"], F.lit(0)).alias("start"), p["n"].alias("n")))))
+        cut = F.transform(F.array_distinct(spans), lambda x: F.slice(all_words, x["start"] + 1, x["n"]))
+        return F.when(F.arrays_overlap(all_words, marks), cut).otherwise(F.array().cast("array<array<string>>"))
+
     # One row a unit, so that each unit's bigrams are made once; whoever has too few or too many words is gone before.
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("doc_id", "row", F.explode(F.transform(units, words)).alias("w"))
+    rows = docs.select("doc_id", units.alias("units"), words(text).alias("all"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", "row", F.explode(F.concat(F.transform("units", words), windows(F.col("all")))).alias("w"))
     rows = rows.withColumn("n", F.size("w"))
     pairs = F.when(
         F.col("n") > least,

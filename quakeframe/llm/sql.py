@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES, THRESHOLD, template_bigrams
+from .licenses import TEMPLATES, THRESHOLD, anchors, template_bigrams
 
 OP1 = r"""
 WITH RECURSIVE raw AS (
@@ -51,16 +51,29 @@ GROUP BY t.conv_id
 def _op2() -> str:
     known = sorted((name, template_bigrams(text)) for name, text in TEMPLATES)
     quoted = lambda grams: "[" + ", ".join(f"'{g}'" for g in grams) + "]"
+    found = sorted({x for _, text in TEMPLATES for x in anchors(text, THRESHOLD)})
+    marks = ", ".join(f"('{w}', {place}, {n})" for w, place, n in found)
     values = ", ".join(f"({k}, '{name}', {quoted(grams)})" for k, (name, grams) in enumerate(known))
     return f"""
 WITH templates(k, name, ref) AS (VALUES {values}),
+anchors(word, place, n) AS (VALUES {marks}),
 u AS (
   SELECT doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS unit
   FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+), whole AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+  FROM documents
+), placed AS (
+  SELECT d, unnest(range(len(w))) AS i, unnest(w) AS word FROM whole
+), spans AS (
+  SELECT DISTINCT d, greatest(i - place, 0) AS start, n FROM placed JOIN anchors ON anchors.word = placed.word
 ), w AS (
-  SELECT doc_id, row_number() OVER () AS id,
-    list_filter(string_split(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
-  FROM u
+  SELECT doc_id, row_number() OVER () AS id, w FROM (
+    SELECT doc_id,
+      list_filter(string_split(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+    FROM u
+    UNION ALL SELECT doc_id, w[start + 1 : start + n] FROM spans JOIN whole ON whole.d = spans.d)
 ), g AS (
   SELECT doc_id, id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1
 ), d AS (
