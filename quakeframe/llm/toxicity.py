@@ -3,9 +3,11 @@
 A text is read as words, in overlapping windows of ``WINDOW`` words, each ``STRIDE`` after the one before; the
 last window ends with the text, and all windows are scored. A word's input is the sum of a vector of
 the whole word (by hash) and of its mean character vector (hashed 3- to 5-grams of its bytes between
-marks, ASCII letters in lower case). The states of a forward and a backward gated recurrent layer are pooled by attention, and a
-linear layer gives the window's logit. A text's margin is its greatest logit; a logistic curve, fitted on a
-fifth of the sample that the network doesn't learn from, with the classes weighted as in all labels, turns
+marks, ASCII letters in lower case), and of its evidence in a direction that is learnt: the smoothed log ratio of the
+shares of toxic and of other texts that have the word, 0 for words of few texts. While learning, a text sees the evidence
+of the texts of other folds only, so rare words that it has itself tell it nothing. The states of a forward and a backward gated recurrent layer are pooled by attention, and a
+linear layer gives the window's logit. A text's margin is its greatest logit; a logistic curve, fitted on
+margins from networks that didn't learn from their texts, with the classes weighted as in all labels, turns
 margins into scores.
 
 Training rows are a bounded sample: of each class the ``per_class`` labelled documents whose ids come first by hash.
@@ -32,11 +34,17 @@ from .texthash import ODD, Words, chunks, flat_ranges, mix
 WINDOW, STRIDE = 64, 32
 #: Rows of the tables of word and character vectors, their width, and the states of each direction.
 BITS, WIDTH, STATES = 16, 8, 8
+#: Bits of a word's place in the table of evidence, and folds of texts whose words get their evidence from the other folds.
+EVIDENCE_BITS, FOLDS = 18, 5
 #: Rows of the tables that fewer sample texts have stay 0, as they would only be learnt by heart.
 LEAST_TEXTS = 4
 GRAMS = (3, 4, 5)
 #: ASCII but letters and digits separates words.
 SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Sample texts with which the tables learn at the full rate; with fewer, which they would only learn by heart, slower.
+ENOUGH = 1600
+#: Steps that a network of few texts makes at least, in whole epochs.
+STEPS = 160
 #: Windows that are run at once.
 AT_ONCE = 4096
 f32 = np.float32
@@ -44,9 +52,9 @@ f32 = np.float32
 
 def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Of some texts: each word's number among the distinct ones, first word of each text (one more than texts), and for
-    the distinct words their character grams' rows (in a row, and how many each has), and their word rows."""
+    the distinct words their character grams' rows (in a row, and how many each has), and their places in the table of evidence, whose upper bits are their word rows."""
     w = Words([(t or b"").translate(SEPARATE) for t in texts], lower=True)
-    shift = np.uint64(64 - BITS)
+    shift, places = np.uint64(64 - BITS), np.uint64(64 - EVIDENCE_BITS)
     kinds, first, number = np.unique(w.hash, return_index=True, return_inverse=True)
     size = (w.end - w.start)[first]
     n = size + 2
@@ -64,7 +72,7 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[np.n
         rows.append((mix(h) >> shift).astype(np.int64)[flat_ranges(at, have)])
         counts.append(have)
     where = np.argsort(np.concatenate([np.repeat(np.arange(len(n)), c) for c in counts]), kind="stable")
-    return number, w.first, [np.concatenate(rows)[where], sum(counts)], (mix(kinds * ODD) >> shift).astype(np.int64)
+    return number, w.first, [np.concatenate(rows)[where], sum(counts)], (mix(kinds * ODD) >> places).astype(np.int64)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,19 +93,29 @@ def start_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
     def normal(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(f32)
 
-    p = {"words": normal(1 << BITS, WIDTH, scale=0.05), "chars": normal(1 << BITS, WIDTH, scale=0.3)}
+    p = {"words": normal(1 << BITS, WIDTH, scale=0.05), "chars": normal(1 << BITS, WIDTH, scale=0.1)}
     for d in "fb":
         p |= {f"in_{d}": normal(WIDTH, 3 * STATES, scale=WIDTH**-0.5), f"rec_{d}": normal(STATES, 3 * STATES, scale=STATES**-0.5), f"bias_{d}": np.zeros(3 * STATES, f32)}
     p |= {"att": normal(2 * STATES, 2 * STATES, scale=(2 * STATES) ** -0.5), "key": normal(2 * STATES, scale=0.5), "out": normal(2 * STATES, scale=0.3), "bias": np.zeros(1, f32)}
+    p |= {"voice": normal(WIDTH, scale=1.0)}
     return p
 
 
-def vectors(p: dict, grams: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """Input of each distinct word."""
+def evidence(text: np.ndarray, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each place of the table its evidence, from the texts with labels ``y`` and the (text, place) of their words."""
+    have = np.unique(text << EVIDENCE_BITS | place)
+    of, place = y[have >> EVIDENCE_BITS], have & (1 << EVIDENCE_BITS) - 1
+    pos, neg = (np.bincount(place[of == c], minlength=1 << EVIDENCE_BITS) for c in (1, 0))
+    out = np.log((pos + 1) / ((y == 1).sum() + 2)) - np.log((neg + 1) / ((y == 0).sum() + 2))
+    return np.where(pos + neg >= LEAST_TEXTS, np.clip(out, -3, 3), 0).astype(f32)
+
+
+def vectors(p: dict, grams: list[np.ndarray], rows: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Input of each distinct word; ``known``: its evidence."""
     flat, n = grams
     if not len(n):
         return np.zeros((0, WIDTH), f32)
-    return p["words"][rows] + np.add.reduceat(p["chars"][flat], np.cumsum(n) - n) / n[:, None].astype(f32)
+    return known[:, None] * p["voice"] + p["words"][rows] + np.add.reduceat(p["chars"][flat], np.cumsum(n) - n) / n[:, None].astype(f32)
 
 
 def run_layer(x: np.ndarray, there: np.ndarray, p: dict, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
@@ -180,8 +198,8 @@ def laid_out(number: np.ndarray, start: np.ndarray, n: np.ndarray, none: int) ->
     return index, there.astype(f32)
 
 
-def window_logits(p: dict, number: np.ndarray, start: np.ndarray, n: np.ndarray, grams: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    inputs, out = layer_inputs(p, vectors(p, grams, rows)), []
+def window_logits(p: dict, number: np.ndarray, start: np.ndarray, n: np.ndarray, grams: list[np.ndarray], rows: np.ndarray, known: np.ndarray) -> np.ndarray:
+    inputs, out = layer_inputs(p, vectors(p, grams, rows, known)), []
     for at in range(0, len(start), AT_ONCE):
         own = slice(at, at + AT_ONCE)
         out.append(forward(p, inputs, *laid_out(number, start[own], n[own], len(rows)))[0].astype(np.float64))
@@ -192,9 +210,9 @@ def margins(p: dict, texts: list[bytes | None]) -> np.ndarray:
     """Greatest logit of each text's windows."""
     out = np.full(len(texts), -np.inf)
     for lo, hi in chunks(texts, 1 << 21):
-        number, first, grams, rows = encode(texts[lo:hi])
+        number, first, grams, places = encode(texts[lo:hi])
         start, n, text = windows(first)
-        np.maximum.at(out, lo + text, window_logits(p, number, start, n, grams, rows))
+        np.maximum.at(out, lo + text, window_logits(p, number, start, n, grams, places >> EVIDENCE_BITS - BITS, p["evidence"][places]))
     return out
 
 
@@ -203,9 +221,22 @@ def fit_network(texts: list[bytes], y: np.ndarray, epochs: int = 1, refine: int
     a text of class 1 gives only its best window, as most of a toxic text may be harmless."""
     rng = np.random.default_rng(seed)
     p = start_weights(rng)
-    number, first, (flat, n_grams), rows = encode(texts)
+    number, first, (flat, n_grams), places = encode(texts)
     start, n, text = windows(first)
     label = y[text].astype(f32)
+    # a word of each fold is one of its own, with the evidence of the other folds
+    of = np.repeat(np.arange(len(texts)), np.diff(first))
+    p["evidence"] = evidence(of, places[number], y)
+    kinds, number = np.unique(number * FOLDS + of % FOLDS, return_inverse=True)
+    word, fold = kinds // FOLDS, kinds % FOLDS
+    known = np.zeros(len(kinds), f32)
+    for k in range(FOLDS):
+        own = np.arange(len(texts)) % FOLDS == k
+        others = np.cumsum(~own) - 1
+        rest = ~own[of]
+        known[fold == k] = evidence(others[of[rest]], places[word[number[rest]]], y[~own])[places[word[fold == k]]]
+    at = np.cumsum(n_grams) - n_grams
+    flat, n_grams, rows = flat[flat_ranges(at[word], n_grams[word])], n_grams[word], places[word] >> EVIDENCE_BITS - BITS
     gram_at = np.cumsum(n_grams) - n_grams
     # texts that have a row, by distinct words of each
     words_in = np.unique(np.repeat(np.arange(len(texts)), np.diff(first)) * len(rows) + number)
@@ -214,26 +245,26 @@ def fit_network(texts: list[bytes], y: np.ndarray, epochs: int = 1, refine: int
     for name, own, row in (("words", whose, rows[which]), ("chars", np.repeat(whose, n_grams[which]), flat[flat_ranges(gram_at[which], n_grams[which])])):
         common[name] = np.bincount(np.unique(own << BITS | row) & (1 << BITS) - 1, minlength=1 << BITS) >= LEAST_TEXTS
         p[name][~common[name]] = 0
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-    step = 0
+    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items() if k != "evidence"}
+    step, epochs = 0, epochs * max(1, STEPS // 2 * batch // max(1, len(start)))
     for epoch in range(epochs + refine):
         order = np.arange(len(start))
         if epoch >= epochs:
-            logit = window_logits(p, number, start, n, [flat, n_grams], rows)
+            logit = window_logits(p, number, start, n, [flat, n_grams], rows, known)
             best = np.full(len(texts), -np.inf)
             np.maximum.at(best, text, logit)
             order = order[(label == 0) | (logit == best[text])]
         weight = np.where(label > 0, 0.5 / max(1, label[order].sum()), 0.5 / max(1, (1 - label[order]).sum())).astype(f32) * len(order)
         order = rng.permutation(order)
         for at in range(0, len(order), batch):
-            own = order[at : at + batch]
-            words = np.unique(np.concatenate([np.zeros(0, np.int64), number[flat_ranges(start[own], n[own])]]))
+            here = order[at : at + batch]
+            words = np.unique(np.concatenate([np.zeros(0, np.int64), number[flat_ranges(start[here], n[here])]]))
             grams = flat[flat_ranges(gram_at[words], n_grams[words])]
-            x = vectors(p, [grams, n_grams[words]], rows[words])
-            index, there = laid_out(number, start[own], n[own], -1)
+            x = vectors(p, [grams, n_grams[words]], rows[words], known[words])
+            index, there = laid_out(number, start[here], n[here], -1)
             index = np.where(there > 0, np.searchsorted(words, index), len(words))
             logit, state = forward(p, layer_inputs(p, x), index, there, keep=True)
-            d_logit = (sigmoid(logit) - label[own]) * weight[own] / f32(len(own))
+            d_logit = (sigmoid(logit) - label[here]) * weight[here] / f32(len(here))
             g, dx = backward(p, d_logit, state, there)
             dw = np.zeros((len(words), WIDTH), f32)
             for d in "fb":
@@ -241,10 +272,12 @@ def fit_network(texts: list[bytes], y: np.ndarray, epochs: int = 1, refine: int
                 np.add.at(flat_dx, index.ravel(), dx[d].reshape(-1, 3 * STATES))
                 g[f"in_{d}"] = x.T @ flat_dx[:-1]
                 dw += flat_dx[:-1] @ p[f"in_{d}"].T
+            g["voice"] = known[words] @ dw
             for name, where, value in (("words", rows[words], dw), ("chars", grams, np.repeat(dw / n_grams[words, None].astype(f32), n_grams[words], axis=0))):
                 g[name] = (where, value)
             step += 1
             size = rate / (1 + step / 400)
+            slow = size * min(1.0, len(texts) / ENOUGH) ** 2
             for name, grad in g.items():
                 m, v = moments[name]
                 if isinstance(grad, tuple):  # only the rows that the batch has
@@ -254,25 +287,43 @@ def fit_network(texts: list[bytes], y: np.ndarray, epochs: int = 1, refine: int
                     hit, value = hit[common[name][hit]], value[common[name][hit]]
                 else:
                     hit, value = slice(None), grad
+                own = slow if name in ("words", "chars") else size
                 m[hit] = f32(0.9) * m[hit] + f32(0.1) * value
                 v[hit] = f32(0.99) * v[hit] + f32(0.01) * value * value
-                p[name][hit] -= f32(size) * m[hit] / (1 - f32(0.9) ** step) / (np.sqrt(v[hit] / (1 - f32(0.99) ** step)) + f32(1e-6))
+                p[name][hit] -= f32(own) * m[hit] / (1 - f32(0.9) ** step) / (np.sqrt(v[hit] / (1 - f32(0.99) ** step)) + f32(1e-6))
     return p
 
 
 def fit(texts: list[bytes], y: np.ndarray, share: float) -> dict:
-    """Network and logistic curve; every fifth text of each class, in the order given, is for the curve alone."""
+    """Network and logistic curve. Of many texts every fifth of each class, in the order given, is for the curve alone. With fewer than
+    ``ENOUGH`` the curve is fitted on all, each text's margin from a network of the other half, and the network then learns from all."""
     if len(set(y.tolist())) < 2:
         share = min(max(share if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return {"net": None, "a": 0.0, "b": float(np.log(share / (1 - share)))}
-    held = np.zeros(len(y), bool)
+    fold = np.zeros(len(y), np.int64)
     for c in (0, 1):
-        held[np.flatnonzero(y == c)[4::5]] = True
-    learn = ~held
-    if len(set(y[held].tolist())) < 2:
-        held[:] = learn[:] = True
-    net = fit_network([t for t, k in zip(texts, learn, strict=True) if k], y[learn])
-    a, b = fit_logistic(margins(net, [t for t, k in zip(texts, held, strict=True) if k]), y[held], share)
+        own = np.flatnonzero(y == c)
+        fold[own] = np.arange(len(own)) % FOLDS
+
+    def net_of(learn: np.ndarray) -> dict:
+        return fit_network([t for t, k in zip(texts, learn, strict=True) if k], y[learn])
+
+    def margins_of(net: dict, where: np.ndarray) -> np.ndarray:
+        return margins(net, [t for t, k in zip(texts, where, strict=True) if k])
+
+    if len(y) >= ENOUGH:
+        held = fold == FOLDS - 1
+        net = net_of(~held)
+        margin, y = margins_of(net, held), y[held]
+    elif min(np.bincount(y)) < FOLDS:
+        net = net_of(fold >= 0)
+        margin = margins_of(net, fold >= 0)
+    else:
+        margin = np.zeros(len(y))
+        for half in (fold % 2 == 0, fold % 2 == 1):
+            margin[half] = margins_of(net_of(~half), half)
+        net = net_of(fold >= 0)
+    a, b = fit_logistic(margin, y, share)
     return {"net": net, "a": a, "b": b}
 
 

@@ -80,6 +80,29 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_that_are_wrapped_or_inside_a_paragraph(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+    words = mit.split()
+    header = "\n".join("# " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    code = "\n".join(f"x{k} = compute(a{k}, b{k}) + {k}" for k in range(500))
+    edited = header.replace("furnished", "given").replace("sublicense, ", "")
+    prose = " ".join(f"word{k}" for k in range(300))
+    rows_ = [(1, f"{code}\n{header}\n{code}"), (2, f"{edited}\n{code}"), (3, f"{prose} This work is licensed under the GNU General Public License, version 3. {prose}"), (4, f"{code}\nSoftware conditions and permissions of the licensed distribution\n{code}"), (5, f"{prose} all rights reserved {prose}")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows_, DOCS)).collect()}
+    assert [got[k].license for k in (1, 2, 3, 4, 5)] == ["MIT", "MIT", "GPL-3.0-only", None, "proprietary"]
+    assert got[1].dice == got[3].dice == 1.0 and 0.9 < got[2].dice < 1.0
+
+
+def test_license_anchors_lose_nothing():
+    """Whatever bigrams of a template a match may lack, the others hold an anchor."""
+    for _, text in licenses.TEMPLATES:
+        grams = licenses.template_bigrams(text)
+        marks = {w for w, _, _ in licenses.anchors(text, 0.8)}
+        lo, _ = licenses.size_bounds(len(grams), 0.8)
+        without = sum(not marks.intersection(g.split()) for g in grams)
+        assert 2 * without / (len(grams) + max(lo, without)) < 0.8
+
+
 def test_license_bounds_lose_nothing():
     for n in (1, 2, 5, 17, 60):
         lo, hi = licenses.size_bounds(n, 0.8)
@@ -352,6 +375,17 @@ def test_suffix_dedup(spark, alphabet):
     assert rows(got) == sorted(suffix.brute_force([(d, (t or "").encode()) for d, t in data], 50), key=str)
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT, 3])
+def test_suffix_dedup_of_a_phrase_in_all_documents(spark, hot):
+    """A phrase shorter than the strings that count, with other text around it; a small bound makes its anchors hot ones."""
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    phrase, passage = "Posted by the user from the mobile app ", text(90)
+    data = [(i, text(rng.randint(0, 80)) + phrase + (passage if i % 3 == 0 else "") + text(rng.randint(0, 80))) for i in range(120)]
+    got = suffix.repeat_digests(suffix.remove_repeats(spark.createDataFrame(data, DOCS).repartition(5), 50, hot))
+    assert rows(got) == sorted(suffix.brute_force([(d, t.encode()) for d, t in data], 50), key=str)
+
+
 def test_suffix_dedup_of_odd_rows(odd, none):
     got = suffix.remove_repeats(odd)
     assert rows(suffix.repeat_digests(got)) == sorted(suffix.brute_force([(d, (t or "").encode()) for d, t in ODD], 50), key=str)
