@@ -69,7 +69,7 @@ def angle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = square(F.sin(dlat / 2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * square(F.sin(dlon / 2))
     a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
-    return F.when(_same(lat1, lon1, lat2, lon2), F.lit(0.0)).otherwise(2.0 * F.atan2(F.sqrt(a), F.sqrt(1.0 - a)))
+    return F.when(_same(lat1, lon1, lat2, lon2), F.lit(0.0)).otherwise(2.0 * F.asin(F.sqrt(a)))
 
 
 def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, depth: Column | float = 0.0) -> Column:
@@ -79,9 +79,8 @@ def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, depth: Colu
 
 def distance3d(lat1: Column, lon1: Column, depth1: Column, lat2: Column, lon2: Column, depth2: Column) -> Column:
     """km between two points: along the surface at their mean depth, and across."""
-    across = F.abs(depth1 - depth2)
     along = distance(lat1, lon1, lat2, lon2, (depth1 + depth2) / 2)
-    return F.when(across < 1e-7, along).otherwise(F.sqrt(square(along) + square(across)))
+    return F.sqrt(F.pow(along, F.lit(2.0)) + square(depth1 - depth2))  # along stands here once, as expressions are inlined
 
 
 def station_depth(elevation: Column) -> Column:

@@ -44,26 +44,46 @@ def lookup_xcorr(edges: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def valid_at(rows: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str = "start_us", end: str = "end_us") -> DataFrame:
-    """rows with the span (keys, start, end or NULL) that holds their time; the latest start if several do; NULLs if none does."""
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    there = (F.col(time) >= F.col(start)) & (F.col(end).isNull() | (F.col(time) < F.col(end)))
-    found = numbered.join(spans, keys, "left").withColumn("_ok", there)
-    extra = [c for c in spans.columns if c not in keys]
-    best = F.max(F.when(F.col("_ok"), F.struct(start, *[c for c in extra if c != start])))
-    return found.groupBy("_row", *rows.columns).agg(best.alias("_s")).select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in extra])
-
+    """rows with the span (keys, start, end or NULL) that holds their time; the latest start if several do; NULLs if none does.
 
-def merge_requests(requests: DataFrame, keys: list[str], tolerance_us: int = 0) -> DataFrame:
-    """Windows (keys, start_us, end_us) that overlap or lie within a tolerance become one: keys, start_us, end_us, n."""
+    Times at which a key's spans start or end cut its time into pieces, and one span, or none, is right for all of a piece; so a row meets one
+    piece: the last that starts at or before its time, carried forward in the order of time."""
+    extra = [c for c in spans.columns if c not in keys]
+    cuts = spans.select(*keys, F.explode(F.array(start, end)).alias("_t")).where("_t is not null").distinct()
+    there = spans.join(cuts, keys).where((F.col(start) <= F.col("_t")) & (F.col(end).isNull() | (F.col("_t") < F.col(end))))
+    best = there.groupBy(*keys, "_t").agg(F.max(F.struct(start, *[c for c in extra if c != start])).alias("_s"))
+    pieces = cuts.join(best, [*keys, "_t"], "left").select(*keys, "_t", F.lit(0).alias("_row"), F.struct("_s").alias("_piece"))
+    both = rows.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_row"), F.struct(*rows.columns).alias("_own")).unionByName(pieces, allowMissingColumns=True)
+    last = F.last("_piece", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_t", "_row"))
+    found = both.withColumn("_s", last["_s"]).where("_row = 1")
+    return found.select(*[F.col(f"_own.{c}").alias(c) for c in rows.columns], *[F.col(f"_s.{c}").alias(c) for c in extra])
+
+
+def _islands(windows: DataFrame, keys: list[str], tolerance_us: int) -> DataFrame:
+    """Windows (keys, start_us, end_us, n), different ones of each key, merged where they touch."""
     w = Window.partitionBy(*keys).orderBy("start_us", "end_us")
     reach = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = requests.withColumn("_new", F.when(F.col("start_us") <= reach + tolerance_us, 0).otherwise(1))
+    rows = windows.withColumn("_new", F.when(F.col("start_us") <= reach + tolerance_us, 0).otherwise(1))
     rows = rows.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_g").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).drop("_g")
+    return rows.groupBy(*keys, "_g").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n")).drop("_g")
+
+
+def merge_requests(requests: DataFrame, keys: list[str], tolerance_us: int = 0, slice_us: int = 86_400_000_000) -> DataFrame:
+    """Windows (keys, start_us, end_us) that overlap or lie within a tolerance become one: keys, start_us, end_us, n.
+
+    Equal windows are counted first; then those that start in one slice of time are merged, and what is left of all slices again,
+    so a key with very many windows is shared out."""
+    counted = requests.groupBy(*keys, "start_us", "end_us").agg(F.count("*").alias("n"))
+    sliced = counted.withColumn("_slice", F.floor(F.col("start_us") / slice_us))
+    return _islands(_islands(sliced, [*keys, "_slice"], tolerance_us).drop("_slice"), keys, tolerance_us)
 
 
-def containing_trace(requests: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
-    """Requests (keys, start_us, end_us) with the first trace (keys, trace_start_us, trace_end_us, trace_id) that holds them whole."""
-    hit = requests.join(traces, keys).where("trace_start_us <= start_us and trace_end_us >= end_us")
-    w = Window.partitionBy(*keys, "start_us", "end_us").orderBy("trace_start_us", "trace_id")
-    return hit.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+def containing_trace(requests: DataFrame, traces: DataFrame, keys: list[str], bin_us: int = 300_000_000) -> DataFrame:
+    """Requests (keys, start_us, end_us) with the first trace (keys, trace_start_us, trace_end_us, trace_id) that holds them whole. Requests
+    meet traces that cover the time bin they start in."""
+    binned = traces.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("trace_start_us") / bin_us), F.floor(F.col("trace_end_us") / bin_us))))
+    asked = requests.withColumn("_bin", F.floor(F.col("start_us") / bin_us))
+    hit = asked.join(binned, [*keys, "_bin"]).where("trace_start_us <= start_us and trace_end_us >= end_us")
+    rest = [c for c in traces.columns if c not in keys]
+    first = F.min(F.struct("trace_start_us", "trace_id", *[c for c in rest if c not in ("trace_start_us", "trace_id")]))
+    return hit.groupBy(*keys, "start_us", "end_us").agg(first.alias("_s")).select(*keys, "start_us", "end_us", *[F.col(f"_s.{c}").alias(c) for c in rest])

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -31,6 +31,11 @@ class Selection:
     shells: int = 0
     strict_ref: bool = False
 
+    @property
+    def in_nearest_mode(self) -> bool:
+        """Without shells, or if all neighbours are wanted, which makes shells pointless."""
+        return self.shells <= 0 or self.max_neighbours <= 0
+
 
 def station_distances(cat: Catalog, phases: DataFrame) -> DataFrame:
     """event_id, station_id, km for each event and station that phases join."""
@@ -49,7 +54,7 @@ def eligible_edges(cat: Catalog, o: Selection) -> DataFrame:
     lo, hi = F.col("km") >= o.min_station_km, (F.col("km") <= o.max_station_km) if o.max_station_km > 0 else F.lit(True)
     ref = ref.where(lo & hi if o.strict_ref else lo | hi)
     neigh = phases.select(F.col("event_id").alias("neigh_id"), "station_id", "type", F.col("km").alias("neigh_km"))
-    pairs = neighbours_within(cat.events, o.max_km)
+    pairs = neighbours_within(cat.events, o.max_km) if o.in_nearest_mode else in_outermost(neighbours_within(cat.events, 2 * o.max_km), cat.events, o)
     both = pairs.join(ref, "ref_id").join(neigh, ["neigh_id", "station_id", "type"])
     ok = F.lit(True)
     if o.min_ratio > 0:
@@ -91,23 +96,34 @@ def nearest_first(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 
+def _placed(pairs: DataFrame, events: DataFrame) -> DataFrame:
+    """pairs with both ends' coordinates: lat0, lon0, dep0 of the reference, latitude, longitude, depth of the neighbour."""
+    ev = events.select("id", "latitude", "longitude", "depth")
+    a = ev.select(F.col("id").alias("ref_id"), F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"), F.col("depth").alias("dep0"))
+    return pairs.join(a, "ref_id").join(ev.withColumnRenamed("id", "neigh_id"), "neigh_id")
+
+
+def _inside(km: float) -> Column:
+    """Whether the neighbour lies in the reference's ellipsoid with horizontal half axes of ``km`` and a vertical one of twice that."""
+    return geo.in_ellipsoid(*map(F.col, ("latitude", "longitude", "depth", "lat0", "lon0", "dep0")), across=2 * km, along=km)
+
+
+def in_outermost(pairs: DataFrame, events: DataFrame, o: Selection) -> DataFrame:
+    """The pairs in the outermost ellipsoid, which reaches twice ``max_km`` up and down."""
+    return _placed(pairs, events).where(_inside(o.max_km)).select(*pairs.columns)
+
+
 def by_shells(pairs: DataFrame, events: DataFrame, o: Selection) -> DataFrame:
     """Neighbours taken in turns from shells and octants: the nearest of each, then the second of each, and so on.
 
-    The outermost ellipsoid has horizontal half axes of ``max_km`` and a vertical one of twice that; each further one is half as
-    large. A point on an octant's plane is counted in the first of its octants."""
-    ev = events.select("id", "latitude", "longitude", "depth")
-    a = ev.select(F.col("id").alias("ref_id"), F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"), F.col("depth").alias("dep0"))
-    b = ev.withColumnRenamed("id", "neigh_id")
-    rows = pairs.join(a, "ref_id").join(b, "neigh_id")
-    point, center = [F.col(c) for c in ("latitude", "longitude", "depth")], [F.col(c) for c in ("lat0", "lon0", "dep0")]
-    # shell 0 is the innermost; sizes double outwards
-    sizes = [o.max_km / 2 ** (o.shells - k) for k in range(o.shells + 1)]
-    shell = None
-    for k, km in enumerate(sizes):
-        inside = geo.in_ellipsoid(*point, *center, across=2 * km, along=km)
-        shell = F.when(inside, k) if shell is None else shell.when(inside, k)
-    rows = rows.withColumns({"shell": shell, "octant": geo.octants(*point, *center)[0]}).where("shell is not null")
+    The outermost of ``shells`` ellipsoids has horizontal half axes of ``max_km`` and a vertical one of twice that; each further one is half
+    as large, and the innermost shell is all of its ellipsoid. A point on an octant's plane is counted in the first of its octants."""
+    rows = _placed(pairs, events)
+    shell = F.when(F.lit(False), F.lit(0))
+    for k in range(o.shells):  # shell 0 is the innermost
+        shell = shell.when(_inside(o.max_km / 2 ** (o.shells - 1 - k)), k)
+    octant = geo.octants(*map(F.col, ("latitude", "longitude", "depth", "lat0", "lon0", "dep0")))[0]
+    rows = rows.withColumns({"shell": shell, "octant": octant}).where("shell is not null")
     if o.max_neighbours > 0:
         turn = Window.partitionBy("ref_id", "shell", "octant").orderBy("distance", "neigh_id")
         rows = rows.withColumn("_turn", F.row_number().over(turn))
@@ -119,7 +135,7 @@ def select_neighbours(cat: Catalog, o: Selection) -> DataFrame:
     """ref_id, neigh_id, distance, type, station_id: the neighbours of all events that keep at least ``min_neighbours``."""
     edges = settled(eligible_edges(cat, o))
     pairs = peel(edges.groupBy("ref_id", "neigh_id").agg(F.first("distance").alias("distance")), o.min_neighbours, o.max_neighbours)
-    chosen = by_shells(pairs, cat.events, o).drop("shell", "octant") if o.shells > 0 else nearest_first(pairs, o.max_neighbours)
+    chosen = nearest_first(pairs, o.max_neighbours) if o.in_nearest_mode else by_shells(pairs, cat.events, o).drop("shell", "octant")
     return edges.join(chosen.select("ref_id", "neigh_id"), ["ref_id", "neigh_id"], "left_semi").select("ref_id", "neigh_id", "distance", "type", "station_id")
 
 

@@ -15,48 +15,84 @@ from ..functions import geo
 from .graph import settled
 
 
-def _cells(lat: Column, lon: Column, side: float) -> list[Column]:
-    f, l0 = F.radians(lat), F.radians(lon)
-    xyz = (F.cos(f) * F.cos(l0), F.cos(f) * F.sin(l0), F.sin(f))
-    return [F.floor(x / side) for x in xyz]
+def _with_xyz(points: DataFrame, end: str, id_name: str) -> DataFrame:
+    """id, latitude, longitude and depth with ``end`` behind their names, and the point on the unit sphere, once for each row."""
+    f, l0 = F.radians("latitude"), F.radians("longitude")
+    unit = {"ux": F.cos(f) * F.cos(l0), "uy": F.cos(f) * F.sin(l0), "uz": F.sin(f)}
+    return points.select(F.col("id").alias(id_name), *[F.col(c).alias(f"{c}{end}") for c in ("latitude", "longitude", "depth")], *[c.alias(f"{n}{end}") for n, c in unit.items()])
 
 
-def radius_pairs(a: DataFrame, b: DataFrame, km: float, deepest: float = 700.0, flat: bool = False) -> DataFrame:
-    """Pairs of a row of a and of b (id, latitude, longitude, depth) not more than ``km`` apart: a_id, b_id, distance.
+def _deepest(*tables: DataFrame) -> float:
+    """Greatest depth, as distances on the surface shrink with it."""
+    found = [t.agg(F.max("depth")).first()[0] for t in tables]
+    deepest = max([0.0, *(d for d in found if d is not None)])
+    if deepest >= geo.EARTH_KM:
+        raise ValueError(f"a depth of {deepest} km is below the earth's centre")
+    return deepest
+
 
-    ``deepest`` bounds the depths; the surface distance at a depth shrinks with it. ``flat`` measures horizontally, at a's depth."""
+def _near(left: DataFrame, right: DataFrame, km: float, deepest: float) -> DataFrame:
+    """Pairs of rows of ``_with_xyz`` that may lie within ``km``: joined on cells, then held to the straight line between them,
+    a few products for each pair, before any angle is computed."""
     side = 2.0 * math.sin(min(km / (geo.EARTH_KM - deepest), math.pi) / 2.0) * (1 + 1e-9)
-    left = a.select(F.col("id").alias("a_id"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"), F.col("depth").alias("dep1"))
-    right = b.select(F.col("id").alias("b_id"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), F.col("depth").alias("dep2"))
-    for name, c in zip("xyz", _cells(F.col("lat1"), F.col("lon1"), side), strict=True):
-        left = left.withColumn(name, F.explode(F.sequence(c - 1, c + 1)))
-    right = right.withColumns(dict(zip("xyz", _cells(F.col("lat2"), F.col("lon2"), side), strict=True)))
-    pairs = left.join(right, ["x", "y", "z"])
-    args = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
-    d = geo.distance(*args, F.col("dep1")) if flat else geo.distance3d(args[0], args[1], F.col("dep1"), args[2], args[3], F.col("dep2"))
-    return pairs.withColumn("distance", d).where(F.col("distance") <= km).select("a_id", "b_id", "distance")
+    for n in "xyz":
+        left = left.withColumn(n, F.explode(F.sequence(F.floor(F.col(f"u{n}1") / side) - 1, F.floor(F.col(f"u{n}1") / side) + 1)))
+    right = right.withColumns({n: F.floor(F.col(f"u{n}2") / side) for n in "xyz"})
+    chord2 = sum((geo.square(F.col(f"u{n}1") - F.col(f"u{n}2")) for n in "xyz"), F.lit(0.0))
+    line2 = chord2 * (geo.EARTH_KM - deepest) ** 2 + geo.square(F.col("depth1") - F.col("depth2"))
+    same = [left[n] == right[n] for n in "xyz"]
+    return left.join(right, same[0] & same[1] & same[2] & (line2 <= km * km * (1 + 1e-9) + 1e-9)).drop(*"xyz")
+
 
+def _measured(pairs: DataFrame, flat: bool) -> DataFrame:
+    args = [F.col(c) for c in ("latitude1", "longitude1", "latitude2", "longitude2")]
+    d = geo.distance(*args, F.col("depth1")) if flat else geo.distance3d(args[0], args[1], F.col("depth1"), args[2], args[3], F.col("depth2"))
+    return pairs.withColumn("distance", d)
 
-def neighbours_within(events: DataFrame, km: float, **options) -> DataFrame:
-    """Directed pairs of different events: ref_id, neigh_id, distance."""
-    pairs = radius_pairs(events, events, km, **options).where("a_id <> b_id")
-    return pairs.select(F.col("a_id").alias("ref_id"), F.col("b_id").alias("neigh_id"), "distance")
 
+def radius_pairs(a: DataFrame, b: DataFrame, km: float, flat: bool = False) -> DataFrame:
+    """Pairs of a row of a and of b (id, latitude, longitude, depth) not more than ``km`` apart: a_id, b_id, distance.
+
+    ``flat`` measures horizontally, at a's depth."""
+    left, right = _with_xyz(a, "1", "a_id"), _with_xyz(b, "2", "b_id")
+    deepest = _deepest(a, b)
+    if flat:
+        right = right.withColumn("depth2", F.lit(0.0))
+        pairs = _near(left.withColumns({"depth": F.col("depth1"), "depth1": F.lit(0.0)}), right, km, deepest).withColumn("depth1", F.col("depth"))
+    else:
+        pairs = _near(left, right, km, deepest)
+    return _measured(pairs, flat).where(F.col("distance") <= km).select("a_id", "b_id", "distance")
 
-def nearest(a: DataFrame, b: DataFrame, k: int, start_km: float, most_km: float = 20100.0) -> DataFrame:
+
+def neighbours_within(events: DataFrame, km: float) -> DataFrame:
+    """Directed pairs of different events: ref_id, neigh_id, distance. Each pair is measured once and given both ways."""
+    left, right = _with_xyz(events, "1", "a_id"), _with_xyz(events, "2", "b_id")
+    pairs = _measured(_near(left, right, km, _deepest(events)).where("a_id < b_id"), False).where(F.col("distance") <= km)
+    ways = F.explode(F.array(F.struct(F.col("a_id").alias("ref_id"), F.col("b_id").alias("neigh_id")), F.struct(F.col("b_id").alias("ref_id"), F.col("a_id").alias("neigh_id"))))
+    return pairs.select(ways.alias("way"), "distance").select("way.ref_id", "way.neigh_id", "distance")
+
+
+def nearest(a: DataFrame, b: DataFrame, k: int, start_km: float | None = None) -> DataFrame:
     """The k nearest rows of b for each row of a (fewer if b has fewer): a_id, b_id, distance, rank; ties by b's id.
 
-    The radius grows fourfold for those that have too few within it."""
+    The radius, at first such that some 2 k rows of b lie within it if b were spread evenly over its extent, grows twofold for those
+    that have too few within it; what is asked for is never more than b has, so no round has to look all round the earth for rows
+    that aren't there."""
+    size = b.agg(F.count("*"), F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude"), F.avg("latitude")).first()
+    if not size[0]:
+        return radius_pairs(a, b, 1.0).withColumn("rank", F.lit(1))
+    least = min(k, size[0])
+    if start_km is None:
+        area = max(1.0, (size[2] - size[1]) * (size[4] - size[3]) * math.cos(math.radians(size[5]))) * geo.FLAT_KM**2
+        start_km = max(1.0, math.sqrt(2 * least * area / size[0] / math.pi))
     w = Window.partitionBy("a_id").orderBy("distance", "b_id")
-    found, left, km = None, a, start_km
+    found, left, km, most_km = None, a, start_km, math.pi * geo.EARTH_KM + 2 * _deepest(a, b) + 100.0
     while True:
-        pairs = settled(radius_pairs(left, b, km).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        full = pairs.where(F.col("rank") == k).select(F.col("a_id").alias("id")) if km < most_km else left.select("id")
+        pairs = settled(radius_pairs(left, b, min(km, most_km)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= least))
+        full = pairs.where(F.col("rank") == least).select(F.col("a_id").alias("id"))
         done = pairs.join(full.withColumnRenamed("id", "a_id"), "a_id", "left_semi")
         found = done if found is None else found.unionByName(done)
-        if km >= most_km:
-            return found
         left = settled(left.join(full, "id", "left_anti"))
-        if left.isEmpty():
+        if km >= most_km or left.isEmpty():
             return found
-        km = min(4 * km, most_km)
+        km *= 2

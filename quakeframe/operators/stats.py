@@ -49,15 +49,26 @@ def event_rms(residuals: DataFrame) -> DataFrame:
     return residuals.groupBy("event_id").agg(F.count("*").alias("n"), F.sqrt(F.try_divide(F.sum(wr * wr), F.sum(w2))).alias("rms"))
 
 
+def five_numbers_of_few(df: DataFrame, key: str, value: str) -> DataFrame:
+    """As ``five_numbers`` for one key of few values with very many rows each: places in a group follow from global ranks and the
+    groups' sizes, so a group is shared out over tasks."""
+    rows = ranked(df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v")), [key, "_v"])
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), (F.min("_rank")).alias("_first"))  # a row for each group
+    at = {"q1": F.expr("n div 4"), "q2": F.expr("n div 2"), "q3": F.expr("n div 4 + n div 2")}
+    place = F.col("_rank") - F.col("_first")
+    picked = [F.max(F.when(place == i, F.col("_v"))).alias(q) for q, i in at.items()]
+    return rows.join(F.broadcast(sizes), key).groupBy(key, "n").agg(F.min("_v").alias("min"), *picked, F.max("_v").alias("max"))
+
+
 def binned_residuals(df: DataFrame, distance: str, value: str, bins: int = 20, order: list[str] | None = None) -> DataFrame:
     """Quartiles of a value in ``bins`` parts of near equal size, by distance.
 
     Global ranks come from a range partitioning: counts of the partitions are summed and added, so no task sees all rows."""
     rows = ranked(df, [distance, *(order or [])])
     size = F.expr(f"_total div {bins} + 1")
-    rows = rows.withColumn("bin", ((F.col("_rank") - 1) / size).cast("bigint"))
+    rows = settled(rows.select(((F.col("_rank") - 1) / size).cast("bigint").alias("bin"), distance, value))
     edges = rows.groupBy("bin").agg(F.min(distance).alias("from"), F.max(distance).alias("to"))
-    return five_numbers(rows, ["bin"], value).join(edges, "bin")
+    return five_numbers_of_few(rows, "bin", value).join(edges, "bin")
 
 
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
@@ -71,9 +82,21 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     return parts.join(F.broadcast(sizes), "_part").withColumn("_rank", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
+def quantiles(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
+    """(k, value): the linear quantile for each fraction, from global ranks; NULL values are left out."""
+    rows = ranked(df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")), ["_v"])
+    wanted = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(f) * (F.col("_total") - 1)).alias("at")) for k, f in enumerate(fractions)))
+    place = F.col("_rank") - 1
+    near = F.filter(wanted, lambda w: (place == F.floor(w["at"])) | (place == F.floor(w["at"]) + 1))
+    rows = rows.select("_v", place.alias("place"), F.explode(near).alias("w"))  # two rows at most for each fraction
+    share = F.col("w.at") - F.floor("w.at")
+    part = F.when(F.col("place") == F.floor("w.at"), 1.0 - share).otherwise(share)
+    return rows.groupBy(F.col("w.k").alias("k")).agg(F.sum(part * F.col("_v")).alias(value))
+
+
 def equal_frequency(df: DataFrame, value: str, bins: int) -> DataFrame:
     """df with ``bin``: the quantile interval (linear quantiles, equal edges merged) that holds a value."""
-    cuts = df.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins))))).alias("_cuts"))
+    cuts = quantiles(df, value, [i / bins for i in range(1, bins)]).agg(F.array_sort(F.collect_set(value)).alias("_cuts"))
     return df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")  # one row
 
 

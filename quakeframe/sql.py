@@ -96,7 +96,7 @@ add("region_circle", f"{BASE} SELECT id FROM ev WHERE {km('latitude', 'longitude
 add("origin_filters", f"{BASE} SELECT author, mode, count(*) AS n, CAST(sum(seq) AS BIGINT) AS ids FROM o WHERE author IN ('click', 'view', 'error') AND agency NOT IN (3, 5) GROUP BY 1, 2")
 add("iso_time", f"{BASE}, x AS (SELECT id, t_us + (id % 5) * 123456 AS t FROM ev), y AS (SELECT id, t, regexp_replace(strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S.%f'), '0+$', '') AS s FROM x) SELECT id, CASE WHEN s LIKE '%.' THEN s || '0000Z' ELSE s || 'Z' END AS iso, t AS back FROM y")
 add("time_windows", f"{BASE}, w AS (SELECT id, t_us AS a, t_us + 60000000 AS b, t_us + (id % 9) * 10000000 AS c, t_us + (id % 9) * 10000000 + 20000000 AS d FROM ev) SELECT id, CASE WHEN greatest(a, c) < least(b, d) THEN greatest(a, c) END AS start, CASE WHEN greatest(a, c) < least(b, d) THEN least(b, d) END AS \"end\", greatest(b, d) - least(a, c) AS \"both\", CAST(a <= d AND d <= b AS INT) AS inside FROM w")
-add("azimuth", f"{BASE} SELECT e.id, s.id AS station_id, round({wrap('degrees(' + az('e.latitude', 'e.longitude', 's.latitude', 's.longitude') + ')')}, 6) AS azimuth, round({km('e.latitude', 'e.longitude', 's.latitude', 's.longitude', 'e.depth')}, 6) AS km FROM ev e, st s WHERE e.id < 200 AND s.number < 20")
+add("azimuth", f"{BASE} SELECT e.id, s.id AS station_id, round({wrap('degrees(' + az('e.latitude', 'e.longitude', 's.latitude', 's.longitude') + ')')}, 6) AS azimuth, round({km('e.latitude', 'e.longitude', 's.latitude', 's.longitude', 'e.depth')}, 6) AS km FROM (SELECT DISTINCT event_id, station_id FROM ph) p JOIN ev e ON e.id = p.event_id JOIN st s ON s.id = p.station_id")
 add("direct_geodesic", f"{BASE}, x AS (SELECT id, latitude, longitude, CAST(id % 50 AS DOUBLE) / ({R} - depth) AS d, radians(CAST(id % 360 AS DOUBLE)) AS a, radians(latitude) AS f, id % 50 = 0 AS still FROM ev), y AS (SELECT *, asin(sin(f) * cos(d) + cos(f) * sin(d) * cos(a)) AS s FROM x) SELECT id, round(CASE WHEN still THEN latitude ELSE degrees(s) END, 6) AS lat, round(CASE WHEN still THEN longitude ELSE {wrap_lon('degrees(radians(longitude) + atan2(sin(a) * sin(d) * cos(f), cos(d) - sin(f) * sin(s)))')} END, 6) AS lon FROM y")
 _V = ", ".join(f"CAST(id * {k + 11} % 101 AS DOUBLE) AS v{k}" for k in range(8))
 _bi = lambda f, a, b, c, d: f"(({f}({a}) * (1 - y) + {f}({b}) * y) * (1 - x) + ({f}({c}) * (1 - y) + {f}({d}) * y) * x)"
@@ -110,17 +110,23 @@ add("catalog_compare", f"{BASE}, m AS (SELECT a.id, b.id AS b_id, b.t_us - a.t_u
 XC = "xc AS (SELECT seq, seq * 7 % 50 AS ev1, seq * 13 % 50 + 50 * (seq % 2) AS ev2, 'S' || (seq % 4) AS station_id, CASE WHEN seq % 3 = 0 THEN 'S' ELSE 'P' END AS type, seq % 5 <> 0 AS valid, CAST(seq % 199 - 99 AS DOUBLE) / 99e0 AS coefficient, CAST(seq % 21 - 10 AS DOUBLE) / 100e0 AS lag FROM o WHERE seq * 7 % 50 <> seq * 13 % 50 + 50 * (seq % 2))"
 add("xcorr_symmetric_lookup", f"{BASE}, {XC}, c AS (SELECT least(ev1, ev2) AS lo, greatest(ev1, ev2) AS hi, station_id, type, valid, coefficient, CASE WHEN ev1 > ev2 THEN -lag ELSE lag END AS lag FROM xc QUALIFY row_number() OVER (PARTITION BY least(ev1, ev2), greatest(ev1, ev2), station_id, type ORDER BY seq DESC) = 1), e AS (SELECT DISTINCT ev2 AS ref_id, ev1 AS neigh_id, station_id, type FROM xc) SELECT ref_id, neigh_id, e.station_id, e.type, CAST(valid AS INT) AS valid, round(coefficient, 6) + 0e0 AS coefficient, round(CASE WHEN ref_id > neigh_id THEN -lag ELSE lag END, 6) + 0e0 AS lag FROM e JOIN c ON c.lo = least(ref_id, neigh_id) AND c.hi = greatest(ref_id, neigh_id) AND c.station_id = e.station_id AND c.type = e.type")
 add("sensor_validity_join", f"{BASE}, s AS (SELECT id, k, 1577836800000000 + k * 30000000000 AS a, CASE WHEN k < 3 THEN 1577836800000000 + (k + 1) * 30000000000 + 1000 END AS b FROM st, (SELECT unnest([0, 1, 3]) AS k)), m AS (SELECT p.*, (SELECT arg_max(k, a) FROM s WHERE s.id = p.station_id AND p.t_us >= a AND (b IS NULL OR p.t_us < b)) AS epoch FROM ph p) SELECT station_id, epoch, count(*) AS n, max(t_us) AS last_us FROM m GROUP BY 1, 2")
-add("request_coalesce", f"{BASE}, q AS (SELECT station_id, t_us - 20000000 AS a, t_us + 25000000 AS b FROM ph), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY station_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2000000 THEN 0 ELSE 1 END AS fresh FROM q), g AS (SELECT *, sum(fresh) OVER (PARTITION BY station_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT station_id, min(a) AS start_us, max(b) AS end_us, count(*) AS n FROM g GROUP BY station_id, k")
-add("containing_trace", f"{BASE}, t AS (SELECT station_id, t_us - 60000000 AS a, t_us + 90000000 AS b, event_id AS k FROM ph WHERE event_id % 2 = 0), q AS (SELECT DISTINCT station_id, t_us - 10000000 AS x, t_us + 10000000 AS y FROM ph), m AS (SELECT q.station_id, k FROM q JOIN t ON t.station_id = q.station_id AND a <= x AND b >= y QUALIFY row_number() OVER (PARTITION BY q.station_id, x, y ORDER BY a, k) = 1) SELECT station_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM m GROUP BY 1")
+add("request_coalesce", f"{BASE}, q AS (SELECT station_id, t_us - 20000000 AS a, t_us + 25000000 AS b, count(*) AS c FROM ph GROUP BY 1, 2, 3), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY station_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2000000 THEN 0 ELSE 1 END AS fresh FROM q), g AS (SELECT *, sum(fresh) OVER (PARTITION BY station_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT station_id, min(a) AS start_us, max(b) AS end_us, CAST(sum(c) AS BIGINT) AS n FROM g GROUP BY station_id, k")
+add("containing_trace", f"{BASE}, t AS (SELECT station_id, t_us - 60000000 AS a, t_us + 90000000 AS b, event_id AS k FROM ph), q AS (SELECT DISTINCT station_id, t_us - 10000000 AS x, t_us + 10000000 AS y FROM ph), m AS (SELECT q.station_id, k FROM q JOIN t ON t.station_id = q.station_id AND a <= x AND b >= y QUALIFY row_number() OVER (PARTITION BY q.station_id, x, y ORDER BY a, k) = 1) SELECT station_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM m GROUP BY 1")
 add("common_phases", f"{BASE}, {ELIGIBLE} SELECT ref_id, neigh_id, count(*) AS n, round(sum(km), 6) AS km FROM elig GROUP BY 1, 2")
 add("neigh_peel", f"{BASE}, {PEEL} SELECT ref_id, count(*) AS n FROM peel{ROUNDS} GROUP BY 1")
 add("neigh_nearest", f"{BASE}, {CHOSEN} SELECT c.ref_id, c.neigh_id, count(*) AS n, round(any_value(c.distance), 6) AS distance FROM chosen c JOIN elig e ON e.ref_id = c.ref_id AND e.neigh_id = c.neigh_id GROUP BY 1, 2")
-_SIZES = [5.0 / 2 ** (3 - k) for k in range(4)]
+_SIZES = [5.0 / 2 ** (2 - k) for k in range(3)]
 _SHELL = " ".join(f"WHEN pow(h / {s}e0, 2) + pow(dz / {2 * s}e0, 2) <= 1 THEN {k}" for k, s in enumerate(_SIZES))
 _QUAD = "CASE WHEN n AND e THEN 1 WHEN NOT n AND e THEN 2 WHEN NOT n THEN 3 ELSE 4 END"
 add("neigh_ellipsoid", f"""{BASE}, {pairs(10)}, g AS (SELECT p.*, {km("a.latitude", "a.longitude", "b.latitude", "b.longitude", "a.depth")} AS h, b.depth - a.depth AS dz, b.latitude >= a.latitude AS n, b.longitude >= a.longitude AS e FROM pairs p JOIN ev a ON a.id = p.ref_id JOIN ev b ON b.id = p.neigh_id),
 s AS (SELECT *, CASE {_SHELL} END AS shell, {_QUAD} + CASE WHEN dz >= 0 THEN 0 ELSE 4 END AS octant FROM g), t AS (SELECT *, row_number() OVER (PARTITION BY ref_id, shell, octant ORDER BY distance, neigh_id) AS turn FROM s WHERE shell IS NOT NULL)
 SELECT ref_id, neigh_id, CAST(shell AS BIGINT) AS shell, CAST(octant AS BIGINT) AS octant FROM t QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY turn, shell, octant) <= 8""")
+_IN = "pow({} / 5e0, 2) + pow((b.depth - a.depth) / 10e0, 2) <= 1".format(km("a.latitude", "a.longitude", "b.latitude", "b.longitude", "a.depth"))
+_WIDE = PEEL.replace(pairs(5), pairs(10).replace("a.id <> b.id", f"a.id <> b.id AND {_IN}"))
+add("neigh_shells", f"""{BASE}, {_WIDE}, g AS (SELECT p.*, {km("a.latitude", "a.longitude", "b.latitude", "b.longitude", "a.depth")} AS h, b.depth - a.depth AS dz, b.latitude >= a.latitude AS n, b.longitude >= a.longitude AS e FROM peel{ROUNDS} p JOIN ev a ON a.id = p.ref_id JOIN ev b ON b.id = p.neigh_id),
+s AS (SELECT *, CASE {_SHELL} END AS shell, {_QUAD} + CASE WHEN dz >= 0 THEN 0 ELSE 4 END AS octant FROM g), t AS (SELECT *, row_number() OVER (PARTITION BY ref_id, shell, octant ORDER BY distance, neigh_id) AS turn FROM s WHERE shell IS NOT NULL),
+c AS (SELECT ref_id, neigh_id FROM t QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY turn, shell, octant) <= 8)
+SELECT e.ref_id, e.neigh_id, count(*) AS n FROM elig e JOIN c ON c.ref_id = e.ref_id AND c.neigh_id = e.neigh_id GROUP BY 1, 2""")
 add("clusters", f"{BASE}, {CHOSEN}, link AS MATERIALIZED (SELECT ref_id AS a, neigh_id AS b FROM chosen UNION SELECT neigh_id, ref_id FROM chosen), reach AS (SELECT a AS id, a AS c FROM link UNION SELECT l.b, r.c FROM reach r JOIN link l ON l.a = r.id) SELECT id, min(c) AS cluster_id FROM reach GROUP BY 1")
 add("pair_orientation", f"{BASE}, {pairs(5)}, chosen AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY distance, neigh_id) <= 6), {ORIENTED} SELECT ref_id, neigh_id FROM oriented")
 add("event_rms", f"{BASE}, {TIMED} SELECT event_id, count(*) AS n, round(sqrt(sum(pow(residual * class_weight, 2)) / sum(pow(class_weight, 2))), 6) AS rms FROM timed GROUP BY 1")

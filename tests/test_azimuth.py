@@ -9,14 +9,14 @@ from quakeframe.sources import lens
 SF = "/root/testdata/sf0.01"
 
 
-def test_azimuth_of_all_events_and_stations(spark):
+def test_azimuth_of_all_events_and_their_stations(spark):
     c = duckdb.connect()
-    for t in ("customer", "supplier"):
+    for t in ("customer", "supplier", "orders", "lineitem"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     # haversine and bearing, written out here; km at the event's depth
     want = c.execute(
         lens.sql_for(f"""
-        WITH p AS (SELECT e.id, s.id AS station_id, radians(e.latitude) AS a, radians(s.latitude) AS b, radians(s.longitude - e.longitude) AS l, e.depth FROM ({lens.EVENT}) e, ({lens.STATION}) s)
+        WITH p AS (SELECT e.id, s.id AS station_id, radians(e.latitude) AS a, radians(s.latitude) AS b, radians(s.longitude - e.longitude) AS l, e.depth FROM (SELECT DISTINCT event_id, station_id FROM ({lens.PHASE})) p JOIN ({lens.EVENT}) e ON e.id = p.event_id JOIN ({lens.STATION}) s ON s.id = p.station_id)
         SELECT id, station_id, degrees(atan2(sin(l) * cos(b), cos(a) * sin(b) - sin(a) * cos(b) * cos(l))),
           2 * asin(sqrt(pow(sin((b - a) / 2), 2) + cos(a) * cos(b) * pow(sin(l / 2), 2))) * (6371.00877141506 - depth)
         FROM p ORDER BY 1, 2""")
