@@ -145,3 +145,23 @@ def clusters(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     named = components(nodes, pairs)
     return named, oriented(edges).join(named.withColumnRenamed("id", "ref_id"), "ref_id")
+
+
+def to_catalog(edges: DataFrame, cat: Catalog, with_reference: bool = True) -> Catalog:
+    """The neighbours of a reference's edges, and itself if asked for, with their phases and the stations of those."""
+    from .catalog import extract_events
+
+    ids = edges.select(F.col("neigh_id").alias("id"))
+    if with_reference:
+        ids = ids.union(edges.select("ref_id"))
+    return extract_events(cat, ids.distinct())
+
+
+def in_order(edges: DataFrame) -> DataFrame:
+    """Edges with ``place``: their order by station, phase and neighbour within each reference."""
+    return edges.withColumn("place", F.row_number().over(Window.partitionBy("ref_id").orderBy("station_id", "type", "neigh_id")))
+
+
+def in_chunks(edges: DataFrame, n: int) -> DataFrame:
+    """Edges with ``chunk``: 0 to n - 1, of near equal size, by distance within each reference."""
+    return edges.withColumn("chunk", F.ntile(n).over(Window.partitionBy("ref_id").orderBy("distance", "neigh_id", "station_id", "type")) - 1)

@@ -96,3 +96,11 @@ def nearest(a: DataFrame, b: DataFrame, k: int, start_km: float | None = None) -
         if km >= most_km or left.isEmpty():
             return found
         km *= 2
+
+
+def nearest_grid(stations: DataFrame, grids: DataFrame, within_m: float) -> DataFrame:
+    """(station_id, grid_id, distance) of the grid whose source lies nearest to a station, if it is within some metres. A grid is
+    looked for no farther away than that, so stations without one cost no wider search."""
+    w = Window.partitionBy("a_id").orderBy("distance", "b_id")
+    pairs = radius_pairs(stations, grids, within_m / 1000.0).withColumn("_k", F.row_number().over(w)).where("_k = 1")
+    return pairs.select(F.col("a_id").alias("station_id"), F.col("b_id").alias("grid_id"), "distance")

@@ -1,6 +1,7 @@
 """Travel times: straight rays in a homogeneous medium, and tables over distance and depth.
 
-A travel time spec is a function of columns, so that a relocation may take either."""
+A travel time spec here is a function of columns; the relocation, which works on arrays inside tasks, takes ``relocate.straight_rays`` or
+``relocate.table_times``."""
 
 from __future__ import annotations
 
@@ -54,24 +55,25 @@ def with_travel_times(picks: DataFrame, events: DataFrame, stations: DataFrame,
 def from_table(picks: DataFrame, table: DataFrame, distance: str, depth: str, group: str = "group") -> DataFrame:
     """picks with travel_time interpolated in a table (group, distance_km, depth_km, travel_time) that is a regular grid.
 
-    Picks meet the four corners of their cell by an equality join on grid numbers; what lies outside the grid gets NULL."""
+    Picks meet their cell, with its four corners, by an equality join on grid numbers; what lies outside the grid gets NULL."""
     steps = table.groupBy(group).agg(
         F.min("distance_km").alias("x0"), F.min("depth_km").alias("z0"), F.max("distance_km").alias("x1"), F.max("depth_km").alias("z1"),
         F.count_distinct("distance_km").alias("nx"), F.count_distinct("depth_km").alias("nz"),
     ).withColumns({"sx": (F.col("x1") - F.col("x0")) / (F.col("nx") - 1), "sz": (F.col("z1") - F.col("z0")) / (F.col("nz") - 1)})
-    rows = picks.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(steps), group)  # a row for each phase group
+    rows = picks.join(F.broadcast(steps), group)  # a row for each phase group
     inside = F.col(distance).between(F.col("x0"), F.col("x1")) & F.col(depth).between(F.col("z0"), F.col("z1"))
     fx, fz = (F.col(distance) - F.col("x0")) / F.col("sx"), (F.col(depth) - F.col("z0")) / F.col("sz")
     # the last grid line belongs to the cell before it
     rows = rows.withColumns({"_i": F.least(F.floor(fx), F.col("nx") - 2), "_k": F.least(F.floor(fz), F.col("nz") - 2)}).withColumns({"_fx": fx - F.col("_i"), "_fz": fz - F.col("_k"), "_in": inside})
-    corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
-    asked = rows.withColumn("_c", corner).withColumns({"_gi": F.col("_i") + F.col("_c.a"), "_gk": F.col("_k") + F.col("_c.b")})
     grid = table.join(F.broadcast(steps), group).select(
         group, F.round((F.col("distance_km") - F.col("x0")) / F.col("sx")).cast("bigint").alias("_gi"), F.round((F.col("depth_km") - F.col("z0")) / F.col("sz")).cast("bigint").alias("_gk"), F.col("travel_time").alias("_tt")
     )
-    share = F.when(F.col("_c.a") == 1, F.col("_fx")).otherwise(1 - F.col("_fx")) * F.when(F.col("_c.b") == 1, F.col("_fz")).otherwise(1 - F.col("_fz"))
-    found = asked.join(grid, [group, "_gi", "_gk"], "left").groupBy("_row", *picks.columns).agg(F.when(F.first("_in") & (F.count("_tt") == 4), F.sum(share * F.col("_tt"))).alias("travel_time"))
-    return found.drop("_row")
+    # cells of the grid with their corners, so that a pick meets one row
+    corners = [(a, b) for a in (0, 1) for b in (0, 1)]
+    of = F.explode(F.array(*(F.struct((F.col("_gi") - a).alias("_i"), (F.col("_gk") - b).alias("_k"), F.lit(2 * a + b).alias("c")) for a, b in corners)))
+    cells = grid.withColumn("_of", of).groupBy(group, "_of._i", "_of._k").agg(*[F.max(F.when(F.col("_of.c") == k, F.col("_tt"))).alias(f"_c{k}") for k in range(4)])
+    found = rows.join(cells, [group, "_i", "_k"], "left")
+    return found.withColumn("travel_time", F.when(F.col("_in"), geo.bilinear(F.col("_fx"), F.col("_fz"), *[F.col(f"_c{k}") for k in range(4)]))).select(*picks.columns, "travel_time")
 
 
 def first_arrival(times: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,24 +1,41 @@
 """Relocation of catalogs and of single events by double differences.
 
 Neighbours, clusters, weights and the table of observations are DataFrames; then each cluster, which is independent of the others, is
-one group of ``applyInPandas`` in which the weighted system is built and solved again and again with numpy."""
+one group of ``applyInPandas`` in which the weighted system is built and solved again and again with numpy. Clusters with more
+observations than ``Options.most_rows`` aren't: their vectors and matrices stay tables, and each iteration is a number of joins and sums.
+
+Travel times come from a spec, ``Options.times``: straight rays, a table, or any function of numpy arrays of the same form. Where it has none
+(NaN), a phase isn't used; an event that loses them by a move goes back to where it was."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.weights import MAD_SCALE, schedule
-from ..operators.neighbours import Selection, clusters, select_neighbours
+from ..operators.graph import settled
+from ..operators.joins import lookup_xcorr
+from ..operators.neighbours import Selection, by_shells, clusters, eligible_edges, nearest_first, select_neighbours
+from ..operators.stats import quantiles
+from ..operators.xcorr import XcorrOptions, correlate_edges
 from ..schema import Catalog
-from .solver import lsmr, lsqr
+from .solver import CONDITION, lsmr, lsqr, solve_distributed
 
 EARTH_KM = 6371.00877141506
-RESULT = "event_id bigint, cluster_id bigint, latitude double, longitude double, depth double, t_us bigint, start_rms double, final_rms double, n_obs bigint, moved boolean"
+RESULT = "event_id bigint, cluster_id bigint, latitude double, longitude double, depth double, t_us bigint, start_rms double, final_rms double, n_obs bigint, moved boolean, stopped string"
+#: Of each event and phase: residuals before and after, mean weight and number of the observations that use it.
+PHASES = "event_id bigint, cluster_id bigint, station_id string, type string, start_residual double, final_residual double, weight double, n_obs bigint, used boolean"
+#: Of each observation, as the last iteration has it.
+DIFFERENCES = "ref_id bigint, neigh_id bigint, cluster_id bigint, station_id string, type string, weight double, xcorr_used boolean, coefficient double, residual double, distance double"
+#: (latitude, longitude, depth of events; latitude, longitude, elevation of stations; phase group) to travel times (s), and their change
+#: per km that an event goes east, north and up.
+Times = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -37,13 +54,19 @@ class Options:
     min_coefficient: float = 0.5
     xcorr_scaler: float = 2.0
     selection: Selection = field(default_factory=Selection)
+    times: Times | None = None
+    most_rows: int = 2_000_000
+
+    @property
+    def travel_times(self) -> Times:
+        return self.times or straight_rays(self.p_km_s, self.s_km_s)
 
 
 def observations(cat: Catalog, edges: DataFrame, picks: DataFrame, xcorr: DataFrame | None = None) -> DataFrame:
     """One wide row for each edge, with both events, both picks and the station: all that a cluster's solution needs."""
     ev = cat.events.select("id", "latitude", "longitude", "depth", "t_us")
     pk = picks.where("group in ('P', 'S')").select("event_id", "station_id", "type", "group", F.col("t_us").alias("pick_us"), "class_weight")
-    pk = pk.dropDuplicates(["event_id", "station_id", "type"])
+    pk = pk.groupBy("event_id", "station_id", "type").agg(F.min(F.struct("pick_us", "group", "class_weight")).alias("_p")).select("event_id", "station_id", "type", "_p.*")  # the first of several
     rows = edges.select("cluster_id", "ref_id", "neigh_id", "type", "station_id")
     for k, name in ((1, "ref_id"), (2, "neigh_id")):
         side = pk.join(ev.withColumnRenamed("id", "event_id"), "event_id")
@@ -53,8 +76,8 @@ def observations(cat: Catalog, edges: DataFrame, picks: DataFrame, xcorr: DataFr
     rows = rows.join(st, "station_id").where("pick_us1 >= t_us1 and pick_us2 >= t_us2")
     if xcorr is None:
         return rows.withColumns({"coefficient": F.lit(None).cast("double"), "lag": F.lit(None).cast("double")})
-    found = xcorr.where("valid").select("ref_id", "neigh_id", "type", "station_id", "coefficient", "lag")
-    return rows.join(found, ["ref_id", "neigh_id", "type", "station_id"], "left")
+    found = lookup_xcorr(rows, xcorr) if "ev1" in xcorr.columns else rows.join(xcorr.select("ref_id", "neigh_id", "type", "station_id", "valid", "coefficient", "lag"), ["ref_id", "neigh_id", "type", "station_id"], "left")
+    return found.withColumns({c: F.when(F.col("valid"), F.col(c)) for c in ("coefficient", "lag")}).drop("valid")
 
 
 def _ray(lat: np.ndarray, lon: np.ndarray, depth: np.ndarray, st: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +91,41 @@ def _ray(lat: np.ndarray, lon: np.ndarray, depth: np.ndarray, st: np.ndarray, v:
     return np.hypot(along, up) / v, np.stack([-np.sin(az) * np.cos(dip) / v, -np.cos(az) * np.cos(dip) / v, -np.sin(dip) / v], 1)
 
 
+def straight_rays(p_km_s: float, s_km_s: float) -> Times:
+    def times(lat, lon, depth, station, group):
+        return _ray(lat, lon, depth, station, np.where(group == "P", p_km_s, s_km_s))
+
+    return times
+
+
+def table_times(table: pd.DataFrame) -> Times:
+    """Times from a table (group, distance_km, depth_km, travel_time) that is a regular grid for each group; the distance is that on the surface.
+    Outside the grid there are none. The table is a parameter of the job, as velocities are, and goes to each task."""
+    grids = {}
+    for group, own in table.groupby("group"):
+        grid = own.pivot(index="distance_km", columns="depth_km", values="travel_time").sort_index().sort_index(axis=1)
+        grids[group] = (grid.index.to_numpy(float), grid.columns.to_numpy(float), grid.to_numpy(float))
+
+    def times(lat, lon, depth, station, group):
+        f1, f2, dl = np.radians(lat), np.radians(station[:, 0]), np.radians(station[:, 1] - lon)
+        a = np.sin((f2 - f1) / 2) ** 2 + np.cos(f1) * np.cos(f2) * np.sin(dl / 2) ** 2
+        far = 2 * np.arcsin(np.sqrt(np.clip(a, 0, 1))) * EARTH_KM
+        az = np.arctan2(np.sin(dl) * np.cos(f2), np.cos(f1) * np.sin(f2) - np.sin(f1) * np.cos(f2) * np.cos(dl))
+        tt, across, down = np.full((3, len(lat)), np.nan)
+        for name, (xs, zs, grid) in grids.items():
+            at = np.flatnonzero((group == name) & (far >= xs[0]) & (far <= xs[-1]) & (depth >= zs[0]) & (depth <= zs[-1]))
+            i, k = (np.clip(np.searchsorted(line, v[at], "right") - 1, 0, len(line) - 2) for line, v in ((xs, far), (zs, depth)))
+            dx, dz = xs[i + 1] - xs[i], zs[k + 1] - zs[k]
+            x, z = (far[at] - xs[i]) / dx, (depth[at] - zs[k]) / dz
+            c00, c01, c10, c11 = grid[i, k], grid[i, k + 1], grid[i + 1, k], grid[i + 1, k + 1]
+            tt[at] = (c00 * (1 - z) + c01 * z) * (1 - x) + (c10 * (1 - z) + c11 * z) * x
+            across[at] = ((c10 - c00) * (1 - z) + (c11 - c01) * z) / dx
+            down[at] = ((c01 - c00) * (1 - x) + (c11 - c10) * x) / dz
+        return tt, np.stack([-np.sin(az) * across, -np.cos(az) * across, -down], 1)
+
+    return times
+
+
 def _moved(lat: np.ndarray, lon: np.ndarray, depth: np.ndarray, east: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d, az, f = np.hypot(east, north) / (EARTH_KM - depth), np.arctan2(east, north), np.radians(lat)
     to = np.arcsin(np.sin(f) * np.cos(d) + np.cos(f) * np.sin(d) * np.cos(az))
@@ -75,110 +133,276 @@ def _moved(lat: np.ndarray, lon: np.ndarray, depth: np.ndarray, east: np.ndarray
     return np.degrees(to), (lon + np.degrees(turn) + 180) % 360 - 180
 
 
-def solve_cluster(obs: pd.DataFrame, o: Options, free: bool = True) -> pd.DataFrame:
-    """The events of one cluster's observations, relocated; with ``free`` off, only those that are a reference move."""
-    cluster = obs.cluster_id.iloc[0]
-    ids = np.unique(np.concatenate([obs.ref_id, obs.neigh_id]))
-    ref, neigh = np.searchsorted(ids, obs.ref_id), np.searchsorted(ids, obs.neigh_id)
-    where = np.zeros((len(ids), 4))
-    origin = np.zeros(len(ids), np.int64)
-    for k, at in ((1, ref), (2, neigh)):
-        where[at, :3] = obs[[f"latitude{k}", f"longitude{k}", f"depth{k}"]].to_numpy()
-        origin[at] = obs[f"t_us{k}"].to_numpy()
-    moving = np.ones(len(ids), bool) if free else np.isin(np.arange(len(ids)), ref)
-    # distinct picks of events, from both ends
-    names = pd.factorize(pd.concat([obs.station_id + "/" + obs.type] * 2, ignore_index=True))[0]
-    owner = np.concatenate([ref, neigh])
-    key, first, pick = np.unique(owner * (names.max() + 1) + names, return_index=True, return_inverse=True)
-    both = pd.concat([obs, obs], ignore_index=True)
-    observed = np.concatenate([obs.pick_us1 - obs.t_us1, obs.pick_us2 - obs.t_us2])[first] / 1e6
-    quality = np.concatenate([obs.class_weight1, obs.class_weight2]).astype(float)
-    station = both[["st_lat", "st_lon", "elevation"]].to_numpy()[first]
-    v = np.where(both.group.to_numpy()[first] == "P", o.p_km_s, o.s_km_s)
-    owner, p_quality = owner[first], quality[first] if o.pick_weights else np.ones(len(first))
-    one, two = pick[: len(obs)], pick[len(obs) :]
-    weight = (quality[: len(obs)] + quality[len(obs) :]) / 2 if o.pick_weights else np.ones(len(obs))
-    coefficient, lag = np.abs(obs.coefficient.to_numpy(float)), np.nan_to_num(obs.lag.to_numpy(float))
-    used = np.nan_to_num(coefficient) >= o.min_coefficient
-    weight = np.where(used, weight * (1 + (o.xcorr_scaler - 1) * np.nan_to_num(coefficient)), weight)
-    lag = np.where(used, lag, 0.0)
-
-    def rms(residual: np.ndarray) -> np.ndarray:
-        above, below = np.bincount(owner, (residual * p_quality) ** 2, len(ids)), np.bincount(owner, p_quality**2, len(ids))
-        return np.sqrt(np.divide(above, below, out=np.full(len(ids), np.nan), where=below > 0))
-
-    start = None
-    for i in range(o.iterations + 1):
-        tt, slope = _ray(where[owner, 0], where[owner, 1], where[owner, 2], station, v)
-        residual = observed - where[owner, 3] - tt
-        now = rms(residual)
-        start = now if start is None else start
-        if i == o.iterations:
+class Cluster:
+    """One cluster's observations as arrays: events, their distinct picks, and pairs of picks."""
+
+    def __init__(self, obs: pd.DataFrame, o: Options, free: bool):
+        obs = obs.sort_values(["ref_id", "neigh_id", "station_id", "type"], ignore_index=True)
+        self.obs, self.id = obs, obs.cluster_id.iloc[0]
+        self.events = np.unique(np.concatenate([obs.ref_id, obs.neigh_id]))
+        self.ref, self.neigh = np.searchsorted(self.events, obs.ref_id), np.searchsorted(self.events, obs.neigh_id)
+        #: latitude, longitude, depth, and time after the first origin time, in s
+        self.where, self.origin = np.zeros((len(self.events), 4)), np.zeros(len(self.events), np.int64)
+        for k, at in ((1, self.ref), (2, self.neigh)):
+            self.where[at, :3] = obs[[f"latitude{k}", f"longitude{k}", f"depth{k}"]].to_numpy()
+            self.origin[at] = obs[f"t_us{k}"].to_numpy()
+        self.moving = np.ones(len(self.events), bool) if free else np.isin(np.arange(len(self.events)), self.ref)
+        names = pd.factorize(pd.concat([obs.station_id + "/" + obs.type] * 2, ignore_index=True))[0]
+        owner = np.concatenate([self.ref, self.neigh])
+        _, first, pick = np.unique(owner * (names.max() + 1) + names, return_index=True, return_inverse=True)
+        both = pd.concat([obs, obs], ignore_index=True)
+        quality = np.concatenate([obs.class_weight1, obs.class_weight2]).astype(float)
+        self.owner, self.one, self.two = owner[first], pick[: len(obs)], pick[len(obs) :]
+        self.observed = np.concatenate([obs.pick_us1 - obs.t_us1, obs.pick_us2 - obs.t_us2])[first] / 1e6
+        self.station, self.group = both[["st_lat", "st_lon", "elevation"]].to_numpy()[first], both.group.to_numpy()[first]
+        self.names = both[["station_id", "type"]].iloc[first]
+        self.quality = quality[first] if o.pick_weights else np.ones(len(first))
+        weight = (quality[: len(obs)] + quality[len(obs) :]) / 2 if o.pick_weights else np.ones(len(obs))
+        coefficient, lag = np.nan_to_num(np.abs(obs.coefficient.to_numpy(float))), np.nan_to_num(obs.lag.to_numpy(float))
+        self.with_lag = coefficient >= o.min_coefficient
+        self.weight = np.where(self.with_lag, weight * (1 + (o.xcorr_scaler - 1) * coefficient), weight)
+        self.lag = np.where(self.with_lag, lag, 0.0)
+
+    def by_event(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, values, len(self.events))
+
+    def by_pick(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([self.one, self.two]), np.tile(values, 2), len(self.owner))
+
+    def timed(self, where: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals of picks, NaN without a travel time, and the travel times' slopes."""
+        at = where[self.owner]
+        tt, slope = o.travel_times(at[:, 0], at[:, 1], at[:, 2], self.station, self.group)
+        return self.observed - at[:, 3] - tt, slope
+
+    def rms(self, residual: np.ndarray) -> np.ndarray:
+        known = np.isfinite(residual)
+        above, below = self.by_event(np.where(known, (np.nan_to_num(residual) * self.quality) ** 2, 0)), self.by_event(np.where(known, self.quality**2, 0))
+        return np.sqrt(np.divide(above, below, out=np.full(len(self.events), np.nan), where=below > 0))
+
+
+def _solved(c: Cluster, o: Options, i: int, residual: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """Step of each event (km east, north, up, and s), which events it is good for, the observations' weights, and why the solver stopped."""
+    d = residual[c.one] - residual[c.two] - c.lag
+    known = np.isfinite(d)
+    w, d = np.where(known, c.weight, 0.0), np.nan_to_num(d)
+    if (alpha := schedule(*o.alpha, i, o.iterations)) > 0 and known.any():
+        mad = np.median(np.abs(d[known] - np.median(d[known])))
+        w = w * (np.maximum(0, 1 - (d * MAD_SCALE / (alpha * mad)) ** 2) ** 2 if mad > 0 else (d == 0))
+    n_used, total = c.by_pick((w > 0).astype(float)), c.by_pick(w)
+    hold = schedule(*o.omega, i, o.iterations) * np.divide(total, n_used, out=np.zeros(len(c.owner)), where=n_used > 0) * c.moving[c.owner]
+    full = np.nan_to_num(np.concatenate([slope, np.ones((len(c.owner), 1))], 1)) * c.moving[c.owner][:, None]
+    col, n = c.owner[:, None] * 4 + np.arange(4), 4 * len(c.events)
+    norm = np.sqrt(sum(np.bincount(col[p].ravel(), (full[p] * x[:, None]).ravel() ** 2, n) for p, x in ((c.one, w), (c.two, w), (np.arange(len(c.owner)), hold))))
+    scale = np.divide(1.0, norm, out=np.ones(n), where=norm > 0)
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        t = (full * (x * scale)[col]).sum(axis=1)
+        return np.concatenate([w * (t[c.one] - t[c.two]), hold * t])
+
+    def transposed(y: np.ndarray) -> np.ndarray:
+        a, b = w * y[: len(w)], hold * y[len(w) :]
+        t = np.bincount(c.one, a, len(c.owner)) - np.bincount(c.two, a, len(c.owner)) + b
+        return np.bincount(col.ravel(), (full * t[:, None]).ravel(), n) * scale
+
+    solve = lsqr if o.solver == "LSQR" else lsmr
+    x, stopped = solve(forward, transposed, np.concatenate([w * d, hold * np.nan_to_num(residual)]), n, schedule(*o.damping, i, o.iterations))
+    step = (x * scale).reshape(-1, 4)
+    used = np.bincount(np.concatenate([c.ref, c.neigh]), np.tile(w > 0, 2), len(c.events)) > 0
+    return step, c.moving & used & np.isfinite(step).all(axis=1), w, stopped
+
+
+def _shifted(where: np.ndarray, step: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    step = np.where(ok[:, None], step, 0.0)
+    lat, lon = _moved(where[:, 0], where[:, 1], where[:, 2], step[:, 0], step[:, 1])
+    new = np.stack([lat, lon, where[:, 2] - step[:, 2], where[:, 3] + step[:, 3]], 1)
+    return np.where((ok & np.isfinite(new).all(axis=1))[:, None], new, where)
+
+
+def solve_cluster(obs: pd.DataFrame, o: Options, free: bool = True, result: str = RESULT) -> pd.DataFrame:
+    """The events of one cluster's observations, relocated; with ``free`` off, only those that are a reference move. ``result``: RESULT, PHASES or
+    DIFFERENCES. A solve whose system is conditioned too badly is rejected, and ends the iterations."""
+    c = Cluster(obs, o, free)
+    where, stopped, w = c.where, "", c.weight
+    residual, slope = c.timed(where, o)
+    first, start = residual, c.rms(residual)
+    for i in range(o.iterations):
+        step, ok, w, stopped = _solved(c, o, i, residual, slope)
+        if stopped == CONDITION:
             break
-        d = residual[one] - residual[two] - lag
-        w = weight
-        if (alpha := schedule(*o.alpha, i, o.iterations)) > 0:
-            mad = np.median(np.abs(d - np.median(d)))
-            w = w * (np.maximum(0, 1 - (d * MAD_SCALE / (alpha * mad)) ** 2) ** 2 if mad > 0 else (d == 0))
-        omega = schedule(*o.omega, i, o.iterations)
-        n_used, total = np.bincount(np.concatenate([one, two]), np.tile(w > 0, 2), len(owner)), np.bincount(np.concatenate([one, two]), np.tile(w, 2), len(owner))
-        hold = omega * np.divide(total, n_used, out=np.zeros(len(owner)), where=n_used > 0) * moving[owner]
-        full = np.concatenate([slope, np.ones((len(owner), 1))], 1) * moving[owner][:, None]
-        col = owner[:, None] * 4 + np.arange(4)
-        n = 4 * len(ids)
-        norm = np.sqrt(sum(np.bincount(col[p].ravel(), (full[p] * x[:, None]).ravel() ** 2, n) for p, x in ((one, w), (two, w), (np.arange(len(owner)), hold))))
-        scale = np.divide(1.0, norm, out=np.ones(n), where=norm > 0)
-
-        def forward(x: np.ndarray, full=full, scale=scale, w=w, hold=hold, col=col) -> np.ndarray:
-            t = (full * (x * scale)[col]).sum(axis=1)
-            return np.concatenate([w * (t[one] - t[two]), hold * t])
-
-        def transposed(y: np.ndarray, full=full, scale=scale, w=w, hold=hold, col=col, n=n) -> np.ndarray:
-            a, b = w * y[: len(w)], hold * y[len(w) :]
-            t = np.bincount(one, a, len(owner)) - np.bincount(two, a, len(owner)) + b
-            return np.bincount(col.ravel(), (full * t[:, None]).ravel(), n) * scale
-
-        solve = lsqr if o.solver == "LSQR" else lsmr
-        x = solve(forward, transposed, np.concatenate([w * d, hold * residual]), n, schedule(*o.damping, i, o.iterations)) * scale
-        step = x.reshape(-1, 4)
-        ok = moving & np.isfinite(step).all(axis=1) & (np.bincount(np.concatenate([ref, neigh]), np.tile(w > 0, 2), len(ids)) > 0)
-        step = np.where(ok[:, None], step, 0.0)
-        lat, lon = _moved(where[:, 0], where[:, 1], where[:, 2], step[:, 0], step[:, 1])
-        new = np.stack([lat, lon, where[:, 2] - step[:, 2], where[:, 3] + step[:, 3]], 1)
-        where = np.where((ok & np.isfinite(new).all(axis=1))[:, None], new, where)
-    n_obs = np.bincount(np.concatenate([ref, neigh]), minlength=len(ids))
+        new = _shifted(where, step, ok)
+        after, slopes = c.timed(new, o)
+        lost = c.by_event((np.isfinite(residual) & ~np.isfinite(after)).astype(float)) > 0
+        if lost.any():  # outside what there are travel times for
+            new = np.where(lost[:, None], where, new)
+            after, slopes = c.timed(new, o)
+        where, residual, slope = new, after, slopes
+    if result == DIFFERENCES:
+        d = residual[c.one] - residual[c.two] - c.lag
+        far = geo_distance(where[c.ref], where[c.neigh])
+        return pd.DataFrame({
+            "ref_id": c.obs.ref_id, "neigh_id": c.obs.neigh_id, "cluster_id": c.id, "station_id": c.obs.station_id, "type": c.obs.type, "weight": w, "xcorr_used": c.with_lag,
+            "coefficient": c.obs.coefficient, "residual": d, "distance": far,
+        })
+    if result == PHASES:
+        n, total = c.by_pick((w > 0).astype(float)), c.by_pick(w)
+        return pd.DataFrame({
+            "event_id": c.events[c.owner], "cluster_id": c.id, "station_id": c.names.station_id.to_numpy(), "type": c.names.type.to_numpy(), "start_residual": first, "final_residual": residual,
+            "weight": np.divide(total, n, out=np.zeros(len(n)), where=n > 0), "n_obs": n.astype(np.int64), "used": n > 0,
+        })
+    n_obs = np.bincount(np.concatenate([c.ref, c.neigh]), minlength=len(c.events))
     return pd.DataFrame({
-        "event_id": ids, "cluster_id": cluster, "latitude": where[:, 0], "longitude": where[:, 1], "depth": where[:, 2],
-        "t_us": origin + np.rint(where[:, 3] * 1e6).astype(np.int64), "start_rms": start, "final_rms": now, "n_obs": n_obs, "moved": moving,
+        "event_id": c.events, "cluster_id": c.id, "latitude": where[:, 0], "longitude": where[:, 1], "depth": where[:, 2],
+        "t_us": c.origin + np.rint(where[:, 3] * 1e6).astype(np.int64), "start_rms": start, "final_rms": c.rms(residual), "n_obs": n_obs, "moved": c.moving, "stopped": stopped,
     })
 
 
-def relocate(obs: DataFrame, o: Options, free: bool = True) -> DataFrame:
-    """Relocated events of ``observations``, cluster by cluster."""
+def geo_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """km between rows of latitude, longitude, depth: along the surface at the mean depth, and across."""
+    f1, f2, dl = np.radians(a[:, 0]), np.radians(b[:, 0]), np.radians(b[:, 1] - a[:, 1])
+    h = np.sin((f2 - f1) / 2) ** 2 + np.cos(f1) * np.cos(f2) * np.sin(dl / 2) ** 2
+    return np.hypot(2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))) * (EARTH_KM - (a[:, 2] + b[:, 2]) / 2), a[:, 2] - b[:, 2])
+
+
+def _timed_rows(picks: DataFrame, state: DataFrame, o: Options) -> DataFrame:
+    """Picks of a large cluster (pick, event_id, observed, ...) with residual, dx, dy, dz where there is a travel time."""
+    rows = picks.join(state, "event_id").select("pick", "event_id", "quality", "moving", "latitude", "longitude", "depth", "st_lat", "st_lon", "elevation", "group", (F.col("observed") - F.col("shift")).alias("left"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            tt, slope = o.travel_times(*(b[c].to_numpy(float) for c in ("latitude", "longitude", "depth")), b[["st_lat", "st_lon", "elevation"]].to_numpy(float), b.group.to_numpy())
+            yield pd.DataFrame({"pick": b["pick"], "event_id": b.event_id, "quality": b.quality, "moving": b.moving, "residual": b.left - tt, "dx": slope[:, 0], "dy": slope[:, 1], "dz": slope[:, 2]})
+
+    return rows.mapInPandas(run, "pick string, event_id bigint, quality double, moving boolean, residual double, dx double, dy double, dz double")
+
+
+def relocate_large(obs: DataFrame, o: Options, free: bool = True) -> DataFrame:
+    """One cluster's events as ``solve_cluster`` gives them, with all vectors and matrices as tables. Each iteration writes its state; of its values only the
+    median deviation and the solver's scalars reach the driver."""
+    obs = settled(obs)
+    key = F.concat_ws("/", "event_id", "station_id", "type")
+    ends = None
+    for k, name in ((1, "ref_id"), (2, "neigh_id")):
+        side = obs.select(F.col(name).alias("event_id"), "cluster_id", "station_id", "type", "group", "st_lat", "st_lon", "elevation", *[F.col(f"{c}{k}").alias(c) for c in ("latitude", "longitude", "depth", "t_us", "pick_us", "class_weight")], F.lit(k == 1 or free).alias("moving"))
+        ends = side if ends is None else ends.unionByName(side)
+    state = ends.groupBy("event_id").agg(*[F.first(c).alias(c) for c in ("cluster_id", "latitude", "longitude", "depth", "t_us")], F.max("moving").alias("moving"), F.count("*").alias("n_obs"))
+    origin = settled(state)
+    weight = F.col("class_weight").cast("double") if o.pick_weights else F.lit(1.0)
+    picks = settled(ends.groupBy("event_id", "station_id", "type").agg(*[F.first(c).alias(c) for c in ("group", "st_lat", "st_lon", "elevation")], F.first((F.col("pick_us") - F.col("t_us")) / 1e6).alias("observed"), F.first(weight).alias("quality")).withColumn("pick", key))
+    coefficient = F.coalesce(F.abs("coefficient"), F.lit(0.0))
+    with_lag = coefficient >= o.min_coefficient
+    mean = (F.col("class_weight1") + F.col("class_weight2")) / 2.0 if o.pick_weights else F.lit(1.0)
+    name = lambda e: F.concat_ws("/", e, "station_id", "type")
+    pairs = settled(obs.select(name("ref_id").alias("one"), name("neigh_id").alias("two"), F.when(with_lag, mean * (1 + (o.xcorr_scaler - 1) * coefficient)).otherwise(mean).alias("weight"), F.when(with_lag, F.col("lag")).otherwise(0.0).alias("lag")))
+    state = origin.select("event_id", "moving", "latitude", "longitude", "depth", F.lit(0.0).alias("shift"))
+    timed = settled(_timed_rows(picks, state, o))
+
+    def rms(timed: DataFrame) -> DataFrame:
+        known = F.when(~F.isnan("residual"), F.col("quality"))
+        return timed.groupBy("event_id").agg(F.sqrt(F.try_divide(F.sum((F.col("residual") * known) ** 2), F.sum(known * known))).alias("rms"))
+
+    start = rms(timed)
+    for i in range(o.iterations):
+        a, b = (timed.select(F.col("pick").alias(n), F.col("residual").alias(f"r_{n}")) for n in ("one", "two"))
+        rows = pairs.join(a, "one").join(b, "two").withColumn("d", F.col("r_one") - F.col("r_two") - F.col("lag")).where(~F.isnan("d"))
+        if (alpha := schedule(*o.alpha, i, o.iterations)) > 0:
+            rows = settled(rows)
+            middle = quantiles(rows, "d", [0.5]).first()
+            mad = quantiles(rows.select(F.abs(F.col("d") - middle[1]).alias("d")), "d", [0.5]).first()[1] if middle else 0.0
+            x = F.col("d") * MAD_SCALE / (alpha * mad) if mad > 0 else None
+            rows = rows.withColumn("weight", F.col("weight") * (F.greatest(F.lit(0.0), 1 - x * x) ** 2 if x is not None else F.when(F.col("d") == 0, 1.0).otherwise(0.0)))
+        rows = settled(rows.where("weight > 0").select(F.concat_ws("|", "one", "two").alias("row"), "one", "two", "d", "weight"))
+        used = rows.select(F.explode(F.array("one", "two")).alias("pick"), "weight").groupBy("pick").agg((schedule(*o.omega, i, o.iterations) * F.avg("weight")).alias("weight"))
+        hold = timed.where("moving").join(used, "pick").where("weight > 0").select(F.col("pick").alias("row"), "pick", F.col("residual").alias("d"), "weight", F.lit(1.0).alias("sign"))
+        sides = [rows.select("row", F.col(n).alias("pick"), "d", "weight", F.lit(s).alias("sign")) for n, s in (("one", 1.0), ("two", -1.0))]
+        terms = sides[0].unionByName(sides[1]).unionByName(hold).join(timed.where("moving").select("pick", "event_id", "dx", "dy", "dz"), "pick")
+        axis = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate((F.col("dx"), F.col("dy"), F.col("dz"), F.lit(1.0))))))
+        matrix = settled(terms.withColumn("a", axis).select("row", (F.col("event_id") * 4 + F.col("a.k")).alias("col"), (F.col("sign") * F.col("weight") * F.col("a.v")).alias("value")))
+        right = rows.select("row", (F.col("d") * F.col("weight")).alias("value")).unionByName(hold.select("row", (F.col("d") * F.col("weight")).alias("value")))
+        scale = settled(matrix.groupBy("col").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).where("norm > 0"))
+        x = solve_distributed(matrix.join(scale, "col").select("row", "col", (F.col("value") / F.col("norm")).alias("value")), right, schedule(*o.damping, i, o.iterations))
+        steps = x.join(scale, "col").select(F.floor(F.col("col") / 4).alias("event_id"), F.pmod("col", F.lit(4)).alias("k"), (F.col("x") / F.col("norm")).alias("x"))
+        steps = steps.groupBy("event_id").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("x"))), F.lit(0.0)).alias(n) for k, n in enumerate(("east", "north", "up", "later"))])
+        moved = state.join(steps, "event_id", "left").fillna(0.0, ["east", "north", "up", "later"])
+        lat, lon = geo.move(F.col("latitude"), F.col("longitude"), F.hypot("east", "north"), F.atan2("east", "north"), F.col("depth"))
+        moved = settled(moved.select("event_id", "moving", lat.alias("latitude"), lon.alias("longitude"), (F.col("depth") - F.col("up")).alias("depth"), (F.col("shift") + F.col("later")).alias("shift")))
+        after = settled(_timed_rows(picks, moved, o))
+        lost = settled(after.where(F.isnan("residual")).select("pick", "event_id").join(timed.where(~F.isnan("residual")).select("pick"), "pick", "left_semi").select("event_id").distinct())
+        if not lost.isEmpty():
+            moved = settled(moved.join(lost, "event_id", "left_anti").unionByName(state.join(lost, "event_id", "left_semi")))
+            after = settled(_timed_rows(picks, moved, o))
+        state, timed = moved, after
+    found = state.join(origin.select("event_id", "cluster_id", "t_us", "n_obs"), "event_id").join(start.withColumnRenamed("rms", "start_rms"), "event_id").join(rms(timed).withColumnRenamed("rms", "final_rms"), "event_id")
+    return found.select("event_id", "cluster_id", "latitude", "longitude", "depth", (F.col("t_us") + F.round(F.col("shift") * 1e6).cast("bigint")).alias("t_us"), "start_rms", "final_rms", "n_obs", "moving", F.lit("solved").alias("stopped")).withColumnRenamed("moving", "moved")
+
+
+def relocate(obs: DataFrame, o: Options, free: bool = True, result: str = RESULT) -> DataFrame:
+    """Relocated events of ``observations``, cluster by cluster; or, of clusters that fit a task, what became of their PHASES or DIFFERENCES."""
+    obs = settled(obs)
+    size = obs.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    large = size.where(F.col("n") > o.most_rows).select("cluster_id")
+    ids = [r[0] for r in large.collect()]  # few, as each has more than ``most_rows`` rows
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return solve_cluster(group, o, free)
+        return solve_cluster(group, o, free, result)
 
-    return obs.groupBy("cluster_id").applyInPandas(run, RESULT)
+    found = obs.join(F.broadcast(large), "cluster_id", "left_anti").groupBy("cluster_id").applyInPandas(run, result)
+    if ids and result != RESULT:
+        raise ValueError(f"clusters {ids[:3]} have more than {o.most_rows} observations; only their events can be given")
+    for k in ids:
+        found = found.unionByName(relocate_large(obs.where(F.col("cluster_id") == k), o, free))
+    return found
 
 
-def relocate_catalog(cat: Catalog, picks: DataFrame, o: Options, xcorr: DataFrame | None = None) -> DataFrame:
-    """The whole catalog: neighbours, clusters, then each cluster's solution. picks: phases with group and class_weight."""
+def catalog_observations(cat: Catalog, picks: DataFrame, o: Options, xcorr: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
+    """``observations`` of a whole catalog; ``given``: clusters to keep to (event_id, cluster_id) instead of those of the neighbours."""
     usable = Catalog(cat.stations, cat.events, picks.where("group in ('P', 'S')"))
-    _, edges = clusters(select_neighbours(usable, o.selection))
-    return relocate(observations(cat, edges, picks, xcorr), o)
+    chosen = select_neighbours(usable, o.selection)
+    if given is None:
+        return observations(cat, clusters(chosen)[1], picks, xcorr)
+    same = chosen.join(given.select(F.col("event_id").alias("ref_id"), "cluster_id"), "ref_id").join(given.select(F.col("event_id").alias("neigh_id"), F.col("cluster_id").alias("_c")), "neigh_id").where("cluster_id = _c").drop("_c", "cluster_id")
+    from ..operators.graph import oriented
 
+    return observations(cat, oriented(same).join(given.select(F.col("event_id").alias("ref_id"), "cluster_id"), "ref_id"), picks, xcorr)
 
-def relocate_single(background: Catalog, event: Catalog, picks: DataFrame, o: Options) -> DataFrame:
-    """New events, each against a fixed background catalog; events without enough neighbours aren't returned."""
-    from ..operators.neighbours import eligible_edges, nearest_first
 
-    new = event.events.select("id")
-    both = Catalog(background.stations, background.events.unionByName(event.events, allowMissingColumns=True), picks.where("group in ('P', 'S')"))
+def relocate_catalog(cat: Catalog, picks: DataFrame, o: Options, xcorr: DataFrame | None = None, given: DataFrame | None = None, result: str = RESULT) -> DataFrame:
+    """The whole catalog: neighbours, clusters, then each cluster's solution. picks: phases with group and class_weight; xcorr: a cache as
+    ``xcorr.correlate_edges`` makes it."""
+    return relocate(catalog_observations(cat, picks, o, xcorr, given), o, result=result)
+
+
+def refine(cat: Catalog, picks: DataFrame, traces: DataFrame, o: Options, x: XcorrOptions, known: DataFrame | None = None) -> DataFrame:
+    """A cache of lags for all neighbours of a catalog, from traces; picks as for ``xcorr.windowed_picks``."""
+    usable = Catalog(cat.stations, cat.events, picks.where("group in ('P', 'S')"))
+    return correlate_edges(select_neighbours(usable, o.selection), picks, cat.events, cat.stations, traces, x, known)
+
+
+def single_edges(both: Catalog, new: DataFrame, o: Options) -> DataFrame:
+    """Edges from new events (id) to events that aren't new: of the nearest, or by shells; events with too few have none."""
     edges = eligible_edges(both, o.selection)
-    edges = edges.join(new.withColumnRenamed("id", "ref_id"), "ref_id", "left_semi").join(new.withColumnRenamed("id", "neigh_id"), "neigh_id", "left_anti")
-    pairs = nearest_first(edges.groupBy("ref_id", "neigh_id").agg(F.first("distance").alias("distance")), o.selection.max_neighbours)
+    edges = settled(edges.join(new.withColumnRenamed("id", "ref_id"), "ref_id", "left_semi").join(new.withColumnRenamed("id", "neigh_id"), "neigh_id", "left_anti"))
+    pairs = edges.groupBy("ref_id", "neigh_id").agg(F.first("distance").alias("distance"))
+    pairs = nearest_first(pairs, o.selection.max_neighbours) if o.selection.in_nearest_mode else by_shells(pairs, both.events, o.selection)
     enough = pairs.groupBy("ref_id").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, o.selection.min_neighbours))
-    edges = edges.join(pairs.select("ref_id", "neigh_id"), ["ref_id", "neigh_id"], "left_semi").join(enough.select("ref_id"), "ref_id", "left_semi")
-    obs = observations(both, edges.withColumn("cluster_id", F.col("ref_id")), picks)
+    return edges.join(pairs.select("ref_id", "neigh_id"), ["ref_id", "neigh_id"], "left_semi").join(enough.select("ref_id"), "ref_id", "left_semi")
+
+
+def relocate_single(background: Catalog, event: Catalog, picks: DataFrame, o: Options, traces: DataFrame | None = None, x: XcorrOptions | None = None) -> DataFrame:
+    """New events, each against a fixed background catalog, with lags if there are traces; events without enough neighbours aren't returned."""
+    both = Catalog(background.stations, background.events.unionByName(event.events, allowMissingColumns=True), picks.where("group in ('P', 'S')"))
+    edges = single_edges(both, event.events.select("id"), o)
+    cache = correlate_edges(edges, picks, both.events, both.stations, traces, x or XcorrOptions()) if traces is not None else None
+    obs = observations(both, edges.withColumn("cluster_id", F.col("ref_id")), picks, cache)
     return relocate(obs, o, free=False).where("moved")
+
+
+def relocate_in_two_steps(background: Catalog, event: Catalog, picks: DataFrame, o: Options, traces: DataFrame | None = None, x: XcorrOptions | None = None) -> DataFrame:
+    """New events: first without lags, by neighbours that are no farther away than the stations; then from where that leads to, by the neighbours
+    of one ellipsoid, with lags. The second step is tried for all; its result counts, with the rms that the first began with."""
+    first = settled(relocate_single(background, event, picks, replace(o, selection=replace(o.selection, min_ratio=1.0))))
+    moved = event.events.join(first.select(F.col("event_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("latitude", "longitude", "depth", "t_us")]), "id", "left")
+    moved = moved.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("latitude", "longitude", "depth", "t_us")}).select(event.events.columns)
+    second = relocate_single(background, Catalog(event.stations, settled(moved), event.phases), picks, replace(o, selection=replace(o.selection, shells=1)), traces, x)
+    before = first.select("event_id", F.col("start_rms").alias("_rms"))
+    return second.join(before, "event_id", "left").withColumn("start_rms", F.coalesce("_rms", "start_rms")).drop("_rms")

@@ -1,4 +1,7 @@
-"""Sparse damped least squares: numpy LSMR for a cluster that fits a task, and conjugate gradients on DataFrames for one that doesn't."""
+"""Sparse damped least squares: numpy LSMR for a cluster that fits a task, and conjugate gradients on DataFrames for one that doesn't.
+
+``lsmr`` and ``lsqr`` return x and why they stopped: ZERO (x = 0 is the solution), SOLVED (within the tolerance), CONDITION (the estimate of the
+condition number is beyond the limit) or LIMIT (of iterations). Callers decide which solves they reject."""
 
 from __future__ import annotations
 
@@ -11,24 +14,29 @@ from pyspark.sql import functions as F
 from ..operators.graph import settled
 
 
-def lsmr(forward: Callable, transposed: Callable, b: np.ndarray, n: int, damp: float = 0.0, tolerance: float = 1e-6, most: int | None = None) -> np.ndarray:
+ZERO, SOLVED, CONDITION, LIMIT = "zero", "solved", "condition", "limit"
+#: Condition number beyond which a system has no solution worth having.
+MOST_CONDITION = 1.0 / (10 * np.sqrt(np.finfo(float).eps))
+
+
+def lsmr(forward: Callable, transposed: Callable, b: np.ndarray, n: int, damp: float = 0.0, tolerance: float = 1e-6, most: int | None = None, condition: float = MOST_CONDITION) -> tuple[np.ndarray, str]:
     """x of min |A x - b|^2 + damp^2 |x|^2, by the least squares form of the minimum residual method on Golub-Kahan bidiagonals."""
     x = np.zeros(n)
     beta = float(np.linalg.norm(b))
     if beta == 0:
-        return x
+        return x, ZERO
     u = b / beta
     v = transposed(u)
     alpha = float(np.linalg.norm(v))
     if alpha == 0:
-        return x
+        return x, ZERO
     v /= alpha
     zeta_bar, alpha_bar = alpha * beta, alpha
     rho = rho_bar = c_bar = 1.0
     s_bar = 0.0
     h, h_bar = v.copy(), np.zeros(n)
-    start = zeta_bar
-    for _ in range(most or max(2 * n, 50)):
+    start, high, low = zeta_bar, 0.0, np.inf
+    for k in range(most or max(2 * n, 50)):
         u = forward(v) - alpha * u
         beta = float(np.linalg.norm(u))
         if beta > 0:
@@ -54,29 +62,36 @@ def lsmr(forward: Callable, transposed: Callable, b: np.ndarray, n: int, damp: f
         x = x + (zeta / (rho * rho_bar)) * h_bar
         h = v - (theta / rho) * h
         if abs(zeta_bar) <= tolerance * start or alpha == 0:
-            break
-    return x
+            return x, SOLVED
+        # singular values lie between the least and the greatest of the rotated diagonals
+        high, low = max(high, rho_bar_old) if k else high, min(low, rho_bar_old) if k else low
+        if max(high, rho_temp) > condition * min(low, rho_temp):
+            return x, CONDITION
+    return x, LIMIT
 
 
-def lsqr(forward: Callable, transposed: Callable, b: np.ndarray, n: int, damp: float = 0.0, tolerance: float = 1e-6, most: int | None = None) -> np.ndarray:
+def lsqr(forward: Callable, transposed: Callable, b: np.ndarray, n: int, damp: float = 0.0, tolerance: float = 1e-6, most: int | None = None, condition: float = MOST_CONDITION) -> tuple[np.ndarray, str]:
     """The same problem by plane rotations of the bidiagonals."""
     x = np.zeros(n)
     beta = float(np.linalg.norm(b))
     if beta == 0:
-        return x
+        return x, ZERO
     u = b / beta
     v = transposed(u)
     alpha = float(np.linalg.norm(v))
     if alpha == 0:
-        return x
+        return x, ZERO
     v /= alpha
     w, phi_bar, rho_bar = v.copy(), beta, alpha
     start = alpha * beta
+    w_norms = 0.0
+    frobenius = alpha * alpha
     for _ in range(most or max(2 * n, 50)):
         u = forward(v) - alpha * u
         beta = float(np.linalg.norm(u))
         if beta > 0:
             u /= beta
+        frobenius += beta * beta + damp * damp
         v = transposed(u) - beta * v
         alpha = float(np.linalg.norm(v))
         if alpha > 0:
@@ -88,15 +103,21 @@ def lsqr(forward: Callable, transposed: Callable, b: np.ndarray, n: int, damp: f
         theta, rho_bar = s * alpha, -c * alpha
         phi, phi_bar = c * phi_bar, s * phi_bar
         x = x + (phi / rho) * w
+        w_norms += float(w @ w) / (rho * rho)
         w = v - (theta / rho) * w
         if abs(phi_bar) * alpha * abs(c) <= tolerance * start or alpha == 0:
-            break
-    return x
+            return x, SOLVED
+        if frobenius * w_norms > condition * condition:
+            return x, CONDITION
+        frobenius += alpha * alpha
+    return x, LIMIT
 
 
-def solve_distributed(matrix: DataFrame, right: DataFrame, damp: float = 0.0, tolerance: float = 1e-6, most: int = 200) -> DataFrame:
+def solve_distributed(matrix: DataFrame, right: DataFrame, damp: float = 0.0, tolerance: float = 1e-6, most: int | None = None) -> DataFrame:
     """(col, x) of the damped least squares problem with matrix (row, col, value) and right side (row, value), by conjugate gradients.
 
+    Without ``most``, twice as many steps as columns may be taken; a system that isn't solved by then is an error.
+
     Vectors are tables too; each product is a join and a sum, and only a few scalars reach the driver."""
     m = settled(matrix.select("row", "col", "value").where("value <> 0"))
 
@@ -117,9 +138,11 @@ def solve_distributed(matrix: DataFrame, right: DataFrame, damp: float = 0.0, to
     p = s
     x = m.select("col").distinct().withColumn("value", F.lit(0.0))
     gamma = start = square(s)
-    for _ in range(most):
-        if gamma <= tolerance * tolerance * start or gamma == 0:
-            break
+    left = most or max(2 * x.count(), 50)
+    while gamma > tolerance * tolerance * start and gamma > 0:
+        if not left:
+            raise ArithmeticError(f"the system isn't solved to {tolerance}: {(gamma / start) ** 0.5:.3g} of the gradient is left")
+        left -= 1
         q = settled(forward(p))
         step = gamma / (square(q) + damp * damp * square(p))
         x = settled(plus(x, p, "col", step))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, times
-from .operators import catalog, graph, joins, neighbours, spatial, stats, system, travel_time, waveform
+from .functions.weights import band_and_instrument, orientation
+from .operators import catalog, graph, joins, neighbours, origins, spatial, stats, system, travel_time, waveform
 from .plans import relocate
 from .schema import Catalog
 from .sources.lens import Lens
@@ -179,6 +180,96 @@ def map_projections(x: Lens) -> DataFrame:
     return x.events.select("id", *[r6(c).alias(f"{n}_{k}") for n, p in xy.items() for k, c in zip("xy", p, strict=True)], r6(back[0]).alias("lat"), r6(back[1]).alias("lon"))
 
 
+# archives and maps
+
+
+@query
+def origin_list(x: Lens) -> DataFrame:
+    ids = x.origins.select(F.explode(F.array("seq", F.col("seq") + 1_000_000_000)).alias("origin")).where("origin % 3 = 0")
+    found, missing = origins.by_ids(ids, x.origins.withColumnRenamed("seq", "public_id"))
+    rows = found.select(F.lit("found").alias("kind"), F.col("public_id").alias("origin")).unionByName(missing.select(F.lit("missing").alias("kind"), "origin"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("origin").alias("ids"))
+
+
+@query
+def parent_event(x: Lens) -> DataFrame:
+    refs = x.origins.select("event_id", (F.col("seq") - F.col("seq") % 2).alias("origin_id"), "seq")
+    ev = x.events.select(F.col("id").alias("event_id"), F.col("magnitude").alias("preferred_magnitude"))
+    found = origins.with_parents(x.origins.select(F.col("seq").alias("public_id"), "author"), refs, ev)
+    return found.select("public_id", "event_id", r6("preferred_magnitude").alias("preferred_magnitude"))
+
+
+@query
+def event_list(x: Lens) -> DataFrame:
+    ev = x.events.select(F.col("id").alias("event_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("type"), (F.col("id") % 5).cast("string"))).alias("type"))
+    rows = x.origins.withColumns({"t_us": F.col("created_s") * 1_000_000, "modified_us": F.col("seq"), "status": F.when(F.col("seq") % 4 > 0, F.concat(F.lit("St"), (F.col("seq") % 4).cast("string")))})
+    rows = rows.where(origins.status_filter(F.col("status"), excluded=["sT2"]) & origins.status_filter(F.col("author"), included=["CLICK", "view"]))
+    found = origins.listed(ev, rows, 10_000_000_000, 80_000_000_000, ["", "type2", "type3"], 4, 100)
+    return found.groupBy("type", "status").agg(F.count("*").alias("n"), F.sum("seq").alias("ids"))
+
+
+@query
+def phase_type_map(x: Lens) -> DataFrame:
+    found = origins.renamed(x.phases, F.col("event_id") % 4 == 0, "Pn", "Sn")
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query
+def channel_codes(x: Lens) -> DataFrame:
+    code = F.expr("substring('HHZ1', 1, cast(event_id % 5 as int))")
+    return x.phases.select(code.alias("channel")).distinct().select("channel", band_and_instrument(F.col("channel")).alias("band"), orientation(F.col("channel")).alias("component"))
+
+
+@query
+def pick_uncertainty(x: Lens) -> DataFrame:
+    lower, upper = (F.when(F.col("event_id") % k > 0, F.col(c)) for k, c in ((3, "lower_unc"), (4, "upper_unc")))
+    lo, up = origins.uncertainty(lower, upper, F.when(F.col("event_id") % 5 == 0, F.lit(0.25)))
+    return x.phases.groupBy("type").agg(F.count(lo).alias("n"), r6(F.sum(lo)).alias("lower"), r6(F.sum(up)).alias("upper"))
+
+
+@query
+def same_event(x: Lens) -> DataFrame:
+    return origins.same_events(x.events, x.events2.withColumns({"t_us": F.col("t_us") + 300_000 - (F.col("id") - 1_000_000) % 7 * 100_000, "depth": F.col("depth") - 0.5}))
+
+
+@query
+def origin_dedup(x: Lens) -> DataFrame:
+    return origins.deduplicated(x.origins, ["event_id", "created_s"], "seq").groupBy("event_id").agg(F.count("*").alias("n"), F.sum("seq").alias("ids"))
+
+
+@query
+def map_view(x: Lens) -> DataFrame:
+    rows = origins.shown(x.events, 1577836800000000 + 61_000_000 * 20, None, 46.6, 47.0, 8.1, 8.6)
+    over = origins.shown(x.events, None, 1577836800000000 + 61_000_000 * 900, west=8.5, east=8.2)
+    return rows.select(F.lit("inside").alias("view"), "id").unionByName(over.select(F.lit("around").alias("view"), "id"))
+
+
+@query
+def map_links(x: Lens) -> DataFrame:
+    found = origins.links(x.events, x.events2.withColumn("id", F.col("id") - 1_000_000))
+    return found.select("id", *[r6(f"{c}{k}").alias(f"{c}{k}") for k in (1, 2) for c in ("latitude", "longitude", "depth")])
+
+
+@query
+def grid_nearest(x: Lens) -> DataFrame:
+    grids = x.events.where("id % 3 = 0").select("id", "latitude", "longitude", F.lit(0.0).alias("depth"))
+    st = x.stations.select(F.col("number").alias("id"), "latitude", "longitude", F.lit(0.0).alias("depth"))
+    return spatial.nearest_grid(st, grids, 4000.0).select("station_id", "grid_id", r6("distance").alias("distance"))
+
+
+@query
+def waveform_counters(x: Lens) -> DataFrame:
+    asked = x.phases.select("station_id", (F.col("t_us") - F.col("t_us") % 60_000_000).alias("start_us"))
+    return origins.waveform_counts(asked, asked.where("start_us % 7 <> 0"), ["start_us"])
+
+
+@query
+def common_stations(x: Lens) -> DataFrame:
+    """Stations with P and S picks, and those with P picks alone."""
+    p, s = (x.phases.where(F.col("type").isin(t)).select("station_id", (F.col("event_id") % 50).alias("part")) for t in (P, S))
+    return p.intersect(s).withColumn("kind", F.lit("both")).unionByName(p.subtract(s).withColumn("kind", F.lit("P"))).groupBy("kind", "part").agg(F.count("*").alias("n"))
+
+
 # joins
 
 
@@ -248,6 +339,27 @@ def common_phases(x: Lens) -> DataFrame:
     return neighbours.eligible_edges(cat1(x), SELECTION).groupBy("ref_id", "neigh_id").agg(F.count("*").alias("n"), r6(F.sum("km")).alias("km"))
 
 
+@query
+def limited_phases(x: Lens) -> DataFrame:
+    """Stations neither too near nor too far, far enough for their pair, and no more phases than the nearest six."""
+    o = neighbours.Selection(max_km=5.0, min_phases=2, max_phases=6, min_station_km=8.0, max_station_km=60.0, min_ratio=3.0, strict_ref=True)
+    return neighbours.eligible_edges(cat1(x), o).groupBy("ref_id", "neigh_id").agg(F.count("*").alias("n"), r6(F.sum("km")).alias("km"))
+
+
+@query
+def neighbour_catalog(x: Lens) -> DataFrame:
+    edges = neighbours.nearest_first(spatial.neighbours_within(x.events.where("id % 4 = 0"), 5.0), 3)
+    found = neighbours.to_catalog(edges, cat1(x), with_reference=False)
+    return found.phases.groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query
+def edge_order(x: Lens) -> DataFrame:
+    edges = neighbours.eligible_edges(cat1(x), SELECTION).withColumn("distance", F.round("distance", 6))
+    rows = neighbours.in_chunks(neighbours.in_order(edges), 4)
+    return rows.groupBy("ref_id", "chunk").agg(F.count("*").alias("n"), F.sum("place").cast("bigint").alias("places")).withColumn("chunk", F.col("chunk").cast("bigint"))
+
+
 @query
 def neigh_peel(x: Lens) -> DataFrame:
     pairs = neighbours.eligible_edges(cat1(x), SELECTION).groupBy("ref_id", "neigh_id").agg(F.first("distance").alias("distance"))
@@ -444,7 +556,9 @@ def cross_correlate(x: Lens) -> DataFrame:
 @query
 def resample(x: Lens) -> DataFrame:
     rows = waveform.resampled(traces(x).select("id", "samples", F.lit(100.0).alias("sfreq")), 60.0)
-    return rows.select("id", F.size("samples").cast("bigint").alias("n"), "sfreq")
+    s = F.col("samples")
+    total = F.aggregate(F.transform(s, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("id", F.size(s).cast("bigint").alias("n"), "sfreq", r6(s[0]).alias("first"), r6(F.element_at(s, -1)).alias("last"), r6(total).alias("weighed"))
 
 
 # the system and its solution
@@ -465,6 +579,16 @@ def weighted(x: Lens) -> DataFrame:
     return system.reweighted(rows.withColumn("part", F.col("ref_id") % 8), "part", 4.0)
 
 
+@query
+def lagged_differences(x: Lens) -> DataFrame:
+    """Double differences with lags, of which some are too weak or not valid."""
+    edges = edges_of(x)
+    h = F.col("ref_id") * 7 + F.col("neigh_id") * 13
+    cache = edges.select("ref_id", "neigh_id", "type", "station_id", (h % 5 > 0).alias("valid"), ((h % 199 - 99) / 99.0).alias("coefficient"), ((h % 21 - 10) / 100.0).alias("lag"))
+    rows = system.double_differences(edges, timed(x), cache)
+    return rows.select("ref_id", "neigh_id", "type", "station_id", r6("residual").alias("residual"), r6("weight").alias("weight"), F.col("xcorr_used").cast("int").alias("used"))
+
+
 @query
 def residual_weights(x: Lens) -> DataFrame:
     return weighted(x).groupBy("part").agg(F.count("*").alias("n"), r6(F.max("mad")).alias("mad"), F.round(F.sum("final_weight"), 3).alias("weight"))
@@ -529,6 +653,14 @@ def sliding(x: Lens) -> DataFrame:
     return rows.select("author", F.unix_seconds("start").alias("start_s"), "n")
 
 
+@query
+def session(x: Lens) -> DataFrame:
+    """Sessions of each author: updates that follow within five minutes."""
+    w = F.session_window("time", "300 seconds")
+    rows = updates(x).groupBy("author", w.alias("w")).agg(F.count("*").alias("n"))
+    return rows.select("author", F.unix_seconds("w.start").alias("start_s"), F.unix_seconds("w.end").alias("end_s"), "n")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -136,3 +136,32 @@ def origins_to_catalog(origins: DataFrame, arrivals: DataFrame, picks: DataFrame
     phases = rows.join(ids.withColumnRenamed("public_id", "origin_id"), "origin_id").select(F.col("id").alias("event_id"), sid.alias("station_id"), "t_us", "lower_unc", "upper_unc", F.col("phase").alias("type"), "network", "station", "location", "channel")
     stations = rows.groupBy(sid.alias("id")).agg(*[F.max_by(c, "start_us").alias(n) for c, n in (("st_lat", "latitude"), ("st_lon", "longitude"), ("st_elev", "elevation"), ("network", "network"), ("station", "station"), ("location", "location"))])
     return Catalog(stations, events, phases)
+
+
+def write_xcorr(cache: DataFrame, stations: DataFrame, path: str) -> None:
+    """A cache of lags (ev1, ev2, station_id, type, valid, coefficient, lag) as ``read_xcorr`` reads it."""
+    rows = cache.join(stations.select(F.col("id").alias("station_id"), "network", "station", "location"), "station_id")
+    cols = [F.col(c).alias(n) for c, n in zip(("ev1", "ev2", "network", "station", "location", "type"), PAIR, strict=True)]
+    _write(rows.select(*cols, F.col("valid").cast("string").alias("valid"), *[number(F.col(c), 6).alias(c) for c in ("coefficient", "lag")]), path)
+
+
+def write_differences(rows: DataFrame, stations: DataFrame, path: str) -> None:
+    """Double differences as ``relocate.DIFFERENCES`` has them."""
+    rows = rows.join(stations.select(F.col("id").alias("station_id"), "network", "station", "location"), "station_id")
+    cols = [F.col(c).alias(n) for c, n in zip(("ref_id", "neigh_id", "network", "station", "location", "type"), PAIR, strict=True)]
+    numbers = [number(F.col(c), d).alias(n) for c, n, d in (("weight", "weight", 6), ("coefficient", "coefficient", 6), ("residual", "doubleDifferenceResidual", 6), ("distance", "interEventDistance", 6))]
+    _write(rows.select(*cols, numbers[0], F.col("xcorr_used").cast("string").alias("xcorrUsed"), *numbers[1:]), path)
+
+
+def write_clusters(cat: Catalog, edges: DataFrame, named: DataFrame, path: str) -> None:
+    """Pairs, events and phases of all clusters, in folders by cluster: edges with cluster_id, and (id, cluster_id) of the events."""
+    pairs = edges.join(cat.stations.select(F.col("id").alias("station_id"), "network", "station", "location"), "station_id")
+    pairs = pairs.select("cluster_id", *[F.col(c).alias(n) for c, n in zip(("ref_id", "neigh_id", "network", "station", "location", "type"), PAIR, strict=True)])
+    tables = {"pairs": pairs, "events": cat.events.join(named, "id"), "phases": cat.phases.join(named.withColumnRenamed("id", "event_id"), "event_id")}
+    for name, df in tables.items():
+        df.repartition("cluster_id").write.partitionBy("cluster_id").option("header", True).csv(f"{path}/{name}")
+
+
+def read_with_header(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """A CSV file without a header line, whose columns have these names."""
+    return spark.read.option("quote", '"').option("escape", '"').csv(path).toDF(*names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from .sources import lens
 
 BASE = f"WITH RECURSIVE ev AS ({lens.EVENT}), st AS ({lens.STATION}), ph AS ({lens.PHASE}), ev2 AS ({lens.EVENT2}), o AS ({lens.ORIGIN})"
@@ -166,6 +168,71 @@ add("profile_routing", f"{BASE}, r AS (SELECT seq, CASE WHEN latitude BETWEEN 47
 add("tumbling", f"{BASE} SELECT author, 1577836800 + created_s // 3600 * 3600 AS start_s, count(*) AS n FROM o GROUP BY 1, 2")
 add("sliding", f"{BASE} SELECT author, 1577836800 + (created_s // 1200 - k) * 1200 AS start_s, count(*) AS n FROM o, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1, 2")
 
+add("origin_list", f"{BASE}, i AS (SELECT DISTINCT unnest([seq, seq + 1000000000]) AS k FROM o), j AS (SELECT * FROM i WHERE k % 3 = 0) SELECT CASE WHEN seq IS NULL THEN 'missing' ELSE 'found' END AS kind, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM j LEFT JOIN o ON o.seq = j.k GROUP BY 1")
+add("parent_event", f"{BASE}, r AS (SELECT seq - seq % 2 AS k, arg_min(event_id, seq) AS event_id FROM o GROUP BY 1) SELECT o.seq AS public_id, r.event_id, round(e.magnitude, 6) AS preferred_magnitude FROM o LEFT JOIN r ON r.k = o.seq LEFT JOIN ev e ON e.id = r.event_id")
+add("event_list", f"{BASE}, e AS (SELECT id, CASE WHEN id % 5 > 0 THEN 'type' || (id % 5) END AS type FROM ev), r AS (SELECT *, CASE WHEN seq % 4 > 0 THEN 'St' || (seq % 4) END AS status FROM o) SELECT type, status, count(*) AS n, CAST(sum(seq) AS BIGINT) AS ids FROM r JOIN e ON e.id = r.event_id WHERE (status IS NULL OR status <> 'St2') AND author IN ('click', 'view') AND created_s >= 10000 AND created_s < 80000 AND n_phases >= 4 AND seq > 100 AND (type IS NULL OR type IN ('type2', 'type3')) GROUP BY 1, 2")
+add("phase_type_map", f"{BASE} SELECT CASE WHEN event_id % 4 = 0 THEN type WHEN type = 'P' THEN 'Pn' WHEN type = 'S' THEN 'Sn' ELSE type END AS type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ph GROUP BY 1")
+add("channel_codes", f"{BASE}, c AS (SELECT DISTINCT substring('HHZ1', 1, event_id % 5) AS channel FROM ph) SELECT channel, CASE WHEN length(channel) >= 2 THEN substring(channel, 1, 2) ELSE '' END AS band, CASE WHEN length(channel) = 3 THEN substring(channel, 3, 1) ELSE '' END AS component FROM c")
+add("pick_uncertainty", f"{BASE}, u AS (SELECT type, CASE WHEN event_id % 5 = 0 THEN 0.25e0 WHEN event_id % 3 > 0 AND event_id % 4 > 0 THEN lower_unc END AS lo, CASE WHEN event_id % 5 = 0 THEN 0.25e0 WHEN event_id % 3 > 0 AND event_id % 4 > 0 THEN upper_unc END AS up FROM ph) SELECT type, count(lo) AS n, round(sum(lo), 6) AS lower, round(sum(up), 6) AS upper FROM u GROUP BY 1")
+add("same_event", f"{BASE}, b AS (SELECT id, t_us + 300000 - (id - 1000000) % 7 * 100000 AS t_us, latitude, longitude, depth - 0.5e0 AS depth, magnitude FROM ev2) SELECT ev.id, b.id AS wanted_id FROM ev JOIN b ON ev.t_us = b.t_us AND ev.latitude = b.latitude AND ev.longitude = b.longitude AND ev.depth = b.depth AND ev.magnitude IS NOT DISTINCT FROM b.magnitude")
+add("origin_dedup", f"{BASE}, d AS (SELECT event_id, created_s, min(seq) AS seq FROM o GROUP BY 1, 2) SELECT event_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS ids FROM d GROUP BY 1")
+add("map_view", f"{BASE} SELECT 'inside' AS view, id FROM ev WHERE t_us >= 1577836800000000 + 1220000000 AND latitude BETWEEN 46.6e0 AND 47e0 AND longitude BETWEEN 8.1e0 AND 8.6e0 UNION ALL SELECT 'around', id FROM ev WHERE t_us <= 1577836800000000 + 54900000000 AND (longitude >= 8.5e0 OR longitude <= 8.2e0)")
+add("map_links", f"{BASE} SELECT a.id, " + ", ".join(f"round({t}.{c}, 6) AS {c}{k}" for k, t in ((1, "a"), (2, "b")) for c in ("latitude", "longitude", "depth")) + " FROM ev a JOIN ev2 b ON b.id - 1000000 = a.id")
+add("grid_nearest", f"{BASE}, d AS (SELECT s.number AS station_id, g.id AS grid_id, {km('s.latitude', 's.longitude', 'g.latitude', 'g.longitude')} AS distance FROM st s JOIN ev g ON g.id % 3 = 0 AND abs(s.latitude - g.latitude) < 0.04e0) SELECT station_id, grid_id, round(distance, 6) AS distance FROM d WHERE distance <= 4e0 QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY distance, grid_id) = 1")
+add("waveform_counters", f"{BASE}, a AS (SELECT station_id, t_us - t_us % 60000000 AS s, count(*) AS n FROM ph GROUP BY 1, 2) SELECT station_id, count(*) FILTER (WHERE s % 7 <> 0) AS found, count(*) FILTER (WHERE s % 7 = 0) AS unavailable, CAST(coalesce(sum(n - 1) FILTER (WHERE s % 7 <> 0), 0) AS BIGINT) AS cached FROM a GROUP BY 1")
+add("common_stations", f"{BASE}, p AS (SELECT DISTINCT station_id, event_id % 50 AS part FROM ph WHERE type IN ('P', 'Pg')), s AS (SELECT DISTINCT station_id, event_id % 50 AS part FROM ph WHERE type = 'Sg') SELECT CASE WHEN s.part IS NULL THEN 'P' ELSE 'both' END AS kind, p.part, count(*) AS n FROM p LEFT JOIN s ON s.station_id = p.station_id AND s.part = p.part GROUP BY 1, 2")
+add("limited_phases", f"""{BASE}, {pairs(5)}, sk AS (SELECT p.event_id, p.station_id, p.type, {km3("e", "s", "e.depth", "(-(s.elevation / 1e3))")} AS km FROM ph p JOIN ev e ON e.id = p.event_id JOIN st s ON s.id = p.station_id WHERE true),
+m AS (SELECT p.*, r.type, r.station_id, r.km FROM pairs p JOIN sk r ON r.event_id = p.ref_id JOIN sk b ON b.event_id = p.neigh_id AND b.station_id = r.station_id AND b.type = r.type WHERE r.km BETWEEN 8e0 AND 60e0 AND b.km BETWEEN 8e0 AND 60e0 AND r.km >= p.distance * 3e0 AND b.km >= p.distance * 3e0),
+k AS (SELECT *, count(*) OVER (PARTITION BY ref_id, neigh_id) AS n, row_number() OVER (PARTITION BY ref_id, neigh_id ORDER BY km, station_id, type) AS k FROM m)
+SELECT ref_id, neigh_id, count(*) AS n, round(sum(km), 6) AS km FROM k WHERE n >= 2 AND k <= 6 GROUP BY 1, 2""")
+add("neighbour_catalog", f"{BASE}, {pairs(5)}, c AS (SELECT * FROM pairs WHERE ref_id % 4 = 0 AND neigh_id % 4 = 0 QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY distance, neigh_id) <= 3) SELECT event_id, count(*) AS n FROM ph WHERE event_id IN (SELECT neigh_id FROM c) GROUP BY 1")
+add("edge_order", f"{BASE}, {ELIGIBLE}, p AS (SELECT ref_id, row_number() OVER (PARTITION BY ref_id ORDER BY station_id, type, neigh_id) AS place, ntile(4) OVER (PARTITION BY ref_id ORDER BY round(distance, 6), neigh_id, station_id, type) - 1 AS chunk FROM elig) SELECT ref_id, chunk, count(*) AS n, CAST(sum(place) AS BIGINT) AS places FROM p GROUP BY 1, 2")
+add("lagged_differences", f"""{BASE}, {DD}, h AS (SELECT *, ref_id * 7 + neigh_id * 13 AS h FROM dd), u AS (SELECT *, CAST(h % 199 - 99 AS DOUBLE) / 99e0 AS cc, CAST(h % 21 - 10 AS DOUBLE) / 100e0 AS lag FROM h), v AS (SELECT *, h % 5 > 0 AND abs(cc) >= 0.5e0 AS used FROM u)
+SELECT ref_id, neigh_id, type, station_id, round(CASE WHEN used THEN residual - lag ELSE residual END, 6) AS residual, round(CASE WHEN used THEN weight + weight * abs(cc) ELSE weight END, 6) AS weight, CAST(used AS INT) AS used FROM v""")
+add("session", f"{BASE}, u AS (SELECT author, 1577836800 + created_s AS t, lag(1577836800 + created_s) OVER (PARTITION BY author ORDER BY created_s, seq) AS before, row_number() OVER (PARTITION BY author ORDER BY created_s, seq) AS i FROM o), m AS (SELECT *, CASE WHEN t - before <= 300 THEN 0 ELSE 1 END AS fresh FROM u), g AS (SELECT *, sum(fresh) OVER (PARTITION BY author ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT author, min(t) AS start_s, max(t) + 300 AS end_s, count(*) AS n FROM g GROUP BY author, k")
+# sliding coefficients: the short trace is samples 17 to 48 of 64, and meets the longer one at shifts of -10 to 10 samples from the middle
+add("cross_correlate", f"""WITH {TRACES}, c AS (SELECT id, list_slice(a, 17, 48) AS x, b, len(b) AS n FROM pr), l AS (SELECT *, (n - 32) // 2 AS room, least(10, (n - 32) // 2) AS delay FROM c),
+w AS (SELECT id, k, delay, x, list_slice(b, room - delay + k + 1, room - delay + k + 32) AS y FROM l, (SELECT unnest(range(21)) AS k) WHERE k <= 2 * delay),
+m AS (SELECT id, k, delay, list_transform(x, lambda v: v - list_avg(x)) AS x, list_transform(y, lambda v: v - list_avg(y)) AS y FROM w),
+r AS (SELECT id, k, delay, {_dot('x', 'y')} / sqrt({_dot('x', 'x')} * {_dot('y', 'y')}) AS cc FROM m)
+SELECT id, 1 AS valid, round(cc, 6) AS coefficient, round(CAST(k - delay AS DOUBLE) / 100e0, 6) + 0e0 AS lag FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(cc) DESC, k) = 1""")
+# sinc low pass under a Hann window, as sums over the samples near each new one
+_HALF = int(-(-5.98 * 100.0 // 3.0)) // 2
+add("resample", f"""WITH {TRACES}, g AS (SELECT id, s, len(s) AS n, unnest(range(CAST(floor(len(s) * 60e0 / 100e0) AS BIGINT))) AS j FROM tr),
+t AS (SELECT id, j, s, n, j * 100e0 / 60e0 AS x, CAST(floor(j * 100e0 / 60e0) AS BIGINT) + unnest(range(-{_HALF}, {_HALF})) AS k FROM g),
+v AS (SELECT id, j, sum(CASE WHEN k >= 0 AND k < n THEN s[k + 1] * 0.6e0 * pow(sin(pi() * (0.5e0 + (k - x) / {2 * _HALF}e0)), 2) * CASE WHEN k = x THEN 1e0 ELSE sin(pi() * 0.6e0 * (k - x)) / (pi() * 0.6e0 * (k - x)) END ELSE 0e0 END) AS y FROM t GROUP BY id, j)
+SELECT id, count(*) AS n, 60e0 AS sfreq, round(arg_min(y, j), 6) AS first, round(arg_max(y, j), 6) AS last, round(sum(y * (j + 1)), 6) AS weighed FROM v GROUP BY id""")
+
+
+def _projections() -> str:
+    """Formulas of the projections, written out with numbers for their parameters."""
+    e2 = 0.0066943799901413165
+    e, ep2, a = math.sqrt(e2), e2 / (1 - e2), 6378137.0
+    arc = lambda p: f"({1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256!r}::DOUBLE * {p} - {3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024!r}::DOUBLE * sin(2 * {p}) + {15 * e2**2 / 256 + 45 * e2**3 / 1024!r}::DOUBLE * sin(4 * {p}) - {35 * e2**3 / 3072!r}::DOUBLE * sin(6 * {p}))"
+    p0, p1, p2 = (math.radians(x) for x in (46.8, 46.0, 47.5))
+    m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
+    big, c, s = a * m(p1) / (n * t(p1) ** n), math.cos(math.radians(30.0)), math.sin(math.radians(30.0))
+    turn = lambda x, y, s: (f"({x} * {c!r}::DOUBLE + {y} * ({s!r})::DOUBLE)", f"({y} * {c!r}::DOUBLE - {x} * ({s!r})::DOUBLE)")
+    fx, fy = turn("ux", "uy", -s)
+    bx, by = turn("fx", "fy", s)
+    flat = repr(math.pi * 6371.0 / 180.0) + "::DOUBLE"
+    return f"""{BASE}, p AS (SELECT id, latitude, longitude, radians(latitude) AS phi, longitude - 8.4e0 AS dl, (longitude - 8.4e0) * {flat} * cos(radians(latitude)) AS ux, (latitude - 46.8e0) * {flat} AS uy FROM ev),
+q AS (SELECT *, {fx} AS fx, {fy} AS fy, {a}::DOUBLE / sqrt(1 - {e2!r}::DOUBLE * pow(sin(phi), 2)) AS nn, pow(tan(phi), 2) AS t, {ep2!r}::DOUBLE * pow(cos(phi), 2) AS c, radians(dl) * cos(phi) AS k, {n!r}::DOUBLE * radians(dl) AS th,
+  {big!r}::DOUBLE * pow(tan(pi() / 4 - phi / 2) / pow((1 - {e!r}::DOUBLE * sin(phi)) / (1 + {e!r}::DOUBLE * sin(phi)), {e / 2!r}::DOUBLE), {n!r}::DOUBLE) AS rho,
+  {angle('46.8e0', '8.4e0', 'latitude', 'longitude')} * {R} AS d, {az('46.8e0', '8.4e0', 'latitude', 'longitude')} AS az FROM p)
+SELECT id, round(fx, 6) AS flat_x, round(fy, 6) AS flat_y,
+  round(nn * (k + (1 - t + c) * pow(k, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {ep2!r}::DOUBLE) * pow(k, 5) / 120) / 1e3, 6) AS tm_x,
+  round(({a}::DOUBLE * {arc('phi')} - {a}::DOUBLE * {arc(repr(p0) + '::DOUBLE')} + nn * tan(phi) * (k * k / 2 + (5 - t + 9 * c + 4 * c * c) * pow(k, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {ep2!r}::DOUBLE) * pow(k, 6) / 720)) / 1e3, 6) AS tm_y,
+  round(rho * sin(th) / 1e3, 6) AS lcc_x, round(({big * t(p0) ** n!r}::DOUBLE - rho * cos(th)) / 1e3, 6) AS lcc_y,
+  round(d * sin(az), 6) AS aeqd_x, round(d * cos(az), 6) AS aeqd_y,
+  round(46.8e0 + {by} / {flat}, 6) AS lat, round(8.4e0 + {bx} / ({flat} * cos(radians(46.8e0 + {by} / {flat}))), 6) AS lon
+FROM q"""
+
+
+add("map_projections", _projections())
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

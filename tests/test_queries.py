@@ -11,7 +11,7 @@ from quakeframe import queries, sql
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "embeddings")
 #: Queries that SQL has no equivalent for; they are tested in other modules.
-ALONE = {"map_projections", "cross_correlate", "resample", "relocate_multi", "relocate_single"}
+ALONE = {"relocate_multi", "relocate_single"}
 
 
 @pytest.fixture(scope="module")

@@ -74,7 +74,8 @@ def test_solvers(spark, damp):
     a, b = rng.normal(size=(30, 8)), rng.normal(size=30)
     want = np.linalg.solve(a.T @ a + damp**2 * np.eye(8), a.T @ b)
     for f in (solver.lsmr, solver.lsqr):
-        assert np.allclose(f(lambda x: a @ x, lambda y: a.T @ y, b, 8, damp, 1e-12), want, atol=1e-6)
+        x, stopped = f(lambda x: a @ x, lambda y: a.T @ y, b, 8, damp, 1e-12)
+        assert np.allclose(x, want, atol=1e-6) and stopped == solver.SOLVED
     if damp:
         m = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(30) for j in range(8)], "row int, col int, value double")
         got = solver.solve_distributed(m, spark.createDataFrame([(i, float(b[i])) for i in range(30)], "row int, value double"), damp, 1e-7)
