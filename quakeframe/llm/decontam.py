@@ -8,7 +8,7 @@ impact over all items and in each block.
 
 Block-max WAND, for all passages of a batch at once: a passage whose terms' greatest impacts together stay under the
 threshold is left (the pivot test); of the rest, the blocks whose block maxima together reach it are opened, and
-their postings scored in full. Everything above the threshold is retrieved; there is no limit.
+their postings scored in full; postings of blocks that stay closed are never read. Everything above the threshold is retrieved; there is no limit.
 
 Passages are overlapping windows: twice the longest item's words, stepping by half of that, so that each item
 that a document holds lies whole in one of them. A retrieved pair is verified on the passage's words: the item's
@@ -20,7 +20,8 @@ with a share of ``overlap`` too, which one edit of fewer than five words hasn't)
 
 Numbers of items that have a term, of all items, and the mean length are those of the whole benchmark, whatever the shards.
 The index has a proven bound: items are read in shards of ``SHARD_BYTES`` of text at most (a longer item is a
-shard of its own), each of which is broadcast and meets all passages in turn.
+shard of its own). ``PASS`` of them are broadcast together, as texts; each Python worker builds their indexes, and all passages meet
+them in one pass over the documents.
 
 Defined results: a null or empty text holds nothing; items without words are left out, a null item_id is an item like any other;
 items with equal id and text count once, different texts under one id each count. Rows with
@@ -30,12 +31,14 @@ equal or null doc_id are judged each; a pair that several passages of a document
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ from .texthash import Words, chunks, flat_ranges, ngram_hashes
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 32
 SHARD_BYTES = 512 << 10
+#: Shards that meet the documents in one pass.
+PASS = 8
 #: ASCII but letters and digits separates words.
 SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 RESULT = "doc_id long, row long, item_id long, item int, score double, question_overlap double, answer_overlap double"
@@ -108,6 +113,10 @@ class Index:
         self.block_max = np.zeros((len(self.terms), max(1, self.blocks)))
         np.maximum.at(self.block_max, (np.array(term, np.int64)[by], self.item // BLOCK_ITEMS), self.impact)
         self.most = self.block_max.max(axis=1) if len(self.terms) else np.zeros(0)
+        #: where the postings of each term in each block begin, of those that have any
+        segment = np.array(term, np.int64)[by] * max(1, self.blocks) + self.item // BLOCK_ITEMS
+        self.segment, self.segment_begin = np.unique(segment, return_index=True)
+        self.segment_size = np.diff(np.append(self.segment_begin, len(segment)))
         qa = [halves(t) for t in self.texts]
         self.parts = [[hashes([p.encode()])[0] for p in pair] for pair in qa]
         self.shingles = [[shingles(x[0], gram) for x in (hashes([p.encode()]) for p in pair)] for pair in qa]
@@ -154,17 +163,19 @@ def search(index: Index, h: np.ndarray, start: np.ndarray, end: np.ndarray, thre
     # block maxima: blocks that can reach the threshold
     bound = np.add.reduceat(index.block_max[t], np.flatnonzero(np.append(True, p[1:] != p[:-1])), axis=0)
     opened = bound >= threshold - 1e-9
-    some = opened.any(axis=1)
-    on = some[p]
-    t, p = t[on], p[on]
-    # postings of those passages' terms, in opened blocks
-    times = index.begin[t + 1] - index.begin[t]
-    at = flat_ranges(index.begin[t], times)
-    p, item = np.repeat(p, times), index.item[at]
-    inside = opened[p, item // BLOCK_ITEMS]
-    key = p[inside] * len(index.ids) + item[inside]
-    pair, back = np.unique(key, return_inverse=True)
-    total = np.bincount(back, index.impact[at[inside]], len(pair))
+    # postings of those passages' terms in opened blocks; those of other blocks are skipped
+    count = opened.sum(axis=1)
+    block = np.nonzero(opened)[1]
+    first = np.cumsum(count) - count
+    wanted = np.repeat(t, count[p]) * max(1, index.blocks) + block[flat_ranges(first[p], count[p])]
+    p = np.repeat(p, count[p])
+    k = np.minimum(np.searchsorted(index.segment, wanted), len(index.segment) - 1)
+    there = index.segment[k] == wanted
+    p, k = p[there], k[there]
+    at = flat_ranges(index.segment_begin[k], index.segment_size[k])
+    p = np.repeat(p, index.segment_size[k])
+    pair, back = np.unique(p * len(index.ids) + index.item[at], return_inverse=True)
+    total = np.bincount(back, index.impact[at], len(pair))
     hit = total >= threshold - 1e-9
     return alive[keep[pair[hit] // len(index.ids)]], pair[hit] % len(index.ids), total[hit]
 
@@ -198,21 +209,46 @@ def term_counts(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(run, "term long, words long").groupBy("term").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
 
 
-def indexes(benchmark: DataFrame, gram: int) -> Iterator[Index]:
-    """The index of each shard, with the whole benchmark's numbers."""
+Numbers = tuple[int, float, dict[int, int]] | None
+_BUILT: dict[str, list[Index]] = {}
+
+
+def passes(benchmark: DataFrame, gram: int) -> Iterator[Broadcast]:
+    """What one pass over the documents needs: a key, ``PASS`` shards of items at most, each with the whole benchmark's numbers."""
     items = distinct_items(benchmark)
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= SHARD_BYTES:  # one shard is the whole
-        for shard in shards(benchmark):
-            yield Index(shard, gram)
-        return
-    counts = written(term_counts(items), "benchmark-terms")
-    all_items = counts.where("term IS NULL").first()
-    n, mean = (all_items.n, all_items.words / all_items.n) if all_items else (0, 1.0)
-    for shard in shards(benchmark):
+    spark = items.sparkSession
+    whole = (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= SHARD_BYTES  # one shard is the whole
+    counts, n, mean = None, 0, 1.0
+    if not whole:
+        counts = written(term_counts(items), "benchmark-terms")
+        all_items = counts.where("term IS NULL").first()
+        n, mean = (all_items.n, all_items.words / all_items.n) if all_items else (0, 1.0)
+
+    def numbers(shard: list[tuple[int | None, str]]) -> Numbers:
+        if whole:
+            return None
         own = np.unique(hashes([t.encode() for _, t in shard])[0]).view(np.int64)
         # a shard's terms: no more than half its bytes
-        terms = items.sparkSession.createDataFrame([(t,) for t in own.tolist()], "term long")
-        yield Index(shard, gram, (n, mean, {r.term % (1 << 64): r.n for r in counts.join(F.broadcast(terms), "term").collect()}))
+        terms = spark.createDataFrame([(t,) for t in own.tolist()], "term long")
+        return n, mean, {r.term % (1 << 64): r.n for r in counts.join(F.broadcast(terms), "term").collect()}
+
+    group: list[tuple[list, Numbers]] = []
+    for shard in shards(benchmark):
+        group.append((shard, numbers(shard)))
+        if len(group) == PASS:
+            yield spark.sparkContext.broadcast((uuid.uuid4().hex, gram, group))
+            group = []
+    if group:
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, gram, group))
+
+
+def built(shared: Broadcast) -> list[Index]:
+    """The indexes of a pass; built once in each Python worker."""
+    key, gram, group = shared.value
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = [Index(shard, gram, numbers) for shard, numbers in group]
+    return _BUILT[key]
 
 
 def shards(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
@@ -235,25 +271,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7,
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = None
-    for number, index in enumerate(indexes(benchmark, gram)):
-        part = _with_shard(texts, spark.sparkContext.broadcast(index), number, threshold, overlap, gram)
+    for shared in passes(benchmark, gram):
+        part = _with_shards(texts, shared, threshold, overlap, gram)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], RESULT)
     return found.drop("item")
 
 
-def _with_shard(texts: DataFrame, shared, number: int, threshold: float, overlap: float, gram: int) -> DataFrame:
+def _with_shards(texts: DataFrame, shared: Broadcast, threshold: float, overlap: float, gram: int) -> DataFrame:
     names = [x.split()[0] for x in RESULT.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, row = shared.value, TaskContext.get().partitionId() << 40
-        stride = max(32, index.longest)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in chunks(raw, 2 << 20):
-                best = found_in(index, raw[lo:hi], threshold, overlap, gram, stride)
+            for (lo, hi), index in product(chunks(raw, 2 << 20), built(shared)):
+                best = found_in(index, raw[lo:hi], threshold, overlap, gram, max(32, index.longest))
                 out = [(ids[lo + d], row + lo + d, index.ids[i], i, *x) for (d, i), x in sorted(best.items())]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -304,20 +339,18 @@ def index_words(index: Index, item: int, part: np.ndarray, gram: int) -> int:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, gram: int = 5) -> DataFrame:
     """``docs`` without the rows that hold a test item; a filter, so rows aren't shuffled."""
-    for index in indexes(benchmark, gram):
-        docs = _without_shard(docs, docs.sparkSession.sparkContext.broadcast(index), threshold, overlap, gram)
+    for shared in passes(benchmark, gram):
+        docs = _without_shards(docs, shared, threshold, overlap, gram)
     return docs
 
 
-def _without_shard(docs: DataFrame, shared, threshold: float, overlap: float, gram: int) -> DataFrame:
+def _without_shards(docs: DataFrame, shared: Broadcast, threshold: float, overlap: float, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        stride = max(32, index.longest)
         for batch in batches:
             raw = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             keep = np.ones(len(raw), bool)
-            for lo, hi in chunks(raw, 2 << 20):
-                keep[[lo + d for d, _ in found_in(index, raw[lo:hi], threshold, overlap, gram, stride)]] = False
+            for (lo, hi), index in product(chunks(raw, 2 << 20), built(shared)):
+                keep[[lo + d for d, _ in found_in(index, raw[lo:hi], threshold, overlap, gram, max(32, index.longest))]] = False
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
