@@ -18,7 +18,7 @@ order; conversations never meet each other in a group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -49,23 +49,17 @@ def format_conversations(turns: DataFrame, budget: int = 384, history: int = 96)
     kept for repeated turns; what the system turn leaves goes to new turns.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    turn = F.struct(
-        F.col("turn"),
-        role.alias("role"),
-        text.alias("text"),
-        (F.regexp_count(text, F.lit(WORDS)) + TURN_TOKENS).cast("long").alias("tok"),
-    )
-    conv = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    tok = (F.regexp_count(text, F.lit(WORDS)) + TURN_TOKENS).cast("long")
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), tok.alias("tok"))
+    # tokens up to each turn, by one sort of the conversation, which the collection below is dealt by too
+    upto = F.sum("tok").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0))
+    conv = rows.withColumn("upto", upto).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "upto", "role", "text", "tok"))).alias("t"))
     conv = conv.select(
         "conv_id",
         "t",
         F.when(F.col("t")[0]["role"] == "system", 1).otherwise(0).alias("sys"),
         # prefix[i]: tokens of the turns before turn i
-        F.aggregate(
-            "t",
-            F.array(F.lit(0).cast("long")),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["tok"])),
-        ).alias("prefix"),
+        F.concat(F.array(F.lit(0).cast("long")), F.transform("t", lambda x: x["upto"])).alias("prefix"),
     ).withColumn("cap", F.greatest(F.lit(1), F.lit(budget - history) - F.when(F.col("sys") == 1, F.col("t")[0]["tok"]).otherwise(0)))
     # a span ends before the turn with which it would pass the cap
     conv = conv.withColumn(
@@ -75,18 +69,14 @@ def format_conversations(turns: DataFrame, budget: int = 384, history: int = 96)
             " if(i > element_at(acc, -1) and prefix[i + 1] - prefix[element_at(acc, -1)] > cap, concat(acc, array(i)), acc))"
         ),
     )
-    win = conv.select("*", F.posexplode("starts").alias("win", "first")).withColumns(
-        {
-            "stop": F.expr("coalesce(get(starts, win + 1), size(t))"),
-            "back": F.expr("if(win = 0, 0, size(filter(sequence(sys, first - 1), j -> prefix[first] - prefix[j] <= %d)))" % history),
-        }
-    )
-    win = win.withColumns(
-        {
-            "seen": F.expr("if(win = 0, slice(t, 1, 0), concat(slice(t, 1, sys), slice(t, first - back + 1, back)))"),
-            "new": F.expr("if(win = 0, slice(t, 1, stop), slice(t, first + 1, stop - first))"),
-        }
+    # windows are cut out before they become rows, so that no row carries the whole conversation; no more turns fit the history than
+    # have the marks' tokens alone
+    back = f"if(win = 0, 0, size(filter(sequence(greatest(sys, first - {history // TURN_TOKENS + 1}), first - 1), j -> prefix[first] - prefix[j] <= {history})))"
+    cut = (
+        f"transform(starts, (first, win) -> named_struct('win', win, 'seen', if(win = 0, slice(t, 1, 0), concat(slice(t, 1, sys), slice(t, first - {back} + 1, {back}))),"
+        " 'new', if(win = 0, slice(t, 1, coalesce(get(starts, win + 1), size(t))), slice(t, first + 1, coalesce(get(starts, win + 1), size(t)) - first))))"
     )
+    win = conv.select("conv_id", F.explode(F.expr(cut)).alias("w")).select("conv_id", "w.*")
     shown = F.transform(
         F.concat("seen", "new"),
         lambda x: F.struct(
