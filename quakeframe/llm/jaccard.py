@@ -46,15 +46,19 @@ from .common import drop_written, written
 from .components import settled
 from .texthash import ODD, Words, chunks, mix, ngram_hashes
 
+#: Bytes of texts whose words are hashed at once; the arrays of that take some 50 times as much.
+AT_A_TIME = 1 << 20
 #: Members of a bucket that one part compares with each other.
 CHUNK = 2048
+#: Words of sketches that are compared at once.
+AT_ONCE = 1 << 19
 #: Bits of the filter by which texts are picked before they are shuffled.
 FILTER_BITS = 24
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
     """For each text the sorted hashes of its distinct n-grams of words."""
-    for lo, hi in chunks(texts):
+    for lo, hi in chunks(texts, AT_A_TIME):
         w = Words(texts[lo:hi], lower=True)
         grams = ngram_hashes(w.hash, n)
         for i in range(hi - lo):
@@ -154,7 +158,7 @@ def _rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for lo, hi in chunks(texts, 1 << 20):
+            for lo, hi in chunks(texts, AT_A_TIME):
                 sets = list(shingle_sets(texts[lo:hi], n))
                 nodes, first = np.unique(np.array([node_of(s) for s in sets], np.int64), return_index=True)
                 own = [signatures(sets[i], num, den).view(np.int64) for i in first if len(sets[i])]
@@ -257,6 +261,28 @@ def _compared(dealt: DataFrame, num: int, den: int, allowed: int) -> DataFrame:
     columns = ["bucket", "part", "node", "comp", "lead", "n", "sketch", "bad", "done"]
     dealt = dealt.select(*columns).repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part")
 
+    def similar(n: np.ndarray, m: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        both = n + m
+        return (both - bits) * den >= num * (both + bits)
+
+    def two(rows: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
+        """Of the buckets of two members that begin at these rows, those whose members may be similar."""
+        n, sketches = rows.column(5).to_numpy(), rows.column(6)
+        at = np.frombuffer(sketches.buffers()[1], np.int32, len(sketches) + 1, sketches.offset * 4).astype(np.int64)
+        flat, size = np.frombuffer(sketches.buffers()[2], np.uint64), np.diff(at) // 8
+        x, y = np.where(size[first] <= size[first + 1], first, first + 1), np.where(size[first] <= size[first + 1], first + 1, first)
+        out = np.zeros(len(first), bool)
+        shape = size[y] << 20 | size[x]
+        for s in np.unique(shape):
+            own = np.flatnonzero(shape == s)
+            small, large = int(s & (1 << 20) - 1), int(s >> 20)
+            for lo in range(0, len(own), step := max(1, AT_ONCE // large)):
+                k = own[lo : lo + step]
+                p = flat[(at[x[k]] // 8)[:, None] + np.arange(small)]
+                q = flat[(at[y[k]] // 8)[:, None] + np.arange(large)].reshape(len(k), -1, small)
+                out[k] = similar(n[x[k]], n[y[k]], apart(p, np.bitwise_xor.reduce(q, axis=1)))
+        return out
+
     def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         node, comp, lead, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
         words = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(6)]
@@ -269,25 +295,38 @@ def _compared(dealt: DataFrame, num: int, den: int, allowed: int) -> DataFrame:
                     bad.setdefault(i, []).append(j)
                     bad.setdefault(j, []).append(i)
         root, tied, a, b = comp.copy(), {}, [], []
-        for i in np.flatnonzero(lead):
-            x = np.flatnonzero((root != root[i]) & (node != node[i]))
-            both = n[x] + n[i]
-            x = x[(both - (d := apart(bits[x], bits[i]))) * den >= num * (both + d)]
-            for j in np.setdiff1d(x, bad[i]) if i in bad else x:
-                if root[i] != root[j]:
-                    a.append(i)
-                    b.append(j)
-                    key = (min(root[i], root[j]), max(root[i], root[j]))
-                    tied[key] = tied.get(key, 0) + 1
-                    if tied[key] >= allowed:
-                        root[root == root[j]] = root[i]
+        leaders = np.flatnonzero(lead)
+        later = np.where(lead, np.arange(len(node)), len(node))  # a pair of leaders counts once
+        for lo in range(0, len(leaders), step := max(1, AT_ONCE // (len(node) * least))):
+            own = leaders[lo : lo + step]
+            may = similar(n[own, None], n[None], apart(bits[own, None], bits[None])) & (comp[own, None] != comp[None]) & (later[None] > own[:, None])
+            for r in np.flatnonzero(may.any(axis=1)):
+                i = own[r]
+                x = np.flatnonzero(may[r] & (root != root[i]))
+                for j in np.setdiff1d(x, bad[i]) if i in bad else x:
+                    if root[i] != root[j]:
+                        a.append(i)
+                        b.append(j)
+                        key = (min(root[i], root[j]), max(root[i], root[j]))
+                        tied[key] = tied.get(key, 0) + 1
+                        if tied[key] >= allowed:
+                            root[root == root[j]] = root[i]
         x, y = node[a], node[b]
         return np.maximum(x, y), np.minimum(x, y)
 
     def give(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         out, bucket, done = [], rows.column(0).to_numpy(), rows.column(8).to_numpy(zero_copy_only=False)
         open_ = pa.array(bucket[bounds[:-1]][~done[bounds[:-1]]])
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        node, comp, lead = (rows.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+        plain = np.diff(bounds) == 2  # most buckets are of two members, both of which lead
+        plain[plain] = rows.column(7).null_count == rows.num_rows and lead[bounds[:-1][plain]] & lead[bounds[:-1][plain] + 1]
+        first = bounds[:-1][plain]
+        first = first[comp[first] != comp[first + 1]]
+        first = first[two(rows, first)]
+        if len(first):
+            out.append((bucket[first], np.maximum(node[first], node[first + 1]), np.minimum(node[first], node[first + 1])))
+        rest = np.flatnonzero(~plain)
+        for lo, hi in zip(bounds[rest], bounds[rest + 1], strict=True):
             a, b = compare(rows.slice(lo, hi - lo))
             if len(a):
                 out.append((np.full(len(a), bucket[lo]), a, b))
@@ -336,7 +375,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num:
         for batch in batches:
             xs, ys, good = batch.column(2), batch.column(3), []
             size = xs.nbytes // max(1, batch.num_rows) + 1
-            step = max(1, (1 << 22) // size)
+            step = max(1, AT_A_TIME // size)
             for lo in range(0, batch.num_rows, step):
                 for y, b, x in zip(ys.slice(lo, step), batch.column(1).slice(lo, step).to_pylist(), shingle_sets(xs.slice(lo, step).to_pylist(), n)):
                     if b != last:
