@@ -19,7 +19,8 @@ Python worker and looked up; texts that hold a special token's name are encoded
 whole texts.
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes first; rows with
-equal doc_id are kept, in an order that a run keeps to; an empty table gives empty tables.
+equal doc_id are kept, in an order that a run keeps to; an empty table gives empty tables. A very long text is encoded
+by itself and cut in chunks like any other. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -67,6 +67,16 @@ def test_chat_read_back(spark):
     assert chat.conversation_digests(chat.format_conversations(df.where("false"))).count() == 0
 
 
+def test_chat_of_one_very_long_conversation(spark):
+    """6,000 turns in one conversation, and budgets that hold."""
+    df = spark.range(6_000).select(F.lit(7).alias("conv_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string"), F.lit(" some words more")).alias("text")).withColumnRenamed("id", "turn").repartition(4)
+    win = chat.format_conversations(df).persist()
+    assert win.agg(F.sum("n_new"), F.max("n_tokens"), F.max("n_repeated")).first()[0] == 6_000 and win.where("n_tokens > 384").isEmpty()
+    got = chat.conversation_digests(win).first()
+    texts = [f"turn {k} some words more" for k in range(6_000)]
+    assert got.n_turns == 6_000 and got.loss_sha256 == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+
+
 # op2
 
 
@@ -123,22 +133,43 @@ def accuracy(spark, docs, train, score, label, n, held, least):
 
 def test_quality_on_held_out(spark, odd, none):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
-    model, right, _ = accuracy(spark, docs, quality.train, quality.score, "quality", 3, 1, 0.5)
-    assert right > 0.9
+    model, _, test = accuracy(spark, docs, quality.train, quality.score, "quality", 3, 1, 0.5)
+    assert all(sum(p == bool(y) for p, y in test if y == c) > 0.85 * sum(y == c for _, y in test) for c in (0, 1))  # of either class
     scored = quality.score(odd, model).collect()
     assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
     assert quality.score(none, model).count() == 0
 
 
 def test_toxicity_on_held_out(spark, odd, none):
+    """37 toxic texts to learn from. Some labels of this table are wrong: 5 of its 14 held-out toxic documents hold no word that any other toxic
+    document has, so more than 9 can't be found; to say 0 always finds none, and to say 1 always is right about no other."""
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
-    model, right, _ = accuracy(spark, docs, toxicity.train, toxicity.score, "toxic", 4, 2, 0.3)
-    assert right > 0.8
+    model, _, test = accuracy(spark, docs, toxicity.train, toxicity.score, "toxic", 4, 2, 0.3)
+    assert sum(p for p, y in test if y) >= 9 and sum(not p for p, y in test if not y) >= 0.95 * sum(not y for _, y in test)
     scored = toxicity.score(odd, model).collect()
     assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.score(none, model).count() == 0
 
 
+def test_thirty_toxic_texts_are_enough():
+    """Toxic texts hold a few of 12 words in 60 to 300 others; texts that weren't learnt from are told apart by them."""
+    rng = random.Random(3)
+    bad = [f"{a}{b}" for a in ("grob", "mock", "sneer") for b in ("el", "ash", "ity", "oun")]
+    other = ["".join(rng.choices("aeinorstl", k=rng.randint(2, 8))) for _ in range(900)]
+
+    def text(toxic):
+        words = rng.choices(other, k=rng.randint(60, 300))
+        for _ in range(rng.randint(3, 6) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        return " ".join(words).encode()
+
+    y = np.array([1] * 30 + [0] * 250)
+    model = toxicity.fit([text(k) for k in y], y, 30 / 280)
+    margin = toxicity.margins(model["net"], [text(1) for _ in range(100)] + [text(0) for _ in range(400)])
+    flagged = 1 / (1 + np.exp(-(model["a"] * margin + model["b"]))) >= 0.3
+    assert flagged[:100].mean() >= 0.95 and flagged[100:].mean() <= 0.05
+
+
 def test_one_class_or_no_labels(spark, docs):
     for labels, want in (([], 0.5), ([(0, 1), (1, 1)], 1.0)):
         table = spark.createDataFrame(labels, "doc_id long, toxic int")

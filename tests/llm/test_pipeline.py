@@ -51,6 +51,9 @@ def test_stages(spark):
 
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, "en", "s", 0), (None, "a", "en", "s", 1), (3, "", None, None, None), (4, "x " * 500, "en", "s", 1000), (4, "x " * 500, "en", "s", 1000)], "doc_id long, text string, lang string, source string, n_chars int")
-    for d in (docs, docs.where("false")):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, d, SF).collect()
+    more = docs.selectExpr("*", "'x' as score", "1 as row", "2 as number", "'y' as kept", "3 as n_removed", "4 as component_id", "5 as node", "6 as ids", "7 as raw")
+    for d in (docs, docs.where("false"), more):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, d, SF)
+            got.collect()
+            assert name == "byte-level-bpe" or sorted(got.columns) == sorted(docs.columns)
