@@ -65,3 +65,25 @@ def test_origins(spark):
     assert [r.id for r in c.events.collect()] == [1]
     assert [(r.event_id, r.station_id, r.type) for r in c.phases.collect()] == [(1, "CH.AAA.", "P")]
     assert [r.id for r in c.stations.collect()] == ["CH.AAA."]
+
+
+def test_written_pairs_lags_and_clusters(spark, tmp_path):
+    c = io.read_catalog(spark, *files(tmp_path))
+    cache = spark.createDataFrame([(7, 77, "CH.AAA.", "P", True, 0.5, -0.125), (7, 9, "CH.BBB.00", "S", False, None, None)], "ev1 long, ev2 long, station_id string, type string, valid boolean, coefficient double, lag double")
+    io.write_xcorr(cache, c.stations, str(tmp_path / "lags"))
+    again = io.read_xcorr(spark, str(tmp_path / "lags"))
+    assert sorted(map(str, again.select(cache.columns).collect())) == sorted(map(str, cache.collect()))
+    edges = spark.createDataFrame([(7, 77, "Pg", "CH.AAA.", 1), (9, 7, "Sg", "CH.BBB.00", 1)], "ref_id long, neigh_id long, type string, station_id string, cluster_id long")
+    io.write_pairs(edges, c.stations, str(tmp_path / "pairs"))
+    back, nodes = io.read_pairs(spark, str(tmp_path / "pairs"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, edges.select(back.columns).collect())) and nodes.count() == 3
+    named = spark.createDataFrame([(7, 1), (77, 1), (9, 2)], "id long, cluster_id long")
+    io.write_clusters(c, edges, named, str(tmp_path / "clusters"))
+    assert (tmp_path / "clusters/pairs/cluster_id=1").is_dir() and (tmp_path / "clusters/events/cluster_id=2").is_dir()
+    assert spark.read.option("header", True).csv(str(tmp_path / "clusters/phases")).count() == 2
+
+
+def test_a_file_without_a_header(spark, tmp_path):
+    p = tmp_path / "plain.csv"
+    p.write_text('7,"a, b"\n8,c\n')
+    assert [tuple(r) for r in io.read_with_header(spark, str(p), ["id", "name"]).collect()] == [("7", "a, b"), ("8", "c")]
