@@ -6,16 +6,15 @@ the whole word (by hash) and of its mean character vector (hashed 3- to 5-grams
 marks, ASCII letters in lower case), and of its evidence in a direction that is learnt: the smoothed log ratio of the
 shares of toxic and of other texts that have the word, 0 for words of few texts. While learning, a text sees the evidence
 of the texts of other folds only, so rare words that it has itself tell it nothing. The states of a forward and a backward gated recurrent layer are pooled by attention, and a
-linear layer gives the window's logit. A text's margin is its greatest logit; a logistic curve, fitted on
-margins from networks that didn't learn from their texts, with the classes weighted as in all labels, turns
-margins into scores.
+linear layer gives the window's logit. A text's margin is its greatest logit; a logistic curve, fitted with
+the classes weighted as in all labels (of many texts on a fifth that the network doesn't learn from), turns margins into scores.
 
 Training rows are a bounded sample: of each class the ``per_class`` labelled documents whose ids come first by hash.
 At first each of their windows has its document's label, later a toxic text's best window stands for it. Every text is scored whole.
 
 Defined results: a null text counts as empty; a text without words is one window without words, whose pooled state is 0.
 Labels: as in ``quality``. With labels of one class only, or none, every score is that class' share (0.5
-without labels). Rows are independent: repeated documents get equal scores; other columns pass through.
+without labels); with so few that margins don't rise with the labels, the share of class 1. Rows are independent: repeated documents get equal scores; other columns pass through.
 """
 
 from __future__ import annotations
@@ -43,8 +42,8 @@ GRAMS = (3, 4, 5)
 SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Sample texts with which the tables learn at the full rate; with fewer, which they would only learn by heart, slower.
 ENOUGH = 1600
-#: Steps that a network of few texts makes at least, in whole epochs.
-STEPS = 160
+#: Twice the steps that a network of few texts makes on all windows, in whole epochs.
+STEPS = 60
 #: Windows that are run at once.
 AT_ONCE = 4096
 f32 = np.float32
@@ -216,8 +215,8 @@ def margins(p: dict, texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
-def fit_network(texts: list[bytes], y: np.ndarray, epochs: int = 1, refine: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 11) -> dict:
-    """Weights after Adam on the windows' log loss; both classes weigh the same together. In the last ``refine`` epochs
+def fit_network(texts: list[bytes], y: np.ndarray, epochs: int = 1, refine: int | None = None, batch: int = 256, rate: float = 0.01, seed: int = 11) -> dict:
+    """Weights after Adam on the windows' log loss; both classes weigh the same together. In the last ``refine`` epochs (more with few texts)
     a text of class 1 gives only its best window, as most of a toxic text may be harmless."""
     rng = np.random.default_rng(seed)
     p = start_weights(rng)
@@ -246,6 +245,7 @@ def fit_network(texts: list[bytes], y: np.ndarray, epochs: int = 1, refine: int
         common[name] = np.bincount(np.unique(own << BITS | row) & (1 << BITS) - 1, minlength=1 << BITS) >= LEAST_TEXTS
         p[name][~common[name]] = 0
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items() if k != "evidence"}
+    refine = refine or (4 if len(texts) >= ENOUGH else 12)
     step, epochs = 0, epochs * max(1, STEPS // 2 * batch // max(1, len(start)))
     for epoch in range(epochs + refine):
         order = np.arange(len(start))
@@ -295,35 +295,23 @@ def fit_network(texts: list[bytes], y: np.ndarray, epochs: int = 1, refine: int
 
 
 def fit(texts: list[bytes], y: np.ndarray, share: float) -> dict:
-    """Network and logistic curve. Of many texts every fifth of each class, in the order given, is for the curve alone. With fewer than
-    ``ENOUGH`` the curve is fitted on all, each text's margin from a network of the other half, and the network then learns from all."""
+    """Network and logistic curve. Of many texts every fifth of each class, in the order given, is for the curve alone. Fewer than ``ENOUGH``
+    can't spare any: their margins are those of the network that learns from them, whose evidence comes from other texts and whose tables
+    hardly move."""
     if len(set(y.tolist())) < 2:
         share = min(max(share if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return {"net": None, "a": 0.0, "b": float(np.log(share / (1 - share)))}
-    fold = np.zeros(len(y), np.int64)
+    held = np.zeros(len(y), bool)
     for c in (0, 1):
-        own = np.flatnonzero(y == c)
-        fold[own] = np.arange(len(own)) % FOLDS
-
-    def net_of(learn: np.ndarray) -> dict:
-        return fit_network([t for t, k in zip(texts, learn, strict=True) if k], y[learn])
-
-    def margins_of(net: dict, where: np.ndarray) -> np.ndarray:
-        return margins(net, [t for t, k in zip(texts, where, strict=True) if k])
-
-    if len(y) >= ENOUGH:
-        held = fold == FOLDS - 1
-        net = net_of(~held)
-        margin, y = margins_of(net, held), y[held]
-    elif min(np.bincount(y)) < FOLDS:
-        net = net_of(fold >= 0)
-        margin = margins_of(net, fold >= 0)
-    else:
-        margin = np.zeros(len(y))
-        for half in (fold % 2 == 0, fold % 2 == 1):
-            margin[half] = margins_of(net_of(~half), half)
-        net = net_of(fold >= 0)
+        held[np.flatnonzero(y == c)[4::5]] = True
+    if len(y) < ENOUGH or len(set(y[held].tolist())) < 2:
+        held[:] = True
+    learn = held.all() | ~held
+    net = fit_network([t for t, k in zip(texts, learn, strict=True) if k], y[learn])
+    margin, y = margins(net, [t for t, k in zip(texts, held, strict=True) if k]), y[held]
     a, b = fit_logistic(margin, y, share)
+    if a < 0:  # margins of other texts tell nothing, as there are too few to learn from
+        a, b = 0.0, float(np.log(share / (1 - share)))
     return {"net": net, "a": a, "b": b}
 
 

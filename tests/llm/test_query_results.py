@@ -90,7 +90,7 @@ def test_classifiers(spark, docs, name, n, held, least):
     else:
         m = toxicity.train(*tables, "toxic", quality.learnable(n, held))
         for r, (_, text) in zip(got[:25], docs, strict=False):
-            assert abs(r.score - plain_score(m, text)) < 1e-4
+            assert abs(r.score - plain_score(m, text)) < 2e-3
 
 
 def test_token_store(spark, docs):
