@@ -70,7 +70,7 @@ def log_ratio(rows: list[np.ndarray], y: np.ndarray, size: int = 1 << BITS, smoo
 def unit(r: np.ndarray, x: np.ndarray) -> np.ndarray:
     v = r[x]
     norm = np.sqrt(v @ v)
-    return v / norm if norm > 0 else v
+    return (v / norm if norm > 0 else v).astype(np.float32)
 
 
 def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, c: float = 10.0, epochs: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -133,7 +133,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float | None = None) -> di
 
     def fitted(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         r = log_ratio([rows[i] for i in own], y[own])
-        w, bias = fit_hinge([rows[i] for i in own], [unit(r, rows[i]) for i in own], y[own], 1 << BITS)
+        # one array for all values, which the system takes back as a whole
+        edges = np.cumsum([0, *(len(rows[i]) for i in own)])
+        flat = np.empty(edges[-1], np.float32)
+        for i, a, b in zip(own, edges[:-1], edges[1:], strict=True):
+            flat[a:b] = unit(r, rows[i])
+        w, bias = fit_hinge([rows[i] for i in own], [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], y[own], 1 << BITS)
         return r, w, bias
 
     held = np.zeros(len(y), bool)
@@ -175,8 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cla
     counts = {r.y: r.n for r in agreed.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     sample = labelled_sample(docs, agreed, per_class).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "raw")
-    rows = sorted((r.doc_id, r.y, bytes(r.x)) for r in sample.mapInArrow(extract, "doc_id long, y int, x binary").collect())
-    return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, _, x in rows], np.array([y for _, y, _ in rows]), share)
+    found = sample.mapInArrow(extract, "doc_id long, y int, x binary").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "y", "x")]).combine_chunks()
+    # views of one buffer, as thousands of arrays of their own would stay in the driver's memory
+    model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in found.column("x")], found.column("y").to_numpy(), share)
+    del found, sample
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: dict, into: str = "score") -> DataFrame:
