@@ -367,7 +367,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b, good): whether the sets of two nodes are similar, on sets made anew from the texts."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(_texts_of(docs, written(nodes.join(ends, "node").select("node", "picked"), "wanted")), "texts")
+    texts = written(_texts_of(docs, nodes.join(ends, "node").select("node", "picked")), "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("raw").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
