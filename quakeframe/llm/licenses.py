@@ -124,6 +124,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "All rights reserved."),
 ]
 THRESHOLD = 0.8
+#: Words that any prose has, and so are no good to look for.
+COMMON = frozenset("a all an and any are as at be by for from if in is it no not of on or that the this to under which with you".split())
 
 
 def template_words(text: str) -> list[str]:
@@ -138,13 +140,13 @@ def template_bigrams(text: str) -> list[str]:
 
 
 def anchors(text: str, threshold: float) -> list[tuple[str, int, int]]:
-    """(word, its place in the template, words of the template) of a template's anchors: its longest words, so many that fewer bigrams
-    are without any than a match has in common."""
+    """(word, its place in the template, words of the template) of a template's anchors: its longest words, common ones last, so many that
+    fewer bigrams are without any than a match has in common."""
     words, grams = template_words(text), template_bigrams(text)
     lo, hi = size_bounds(len(grams), threshold)
     need = min(math.ceil(threshold * (len(grams) + u) / 2 - 1e-9) for u in range(lo, hi + 1))
     chosen: set[str] = set()
-    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+    for w in sorted(set(words), key=lambda w: (w in COMMON, -len(w), w)):
         if sum(not chosen.intersection(g.split()) for g in grams) < need:
             break
         chosen.add(w)
