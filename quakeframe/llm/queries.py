@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, jaccard, licenses, media_columns, quality, suffix, tokens, toxicity
+from . import align, bpe, chat, decontam, importance, jaccard, licenses, media_columns, merges, quality, suffix, tokens, toxicity
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,5 +80,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    coded = merges.decode(merges.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    with open(a_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, open(b_path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as g:
+        aligned, _ = align.align(table(spark, sf_dir, "documents"), f.read(), g.read())
+    return align.alignment_digests(aligned)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op5_decontamination, op6_jaccard_join, op7_media_columns, op8_byte_bpe, op9_toxicity, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_classifier, op4_token_store, op5_decontamination, op6_jaccard_join, op7_media_columns, op8_byte_bpe, op9_toxicity, op10_suffix_dedup, op11_bpe, op12_token_alignment, op13_importance_resampling)}

@@ -90,6 +90,37 @@ SELECT documents.doc_id, license, round(coalesce(dice, 0e0), 6) AS dice, coalesc
 FROM documents LEFT JOIN found ON found.doc_id = documents.doc_id
 """
 
+#: CRC-32 of each different word, byte by byte through a table that is made of the polynomial.
+OP13 = r"""
+WITH w AS (
+  SELECT 0 AS side, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, 0, coalesce(text, '') FROM benchmark
+), f AS (
+  SELECT side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM w
+), steps AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))
+), crc AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM f), steps
+), b AS (
+  SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM f JOIN crc USING (word) GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM b) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM b) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM b
+), d AS (
+  SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS given FROM f JOIN crc USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY doc_id
+), x AS (
+  SELECT documents.doc_id, coalesce(n_features, 0) AS n_features, coalesce((given - ((given % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    ('0x' || substr(sha256('2024:' || documents.doc_id), 1, 8))::BIGINT AS h
+  FROM documents LEFT JOIN d USING (doc_id)
+), y AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM x
+), r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM y WHERE n_features >= 20
+)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank FROM y LEFT JOIN r USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op2_license_scan": _op2()}
+    return {"op1_chat_format": OP1, "op2_license_scan": _op2(), "op13_importance_resampling": OP13}
