@@ -33,9 +33,9 @@ from tokenizers import Tokenizer
 from .texthash import chunks, flat_ranges
 
 #: Bytes of text, and ids, that are worked on at once.
-BLOCK, DECODED = 4 << 20, 1 << 20
+BLOCK, DECODED = 2 << 20, 1 << 19
 #: Words of a generation, and words that are split at once.
-REMEMBER, JOINED = 250_000, 512
+REMEMBER, JOINED = 150_000, 512
 _WORKER: list = []
 
 
@@ -98,23 +98,22 @@ class Merges:
         return [x for x in ids if x >= 0]
 
 
-class Remembered(dict):
+class Remembered:
     """A dict of two generations: what is looked up moves to the younger, and when that is full the older is forgotten."""
 
     def __init__(self):
-        super().__init__()
-        self.old: dict = {}
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is not None:
-            self[key] = found
+    def get(self, key: str) -> tuple | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.pop(key, None)) is not None:
+            self.young[key] = found
         return found
 
     def turn(self) -> None:
-        if len(self) > REMEMBER:
-            self.old = dict(self)
-            self.clear()
+        if len(self.young) > REMEMBER:
+            self.old, self.young = self.young, {}
 
 
 class Encoder:
@@ -122,44 +121,51 @@ class Encoder:
 
     def __init__(self, key: str, text: str):
         self.key, self.merges = key, Merges(text)
+        #: An ASCII word that is a piece as it is stands among the pieces alone; words share the ids of their only piece.
         self.words, self.pieces = Remembered(), Remembered()
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces[piece]
+    def known(self, word: str) -> tuple | None:
+        found = self.pieces.get(word) if word.isascii() else None
+        return self.words.get(word) if found is None else found
+
+    def piece(self, piece: str) -> tuple:
+        ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = self.merges.piece(piece)
+            ids = self.pieces.young[piece] = tuple(self.merges.piece(piece))
         return ids
 
-    def word(self, word: str) -> list[int]:
-        m, out = self.merges, []
+    def word(self, word: str) -> tuple:
+        m, out = self.merges, ()
         for k, part in enumerate(m.cut.split(word) if m.cut else [word]):
             if k % 2:
-                out.append(m.special[part])
+                out += (m.special[part],)
             elif part:
                 for piece, _ in m.split(m.normalise(part)):
                     out += self.piece(piece)
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Words are normalised and split many at a time, told apart by the spaces between them; those with special tokens, or with white
-        space that isn't ASCII's, one by one."""
-        m = self.merges
+    def learn(self, words: list[str]) -> list[tuple]:
+        """The ids of words that aren't known. They are normalised and split many at a time, told apart by the spaces between them; those with
+        special tokens, or with white space that isn't ASCII's, one by one."""
+        m, learnt = self.merges, []
         for lo in range(0, len(words), JOINED):
             group = words[lo : lo + JOINED]
             joined = " ".join(group)
             text = "" if m.cut and m.cut.search(joined) else m.normalise(joined)
             parts = text.split(" ")
             if len(parts) != len(group):
-                self.words.update((w, self.word(w)) for w in group)
-                continue
-            found: list[list[int]] = [[] for _ in group]
-            at, end = 0, len(parts[0])
-            for piece, (_, stop) in m.split(text):
-                while stop > end:
-                    at += 1
-                    end += 1 + len(parts[at])
-                found[at] += self.piece(piece)
-            self.words.update(zip(group, found, strict=True))
+                found = [self.word(w) for w in group]
+            else:
+                found = [()] * len(group)
+                at, end = 0, len(parts[0])
+                for piece, (_, stop) in m.split(text):
+                    while stop > end:
+                        at += 1
+                        end += 1 + len(parts[at])
+                    found[at] = found[at] + self.piece(piece) if found[at] else self.piece(piece)
+            self.words.young.update((w, ids) for w, ids in zip(group, found, strict=True) if not (w.isascii() and w in self.pieces.young))
+            learnt += found
+        return learnt
 
     def texts(self, texts: pa.Array) -> pa.Array:
         """The ids of some texts, as lists."""
@@ -168,8 +174,11 @@ class Encoder:
         blank = pc.equal(flat, "")
         coded = flat.filter(pc.invert(blank)).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        self.learn([w for w in words if self.words[w] is None])
-        found = list(map(self.words.__getitem__, words))
+        found = list(map(self.known, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self.learn([words[i] for i in new]), strict=True):
+            found[i] = ids
+        del words
         self.words.turn()
         self.pieces.turn()
         size = np.fromiter(map(len, found), np.int64, len(found))
