@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that ``spark.checkpoint.dir`` names and read again, which cuts its lineage; without
-    the setting (tests) it stays in the session, kept on disk."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return df.persist()
-    path = f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..tables import drop, settled
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster_id) of all nodes (id); edges (a, b) count in both directions. A cluster's id is its least member.
 
     Each round ties every node to the least of its neighbourhood (large star, then small star), so long chains
-    shrink by half. Nodes without edges are clusters of their own."""
+    shrink by half, and rounds go on until nothing changes. Nodes without edges are clusters of their own."""
     now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
@@ -37,9 +25,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = settled(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-    else:
-        raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
+        last, now = now, settled(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        drop(last)
     tied = now.select(F.col("a").alias("id"), F.col("b").alias("cluster_id"))
     return nodes.select("id").distinct().join(tied, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..schema import Catalog
-from .graph import components, oriented, settled
+from ..tables import drop, settled
+from .graph import components, oriented
 from .spatial import neighbours_within
 
 
@@ -71,21 +72,21 @@ def eligible_edges(cat: Catalog, o: Selection) -> DataFrame:
     return both.withColumn("_n", F.count("*").over(pair)).where(F.col("_n") >= o.min_phases).drop("_n")
 
 
-def peel(pairs: DataFrame, least: int, most: int, rounds: int = 1000) -> DataFrame:
-    """The pairs (ref_id, neigh_id, ...) that stay if events with fewer than ``least`` neighbours go, until none does."""
+def peel(pairs: DataFrame, least: int, most: int) -> DataFrame:
+    """The pairs (ref_id, neigh_id, ...) that stay if events with fewer than ``least`` neighbours go, again and again until none does."""
     if least <= 0:
         return pairs
     if 0 < most < least:
         return pairs.limit(0)
-    before = pairs.count()
-    for _ in range(rounds):
+    before, last = pairs.count(), None
+    while True:
         stay = pairs.groupBy("ref_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("ref_id").alias("id"))
         pairs = settled(pairs.join(stay.withColumnRenamed("id", "ref_id"), "ref_id", "left_semi").join(stay.withColumnRenamed("id", "neigh_id"), "neigh_id", "left_semi"))
         now = pairs.count()
+        drop(last)
         if now == before:
             return pairs
-        before = now
-    raise RuntimeError("peeling isn't settled")
+        before, last = now, pairs
 
 
 def nearest_first(pairs: DataFrame, most: int) -> DataFrame:

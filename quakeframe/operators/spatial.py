@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .graph import settled
+from ..tables import settled
 
 
 def _with_xyz(points: DataFrame, end: str, id_name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import settled
+from ..tables import settled
 
 FIVE = ("min", "q1", "q2", "q3", "max")
 
@@ -75,23 +75,27 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     """df with ``_rank`` (1, 2, ... in an order, ties anyhow) and ``_total``: rows are dealt by range, ranked in their part, and
     the parts' sizes, one row each, are added up."""
     # written once: bounds are drawn from a sample, and must be the same for the sizes and for the rows
-    parts = settled(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
-    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    table = settled(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
+    parts = table.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    return parts.join(F.broadcast(sizes), "_part").withColumn("_rank", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    found = parts.join(F.broadcast(sizes), "_part").withColumn("_rank", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    found.settled_at = table.settled_at  # ``tables.drop`` deletes it once the ranks have been used
+    return found
 
 
 def quantiles(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
     """(k, value): the linear quantile for each fraction, from global ranks; NULL values are left out."""
-    rows = ranked(df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")), ["_v"])
+    rows = table = ranked(df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")), ["_v"])
     wanted = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(f) * (F.col("_total") - 1)).alias("at")) for k, f in enumerate(fractions)))
     place = F.col("_rank") - 1
     near = F.filter(wanted, lambda w: (place == F.floor(w["at"])) | (place == F.floor(w["at"]) + 1))
     rows = rows.select("_v", place.alias("place"), F.explode(near).alias("w"))  # two rows at most for each fraction
     share = F.col("w.at") - F.floor("w.at")
     part = F.when(F.col("place") == F.floor("w.at"), 1.0 - share).otherwise(share)
-    return rows.groupBy(F.col("w.k").alias("k")).agg(F.sum(part * F.col("_v")).alias(value))
+    found = rows.groupBy(F.col("w.k").alias("k")).agg(F.sum(part * F.col("_v")).alias(value))
+    found.settled_at = table.settled_at
+    return found
 
 
 def equal_frequency(df: DataFrame, value: str, bins: int) -> DataFrame:

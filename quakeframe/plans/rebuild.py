@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import merge_keep_ids, with_processing
 from ..schema import Catalog
-from .relocate import Options, relocate_catalog, relocate_in_two_steps
+from .relocate import Options, only_moved, relocate_catalog, relocate_in_two_steps
 
 TABLES = ("stations", "events", "phases")
 
@@ -40,8 +40,8 @@ def current(spark: SparkSession, path: str, number: int | None = None) -> Catalo
 
 
 def moved(events: DataFrame, result: DataFrame) -> DataFrame:
-    """events at the places of a relocation's result; those that it doesn't have stay."""
-    new = result.select(F.col("event_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("latitude", "longitude", "depth", "t_us")])
+    """events at the places of a relocation's result; those that it doesn't have, or hasn't moved, stay."""
+    new = only_moved(result).select(F.col("event_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("latitude", "longitude", "depth", "t_us")])
     both = events.join(new, "id", "left")
     return both.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("latitude", "longitude", "depth", "t_us")}).select(*events.columns, F.col("_t_us").isNotNull().alias("relocated"))
 

@@ -5,7 +5,10 @@ one group of ``applyInPandas`` in which the weighted system is built and solved
 observations than ``Options.most_rows`` aren't: their vectors and matrices stay tables, and each iteration is a number of joins and sums.
 
 Travel times come from a spec, ``Options.times``: straight rays, a table, or any function of numpy arrays of the same form. Where it has none
-(NaN), a phase isn't used; an event that loses them by a move goes back to where it was."""
+(NaN), a phase isn't used; an event that a move leaves without any, of the phases it has as a reference, goes back to where it was.
+
+``moved`` tells events that a solution has moved, and that didn't go back, from those that are where they were: without observations of any weight,
+held fixed, or in a cluster whose first solve was rejected."""
 
 from __future__ import annotations
 
@@ -19,13 +22,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.weights import MAD_SCALE, schedule
-from ..operators.graph import settled
+from ..tables import drop, settled
 from ..operators.joins import lookup_xcorr
 from ..operators.neighbours import Selection, by_shells, clusters, eligible_edges, nearest_first, select_neighbours
 from ..operators.stats import quantiles
 from ..operators.xcorr import XcorrOptions, correlate_edges
 from ..schema import Catalog
-from .solver import CONDITION, lsmr, lsqr, solve_distributed
+from .solver import CONDITION, solve, solve_distributed
 
 EARTH_KM = 6371.00877141506
 RESULT = "event_id bigint, cluster_id bigint, latitude double, longitude double, depth double, t_us bigint, start_rms double, final_rms double, n_obs bigint, moved boolean, stopped string"
@@ -205,8 +208,7 @@ def _solved(c: Cluster, o: Options, i: int, residual: np.ndarray, slope: np.ndar
         t = np.bincount(c.one, a, len(c.owner)) - np.bincount(c.two, a, len(c.owner)) + b
         return np.bincount(col.ravel(), (full * t[:, None]).ravel(), n) * scale
 
-    solve = lsqr if o.solver == "LSQR" else lsmr
-    x, stopped = solve(forward, transposed, np.concatenate([w * d, hold * np.nan_to_num(residual)]), n, schedule(*o.damping, i, o.iterations))
+    x, stopped = solve(o.solver, forward, transposed, np.concatenate([w * d, hold * np.nan_to_num(residual)]), n, schedule(*o.damping, i, o.iterations))
     step = (x * scale).reshape(-1, 4)
     used = np.bincount(np.concatenate([c.ref, c.neigh]), np.tile(w > 0, 2), len(c.events)) > 0
     return step, c.moving & used & np.isfinite(step).all(axis=1), w, stopped
@@ -224,6 +226,7 @@ def solve_cluster(obs: pd.DataFrame, o: Options, free: bool = True, result: str
     DIFFERENCES. A solve whose system is conditioned too badly is rejected, and ends the iterations."""
     c = Cluster(obs, o, free)
     where, stopped, w = c.where, "", c.weight
+    moved, as_ref = np.zeros(len(c.events), bool), np.isin(np.arange(len(c.owner)), c.one)
     residual, slope = c.timed(where, o)
     first, start = residual, c.rms(residual)
     for i in range(o.iterations):
@@ -232,10 +235,12 @@ def solve_cluster(obs: pd.DataFrame, o: Options, free: bool = True, result: str
             break
         new = _shifted(where, step, ok)
         after, slopes = c.timed(new, o)
-        lost = c.by_event((np.isfinite(residual) & ~np.isfinite(after)).astype(float)) > 0
-        if lost.any():  # outside what there are travel times for
-            new = np.where(lost[:, None], where, new)
+        timed = c.by_event((as_ref & np.isfinite(after)).astype(float))
+        back = (moved | ok) & (c.by_event(as_ref.astype(float)) > 0) & (timed == 0)  # outside what there are travel times for
+        if back.any():
+            new = np.where(back[:, None], where, new)
             after, slopes = c.timed(new, o)
+        moved = np.where(back, moved, moved | ok)
         where, residual, slope = new, after, slopes
     if result == DIFFERENCES:
         d = residual[c.one] - residual[c.two] - c.lag
@@ -253,7 +258,7 @@ def solve_cluster(obs: pd.DataFrame, o: Options, free: bool = True, result: str
     n_obs = np.bincount(np.concatenate([c.ref, c.neigh]), minlength=len(c.events))
     return pd.DataFrame({
         "event_id": c.events, "cluster_id": c.id, "latitude": where[:, 0], "longitude": where[:, 1], "depth": where[:, 2],
-        "t_us": c.origin + np.rint(where[:, 3] * 1e6).astype(np.int64), "start_rms": start, "final_rms": c.rms(residual), "n_obs": n_obs, "moved": c.moving, "stopped": stopped,
+        "t_us": c.origin + np.rint(where[:, 3] * 1e6).astype(np.int64), "start_rms": start, "final_rms": c.rms(residual), "n_obs": n_obs, "moved": moved, "stopped": stopped,
     })
 
 
@@ -265,79 +270,133 @@ def geo_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _timed_rows(picks: DataFrame, state: DataFrame, o: Options) -> DataFrame:
-    """Picks of a large cluster (pick, event_id, observed, ...) with residual, dx, dy, dz where there is a travel time."""
-    rows = picks.join(state, "event_id").select("pick", "event_id", "quality", "moving", "latitude", "longitude", "depth", "st_lat", "st_lon", "elevation", "group", (F.col("observed") - F.col("shift")).alias("left"))
+    """Picks of a large cluster with their residuals and slopes; both are NULL where there is no travel time."""
+    rows = picks.join(state, "event_id").select("pick", "event_id", "as_ref", "quality", "moving", "latitude", "longitude", "depth", "st_lat", "st_lon", "elevation", "group", (F.col("observed") - F.col("shift")).alias("left"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             tt, slope = o.travel_times(*(b[c].to_numpy(float) for c in ("latitude", "longitude", "depth")), b[["st_lat", "st_lon", "elevation"]].to_numpy(float), b.group.to_numpy())
-            yield pd.DataFrame({"pick": b["pick"], "event_id": b.event_id, "quality": b.quality, "moving": b.moving, "residual": b.left - tt, "dx": slope[:, 0], "dy": slope[:, 1], "dz": slope[:, 2]})
-
-    return rows.mapInPandas(run, "pick string, event_id bigint, quality double, moving boolean, residual double, dx double, dy double, dz double")
+            yield pd.DataFrame({"pick": b["pick"], "event_id": b.event_id, "as_ref": b.as_ref, "quality": b.quality, "moving": b.moving, "residual": b.left - tt, "dx": slope[:, 0], "dy": slope[:, 1], "dz": slope[:, 2]})
+
+    found = rows.mapInPandas(run, "pick bigint, event_id bigint, as_ref boolean, quality double, moving boolean, residual double, dx double, dy double, dz double")
+    return found.withColumn("residual", F.when(~F.isnan("residual"), F.col("residual")))
+
+
+def _median(df: DataFrame, value: str) -> float | None:
+    """By ranks, so no task holds all values."""
+    found = quantiles(df, value, [0.5])
+    row = found.first()
+    drop(found)
+    return row and row[1]
+
+
+def _large_system(pairs: DataFrame, timed: DataFrame, o: Options, i: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of iteration i the rows (row, one, two, d, weight) with weight, the matrix (row, col, value) and its right side (row, value); the first two
+    are settled."""
+    a, b = (timed.select(F.col("pick").alias(n), F.col("residual").alias(f"r_{n}")) for n in ("one", "two"))
+    rows = pairs.join(a, "one").join(b, "two").withColumn("d", F.col("r_one") - F.col("r_two") - F.col("lag")).where("d is not null")
+    whole = None
+    if (alpha := schedule(*o.alpha, i, o.iterations)) > 0:
+        rows = whole = settled(rows)
+        middle = _median(rows, "d")
+        mad = _median(rows.select(F.abs(F.col("d") - middle).alias("d")), "d") if middle is not None else 0.0
+        x = F.col("d") * MAD_SCALE / (alpha * mad) if mad > 0 else None
+        rows = rows.withColumn("weight", F.col("weight") * (F.greatest(F.lit(0.0), 1 - x * x) ** 2 if x is not None else F.when(F.col("d") == 0, 1.0).otherwise(0.0)))
+    rows = settled(rows.where("weight > 0").select("row", "one", "two", "d", "weight"))
+    drop(whole)
+    used = rows.select(F.explode(F.array("one", "two")).alias("pick"), "weight").groupBy("pick").agg((schedule(*o.omega, i, o.iterations) * F.avg("weight")).alias("weight"))
+    # rows of observations count up from 0, those that hold a pick down from -1
+    hold = timed.where("moving").join(used, "pick").where("weight > 0").select((-1 - F.col("pick")).alias("row"), "pick", F.col("residual").alias("d"), "weight", F.lit(1.0).alias("sign"))
+    sides = [rows.select("row", F.col(n).alias("pick"), "d", "weight", F.lit(s).alias("sign")) for n, s in (("one", 1.0), ("two", -1.0))]
+    terms = sides[0].unionByName(sides[1]).unionByName(hold).join(timed.where("moving").select("pick", "event_id", "dx", "dy", "dz"), "pick")
+    axis = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate((F.col("dx"), F.col("dy"), F.col("dz"), F.lit(1.0))))))
+    matrix = settled(terms.withColumn("a", axis).select("row", (F.col("event_id") * 4 + F.col("a.k")).alias("col"), (F.col("sign") * F.col("weight") * F.col("a.v")).alias("value")))
+    right = rows.select("row", (F.col("d") * F.col("weight")).alias("value")).unionByName(hold.select("row", (F.col("d") * F.col("weight")).alias("value")))
+    return rows, matrix, right
+
+
+def _large_step(state: DataFrame, timed: DataFrame, rows: DataFrame, matrix: DataFrame, right: DataFrame, o: Options, i: int) -> tuple[DataFrame | None, str]:
+    """Where events go, with ``ok`` for those that the solution is good for; None if it's rejected. Settled."""
+    scale = settled(matrix.groupBy("col").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).where("norm > 0"))
+    scaled = matrix.join(scale, "col").select("row", "col", (F.col("value") / F.col("norm")).alias("value"))
+    x, stopped = solve_distributed(scaled, right, schedule(*o.damping, i, o.iterations), method=o.solver)
+    moved = None
+    if stopped != CONDITION:
+        steps = x.join(scale, "col").select(F.floor(F.col("col") / 4).alias("event_id"), F.pmod("col", F.lit(4)).alias("k"), (F.col("x") / F.col("norm")).alias("x"))
+        steps = steps.groupBy("event_id").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("x"))), F.lit(0.0)).alias(n) for k, n in enumerate(("east", "north", "up", "later"))])
+        used = rows.select(F.explode(F.array("one", "two")).alias("pick")).distinct().join(timed.select("pick", "event_id"), "pick").select("event_id", F.lit(True).alias("used")).distinct()
+        moved = state.join(steps, "event_id", "left").join(used, "event_id", "left").fillna(0.0, ["east", "north", "up", "later"])
+        lat, lon = geo.move(F.col("latitude"), F.col("longitude"), F.hypot("east", "north"), F.atan2("east", "north"), F.col("depth"))
+        ok = F.col("moving") & F.coalesce("used", F.lit(False))
+        places = {"latitude": lat, "longitude": lon, "depth": F.col("depth") - F.col("up"), "shift": F.col("shift") + F.col("later")}
+        moved = settled(moved.select("event_id", "moving", (F.col("moved") | ok).alias("moved"), *(F.when(ok, v).otherwise(F.col(k)).alias(k) for k, v in places.items())))
+    drop(x, scale)
+    return moved, stopped
 
 
-def relocate_large(obs: DataFrame, o: Options, free: bool = True) -> DataFrame:
-    """One cluster's events as ``solve_cluster`` gives them, with all vectors and matrices as tables. Each iteration writes its state; of its values only the
-    median deviation and the solver's scalars reach the driver."""
-    obs = settled(obs)
-    key = F.concat_ws("/", "event_id", "station_id", "type")
+def relocate_large(obs: DataFrame, o: Options, free: bool = True, result: str = RESULT) -> DataFrame:
+    """One cluster as ``solve_cluster`` gives it, with all vectors and matrices as tables. Of an iteration's values only the median deviation, the
+    solver's scalars and whether an event has to go back reach the driver. An iteration writes its rows, matrix, scale, state and residuals, and twice
+    four tables of ranks if residuals weigh; the solver two tables a step. All of them are deleted when the next ones have been written."""
     ends = None
     for k, name in ((1, "ref_id"), (2, "neigh_id")):
-        side = obs.select(F.col(name).alias("event_id"), "cluster_id", "station_id", "type", "group", "st_lat", "st_lon", "elevation", *[F.col(f"{c}{k}").alias(c) for c in ("latitude", "longitude", "depth", "t_us", "pick_us", "class_weight")], F.lit(k == 1 or free).alias("moving"))
+        side = obs.select(F.col(name).alias("event_id"), "cluster_id", "station_id", "type", "group", "st_lat", "st_lon", "elevation", *[F.col(f"{c}{k}").alias(c) for c in ("latitude", "longitude", "depth", "t_us", "pick_us", "class_weight")], F.lit(k == 1 or free).alias("moving"), F.lit(k == 1).alias("as_ref"))
         ends = side if ends is None else ends.unionByName(side)
-    state = ends.groupBy("event_id").agg(*[F.first(c).alias(c) for c in ("cluster_id", "latitude", "longitude", "depth", "t_us")], F.max("moving").alias("moving"), F.count("*").alias("n_obs"))
-    origin = settled(state)
+    origin = settled(ends.groupBy("event_id").agg(*[F.first(c).alias(c) for c in ("cluster_id", "latitude", "longitude", "depth", "t_us")], F.max("moving").alias("moving"), F.count("*").alias("n_obs")))
     weight = F.col("class_weight").cast("double") if o.pick_weights else F.lit(1.0)
-    picks = settled(ends.groupBy("event_id", "station_id", "type").agg(*[F.first(c).alias(c) for c in ("group", "st_lat", "st_lon", "elevation")], F.first((F.col("pick_us") - F.col("t_us")) / 1e6).alias("observed"), F.first(weight).alias("quality")).withColumn("pick", key))
+    found = ends.groupBy("event_id", "station_id", "type").agg(*[F.first(c).alias(c) for c in ("cluster_id", "group", "st_lat", "st_lon", "elevation")], F.first((F.col("pick_us") - F.col("t_us")) / 1e6).alias("observed"), F.first(weight).alias("quality"), F.max("as_ref").alias("as_ref"))
+    picks = settled(found.withColumn("pick", F.monotonically_increasing_id()))
     coefficient = F.coalesce(F.abs("coefficient"), F.lit(0.0))
     with_lag = coefficient >= o.min_coefficient
     mean = (F.col("class_weight1") + F.col("class_weight2")) / 2.0 if o.pick_weights else F.lit(1.0)
-    name = lambda e: F.concat_ws("/", e, "station_id", "type")
-    pairs = settled(obs.select(name("ref_id").alias("one"), name("neigh_id").alias("two"), F.when(with_lag, mean * (1 + (o.xcorr_scaler - 1) * coefficient)).otherwise(mean).alias("weight"), F.when(with_lag, F.col("lag")).otherwise(0.0).alias("lag")))
-    state = origin.select("event_id", "moving", "latitude", "longitude", "depth", F.lit(0.0).alias("shift"))
-    timed = settled(_timed_rows(picks, state, o))
-
-    def rms(timed: DataFrame) -> DataFrame:
-        known = F.when(~F.isnan("residual"), F.col("quality"))
-        return timed.groupBy("event_id").agg(F.sqrt(F.try_divide(F.sum((F.col("residual") * known) ** 2), F.sum(known * known))).alias("rms"))
-
-    start = rms(timed)
+    of = lambda event, pick: picks.select(F.col("event_id").alias(event), "station_id", "type", F.col("pick").alias(pick))
+    both = obs.join(of("ref_id", "one"), ["ref_id", "station_id", "type"]).join(of("neigh_id", "two"), ["neigh_id", "station_id", "type"])
+    both = both.select("ref_id", "neigh_id", "cluster_id", "station_id", "type", "coefficient", "one", "two", with_lag.alias("xcorr_used"), F.when(with_lag, mean * (1 + (o.xcorr_scaler - 1) * coefficient)).otherwise(mean).alias("weight"), F.when(with_lag, F.coalesce("lag", F.lit(0.0))).otherwise(0.0).alias("lag"))
+    both = settled(both.withColumn("row", F.monotonically_increasing_id()))
+    pairs = both.select("row", "one", "two", "weight", "lag")
+    state = settled(origin.select("event_id", "moving", F.lit(False).alias("moved"), "latitude", "longitude", "depth", F.lit(0.0).alias("shift")))
+    timed = first = settled(_timed_rows(picks, state, o))
+
+    stopped, rows = "", None
     for i in range(o.iterations):
+        drop(rows)
+        rows, matrix, right = _large_system(pairs, timed, o, i)
+        new, stopped = _large_step(state, timed, rows, matrix, right, o, i)
+        drop(matrix)
+        if new is None:
+            break
+        after = settled(_timed_rows(picks, new, o))
+        back = settled(after.where("as_ref").groupBy("event_id").agg(F.count("residual").alias("n")).where("n = 0").join(new.where("moved"), "event_id", "left_semi").select("event_id"))
+        if not back.isEmpty():  # outside what there are travel times for
+            kept = settled(new.join(back, "event_id", "left_anti").unionByName(state.join(back, "event_id", "left_semi").select(new.columns)))
+            drop(new, after)
+            new, after = kept, settled(_timed_rows(picks, kept, o))
+        drop(back, state, timed if timed is not first else None)
+        state, timed = new, after
+
+    weights = pairs.select("row", "weight") if rows is None else rows.select("row", "weight")
+    if result == DIFFERENCES:
         a, b = (timed.select(F.col("pick").alias(n), F.col("residual").alias(f"r_{n}")) for n in ("one", "two"))
-        rows = pairs.join(a, "one").join(b, "two").withColumn("d", F.col("r_one") - F.col("r_two") - F.col("lag")).where(~F.isnan("d"))
-        if (alpha := schedule(*o.alpha, i, o.iterations)) > 0:
-            rows = settled(rows)
-            middle = quantiles(rows, "d", [0.5]).first()
-            mad = quantiles(rows.select(F.abs(F.col("d") - middle[1]).alias("d")), "d", [0.5]).first()[1] if middle else 0.0
-            x = F.col("d") * MAD_SCALE / (alpha * mad) if mad > 0 else None
-            rows = rows.withColumn("weight", F.col("weight") * (F.greatest(F.lit(0.0), 1 - x * x) ** 2 if x is not None else F.when(F.col("d") == 0, 1.0).otherwise(0.0)))
-        rows = settled(rows.where("weight > 0").select(F.concat_ws("|", "one", "two").alias("row"), "one", "two", "d", "weight"))
-        used = rows.select(F.explode(F.array("one", "two")).alias("pick"), "weight").groupBy("pick").agg((schedule(*o.omega, i, o.iterations) * F.avg("weight")).alias("weight"))
-        hold = timed.where("moving").join(used, "pick").where("weight > 0").select(F.col("pick").alias("row"), "pick", F.col("residual").alias("d"), "weight", F.lit(1.0).alias("sign"))
-        sides = [rows.select("row", F.col(n).alias("pick"), "d", "weight", F.lit(s).alias("sign")) for n, s in (("one", 1.0), ("two", -1.0))]
-        terms = sides[0].unionByName(sides[1]).unionByName(hold).join(timed.where("moving").select("pick", "event_id", "dx", "dy", "dz"), "pick")
-        axis = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate((F.col("dx"), F.col("dy"), F.col("dz"), F.lit(1.0))))))
-        matrix = settled(terms.withColumn("a", axis).select("row", (F.col("event_id") * 4 + F.col("a.k")).alias("col"), (F.col("sign") * F.col("weight") * F.col("a.v")).alias("value")))
-        right = rows.select("row", (F.col("d") * F.col("weight")).alias("value")).unionByName(hold.select("row", (F.col("d") * F.col("weight")).alias("value")))
-        scale = settled(matrix.groupBy("col").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).where("norm > 0"))
-        x = solve_distributed(matrix.join(scale, "col").select("row", "col", (F.col("value") / F.col("norm")).alias("value")), right, schedule(*o.damping, i, o.iterations))
-        steps = x.join(scale, "col").select(F.floor(F.col("col") / 4).alias("event_id"), F.pmod("col", F.lit(4)).alias("k"), (F.col("x") / F.col("norm")).alias("x"))
-        steps = steps.groupBy("event_id").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("x"))), F.lit(0.0)).alias(n) for k, n in enumerate(("east", "north", "up", "later"))])
-        moved = state.join(steps, "event_id", "left").fillna(0.0, ["east", "north", "up", "later"])
-        lat, lon = geo.move(F.col("latitude"), F.col("longitude"), F.hypot("east", "north"), F.atan2("east", "north"), F.col("depth"))
-        moved = settled(moved.select("event_id", "moving", lat.alias("latitude"), lon.alias("longitude"), (F.col("depth") - F.col("up")).alias("depth"), (F.col("shift") + F.col("later")).alias("shift")))
-        after = settled(_timed_rows(picks, moved, o))
-        lost = settled(after.where(F.isnan("residual")).select("pick", "event_id").join(timed.where(~F.isnan("residual")).select("pick"), "pick", "left_semi").select("event_id").distinct())
-        if not lost.isEmpty():
-            moved = settled(moved.join(lost, "event_id", "left_anti").unionByName(state.join(lost, "event_id", "left_semi")))
-            after = settled(_timed_rows(picks, moved, o))
-        state, timed = moved, after
-    found = state.join(origin.select("event_id", "cluster_id", "t_us", "n_obs"), "event_id").join(start.withColumnRenamed("rms", "start_rms"), "event_id").join(rms(timed).withColumnRenamed("rms", "final_rms"), "event_id")
-    return found.select("event_id", "cluster_id", "latitude", "longitude", "depth", (F.col("t_us") + F.round(F.col("shift") * 1e6).cast("bigint")).alias("t_us"), "start_rms", "final_rms", "n_obs", "moving", F.lit("solved").alias("stopped")).withColumnRenamed("moving", "moved")
+        at = lambda event, k: state.select(F.col("event_id").alias(event), *[F.col(c).alias(f"{c}{k}") for c in ("latitude", "longitude", "depth")])
+        found = both.drop("weight").join(weights, "row", "left").join(a, "one").join(b, "two").join(at("ref_id", 1), "ref_id").join(at("neigh_id", 2), "neigh_id")
+        far = geo.distance3d(*[F.col(f"{c}{k}") for k in (1, 2) for c in ("latitude", "longitude", "depth")])
+        return found.select("ref_id", "neigh_id", "cluster_id", "station_id", "type", F.coalesce("weight", F.lit(0.0)).alias("weight"), "xcorr_used", "coefficient", (F.col("r_one") - F.col("r_two") - F.col("lag")).alias("residual"), far.alias("distance"))
+    if result == PHASES:
+        mean = pairs.drop("weight").join(weights, "row").where("weight > 0").select(F.explode(F.array("one", "two")).alias("pick"), "weight").groupBy("pick").agg(F.avg("weight").alias("weight"), F.count("*").alias("n_obs"))
+        found = picks.join(first.select("pick", F.col("residual").alias("start_residual")), "pick").join(timed.select("pick", F.col("residual").alias("final_residual")), "pick").join(mean, "pick", "left")
+        return found.select("event_id", "cluster_id", "station_id", "type", "start_residual", "final_residual", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("n_obs", F.lit(0)).cast("bigint").alias("n_obs"), F.col("n_obs").isNotNull().alias("used"))
+
+    def rms(timed: DataFrame, name: str) -> DataFrame:
+        known = F.when(F.col("residual").isNotNull(), F.col("quality"))
+        return timed.groupBy("event_id").agg(F.sqrt(F.try_divide(F.sum((F.col("residual") * known) ** 2), F.sum(known * known))).alias(name))
+
+    found = state.drop("moving").join(origin.select("event_id", "cluster_id", "t_us", "n_obs"), "event_id").join(rms(first, "start_rms"), "event_id").join(rms(timed, "final_rms"), "event_id")
+    return found.select("event_id", "cluster_id", "latitude", "longitude", "depth", (F.col("t_us") + F.round(F.col("shift") * 1e6).cast("bigint")).alias("t_us"), "start_rms", "final_rms", "n_obs", "moved", F.lit(stopped).alias("stopped"))
 
 
 def relocate(obs: DataFrame, o: Options, free: bool = True, result: str = RESULT) -> DataFrame:
-    """Relocated events of ``observations``, cluster by cluster; or, of clusters that fit a task, what became of their PHASES or DIFFERENCES."""
+    """The events of ``observations``, cluster by cluster, or what became of their PHASES or DIFFERENCES. Clusters with more than ``most_rows``
+    observations are solved on tables, with the same results."""
     obs = settled(obs)
     size = obs.groupBy("cluster_id").agg(F.count("*").alias("n"))
     large = size.where(F.col("n") > o.most_rows).select("cluster_id")
@@ -347,13 +406,17 @@ def relocate(obs: DataFrame, o: Options, free: bool = True, result: str = RESULT
         return solve_cluster(group, o, free, result)
 
     found = obs.join(F.broadcast(large), "cluster_id", "left_anti").groupBy("cluster_id").applyInPandas(run, result)
-    if ids and result != RESULT:
-        raise ValueError(f"clusters {ids[:3]} have more than {o.most_rows} observations; only their events can be given")
     for k in ids:
-        found = found.unionByName(relocate_large(obs.where(F.col("cluster_id") == k), o, free))
+        found = found.unionByName(relocate_large(obs.where(F.col("cluster_id") == k), o, free, result))
     return found
 
 
+def only_moved(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Of ``relocate``'s events those that a solution has moved; or, of its phases, those of such events."""
+    moved = events.where("moved")
+    return moved if rows is None else rows.join(moved.select("event_id"), "event_id", "left_semi")
+
+
 def catalog_observations(cat: Catalog, picks: DataFrame, o: Options, xcorr: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
     """``observations`` of a whole catalog; ``given``: clusters to keep to (event_id, cluster_id) instead of those of the neighbours."""
     usable = Catalog(cat.stations, cat.events, picks.where("group in ('P', 'S')"))

@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from quakeframe import tables
 from quakeframe.functions import geo
 from quakeframe.operators import catalog, graph, neighbours, spatial, waveform
 from quakeframe.plans import relocate, solver
@@ -76,10 +78,39 @@ def test_solvers(spark, damp):
     for f in (solver.lsmr, solver.lsqr):
         x, stopped = f(lambda x: a @ x, lambda y: a.T @ y, b, 8, damp, 1e-12)
         assert np.allclose(x, want, atol=1e-6) and stopped == solver.SOLVED
-    if damp:
-        m = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(30) for j in range(8)], "row int, col int, value double")
-        got = solver.solve_distributed(m, spark.createDataFrame([(i, float(b[i])) for i in range(30)], "row int, value double"), damp, 1e-7)
-        assert np.allclose([r.x for r in got.orderBy("col").collect()], want, atol=1e-5)
+    m = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(30) for j in range(8)], "row int, col int, value double")
+    right = spark.createDataFrame([(i, float(b[i])) for i in range(30)], "row int, value double")
+    for method in ("LSMR", "LSQR"):
+        found, stopped = solver.solve_distributed(m, right, damp, 1e-12, method=method)
+        x, same = solver.solve(method, lambda x: a @ x, lambda y: a.T @ y, b, 8, damp, 1e-12)
+        assert np.allclose([r.x for r in found.orderBy("col").collect()], x, atol=1e-9) and stopped == same == solver.SOLVED
+        tables.drop(found)
+    assert not spark.catalog.listTables()
+
+
+def test_a_product_shuffles_sums_alone(spark):
+    """The matrix and the vectors lie where they are used."""
+    m = spark.range(400).select((F.col("id") % 90).alias("row"), (F.col("id") % 37).alias("col"), F.lit(1.0).alias("value"))
+    by_row, by_col = tables.bucketed(m, "row", 4), tables.bucketed(m, "col", 4)
+    u = tables.bucketed(spark.range(90).select(F.col("id").alias("row"), F.lit(1.0).alias("u")), "row", 4)
+    cols = tables.bucketed(spark.range(37).select(F.col("id").alias("col"), *(F.lit(1.0).alias(c) for c in ("v", "h", "h_bar", "x"))), "col", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = solver.products(by_row, by_col, u, cols, 1.0, 1.0, 1.0)
+        for df in (left, right(u, 1.0, 1.0)):
+            assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tables.drop(by_row, by_col, u, cols)
+
+
+def test_stop_codes_of_tables(spark):
+    m = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1e-9)], "row int, col int, value double")
+    ones, none = (spark.createDataFrame([(0, v), (1, v)], "row int, value double") for v in (1.0, 0.0))
+    for right, tolerance, most, want in ((ones, 1e-16, None, solver.CONDITION), (none, 1e-6, None, solver.ZERO), (ones, 1e-30, 1, solver.LIMIT)):
+        x, stopped = solver.solve_distributed(m, right, 0.0, tolerance, most, 1e30 if want == solver.LIMIT else solver.MOST_CONDITION)
+        assert stopped == want and x.count() == 2
+        tables.drop(x)
 
 
 def test_radius_across_the_date_line_and_pole(spark):
@@ -95,8 +126,6 @@ def test_components_keep_lone_nodes(spark):
 
 def test_projections_round_trip(spark):
     df = spark.createDataFrame([(46.7, 8.5), (46.2, 7.9)], "lat double, lon double")
-    from pyspark.sql import functions as F
-
     x, y = geo.to_flat(F.col("lat"), F.col("lon"), 46.5, 8.0, 25.0)
     for r in df.select("lat", "lon", *geo.from_flat(x, y, 46.5, 8.0, 25.0)).collect():
         assert abs(r[0] - r[2]) < 1e-9 and abs(r[1] - r[3]) < 1e-9
