@@ -153,23 +153,52 @@ def octants(lat: Column, lon: Column, depth: Column, lat0: Column, lon0: Column,
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def to_flat(lat: Column, lon: Column, lat0: float, lon0: float, rotation: float = 0.0) -> tuple[Column, Column]:
-    """x and y in km of the flat projection around an origin; the axes are turned by ``rotation`` degrees."""
-    x = normalize_lon(lon - lon0) * FLAT_KM * F.cos(F.radians(lat))
-    y = (lat - lat0) * FLAT_KM
-    c, s = math.cos(math.radians(-rotation)), math.sin(math.radians(-rotation))
+def to_flat(lat: Column, lon: Column, lat0: Column | float, lon0: Column | float, rotation: Column | float = 0.0) -> tuple[Column, Column]:
+    """x and y in km of the flat projection around an origin; directions are ``rotation`` degrees more in it than on the earth."""
+    x = normalize_lon(lon - col(lon0)) * FLAT_KM * F.cos(F.radians(lat))
+    return turned(x, (lat - col(lat0)) * FLAT_KM, col(rotation))
+
+
+def turned(x: Column, y: Column, degrees: Column) -> tuple[Column, Column]:
+    """A place after its direction has grown by some degrees, clockwise."""
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
     return x * c + y * s, y * c - x * s
 
 
-def from_flat(x: Column, y: Column, lat0: float, lon0: float, rotation: float = 0.0) -> tuple[Column, Column]:
-    c, s = math.cos(math.radians(rotation)), math.sin(math.radians(rotation))
-    x, y = x * c + y * s, y * c - x * s
-    lat = F.lit(lat0) + y / FLAT_KM
-    return lat, normalize_lon(F.lit(lon0) + x / (FLAT_KM * F.cos(F.radians(lat))))
+def from_flat(x: Column, y: Column, lat0: Column | float, lon0: Column | float, rotation: Column | float = 0.0) -> tuple[Column, Column]:
+    x, y = turned(x, y, -col(rotation))
+    lat = col(lat0) + y / FLAT_KM
+    return lat, normalize_lon(col(lon0) + x / (FLAT_KM * F.cos(F.radians(lat))))
+
+
+def to_map_angle(degrees: Column, rotation: Column | float) -> Column:
+    return normalize_azimuth(degrees + col(rotation))
 
 
-#: Major half axis in m and flattening of ellipsoids in use for maps.
-ELLIPSOIDS = {"WGS-84": (6378137.0, 1 / 298.257223563), "GRS-80": (6378137.0, 1 / 298.257222101), "International": (6378388.0, 1 / 297.0), "Sphere": (6371008.7714, 0.0)}
+def from_map_angle(degrees: Column, rotation: Column | float) -> Column:
+    return normalize_azimuth(degrees - col(rotation))
+
+
+#: Equatorial radius in m and flattening of the ellipsoids that map headers name.
+ELLIPSOIDS = {
+    "WGS-84": (6378137.0, 1 / 298.254),
+    "GRS-80": (6378137.0, 1 / 298.257),
+    "WGS-72": (6378135.0, 1 / 298.26),
+    "Australian": (6378160.0, 1 / 298.25),
+    "Krasovsky": (6378245.0, 1 / 298.3),
+    "International": (6378388.0, 1 / 297.0),
+    "Hayford-1909": (6378388.0, 1 / 297.0),
+    "Clarke-1880": (6378249.1, 1 / 293.46),
+    "Clarke-1866": (6378206.4, 1 / 294.98),
+    "Airy": (6377563.4, 1 / 299.32),
+    "Bessel": (6377397.2, 1 / 299.15),
+    "Hayford-1830": (6377276.3, 1 / 300.80),
+    "Sphere": (6371008.7714, 0.0),
+    "NAD-27": (6378206.4, 1 / 294.98),
+    "NAD-83": (6378137.4, 1 / 294.26),
+}
+#: Fixed values of the short-distance projection: equatorial radius in km, flattening, and ratio of geocentric to geographic tangents.
+SHORT_KM, SHORT_FLATTENING, SHORT_RATIO = 6378.135, 1 / 298.26, 0.99330647
 
 
 def _arc(phi: Column, e2: float) -> Column:
@@ -199,8 +228,8 @@ def transverse_mercator(lat: Column, lon: Column, lat0: float, lon0: float, elli
     return x / 1000.0, y / 1000.0
 
 
-def lambert(lat: Column, lon: Column, lat0: float, lon0: float, lat1: float, lat2: float, ellipsoid: str = "WGS-84") -> tuple[Column, Column]:
-    """x and y in km of the conformal conic projection with two standard parallels."""
+def _cone(lat0: float, lat1: float, lat2: float, ellipsoid: str) -> tuple[float, float, float, float, float]:
+    """Radius in m, eccentricity, and of the cone its constant, scale and the radius of the origin's parallel in m."""
     a, f = ELLIPSOIDS[ellipsoid]
     e = math.sqrt(f * (2 - f))
 
@@ -213,10 +242,16 @@ def lambert(lat: Column, lon: Column, lat0: float, lon0: float, lat1: float, lat
     p0, p1, p2 = (math.radians(x) for x in (lat0, lat1, lat2))
     n = math.sin(p1) if lat1 == lat2 else (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
     big = m(p1) / (n * t(p1) ** n)
+    return a, e, n, big, a * big * t(p0) ** n
+
+
+def lambert(lat: Column, lon: Column, lat0: float, lon0: float, lat1: float, lat2: float, ellipsoid: str = "WGS-84") -> tuple[Column, Column]:
+    """x and y in km of the conformal conic projection with two standard parallels."""
+    a, e, n, big, rho0 = _cone(lat0, lat1, lat2, ellipsoid)
     phi = F.radians(lat)
     s = F.sin(phi)
     tt = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - e * s) / (1 + e * s), F.lit(e / 2))
-    rho, rho0 = a * big * F.pow(tt, F.lit(n)), a * big * t(p0) ** n
+    rho = a * big * F.pow(tt, F.lit(n))
     theta = n * F.radians(normalize_lon(lon - lon0))
     return rho * F.sin(theta) / 1000.0, (rho0 - rho * F.cos(theta)) / 1000.0
 
@@ -226,3 +261,70 @@ def azimuthal_equidistant(lat: Column, lon: Column, lat0: float, lon0: float, ra
     d = angle(F.lit(lat0), F.lit(lon0), lat, lon) * radius_km
     az = azimuth(F.lit(lat0), F.lit(lon0), lat, lon)
     return d * F.sin(az), d * F.cos(az)
+
+
+def _short_scales(lat0: float) -> tuple[float, float]:
+    """km of a degree of latitude, and of longitude at the equator, around an origin."""
+    near, far = (math.atan(SHORT_RATIO * math.tan(math.radians(p))) for p in (lat0, lat0 + 1.0))
+    r = SHORT_KM * (1.0 - math.sin(near) ** 2 * SHORT_FLATTENING)
+    return r * (far - near), r * math.acos(1.0 - (1.0 - math.cos(math.radians(1.0))) * math.cos(near) ** 2) / math.cos(near)
+
+
+def _short_cosine(lat: Column, lat0: float) -> Column:
+    return F.cos(F.atan(SHORT_RATIO * F.tan(F.radians((lat + lat0) / 2.0))))
+
+
+def short_distance(lat: Column, lon: Column, lat0: float, lon0: float, rotation: float = 0.0) -> tuple[Column, Column]:
+    """x and y in km of the short-distance conversion on geocentric latitudes."""
+    per_lat, per_lon = _short_scales(lat0)
+    return turned(normalize_lon(lon - lon0) * per_lon * _short_cosine(lat, lat0), (lat - lat0) * per_lat, F.lit(rotation))
+
+
+def from_short_distance(x: Column, y: Column, lat0: float, lon0: float, rotation: float = 0.0) -> tuple[Column, Column]:
+    per_lat, per_lon = _short_scales(lat0)
+    x, y = turned(x, y, F.lit(-rotation))
+    lat = F.lit(lat0) + y / per_lat
+    return lat, normalize_lon(F.lit(lon0) + x / (per_lon * _short_cosine(lat, lat0)))
+
+
+def _steps(start: Column, step, n: int = 10) -> Column:
+    """A fixed point, by n steps of one expression."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda at, _: step(at))
+
+
+def from_transverse_mercator(x: Column, y: Column, lat0: float, lon0: float, ellipsoid: str = "WGS-84") -> tuple[Column, Column]:
+    """Degrees of a place on the transverse Mercator map: latitude and longitude are mended by what the projection of the last guess is off, in km
+    of a degree there; the error shrinks by the map's distortion each time."""
+    a, f = ELLIPSOIDS[ellipsoid]
+    e2 = f * (2 - f)
+
+    def step(at: Column) -> Column:
+        px, py = transverse_mercator(at["lat"], at["lon"], lat0, lon0, ellipsoid)
+        phi = F.radians(at["lat"])
+        w = 1 - e2 * square(F.sin(phi))
+        # grid north isn't true north away from the middle meridian: turn by the convergence
+        turn = F.atan(F.tan(F.radians(normalize_lon(at["lon"] - lon0))) * F.sin(phi))
+        dx, dy = x - px, y - py
+        east, north = dx * F.cos(turn) + dy * F.sin(turn), dy * F.cos(turn) - dx * F.sin(turn)
+        lat = at["lat"] + F.degrees(north * 1000.0 / (a * (1 - e2)) * w * F.sqrt(w))
+        lon = at["lon"] + F.degrees(east * 1000.0 / a * F.sqrt(w) / F.cos(phi))
+        return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    first = F.struct((F.lit(lat0) + y / FLAT_KM).alias("lat"), (F.lit(lon0) + x / (FLAT_KM * F.cos(F.radians(F.lit(lat0) + y / FLAT_KM)))).alias("lon"))
+    found = _steps(first, step)
+    return found["lat"], normalize_lon(found["lon"])
+
+
+def from_lambert(x: Column, y: Column, lat0: float, lon0: float, lat1: float, lat2: float, ellipsoid: str = "WGS-84") -> tuple[Column, Column]:
+    """Degrees of a place on the conformal conic map; the latitude by the fixed point of its isometric form."""
+    a, e, n, big, rho0 = _cone(lat0, lat1, lat2, ellipsoid)
+    east, north = x * 1000.0, rho0 - y * 1000.0
+    sign = 1.0 if n > 0 else -1.0
+    rho, theta = sign * F.hypot(east, north), F.atan2(sign * east, sign * north)
+    t = F.pow(rho / (a * big), F.lit(1 / n))
+    phi = _steps(F.lit(math.pi / 2) - 2 * F.atan(t), lambda p: F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2))))
+    return F.degrees(phi), normalize_lon(F.degrees(theta / n) + lon0)
+
+
+def from_azimuthal_equidistant(x: Column, y: Column, lat0: float, lon0: float, radius_km: float = EARTH_KM) -> tuple[Column, Column]:
+    return move(F.lit(lat0), F.lit(lon0), F.hypot(x, y) * (EARTH_KM / radius_km), F.atan2(x, y))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.weights import MAD_SCALE, schedule
 from ..tables import drop, settled
+from ..operators.grids import Beyond, GridTables, array_times
 from ..operators.joins import lookup_xcorr
 from ..operators.neighbours import Selection, by_shells, clusters, eligible_edges, nearest_first, select_neighbours
 from ..operators.stats import quantiles
@@ -44,7 +45,8 @@ Times = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], t
 @dataclass(frozen=True)
 class Options:
     """``alpha``, ``damping`` and ``omega`` run from their first to their second value over the iterations; alpha 0 leaves residual weights out,
-    omega 0 the constraints by absolute travel times."""
+    omega 0 the constraints by absolute travel times. ``margin_km``: how far around a cluster's events cells of grids are sent with them at first; a
+    cluster of which an event goes farther is solved again with twice as many."""
 
     iterations: int = 20
     alpha: tuple[float, float] = (0.0, 0.0)
@@ -57,7 +59,8 @@ class Options:
     min_coefficient: float = 0.5
     xcorr_scaler: float = 2.0
     selection: Selection = field(default_factory=Selection)
-    times: Times | None = None
+    times: Times | GridTables | None = None
+    margin_km: float = 5.0
     most_rows: int = 2_000_000
 
     @property
@@ -271,7 +274,9 @@ def geo_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _timed_rows(picks: DataFrame, state: DataFrame, o: Options) -> DataFrame:
     """Picks of a large cluster with their residuals and slopes; both are NULL where there is no travel time."""
-    rows = picks.join(state, "event_id").select("pick", "event_id", "as_ref", "quality", "moving", "latitude", "longitude", "depth", "st_lat", "st_lon", "elevation", "group", (F.col("observed") - F.col("shift")).alias("left"))
+    rows = picks.join(state, "event_id").select("pick", "event_id", "as_ref", "quality", "moving", "latitude", "longitude", "depth", "station_id", "st_lat", "st_lon", "elevation", "group", (F.col("observed") - F.col("shift")).alias("left"))
+    if isinstance(o.times, GridTables):
+        return o.times.timed(rows).select("pick", "event_id", "as_ref", "quality", "moving", "residual", "dx", "dy", "dz")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -402,15 +407,40 @@ def relocate(obs: DataFrame, o: Options, free: bool = True, result: str = RESULT
     large = size.where(F.col("n") > o.most_rows).select("cluster_id")
     ids = [r[0] for r in large.collect()]  # few, as each has more than ``most_rows`` rows
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return solve_cluster(group, o, free, result)
-
-    found = obs.join(F.broadcast(large), "cluster_id", "left_anti").groupBy("cluster_id").applyInPandas(run, result)
+    few = obs.join(F.broadcast(large), "cluster_id", "left_anti")
+    found = _by_grids(few, o, free, result) if isinstance(o.times, GridTables) else few.groupBy("cluster_id").applyInPandas(lambda group: solve_cluster(group, o, free, result), result)
     for k in ids:
         found = found.unionByName(relocate_large(obs.where(F.col("cluster_id") == k), o, free, result))
     return found
 
 
+def _by_grids(obs: DataFrame, o: Options, free: bool, result: str) -> DataFrame:
+    """Clusters that fit a task, each with the cells of its stations' grids around it. Those that need more are solved again with a margin twice as
+    wide, until none does: at last a margin takes whole grids."""
+    tables, plain = o.times, replace(o, times=None)
+    least, found, margin = tables.least_quality, None, o.margin_km
+
+    def run(group: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        try:
+            found = solve_cluster(group, replace(plain, times=array_times(sent, least)), free, result)
+        except Beyond:
+            found = pd.DataFrame([dict.fromkeys(names) | {"cluster_id": group.cluster_id.iloc[0]}])
+        return found.astype({c: object for c in texts})  # plain strings, which cogrouped results have to be
+
+    names, texts = [x.split()[0] for x in result.split(", ")], [x.split()[0] for x in result.split(", ") if x.endswith(" string")]
+    key = names[0]
+    while True:
+        sent = settled(tables.around(obs, margin))
+        solved = settled(obs.groupBy("cluster_id").cogroup(sent.groupBy("cluster_id")).applyInPandas(run, result))
+        drop(sent)
+        done = solved.where(F.col(key).isNotNull())
+        found = done if found is None else found.unionByName(done)
+        again = solved.where(F.col(key).isNull()).select("cluster_id")
+        if again.isEmpty():
+            return found
+        obs, margin = settled(obs.join(again, "cluster_id", "left_semi")), 2 * margin
+
+
 def only_moved(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Of ``relocate``'s events those that a solution has moved; or, of its phases, those of such events."""
     moved = events.where("moved")

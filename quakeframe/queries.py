@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import geo, times
 from .functions.weights import band_and_instrument, orientation
-from .operators import catalog, graph, joins, neighbours, origins, spatial, stats, system, travel_time, waveform
+from .operators import catalog, graph, grids, joins, neighbours, origins, spatial, stats, system, travel_time, waveform
 from .plans import relocate
 from .schema import Catalog
 from .sources.lens import Lens
 from .streaming import realtime
+from .tables import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,9 +176,11 @@ def trilinear(x: Lens) -> DataFrame:
 @query
 def map_projections(x: Lens) -> DataFrame:
     lat, lon = F.col("latitude"), F.col("longitude")
-    xy = {"flat": geo.to_flat(lat, lon, 46.8, 8.4, 30.0), "tm": geo.transverse_mercator(lat, lon, 46.8, 8.4), "lcc": geo.lambert(lat, lon, 46.8, 8.4, 46.0, 47.5), "aeqd": geo.azimuthal_equidistant(lat, lon, 46.8, 8.4)}
+    xy = {"flat": geo.to_flat(lat, lon, 46.8, 8.4, 30.0), "tm": geo.transverse_mercator(lat, lon, 46.8, 8.4), "lcc": geo.lambert(lat, lon, 46.8, 8.4, 46.0, 47.5), "aeqd": geo.azimuthal_equidistant(lat, lon, 46.8, 8.4), "sdc": geo.short_distance(lat, lon, 46.8, 8.4, 30.0)}
     back = geo.from_flat(*xy["flat"], 46.8, 8.4, 30.0)
-    return x.events.select("id", *[r6(c).alias(f"{n}_{k}") for n, p in xy.items() for k, c in zip("xy", p, strict=True)], r6(back[0]).alias("lat"), r6(back[1]).alias("lon"))
+    others = {"tm": geo.from_transverse_mercator(*xy["tm"], 46.8, 8.4), "lcc": geo.from_lambert(*xy["lcc"], 46.8, 8.4, 46.0, 47.5), "aeqd": geo.from_azimuthal_equidistant(*xy["aeqd"], 46.8, 8.4), "sdc": geo.from_short_distance(*xy["sdc"], 46.8, 8.4, 30.0)}
+    inverses = [r6(c).alias(f"{n}_{k}") for n, p in others.items() for k, c in zip(("lat", "lon"), p, strict=True)]
+    return x.events.select("id", *inverses, *[r6(c).alias(f"{n}_{k}") for n, p in xy.items() for k, c in zip("xy", p, strict=True)], r6(back[0]).alias("lat"), r6(back[1]).alias("lon"))
 
 
 # archives and maps
@@ -252,9 +255,46 @@ def map_links(x: Lens) -> DataFrame:
 
 @query
 def grid_nearest(x: Lens) -> DataFrame:
-    grids = x.events.where("id % 3 = 0").select("id", "latitude", "longitude", F.lit(0.0).alias("depth"))
+    sources = x.events.select("id", "latitude", "longitude", F.lit(0.0).alias("depth"))
     st = x.stations.select(F.col("number").alias("id"), "latitude", "longitude", F.lit(0.0).alias("depth"))
-    return spatial.nearest_grid(st, grids, 4000.0).select("station_id", "grid_id", r6("distance").alias("distance"))
+    return spatial.nearest_grid(st, sources, 4000.0).select("station_id", "grid_id", r6("distance").alias("distance"))
+
+
+def lens_grids(x: Lens) -> grids.GridTables:
+    """Grids of straight rays for all stations but each seventh: 3-D for P, over distance and depth for S, of 7 by 7 by 4 and 9 by 4 nodes."""
+    st = x.stations.where("number % 7 <> 0")
+    form = "30e0 AS dx, 15e0 AS dy, 5e0 AS dz, 46.8e0 AS lat0, 8.4e0 AS lon0, 20e0 AS rotation"
+    of = lambda kind, group, k: f"number * 10 + {k} AS grid_id, '{kind}' AS kind, '{group}' AS `group`"
+    source = "latitude AS source_latitude, longitude AS source_longitude, -elevation / 1e3 AS source_depth, 'km/s' AS unit"
+    deep = "true AS three_d, 4L AS nx, 7L AS ny, 4L AS nz, -45e0 AS x0, -45e0 AS y0, 0e0 AS z0, " + form
+    flat = "false AS three_d, 1L AS nx, 7L AS ny, 4L AS nz, 0e0 AS x0, 0e0 AS y0, 0e0 AS z0, " + form
+    headers = None
+    for k, (kind, group, shape) in enumerate([("time", "P", deep), ("angle", "P", deep), ("time", "S", flat), ("angle", "S", flat)]):
+        own = st.selectExpr(*of(kind, group, k).split(", "), *shape.split(", "), *source.split(", "))
+        headers = own if headers is None else headers.unionByName(own)
+    one = x.spark.range(1).selectExpr("id", "46.8e0 AS latitude", "8.4e0 AS longitude", "0e0 AS elevation")
+    for k, (group, shape) in enumerate([("P", deep), ("S", flat)]):
+        headers = headers.unionByName(one.selectExpr(f"-1L - {k} AS grid_id", "'velocity' AS kind", f"'{group}' AS `group`", *shape.split(", "), *source.split(", ")))
+    nodes = headers.withColumns({f"i{n}": F.explode(F.sequence(F.lit(0), F.col(f"n{n}") - 1)) for n in "x"})
+    for n in "yz":
+        nodes = nodes.withColumn(f"i{n}", F.explode(F.sequence(F.lit(0), F.col(f"n{n}") - 1)))
+    sx, sy = geo.to_flat(F.col("source_latitude"), F.col("source_longitude"), F.col("lat0"), F.col("lon0"), F.col("rotation"))
+    px, py, pz = (F.col(f"{n}0") + F.col(f"i{n}") * F.col(f"d{n}") for n in "xyz")
+    along = F.when(F.col("three_d"), F.hypot(sx - px, sy - py)).otherwise(py)
+    up, v = pz - F.col("source_depth"), F.when(F.col("group") == "P", 5.8).otherwise(3.4)
+    value = F.when(F.col("kind") == "velocity", v + pz / 100).when(F.col("kind") == "time", F.sqrt(along * along + up * up) / v).otherwise(90 + F.degrees(F.atan2(up, along)))
+    nodes = nodes.select("grid_id", "ix", "iy", "iz", value.alias("value"), F.when(F.col("three_d"), geo.normalize_azimuth(F.degrees(F.atan2(sx - px, sy - py)))).alias("azimuth"), F.lit(9).alias("quality"))
+    headers = settled(headers)
+    return grids.GridTables(headers, settled(grids.make_cells(headers, nodes)), settled(grids.assign(x.stations, headers, 10.0)))
+
+
+@query
+def tt_grid(x: Lens) -> DataFrame:
+    ev = x.events.select(F.col("id").alias("event_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("depth").alias("_dep"))
+    st = x.stations.select(F.col("id").alias("station_id"), F.col("latitude").alias("_slat"), F.col("longitude").alias("_slon"))
+    rows = picks(x).select("event_id", "station_id", "type", "group").join(ev, "event_id").join(st, "station_id")
+    found = lens_grids(x).compute(rows)
+    return found.select("event_id", "station_id", "type", "found", *(r6(c).alias(c) for c in ("travel_time", "azimuth", "dip", "dtdd", "dtdh")))
 
 
 @query
@@ -348,7 +388,7 @@ def limited_phases(x: Lens) -> DataFrame:
 
 @query
 def neighbour_catalog(x: Lens) -> DataFrame:
-    edges = neighbours.nearest_first(spatial.neighbours_within(x.events.where("id % 4 = 0"), 5.0), 3)
+    edges = neighbours.nearest_first(spatial.neighbours_within(x.events, 5.0), 3)
     found = neighbours.to_catalog(edges, cat1(x), with_reference=False)
     return found.phases.groupBy("event_id").agg(F.count("*").alias("n"))
 

@@ -178,18 +178,44 @@ add("same_event", f"{BASE}, b AS (SELECT id, t_us + 300000 - (id - 1000000) % 7
 add("origin_dedup", f"{BASE}, d AS (SELECT event_id, created_s, min(seq) AS seq FROM o GROUP BY 1, 2) SELECT event_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS ids FROM d GROUP BY 1")
 add("map_view", f"{BASE} SELECT 'inside' AS view, id FROM ev WHERE t_us >= 1577836800000000 + 1220000000 AND latitude BETWEEN 46.6e0 AND 47e0 AND longitude BETWEEN 8.1e0 AND 8.6e0 UNION ALL SELECT 'around', id FROM ev WHERE t_us <= 1577836800000000 + 54900000000 AND (longitude >= 8.5e0 OR longitude <= 8.2e0)")
 add("map_links", f"{BASE} SELECT a.id, " + ", ".join(f"round({t}.{c}, 6) AS {c}{k}" for k, t in ((1, "a"), (2, "b")) for c in ("latitude", "longitude", "depth")) + " FROM ev a JOIN ev2 b ON b.id - 1000000 = a.id")
-add("grid_nearest", f"{BASE}, d AS (SELECT s.number AS station_id, g.id AS grid_id, {km('s.latitude', 's.longitude', 'g.latitude', 'g.longitude')} AS distance FROM st s JOIN ev g ON g.id % 3 = 0 AND abs(s.latitude - g.latitude) < 0.04e0) SELECT station_id, grid_id, round(distance, 6) AS distance FROM d WHERE distance <= 4e0 QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY distance, grid_id) = 1")
+add("grid_nearest", f"{BASE}, d AS (SELECT s.number AS station_id, g.id AS grid_id, {km('s.latitude', 's.longitude', 'g.latitude', 'g.longitude')} AS distance FROM st s JOIN ev g ON abs(s.latitude - g.latitude) < 0.04e0) SELECT station_id, grid_id, round(distance, 6) AS distance FROM d WHERE distance <= 4e0 QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY distance, grid_id) = 1")
 add("waveform_counters", f"{BASE}, a AS (SELECT station_id, t_us - t_us % 60000000 AS s, count(*) AS n FROM ph GROUP BY 1, 2) SELECT station_id, count(*) FILTER (WHERE s % 7 <> 0) AS found, count(*) FILTER (WHERE s % 7 = 0) AS unavailable, CAST(coalesce(sum(n - 1) FILTER (WHERE s % 7 <> 0), 0) AS BIGINT) AS cached FROM a GROUP BY 1")
 add("common_stations", f"{BASE}, p AS (SELECT DISTINCT station_id, event_id % 50 AS part FROM ph WHERE type IN ('P', 'Pg')), s AS (SELECT DISTINCT station_id, event_id % 50 AS part FROM ph WHERE type = 'Sg') SELECT CASE WHEN s.part IS NULL THEN 'P' ELSE 'both' END AS kind, p.part, count(*) AS n FROM p LEFT JOIN s ON s.station_id = p.station_id AND s.part = p.part GROUP BY 1, 2")
 add("limited_phases", f"""{BASE}, {pairs(5)}, sk AS (SELECT p.event_id, p.station_id, p.type, {km3("e", "s", "e.depth", "(-(s.elevation / 1e3))")} AS km FROM ph p JOIN ev e ON e.id = p.event_id JOIN st s ON s.id = p.station_id WHERE true),
 m AS (SELECT p.*, r.type, r.station_id, r.km FROM pairs p JOIN sk r ON r.event_id = p.ref_id JOIN sk b ON b.event_id = p.neigh_id AND b.station_id = r.station_id AND b.type = r.type WHERE r.km BETWEEN 8e0 AND 60e0 AND b.km BETWEEN 8e0 AND 60e0 AND r.km >= p.distance * 3e0 AND b.km >= p.distance * 3e0),
 k AS (SELECT *, count(*) OVER (PARTITION BY ref_id, neigh_id) AS n, row_number() OVER (PARTITION BY ref_id, neigh_id ORDER BY km, station_id, type) AS k FROM m)
 SELECT ref_id, neigh_id, count(*) AS n, round(sum(km), 6) AS km FROM k WHERE n >= 2 AND k <= 6 GROUP BY 1, 2""")
-add("neighbour_catalog", f"{BASE}, {pairs(5)}, c AS (SELECT * FROM pairs WHERE ref_id % 4 = 0 AND neigh_id % 4 = 0 QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY distance, neigh_id) <= 3) SELECT event_id, count(*) AS n FROM ph WHERE event_id IN (SELECT neigh_id FROM c) GROUP BY 1")
+add("neighbour_catalog", f"{BASE}, {pairs(5)}, c AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY distance, neigh_id) <= 3) SELECT event_id, count(*) AS n FROM ph WHERE event_id IN (SELECT neigh_id FROM c) GROUP BY 1")
 add("edge_order", f"{BASE}, {ELIGIBLE}, p AS (SELECT ref_id, row_number() OVER (PARTITION BY ref_id ORDER BY station_id, type, neigh_id) AS place, ntile(4) OVER (PARTITION BY ref_id ORDER BY round(distance, 6), neigh_id, station_id, type) - 1 AS chunk FROM elig) SELECT ref_id, chunk, count(*) AS n, CAST(sum(place) AS BIGINT) AS places FROM p GROUP BY 1, 2")
 add("lagged_differences", f"""{BASE}, {DD}, h AS (SELECT *, ref_id * 7 + neigh_id * 13 AS h FROM dd), u AS (SELECT *, CAST(h % 199 - 99 AS DOUBLE) / 99e0 AS cc, CAST(h % 21 - 10 AS DOUBLE) / 100e0 AS lag FROM h), v AS (SELECT *, h % 5 > 0 AND abs(cc) >= 0.5e0 AS used FROM u)
 SELECT ref_id, neigh_id, type, station_id, round(CASE WHEN used THEN residual - lag ELSE residual END, 6) AS residual, round(CASE WHEN used THEN weight + weight * abs(cc) ELSE weight END, 6) AS weight, CAST(used AS INT) AS used FROM v""")
 add("session", f"{BASE}, u AS (SELECT author, 1577836800 + created_s AS t, lag(1577836800 + created_s) OVER (PARTITION BY author ORDER BY created_s, seq) AS before, row_number() OVER (PARTITION BY author ORDER BY created_s, seq) AS i FROM o), m AS (SELECT *, CASE WHEN t - before <= 300 THEN 0 ELSE 1 END AS fresh FROM u), g AS (SELECT *, sum(fresh) OVER (PARTITION BY author ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT author, min(t) AS start_s, max(t) + 300 AS end_s, count(*) AS n FROM g GROUP BY author, k")
+# grids: the values at a cell's corners straight from the formula that the grids' nodes are made by
+_C, _S = "cos(radians(20e0))", "sin(radians(20e0))"
+
+
+def _flat(lat: str, lon: str) -> tuple[str, str]:
+    x, y = f"(({wrap(f'{lon} - 8.4e0 + 180e0')} - 180e0) * {math.pi * 6371.0 / 180.0!r}e0 * cos(radians({lat})))", f"(({lat} - 46.8e0) * {math.pi * 6371.0 / 180.0!r}e0)"
+    return f"({x} * {_C} + {y} * {_S})", f"({y} * {_C} - {x} * {_S})"
+
+
+_EX, _EY = _flat("e.latitude", "e.longitude")
+_SX, _SY = _flat("s.latitude", "s.longitude")
+add("tt_grid", f"""{BASE}, p AS (
+  SELECT f.event_id, f.station_id, f.type, CASE WHEN f.type = 'Sg' THEN 'S' ELSE 'P' END AS g, s.number % 7 = 0 AS bare, {_EX} AS x, {_EY} AS y, {_SX} AS sx, {_SY} AS sy, e.depth AS z, -s.elevation / 1e3 AS sz, {az("e.latitude", "e.longitude", "s.latitude", "s.longitude")} AS az
+  FROM ph f JOIN ev e ON e.id = f.event_id JOIN st s ON s.id = f.station_id),
+q AS (SELECT *, (x + 45e0) / 30e0 AS ox, CASE WHEN g = 'P' THEN (y + 45e0) / 15e0 ELSE sqrt(pow(x - sx, 2) + pow(y - sy, 2)) / 15e0 END AS oy, z / 5e0 AS oz FROM p),
+i AS (SELECT *, CASE WHEN bare THEN 'no_grid' WHEN oz BETWEEN 0 AND 3 AND oy BETWEEN 0 AND 6 AND (g = 'S' OR ox BETWEEN 0 AND 3) THEN 'ok' ELSE 'out_of_grid' END AS found,
+  least(floor(ox), 2) AS ix, least(floor(oy), 5) AS iy, least(floor(oz), 2) AS iz FROM q),
+c AS (SELECT *, (CASE WHEN g = 'S' THEN CASE WHEN a = 0 THEN 1e0 ELSE 0e0 END WHEN a = 0 THEN 1 - (ox - ix) ELSE ox - ix END) * (CASE WHEN b = 0 THEN 1 - (oy - iy) ELSE oy - iy END) * (CASE WHEN d = 0 THEN 1 - (oz - iz) ELSE oz - iz END) AS w,
+  -45e0 + (ix + a) * 30e0 AS px, CASE WHEN g = 'P' THEN -45e0 ELSE 0e0 END + (iy + b) * 15e0 AS py, (iz + d) * 5e0 AS pz
+  FROM i, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS d)),
+n AS (SELECT *, CASE WHEN g = 'P' THEN sqrt(pow(sx - px, 2) + pow(sy - py, 2)) ELSE py END AS along, pz - sz AS up, CASE WHEN g = 'P' THEN 5.8e0 ELSE 3.4e0 END AS v FROM c),
+m AS (SELECT event_id, station_id, type, found, any_value(g) AS g, any_value(az) AS az, sum(w * sqrt(along * along + up * up) / v) AS tt, sum(w * (90e0 + degrees(atan2(up, along)))) AS dip,
+  sum(w * sin(atan2(sx - px, sy - py) - radians(20e0))) AS n1, sum(w * cos(atan2(sx - px, sy - py) - radians(20e0))) AS n2, any_value(v + z / 100e0) AS vel FROM n GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, {wrap("CASE WHEN g = 'P' THEN degrees(atan2(n1, n2)) ELSE degrees(az) END")} AS azimuth FROM m)
+SELECT event_id, station_id, type, found, CASE WHEN found = 'ok' THEN round(tt, 6) END AS travel_time, CASE WHEN found = 'ok' THEN round(azimuth, 6) END AS azimuth, CASE WHEN found = 'ok' THEN round(dip, 6) END AS dip,
+  CASE WHEN found = 'ok' THEN round(cos(radians(dip - 90e0)) / (vel / ({R} * pi() / 180e0)), 6) END AS dtdd, CASE WHEN found = 'ok' THEN round(sin(radians(dip - 90e0)) / vel, 6) END AS dtdh FROM r""")
 # sliding coefficients: the short trace is samples 17 to 48 of 64, and meets the longer one at shifts of -10 to 10 samples from the middle
 add("cross_correlate", f"""WITH {TRACES}, c AS (SELECT id, list_slice(a, 17, 48) AS x, b, len(b) AS n FROM pr), l AS (SELECT *, (n - 32) // 2 AS room, least(10, (n - 32) // 2) AS delay FROM c),
 w AS (SELECT id, k, delay, x, list_slice(b, room - delay + k + 1, room - delay + k + 32) AS y FROM l, (SELECT unnest(range(21)) AS k) WHERE k <= 2 * delay),
@@ -206,7 +232,8 @@ SELECT id, count(*) AS n, 60e0 AS sfreq, round(arg_min(y, j), 6) AS first, round
 
 def _projections() -> str:
     """Formulas of the projections, written out with numbers for their parameters."""
-    e2 = 0.0066943799901413165
+    f = 1 / 298.254
+    e2 = f * (2 - f)
     e, ep2, a = math.sqrt(e2), e2 / (1 - e2), 6378137.0
     arc = lambda p: f"({1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256!r}::DOUBLE * {p} - {3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024!r}::DOUBLE * sin(2 * {p}) + {15 * e2**2 / 256 + 45 * e2**3 / 1024!r}::DOUBLE * sin(4 * {p}) - {35 * e2**3 / 3072!r}::DOUBLE * sin(6 * {p}))"
     p0, p1, p2 = (math.radians(x) for x in (46.8, 46.0, 47.5))
@@ -215,10 +242,16 @@ def _projections() -> str:
     n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
     big, c, s = a * m(p1) / (n * t(p1) ** n), math.cos(math.radians(30.0)), math.sin(math.radians(30.0))
     turn = lambda x, y, s: (f"({x} * {c!r}::DOUBLE + {y} * ({s!r})::DOUBLE)", f"({y} * {c!r}::DOUBLE - {x} * ({s!r})::DOUBLE)")
-    fx, fy = turn("ux", "uy", -s)
-    bx, by = turn("fx", "fy", s)
+    fx, fy = turn("ux", "uy", s)
+    bx, by = turn("fx", "fy", -s)
     flat = repr(math.pi * 6371.0 / 180.0) + "::DOUBLE"
-    return f"""{BASE}, p AS (SELECT id, latitude, longitude, radians(latitude) AS phi, longitude - 8.4e0 AS dl, (longitude - 8.4e0) * {flat} * cos(radians(latitude)) AS ux, (latitude - 46.8e0) * {flat} AS uy FROM ev),
+    # short distances: geocentric latitudes by the ratio of tangents
+    near, far = (math.atan(0.99330647 * math.tan(math.radians(p))) for p in (46.8, 47.8))
+    r = 6378.135 * (1 - math.sin(near) ** 2 / 298.26)
+    per_lat, per_lon = r * (far - near), r * math.acos(1 - (1 - math.cos(math.radians(1))) * math.cos(near) ** 2) / math.cos(near)
+    sx, sy = turn("gx", "gy", s)
+    return f"""{BASE}, p AS (SELECT id, latitude, longitude, radians(latitude) AS phi, longitude - 8.4e0 AS dl, (longitude - 8.4e0) * {flat} * cos(radians(latitude)) AS ux, (latitude - 46.8e0) * {flat} AS uy,
+  (longitude - 8.4e0) * {per_lon!r}::DOUBLE * cos(atan(0.99330647e0 * tan(radians((latitude + 46.8e0) / 2)))) AS gx, (latitude - 46.8e0) * {per_lat!r}::DOUBLE AS gy FROM ev),
 q AS (SELECT *, {fx} AS fx, {fy} AS fy, {a}::DOUBLE / sqrt(1 - {e2!r}::DOUBLE * pow(sin(phi), 2)) AS nn, pow(tan(phi), 2) AS t, {ep2!r}::DOUBLE * pow(cos(phi), 2) AS c, radians(dl) * cos(phi) AS k, {n!r}::DOUBLE * radians(dl) AS th,
   {big!r}::DOUBLE * pow(tan(pi() / 4 - phi / 2) / pow((1 - {e!r}::DOUBLE * sin(phi)) / (1 + {e!r}::DOUBLE * sin(phi)), {e / 2!r}::DOUBLE), {n!r}::DOUBLE) AS rho,
   {angle('46.8e0', '8.4e0', 'latitude', 'longitude')} * {R} AS d, {az('46.8e0', '8.4e0', 'latitude', 'longitude')} AS az FROM p)
@@ -226,7 +259,8 @@ SELECT id, round(fx, 6) AS flat_x, round(fy, 6) AS flat_y,
   round(nn * (k + (1 - t + c) * pow(k, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {ep2!r}::DOUBLE) * pow(k, 5) / 120) / 1e3, 6) AS tm_x,
   round(({a}::DOUBLE * {arc('phi')} - {a}::DOUBLE * {arc(repr(p0) + '::DOUBLE')} + nn * tan(phi) * (k * k / 2 + (5 - t + 9 * c + 4 * c * c) * pow(k, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {ep2!r}::DOUBLE) * pow(k, 6) / 720)) / 1e3, 6) AS tm_y,
   round(rho * sin(th) / 1e3, 6) AS lcc_x, round(({big * t(p0) ** n!r}::DOUBLE - rho * cos(th)) / 1e3, 6) AS lcc_y,
-  round(d * sin(az), 6) AS aeqd_x, round(d * cos(az), 6) AS aeqd_y,
+  round(d * sin(az), 6) AS aeqd_x, round(d * cos(az), 6) AS aeqd_y, round({sx}, 6) AS sdc_x, round({sy}, 6) AS sdc_y,
+  {", ".join(f"round(latitude, 6) AS {n}_lat, round(longitude, 6) AS {n}_lon" for n in ("tm", "lcc", "aeqd", "sdc"))},
   round(46.8e0 + {by} / {flat}, 6) AS lat, round(8.4e0 + {bx} / ({flat} * cos(radians(46.8e0 + {by} / {flat}))), 6) AS lon
 FROM q"""
 

@@ -46,3 +46,14 @@ def run_jobs(jobs: DataFrame, handle: Callable[[DataFrame], DataFrame], path: st
         handle(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return jobs.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def joined_within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within: str, late: str = "1 minute") -> DataFrame:
+    """Each row of ``left`` with those of ``right`` that have its key and a time not before its own and not more than ``within`` after it; NULLs if none has.
+    On streams both sides are kept as long as a partner may come, which their watermarks tell; a row without one is given out once, when none may any
+    more. The key stays once, so other columns need names of their own."""
+    if left.isStreaming:
+        left, right = left.withWatermark(left_time, late), right.withWatermark(right_time, late)
+    right = right.withColumnRenamed(key, "_key")
+    after = F.col(right_time).between(F.col(left_time), F.col(left_time) + F.expr(f"INTERVAL {within}"))
+    return left.join(right, (F.col(key) == F.col("_key")) & after, "left").drop("_key")

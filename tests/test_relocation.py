@@ -134,6 +134,30 @@ def test_projections_round_trip(spark):
         assert abs(r[0] - r[2]) < 0.05 and abs(r[1] - r[3]) < 0.05 and abs(r[0] - r[4]) < 0.05 and abs(r[1] - r[5]) < 0.05
 
 
+@pytest.mark.parametrize("lat0,lon0", [(46.5, 8.0), (-33.0, 179.7), (68.0, -150.0)])
+def test_inverse_projections(spark, lat0, lon0):
+    """Back within a millimetre, over the date line too."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(lat0 + a), float((lon0 + b + 180) % 360 - 180)) for a, b in rng.uniform(-1.5, 1.5, (40, 2))], "lat double, lon double")
+    lat, lon, line = F.col("lat"), F.col("lon"), (lat0, lon0, lat0 - 0.5, lat0 + 0.7)
+    both = {
+        "tm": (geo.transverse_mercator(lat, lon, lat0, lon0, "Bessel"), lambda x, y: geo.from_transverse_mercator(x, y, lat0, lon0, "Bessel")),
+        "lcc": (geo.lambert(lat, lon, *line, "Airy"), lambda x, y: geo.from_lambert(x, y, *line, "Airy")),
+        "aeqd": (geo.azimuthal_equidistant(lat, lon, lat0, lon0, 6371.0), lambda x, y: geo.from_azimuthal_equidistant(x, y, lat0, lon0, 6371.0)),
+        "sdc": (geo.short_distance(lat, lon, lat0, lon0, 25.0), lambda x, y: geo.from_short_distance(x, y, lat0, lon0, 25.0)),
+    }
+    for name, (xy, back) in both.items():
+        p = df.select("lat", "lon", xy[0].alias("x"), xy[1].alias("y"))
+        got = p.select("*", *(c.alias(n) for c, n in zip(back(F.col("x"), F.col("y")), ("lat2", "lon2"), strict=True))).toPandas()
+        assert (got[["x", "y"]].abs() < 400).all().all()
+        off = np.hypot((got.lat - got.lat2) * KM, ((got.lon - got.lon2 + 180) % 360 - 180) * KM)
+        assert off.max() < 1e-6, (name, off.max())
+    north = df.select(*geo.short_distance(F.lit(lat0 + 0.1), F.lit(lon0), lat0, lon0, 25.0)).first()
+    assert abs(np.degrees(np.arctan2(*north)) - 25.0) < 1e-9  # a map's direction is the rotation more
+    angle = df.select(geo.to_map_angle(F.lit(350.0), 25.0), geo.from_map_angle(F.lit(15.0), 25.0)).first()
+    assert tuple(angle) == (15.0, 350.0)
+
+
 @pytest.mark.parametrize("shift,scale,offset", [(0, 1.0, 0.0), (0, -1.0, 0.0), (12, 3.0, 5.0), (-9, -0.1, -2.0)])
 def test_lag(shift, scale, offset):
     f, i = 80.0, np.arange(240)
