@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions.geodesic import geodesic_m
 
 
 def time_matches(a: DataFrame, b: DataFrame, micros: int) -> DataFrame:
@@ -16,12 +17,12 @@ def time_matches(a: DataFrame, b: DataFrame, micros: int) -> DataFrame:
 
 
 def compare_catalogs(a: DataFrame, b: DataFrame, micros: int) -> DataFrame:
-    """For each event of a: status (missing, ambiguous or matched), and how a matched one differs in b."""
+    """For each event of a: status (missing, ambiguous or matched), and how a matched one differs in b; along the WGS84 ellipsoid."""
     found = time_matches(a, b, micros)
     n = found.groupBy("a_id").agg(F.count("*").alias("n"))
     one = found.join(n.where("n = 1").select("a_id"), "a_id", "left_semi")
-    epi = geo.distance(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
-    one = one.select("a_id", "b_id", (F.col("b_t_us") - F.col("a_t_us")).alias("time_us"), (epi * 1000).alias("epi_m"), ((F.col("b_depth") - F.col("a_depth")) * 1000).alias("depth_m"))
+    epi = geodesic_m(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
+    one = one.select("a_id", "b_id", (F.col("b_t_us") - F.col("a_t_us")).alias("time_us"), epi.alias("epi_m"), ((F.col("b_depth") - F.col("a_depth")) * 1000).alias("depth_m"))
     one = one.withColumn("hypo_m", F.sqrt(F.col("epi_m") * F.col("epi_m") + F.col("depth_m") * F.col("depth_m")))
     status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("matched")
     return a.select(F.col("id").alias("a_id")).join(n, "a_id", "left").join(one, "a_id", "left").withColumn("status", status).drop("n").withColumnRenamed("a_id", "id")
@@ -78,6 +79,30 @@ def merge_requests(requests: DataFrame, keys: list[str], tolerance_us: int = 0,
     return _islands(_islands(sliced, [*keys, "_slice"], tolerance_us).drop("_slice"), keys, tolerance_us)
 
 
+def merge_growing(requests: DataFrame, keys: list[str], share: float = 0.1, slice_us: int = 86_400_000_000) -> DataFrame:
+    """Windows (keys, start_us, end_us) of each key as runs (keys, start_us, end_us, n): in the order of their starts a window joins the run if it begins no
+    later after the run's end than ``share`` of the run's length so far.
+
+    A run's reach grows with what has joined it, so this is a fold. It is taken over the windows of each slice of time, and then over the
+    slices' runs: what joins a run by its own tolerance also joins a longer one that the run itself has joined, so a slice's runs may be
+    taken as windows and the result is that of one fold over all."""
+    counted = requests.groupBy(*keys, "start_us", "end_us").agg(F.count("*").alias("n")).withColumn("_slice", F.floor(F.col("start_us") / slice_us))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.select(*keys, "start_us", "end_us", "n").schema.fields)
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["start_us", "end_us"])
+        runs: list[list[int]] = []
+        for a, b, n in zip(group.start_us.tolist(), group.end_us.tolist(), group.n.tolist(), strict=True):
+            if runs and a <= runs[-1][1] + share * (runs[-1][1] - runs[-1][0]):
+                runs[-1][1:] = [max(runs[-1][1], b), runs[-1][2] + n]
+            else:
+                runs.append([a, b, n])
+        out = pd.DataFrame(runs, columns=["start_us", "end_us", "n"])
+        return out.assign(**{k: group[k].iloc[0] for k in keys})[[*keys, "start_us", "end_us", "n"]]
+
+    return counted.groupBy(*keys, "_slice").applyInPandas(fold, schema).groupBy(*keys).applyInPandas(fold, schema)
+
+
 def containing_trace(requests: DataFrame, traces: DataFrame, keys: list[str], bin_us: int = 300_000_000) -> DataFrame:
     """Requests (keys, start_us, end_us) with the first trace (keys, trace_start_us, trace_end_us, trace_id) that holds them whole. Requests
     meet traces that cover the time bin they start in."""

@@ -13,15 +13,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Samples of long traces that are correlated at once.
+AT_ONCE = 1 << 19
+
+
 def sliding_pearson(short: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """Pearson coefficient at each shift; NaN where a window is constant."""
-    n = len(short)
-    windows = np.lib.stride_tricks.sliding_window_view(long, n)
-    s = short - short.mean()
-    w = windows - windows.mean(axis=1, keepdims=True)
-    below = np.sqrt((s @ s) * (w * w).sum(axis=1))
-    with np.errstate(all="ignore"):
-        return np.where(below > 0, w @ s / below, np.nan)
+    """Pearson coefficient at each shift, of two traces or of rows of them; NaN where a window, or the short trace, is constant.
+
+    Sums and squares of windows are differences of running sums, and products come from one Fourier transform, so memory and time grow with
+    the long trace, not with windows. A window that is next to nothing beside the rest of its trace loses digits that way, and is
+    worked out by itself."""
+    s, x = np.atleast_2d(np.asarray(short, float)), np.atleast_2d(np.asarray(long, float))
+    n, m = s.shape[1], x.shape[1]
+    shifts = m - n + 1
+    s, x = s - s.mean(axis=1, keepdims=True), x - x.mean(axis=1, keepdims=True)
+    one, two, steps = np.zeros((len(x), m + 1)), np.zeros((len(x), m + 1)), np.zeros((len(x), m), np.int64)
+    np.cumsum(x, axis=1, out=one[:, 1:])
+    np.cumsum(x * x, axis=1, out=two[:, 1:])
+    np.cumsum(x[:, 1:] != x[:, :-1], axis=1, out=steps[:, 1:])
+    total = one[:, n:] - one[:, :-n]
+    energy = two[:, n:] - two[:, :-n] - total * total / n
+    flat = steps[:, n - 1 :] == steps[:, :shifts]
+    size = 1 << max(1, (m - 1).bit_length())
+    top = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(s, size)), size)[:, :shifts]
+    rows, at = np.nonzero(~flat & (energy < 1e-5 * two[:, -1:]))
+    for lo in range(0, len(rows), step := max(1, (1 << 18) // n)):
+        i, k = rows[lo : lo + step], at[lo : lo + step]
+        w = x[i[:, None], k[:, None] + np.arange(n)]
+        w = w - w.mean(axis=1, keepdims=True)
+        energy[i, k], top[i, k] = (w * w).sum(axis=1), (w * s[i]).sum(axis=1)
+    own = (s * s).sum(axis=1, keepdims=True)
+    known = ~flat & (np.ptp(np.atleast_2d(short), axis=1, keepdims=True) > 0) & (energy > 0)
+    out = np.where(known, top / np.sqrt(np.where(known, own * energy, 1.0)), np.nan)
+    return out[0] if np.ndim(short) == 1 else out
+
+
+def best_lags(short: np.ndarray, long: np.ndarray, sfreq: np.ndarray, max_delay: float) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, lags in s) of rows of traces of one length each; NaN where there are none. Coefficients that differ by less than 1e-12 count
+    as equal, and the first of equals wins."""
+    room = (long.shape[1] - short.shape[1]) // 2
+    delays = np.minimum((max_delay * sfreq).astype(np.int64), room)
+    best, lags = np.full(len(short), np.nan), np.full(len(short), np.nan)
+    for delay in np.unique(delays):
+        own = np.flatnonzero(delays == delay)
+        cc = sliding_pearson(short[own], long[own, room - delay : room + delay + short.shape[1]])
+        known = np.isfinite(cc).any(axis=1)
+        k = np.argmax(np.where(np.isfinite(cc), np.round(np.abs(cc), 12), -1.0), axis=1)
+        best[own[known]], lags[own[known]] = cc[known, k[known]], (k[known] - delay) / sfreq[own[known]]
+    return best, lags
 
 
 def best_lag(a: np.ndarray, b: np.ndarray, sfreq: float, max_delay: float) -> tuple[float | None, float | None]:
@@ -31,14 +70,10 @@ def best_lag(a: np.ndarray, b: np.ndarray, sfreq: float, max_delay: float) -> tu
     short, long = (b, a) if swap else (a, b)
     if not len(short):
         return None, None
-    room = (len(long) - len(short)) // 2
-    delay = min(int(max_delay * sfreq), room)
-    cc = sliding_pearson(short, long[room - delay : room + delay + len(short)])
-    if not np.isfinite(cc).any():
+    best, lags = best_lags(short[None], long[None], np.array([sfreq]), max_delay)
+    if np.isnan(best[0]):
         return None, None
-    k = int(np.nanargmax(np.abs(cc)))
-    lag = (k - delay) / sfreq
-    return float(cc[k]), -lag if swap else lag
+    return float(best[0]), float(-lags[0] if swap else lags[0])
 
 
 def cross_correlate(pairs: DataFrame, max_delay: float) -> DataFrame:
@@ -48,11 +83,20 @@ def cross_correlate(pairs: DataFrame, max_delay: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [best_lag(np.asarray(x, float), np.asarray(y, float), f, max_delay) for x, y, f in zip(b.samples1, b.samples2, b.sfreq, strict=True)]
+            n1, n2 = (b[c].map(len).to_numpy() for c in ("samples1", "samples2"))
+            best, lags = np.full(len(b), np.nan), np.full(len(b), np.nan)
+            for one, two in np.unique(np.stack([n1, n2], 1), axis=0):  # traces of equal lengths go together
+                at = np.flatnonzero((n1 == one) & (n2 == two))
+                for lo in range(0, len(at), step := max(1, AT_ONCE // max(one, two, 1))):
+                    i = at[lo : lo + step]
+                    if min(one, two):
+                        x, y = (np.stack(b[c].iloc[i].to_list()).astype(float) for c in ("samples1", "samples2"))
+                        best[i], found = best_lags(*((y, x) if one > two else (x, y)), b.sfreq.to_numpy(float)[i], max_delay)
+                        lags[i] = -found if one > two else found
             out = b[keys].copy()
-            out["valid"] = [c is not None for c, _ in got]
-            out["coefficient"] = pd.array([c for c, _ in got], "Float64")
-            out["lag"] = pd.array([x for _, x in got], "Float64")
+            out["valid"] = ~np.isnan(best)
+            out["coefficient"] = pd.array(np.where(np.isnan(best), None, best), "Float64")
+            out["lag"] = pd.array(np.where(np.isnan(lags), None, lags), "Float64")
             yield out
 
     return pairs.mapInPandas(run, f"{schema}, valid boolean, coefficient double, lag double")

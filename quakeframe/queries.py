@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import geo, times
 from .functions.weights import band_and_instrument, orientation
+from .operators import records as record_ops
 from .operators import catalog, graph, grids, joins, neighbours, origins, spatial, stats, system, travel_time, waveform
 from .plans import relocate
 from .schema import Catalog
 from .sources.lens import Lens
+from .sql_functions import register
 from .streaming import realtime
 from .tables import settled
 
@@ -710,3 +712,58 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Lens(spark, sf_dir)
     wide = neighbours.Selection(max_km=20.0, min_neighbours=4, max_neighbours=20, min_phases=4)
     return relocate.relocate_catalog(cat1(x), picks(x), relocate.Options(iterations=5, s_km_s=3.4, omega=(0.1, 0.1), selection=wide))
+
+
+# records, growing windows, streams' twins, and SQL by text
+
+
+def records(x: Lens) -> DataFrame:
+    """Traces cut in records of 16 samples at 100 Hz, a second third of which overlap by two samples; a third miss five before the third record."""
+    t = traces(x).select("id", "samples", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r"))
+    first = F.when(F.col("id") % 3 == 0, F.col("r") * 14).when(F.col("id") % 3 == 1, F.col("r") * 16).otherwise(F.col("r") * 16 + F.when(F.col("r") >= 2, 5).otherwise(0))
+    rows = t.withColumn("first", first.cast("int"))
+    return rows.select("id", (F.col("id") * 1_000_000 + F.col("first") * 10_000).alias("start_us"), F.lit(100.0).alias("sfreq"), F.slice("samples", F.col("first") + 1, 16).alias("samples"))
+
+
+@query
+def record_traces(x: Lens) -> DataFrame:
+    found = record_ops.assembled(records(x), ["id"], stretch_us=250_000)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
+    return found.select("id", "segment", "stretch", "start_us", "end_us", F.size("samples").cast("bigint").alias("n"), r6(F.col("samples")[0]).alias("first"), r6(total).alias("total"))
+
+
+@query
+def trace_windows(x: Lens) -> DataFrame:
+    start = F.col("id") * 1_000_000 + F.col("id") % 7 * 30_000 + 5_000
+    asked = traces(x).select(F.col("id").alias("request_id"), "id", start.alias("start_us"), (start + 150_000 + F.col("id") % 5 * 60_000).alias("end_us"))
+    got = record_ops.loaded(asked, record_ops.assembled(records(x), ["id"], stretch_us=250_000), ["id"], stretch_us=250_000)
+    return got.select("id", "status", r6("availability").alias("availability"), "trace_start_us", F.size("samples").cast("bigint").alias("n"), r6(F.col("samples")[0]).alias("first"), r6(F.element_at("samples", -1)).alias("last"))
+
+
+@query
+def growing_requests(x: Lens) -> DataFrame:
+    req = x.phases.select("station_id", (F.col("t_us") - 20_000_000).alias("start_us"), (F.col("t_us") + 25_000_000).alias("end_us"))
+    return joins.merge_growing(req, ["station_id"], 0.1)
+
+
+@query
+def interval_join(x: Lens) -> DataFrame:
+    at = F.timestamp_seconds(F.lit(1577836800) + F.col("created_s"))
+    manual = x.origins.where("mode = 'manual'").select("event_id", F.col("seq").alias("manual"), at.alias("manual_time"))
+    automatic = x.origins.where("mode = 'automatic'").select("event_id", F.col("seq").alias("automatic"), at.alias("automatic_time"))
+    found = realtime.joined_within(manual, automatic, "event_id", "manual_time", "automatic_time", "30 minutes")
+    return found.select("event_id", "manual", "automatic", (F.unix_seconds("automatic_time") - F.unix_seconds("manual_time")).alias("after_s"))
+
+
+@query
+def sql_functions(x: Lens) -> DataFrame:
+    register(x.spark)
+    pairs = spatial.neighbours_within(x.events, 3.0)
+    return x.spark.sql(
+        """SELECT n.ref_id, n.neigh_id, n.rank, round(n.distance, 6) AS distance, round(quake_distance(a.latitude, a.longitude, b.latitude, b.longitude, a.depth), 6) AS flat,
+             round(quake_azimuth(a.latitude, a.longitude, b.latitude, b.longitude), 6) AS azimuth, round(quake_move(a.latitude, a.longitude, 12D, 350D, 5D).longitude, 6) AS moved,
+             round(quake_bilinear(0.25D, 0.5D, a.depth, b.depth, a.latitude, b.longitude), 6) AS mixed, round(quake_mean_angle(0.5D, 350D, a.depth), 6) AS middle
+           FROM nearest_rows(TABLE(SELECT ref_id, neigh_id, distance, 4 AS k FROM {pairs}) PARTITION BY ref_id ORDER BY (distance, neigh_id)) n
+           JOIN {events} a ON a.id = n.ref_id JOIN {events} b ON b.id = n.neigh_id""",
+        pairs=pairs, events=x.events,
+    )

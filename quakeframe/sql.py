@@ -268,5 +268,55 @@ FROM q"""
 add("map_projections", _projections())
 
 
+def _geodesic(rounds: int = 8) -> str:
+    """Vincenty's iteration, written out; good for points that aren't opposite each other."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b = a * (1 - f)
+    lit = lambda v: f"{v!r}::DOUBLE"
+    text = f"""u AS (SELECT *, atan({lit(1 - f)} * tan(radians(lat1))) AS u1, atan({lit(1 - f)} * tan(radians(lat2))) AS u2, radians(lon2 - lon1) AS len FROM m),
+l0 AS (SELECT *, len AS lam FROM u)"""
+    for k in range(rounds):
+        text += f""",
+a{k} AS (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM l{k}),
+b{k} AS (SELECT *, atan2(ss, cs) AS sig, CASE WHEN ss = 0 THEN 0e0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa FROM a{k}),
+c{k} AS (SELECT *, 1 - sa * sa AS ca2 FROM b{k}),
+d{k} AS (SELECT *, CASE WHEN ca2 <= 1e-15 THEN 0e0 ELSE cs - 2 * sin(u1) * sin(u2) / ca2 END AS cm, {lit(f / 16)} * ca2 * (4 + {lit(f)} * (4 - 3 * ca2)) AS c FROM c{k}),
+l{k + 1} AS (SELECT * EXCLUDE (lam, ss, cs, sig, sa, ca2, cm, c), len + (1 - c) * {lit(f)} * sa * (sig + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS lam FROM d{k})"""
+    k = rounds - 1
+    return text + f""",
+e AS (SELECT *, ca2 * {lit((a * a - b * b) / (b * b))} AS k FROM d{k}),
+f AS (SELECT *, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS w FROM e),
+g AS (SELECT *, {lit(b)} * (1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))) * (sig - w * ss * (cm + w / 4 * (cs * (2 * cm * cm - 1) - w / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS epi FROM f)"""
+
+
+add("catalog_compare", f"{BASE}, m AS (SELECT a.id, b.id AS b_id, b.t_us - a.t_us AS time_us, a.latitude AS lat1, a.longitude AS lon1, b.latitude AS lat2, b.longitude AS lon2, (b.depth - a.depth) * 1e3 AS dep, count(*) OVER (PARTITION BY a.id) AS n FROM ev a JOIN ev2 b ON abs(a.t_us - b.t_us) < 250000), {_geodesic()} SELECT e.id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, b_id, time_us, round(epi, 3) AS epi_m, round(dep, 3) AS depth_m, round(sqrt(epi * epi + dep * dep), 3) AS hypo_m FROM ev e LEFT JOIN g ON g.id = e.id")
+
+_RECORDS = """re AS (SELECT id, r, CASE WHEN id % 3 = 0 THEN r * 14 WHEN id % 3 = 1 THEN r * 16 ELSE r * 16 + CASE WHEN r >= 2 THEN 5 ELSE 0 END END AS f, s FROM tr, (SELECT unnest(range(4)) AS r)),
+rs AS (SELECT id, f, list_slice(s, f + 1, least(f + 16, len(s))) AS x FROM re WHERE f < len(s)),
+rr AS (SELECT *, max(f + len(x)) OVER (PARTITION BY id ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rs),
+rg AS (SELECT *, sum(CASE WHEN reach IS NULL OR f > reach THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY f) AS segment, greatest(0, coalesce(reach, f) - f) AS cut FROM rr),
+sa AS (SELECT id, segment, f + i AS i, x[i + 1] AS v, id * 1000000 + (f + i) * 10000 AS t FROM (SELECT *, unnest(range(len(x))) AS i FROM rg) WHERE i >= cut)"""
+add("record_traces", f"WITH {TRACES}, {_RECORDS} SELECT id, CAST(segment AS BIGINT) AS segment, t // 250000 AS stretch, min(t) AS start_us, max(t) + 10000 AS end_us, count(*) AS n, round(first(v ORDER BY i), 6) AS first, round(sum(v ORDER BY i), 6) AS total FROM sa GROUP BY id, segment, t // 250000")
+add("trace_windows", f"""WITH {TRACES}, {_RECORDS}, q AS (SELECT id, id * 1000000 + id % 7 * 30000 + 5000 AS a FROM tr), w AS (SELECT id, a, a + 150000 + id % 5 * 60000 AS b FROM q),
+g AS (SELECT id, segment, min(t) AS f, max(t) + 10000 AS l FROM sa GROUP BY 1, 2),
+h AS (SELECT w.*, greatest(0, least(l, b) - greatest(f, a)) AS c, segment, f, l FROM w JOIN g ON g.id = w.id),
+k AS (SELECT id, any_value(a) AS a, any_value(b) AS b, sum(c) / any_value(b - a)::DOUBLE AS av, count(*) FILTER (WHERE c > 0) AS n, min(segment) FILTER (WHERE c > 0) AS one FROM h GROUP BY id),
+y AS (SELECT k.*, f, l, f + (a - f) // 10000 * 10000 AS lo, f + -((f - b) // 10000) * 10000 AS hi FROM k LEFT JOIN g ON g.id = k.id AND g.segment = k.one),
+z AS (SELECT *, CASE WHEN n = 0 THEN 'no_data' WHEN av < 0.95e0 THEN 'low_availability' WHEN n > 1 THEN 'gaps' WHEN lo < f OR hi >= l THEN 'short' ELSE 'ok' END AS status FROM y)
+SELECT z.id, status, round(av, 6) AS availability, CASE WHEN status = 'ok' THEN lo END AS trace_start_us, CASE WHEN status = 'ok' THEN (hi - lo) // 10000 + 1 END AS n,
+  round(p.v, 6) AS first, round(e.v, 6) AS last FROM z LEFT JOIN sa p ON p.id = z.id AND p.t = z.lo AND status = 'ok' LEFT JOIN sa e ON e.id = z.id AND e.t = z.hi AND status = 'ok'""")
+add("growing_requests", f"""{BASE}, q AS MATERIALIZED (SELECT station_id, a, a + 45000000 AS b, c, row_number() OVER (PARTITION BY station_id ORDER BY a) AS i FROM (SELECT station_id, t_us - 20000000 AS a, count(*) AS c FROM ph GROUP BY 1, 2)),
+f AS (SELECT station_id, i, a, b, c, 1 AS run FROM q WHERE i = 1 UNION ALL
+  SELECT q.station_id, q.i, CASE WHEN q.a <= f.b + 0.1e0 * (f.b - f.a) THEN f.a ELSE q.a END, CASE WHEN q.a <= f.b + 0.1e0 * (f.b - f.a) THEN greatest(f.b, q.b) ELSE q.b END, q.c, f.run + CASE WHEN q.a <= f.b + 0.1e0 * (f.b - f.a) THEN 0 ELSE 1 END
+  FROM f JOIN q ON q.station_id = f.station_id AND q.i = f.i + 1)
+SELECT station_id, min(a) AS start_us, max(b) AS end_us, CAST(sum(c) AS BIGINT) AS n FROM f GROUP BY station_id, run""")
+add("interval_join", f"{BASE} SELECT a.event_id, a.seq AS manual, b.seq AS automatic, b.created_s - a.created_s AS after_s FROM o a LEFT JOIN o b ON b.event_id = a.event_id AND b.mode = 'automatic' AND b.created_s BETWEEN a.created_s AND a.created_s + 1800 WHERE a.mode = 'manual'")
+add("sql_functions", f"""{BASE}, {pairs(3)}, n AS (SELECT ref_id, neigh_id, distance, row_number() OVER (PARTITION BY ref_id ORDER BY distance, neigh_id) AS rank FROM pairs)
+SELECT ref_id, neigh_id, rank, round(distance, 6) AS distance, round({km("a.latitude", "a.longitude", "b.latitude", "b.longitude", "a.depth")}, 6) AS flat, round({wrap(f"degrees({az('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')})")}, 6) AS azimuth,
+  round(a.longitude + degrees(atan2(sin(radians(350e0)) * sin(12e0 / ({R} - 5e0)) * cos(radians(a.latitude)), cos(12e0 / ({R} - 5e0)) - sin(radians(a.latitude)) * (sin(radians(a.latitude)) * cos(12e0 / ({R} - 5e0)) + cos(radians(a.latitude)) * sin(12e0 / ({R} - 5e0)) * cos(radians(350e0))))), 6) AS moved,
+  round((a.depth + b.depth) / 2 * 0.75e0 + (a.latitude + b.longitude) / 2 * 0.25e0, 6) AS mixed, round({wrap("degrees(atan2(sin(radians(350e0)) + sin(radians(a.depth)), cos(radians(350e0)) + cos(radians(a.depth))))")}, 6) AS middle
+FROM n JOIN ev a ON a.id = ref_id JOIN ev b ON b.id = neigh_id WHERE rank <= 4""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
