@@ -3,14 +3,17 @@
 A block is some megabytes of documents. Its pre-tokens are numbered by word, position by position, and grouped
 by word, so a block has one entry for each distinct word. Entries go to the word's bucket, packed in one
 row for each block and bucket; there each distinct word is encoded once, however many blocks have
-it, and the ids go back to the block, where documents are put together by position. A word that makes up a
+it (of a great many words those that have been seen lately are remembered, so that a task's memory is bounded), and the ids go back to the block, where documents are put together by position. A word that makes up a
 third of all text is still one entry a block. A block has a fixed size (a longer text is a block by
 itself), so no group is larger than that.
 
 Decoding joins ids with the token-byte table, which is as large as the vocabulary file (some 50,000
 entries; it is read once, on the driver, and broadcast).
 
-Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows, also with
+Letters, digits and spaces are those of the library's version of Unicode: it is asked for them, and what the splitter here would take for
+something else is split by a stand-in of the right class.
+
+Defined results: an empty table gives an empty one; a null or empty text has no ids and decodes to no bytes; repeated rows, also with
 equal or null doc_id, are encoded each; columns other than doc_id and text are ignored.
 """
 
@@ -20,6 +23,7 @@ import base64
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,6 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .merges import Remembered
 from .texthash import chunks, flat_ranges, from_varint, span_hashes, to_varint
 
 BLOCK = 8 << 20
@@ -39,6 +44,8 @@ BLOCK = 8 << 20
 DECODED = 4 << 20
 #: Unicode White_Space, as \s of the library's pattern engine has it.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A letter, a digit, a space and another sign that every version of Unicode has, for those that the splitter here takes for something else.
+LETTER, DIGIT, BLANK, SIGN = "\u4e00", "\u0660", "\u2003", "\u2603"
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
 
@@ -48,9 +55,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def splitter(pattern: str) -> regex.Pattern:
-    """``pattern`` with its white space classes spelled out."""
-    return regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+@lru_cache(maxsize=None)
+def stand_ins() -> dict[int, str]:
+    """Code points that the library's version of Unicode puts in another class than the splitter's, with a character of the library's class. The library is asked for its classes: of a text of all code points it gives the bytes of those that a class matches."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+
+    def library(cls: str) -> set[str]:
+        own = tiktoken.Encoding("class", pat_str=cls, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        return set(bytes(own.encode_ordinary(every)).decode())
+
+    pairs = [(LETTER, library(r"\p{L}"), set(regex.findall(r"\p{L}", every))), (DIGIT, library(r"\p{N}"), set(regex.findall(r"\p{N}", every))), (BLANK, library(r"\s"), set(regex.findall(f"[{SPACE}]", every)))]
+    return {ord(c): next((s for s, theirs, _ in pairs if c in theirs), SIGN) for c in set().union(*(theirs ^ ours for _, theirs, ours in pairs))}
+
+
+class Splitter:
+    """Splits texts by a pattern of letters, digits and spaces as the library does."""
+
+    def __init__(self, pattern: str):
+        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+        self.stand_ins = stand_ins()
+        self.strange = set(map(chr, self.stand_ins))
+
+    def findall(self, text: str) -> list[str]:
+        if text.isascii() or self.strange.isdisjoint(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
 
 
 def encoding(key: str, ranks: Broadcast, pattern: str) -> tiktoken.Encoding:
@@ -72,7 +101,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
     return from_varint(raw[4 : 4 + n]), raw[4 + n :]
 
 
-def words_of(block: list[str | None], split: regex.Pattern, buckets: int) -> tuple[list[int], np.ndarray, list[tuple[int, bytes]]]:
+def words_of(block: list[str | None], split: Splitter, buckets: int) -> tuple[list[int], np.ndarray, list[tuple[int, bytes]]]:
     """Number of pre-tokens of each text, the word at each position of the block, and for each bucket its packed words, the
     commonest first. Word j of bucket k goes by the number j * buckets + k, so that common words have small numbers."""
     counts, found, packed = [], [], []
@@ -110,7 +139,7 @@ def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """(block, bucket, payload): packed words; a negative bucket has the block's documents and the word at each position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, block = splitter(pattern), TaskContext.get().partitionId() << 32
+        split, block = Splitter(pattern), TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in chunks(texts, BLOCK):
@@ -129,7 +158,7 @@ def encode_words(words: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoding(key, ranks, pattern), {}
+        enc, known = encoding(key, ranks, pattern), Remembered()
         for batch in batches:
             out = []
             for bucket, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -143,8 +172,9 @@ def encode_words(words: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
                 for word in pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(text)).to_pylist():
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = enc.encode_ordinary(word)
+                        ids = known.young[word] = tuple(enc.encode_ordinary(word))
                     got.append(ids)
+                known.turn()
                 size = np.fromiter(map(len, got), np.int64, n)
                 flat = np.fromiter(chain.from_iterable(got), np.int64, int(size.sum()))
                 out.append(pack(np.concatenate([[n], size]), flat.astype("<u4" if enc.n_vocab > 1 << 16 else "<u2").tobytes()))
