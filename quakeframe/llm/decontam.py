@@ -10,8 +10,9 @@ Block-max WAND, for all passages of a batch at once: a passage whose terms' grea
 threshold is left (the pivot test); of the rest, the blocks whose block maxima together reach it are opened, and
 their postings scored in full; postings of blocks that stay closed are never read. Everything above the threshold is retrieved; there is no limit.
 
-Passages are overlapping windows: twice the longest item's words, stepping by half of that, so that each item
-that a document holds lies whole in one of them. A retrieved pair is verified on the passage's words: the item's
+Passages are overlapping windows, stepping by half of their words. Items are indexed by bands of lengths (up to 32 words, 64, 128, ...), and meet
+passages of twice their band's words, so that each item that a document holds lies whole in one of them, and what is found of an item
+doesn't depend on other items. A retrieved pair is verified on the passage's words: the item's
 question is its sentences but the last, its answer is the last one (of a single sentence: the first two thirds and the
 rest). A part's overlap is the greater of two shares: of its distinct ``gram``-word shingles that are in the passage (of a part
 with fewer words, the whole part), and of its words that an alignment with the best run of the passage's words leaves
@@ -23,7 +24,8 @@ The index has a proven bound: items are read in shards of ``SHARD_BYTES`` of tex
 shard of its own). ``PASS`` of them are broadcast together, as texts; each Python worker builds their indexes, and all passages meet
 them in one pass over the documents.
 
-Defined results: a null or empty text holds nothing; items without words are left out, a null item_id is an item like any other;
+Defined results: an empty table of documents gives no rows, one of items finds nothing; a very long text is searched whole, passage by passage; columns of documents
+that have names of the result aren't read; a null or empty text holds nothing; items without words are left out, a null item_id is an item like any other;
 items with equal id and text count once, different texts under one id each count. Rows with
 equal or null doc_id are judged each; a pair that several passages of a document have is given once, with its best passage.
 """
@@ -79,18 +81,19 @@ def halves(text: str) -> tuple[str, str]:
 class Index:
     """Inverted index of one shard of items (id, text)."""
 
-    def __init__(self, items: list[tuple[int | None, str]], gram: int, whole: tuple[int, float, dict[int, int]] | None = None):
-        """``whole``: items, mean length and, of each term here, the items that have it in the whole benchmark, if these are but a shard."""
+    def __init__(self, items: list[tuple[int | None, str]], gram: int, whole: tuple[int, float, dict[int, int]] | None = None, stride: int = 32):
+        """``whole``: items, mean length and, of each term here, the items that have it in the whole benchmark, if these are but a part. ``stride``:
+        words from passage to passage, which are twice as long; no item is longer than that."""
+        self.stride = stride
         h, first = hashes([t.encode() for _, t in items])
         bags = [Counter(h[a:b].tolist()) for a, b in zip(first, first[1:], strict=False)]
-        df = whole[2] if whole else Counter(t for bag in bags for t in bag)
+        df = {t: whole[2][t] for bag in bags for t in bag} if whole else Counter(t for bag in bags for t in bag)
         order = sorted((i for i in range(len(items)) if bags[i]), key=lambda i: (min((df[t], t) for t in bags[i]), items[i][0] is None, items[i][0] or 0, items[i][1]))
         self.ids = [items[i][0] for i in order]
         self.texts = [items[i][1] for i in order]
         bags = [bags[i] for i in order]
         n = len(order)
         length = np.array([b.total() for b in bags], np.int64)
-        self.longest = int(length.max()) if n else 0
         total, mean = whole[:2] if whole else (n, length.mean() if n else 1.0)
         idf = {t: np.log(1 + (total - c + 0.5) / (c + 0.5)) for t, c in df.items()}
         self.terms = np.array(sorted(df), np.uint64)
@@ -247,10 +250,25 @@ def built(shared: Broadcast) -> list[Index]:
     key, gram, group = shared.value
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = [Index(shard, gram, numbers) for shard, numbers in group]
+        _BUILT[key] = [index for shard, numbers in group for index in by_length(shard, gram, numbers)]
     return _BUILT[key]
 
 
+def by_length(items: list[tuple[int | None, str]], gram: int, whole: Numbers = None) -> list[Index]:
+    """An index for each band of lengths (up to 32 words, 64, 128, ...), with the numbers of all items. Passages are as long as an item's own band
+    asks for, so what is found of it doesn't depend on which others there are."""
+    h, first = hashes([t.encode() for _, t in items])
+    sizes = np.diff(first)
+    if whole is None:
+        held = Counter(t for a, b in zip(first, first[1:], strict=False) for t in set(h[a:b].tolist()))
+        n = int((sizes > 0).sum())
+        whole = (n, sizes.sum() / n if n else 1.0, held)
+    bands: dict[int, list] = {}
+    for item, size in zip(items, sizes.tolist(), strict=True):
+        bands.setdefault(max(32, 1 << max(0, size - 1).bit_length()), []).append(item)
+    return [Index(own, gram, whole, stride) for stride, own in sorted(bands.items())]
+
+
 def shards(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """Items in shards of ``SHARD_BYTES`` at most, read one after the other."""
     items = distinct_items(benchmark)
@@ -288,7 +306,7 @@ def _with_shards(texts: DataFrame, shared: Broadcast, threshold: float, overlap:
         for batch in batches:
             ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for (lo, hi), index in product(chunks(raw, 2 << 20), built(shared)):
-                best = found_in(index, raw[lo:hi], threshold, overlap, gram, max(32, index.longest))
+                best = found_in(index, raw[lo:hi], threshold, overlap, gram, index.stride)
                 out = [(ids[lo + d], row + lo + d, index.ids[i], i, *x) for (d, i), x in sorted(best.items())]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -350,7 +368,7 @@ def _without_shards(docs: DataFrame, shared: Broadcast, threshold: float, overla
             raw = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             keep = np.ones(len(raw), bool)
             for (lo, hi), index in product(chunks(raw, 2 << 20), built(shared)):
-                keep[[lo + d for d, _ in found_in(index, raw[lo:hi], threshold, overlap, gram, max(32, index.longest))]] = False
+                keep[[lo + d for d, _ in found_in(index, raw[lo:hi], threshold, overlap, gram, index.stride)]] = False
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -74,3 +74,16 @@ def test_shards_have_the_whole_benchmarks_numbers(spark, monkeypatch):
             got = dict(zip(x.terms[np.searchsorted(x.begin, at, "right") - 1].tolist(), x.impact[at], strict=True))
             assert got.keys() == whole[i].keys() and all(abs(got[t] - whole[i][t]) < 1e-12 for t in got)
     assert sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontam.contaminated(docs, bench).collect()) == one
+
+
+def test_other_items_do_not_change_what_is_found(spark):
+    """Question and answer far apart aren't the item, also if a longer item makes long passages."""
+    question, answer = "What colour does the ninth moon of the farthest planet have at noon in winter? ", "It is as green as old copper under rain."
+    filler = " ".join(f"filler{k}" for k in range(3000))
+    docs = spark.createDataFrame([(1, question + filler + " " + answer), (2, filler + " " + question + answer), (3, filler)], "doc_id long, text string")
+    items = [(7, question + answer)]
+    longer = [*items, (8, " ".join(f"long{k}" for k in range(4000)) + ". The end of it.")]
+    found = [sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(x, "item_id long, text string")).collect()) for x in (items, longer)]
+    assert found == [[(2, 7)], [(2, 7)]]
+    whole = spark.createDataFrame([(4, filler + " " + longer[1][1] + " " + filler)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(whole, spark.createDataFrame(longer, "item_id long, text string")).collect()] == [(4, 8)]
