@@ -76,6 +76,20 @@ def best_lag(a: np.ndarray, b: np.ndarray, sfreq: float, max_delay: float) -> tu
     return float(best[0]), float(-lags[0] if swap else lags[0])
 
 
+def lags_of(one: list, two: list, sfreq: np.ndarray, max_delay: float) -> tuple[np.ndarray, np.ndarray]:
+    """``best_lag`` of each pair of traces, NaN where there is none; pairs of equal lengths are worked out together. None counts as no samples."""
+    best, lags = np.full(len(one), np.nan), np.full(len(one), np.nan)
+    n = np.array([(0 if x is None else len(x), 0 if y is None else len(y)) for x, y in zip(one, two, strict=True)]).reshape(-1, 2)
+    for a, b in np.unique(n, axis=0):
+        at = np.flatnonzero((n[:, 0] == a) & (n[:, 1] == b)) if min(a, b) else []
+        for lo in range(0, len(at), step := max(1, AT_ONCE // max(a, b))):
+            i = at[lo : lo + step]
+            x, y = (np.stack([side[k] for k in i]).astype(float) for side in (one, two))
+            best[i], found = best_lags(*((y, x) if a > b else (x, y)), sfreq[i], max_delay)
+            lags[i] = -found if a > b else found
+    return best, lags
+
+
 def cross_correlate(pairs: DataFrame, max_delay: float) -> DataFrame:
     """pairs (keys..., samples1, samples2, sfreq) with valid, coefficient and lag in place of the samples."""
     keys = [c for c in pairs.columns if c not in ("samples1", "samples2", "sfreq")]
@@ -83,16 +97,7 @@ def cross_correlate(pairs: DataFrame, max_delay: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n1, n2 = (b[c].map(len).to_numpy() for c in ("samples1", "samples2"))
-            best, lags = np.full(len(b), np.nan), np.full(len(b), np.nan)
-            for one, two in np.unique(np.stack([n1, n2], 1), axis=0):  # traces of equal lengths go together
-                at = np.flatnonzero((n1 == one) & (n2 == two))
-                for lo in range(0, len(at), step := max(1, AT_ONCE // max(one, two, 1))):
-                    i = at[lo : lo + step]
-                    if min(one, two):
-                        x, y = (np.stack(b[c].iloc[i].to_list()).astype(float) for c in ("samples1", "samples2"))
-                        best[i], found = best_lags(*((y, x) if one > two else (x, y)), b.sfreq.to_numpy(float)[i], max_delay)
-                        lags[i] = -found if one > two else found
+            best, lags = lags_of(b.samples1.to_list(), b.samples2.to_list(), b.sfreq.to_numpy(float), max_delay)
             out = b[keys].copy()
             out["valid"] = ~np.isnan(best)
             out["coefficient"] = pd.array(np.where(np.isnan(best), None, best), "Float64")
@@ -137,13 +142,20 @@ def demeaned(samples: Column) -> Column:
 
 def l2_norm(h1: Column, h2: Column) -> Column:
     """Length of the horizontal motion, on the common samples."""
-    n = F.least(F.size(h1), F.size(h2))
-    return F.zip_with(F.slice(h1, 1, n), F.slice(h2, 1, n), lambda a, b: F.sqrt(a * a + b * b))
+    h1, h2 = common(h1, h2)
+    return F.zip_with(h1, h2, lambda a, b: F.sqrt(a * a + b * b))
+
+
+def common(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both without what the longer has more at its end."""
+    n = F.least(F.size(a), F.size(b))
+    return F.slice(a, 1, n), F.slice(b, 1, n)
 
 
 def radial_transverse(north: Column, east: Column, back_azimuth: Column) -> tuple[Column, Column]:
     """Motion away from the source and to the right of that, from north and east components; back azimuth in degrees."""
     c, s = F.cos(F.radians(back_azimuth)), F.sin(F.radians(back_azimuth))
+    north, east = common(north, east)
     return F.zip_with(north, east, lambda n, e: -n * c - e * s), F.zip_with(north, east, lambda n, e: n * s - e * c)
 
 

@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.weights import band_and_instrument, orientation
 from .joins import canonical_xcorr, containing_trace
-from .waveform import best_lag, demeaned, sliced, xcorr_window
+from .waveform import demeaned, l2_norm, lags_of, radial_transverse, resampled, sliced, xcorr_window
 
 EDGE = ["ref_id", "neigh_id", "station_id", "type"]
 
 
 @dataclass(frozen=True)
 class XcorrOptions:
-    """Windows in s around a pick, by phase group; limits below 0 are off; without ``components`` the pick's own orientation counts."""
+    """Windows in s around a pick, by phase group; limits below 0 are off; without ``components`` the pick's own orientation counts. Components are
+    orientations, or R, T (motion away from the event, and to the right of that) or L2 (length of the horizontal motion), which are made of N
+    and E. ``resample_hz`` above 0 brings all traces to one rate, so that those of different rates can be compared."""
 
     windows: tuple[tuple[str, float, float], ...] = (("P", -0.5, 0.75), ("S", -0.5, 0.75))
     scaling: float = 0.0
@@ -32,24 +34,48 @@ class XcorrOptions:
     min_station_km: float = 0.0
     max_station_km: float = -1.0
     max_event_km: float = -1.0
+    resample_hz: float = 0.0
+
+
+#: What R, T and L2 are made of.
+HORIZONTAL = ("N", "E")
 
 
 def windowed_picks(picks: DataFrame, traces: DataFrame, o: XcorrOptions) -> DataFrame:
     """event_id, station_id, type, component, rank (of the component), sfreq, short and long samples of each pick (event_id, station_id, type,
-    group, channel, t_us, travel_time) with a trace (trace_id, station_id, component, start_us, sfreq, samples) around it."""
+    group, channel, t_us, travel_time, and for R and T back_azimuth in degrees) with a trace (trace_id, station_id, component, start_us, sfreq,
+    samples) around it, or, for R, T and L2, two at one rate. Windows are demeaned before components are turned."""
     bounds = None
     for group, start, end in o.windows:
         spans = [x for delay in (0.0, o.max_delay) for x in xcorr_window(F.col("t_us"), start, end, F.coalesce("travel_time", F.lit(0.0)), o.scaling, delay)]
         own = F.struct(*[x.alias(n) for n, x in zip(("a", "b", "start_us", "end_us"), spans, strict=True)])
         bounds = F.when(F.col("group") == group, own) if bounds is None else bounds.when(F.col("group") == group, own)
     wanted = F.array(*map(F.lit, o.components)) if o.components else F.array(orientation(F.col("channel")))
-    asked = picks.withColumn("w", bounds).where("w is not null").select("event_id", "station_id", "type", "w.*", F.posexplode(wanted).alias("rank", "component"))
+    turn = F.col("back_azimuth").cast("double") if "back_azimuth" in picks.columns else F.lit(None).cast("double")
+    asked = picks.withColumn("w", bounds).where("w is not null").select("event_id", "station_id", "type", turn.alias("turn"), "w.*", F.posexplode(wanted).alias("rank", "wanted"))
+    turned = F.col("wanted").isin("R", "T", "L2")
+    asked = asked.withColumn("component", F.explode(F.when(turned, F.array(*map(F.lit, HORIZONTAL))).otherwise(F.array("wanted"))))
     keys = ["station_id", "component"]
     spans = traces.withColumns({"trace_start_us": F.col("start_us"), "trace_end_us": F.col("start_us") + F.floor((F.size("samples") - 1) * 1e6 / F.col("sfreq"))})
     hit = containing_trace(asked.select(*keys, "start_us", "end_us").distinct(), spans.select(*keys, "trace_start_us", "trace_end_us", "trace_id"), keys)
-    found = asked.join(hit, [*keys, "start_us", "end_us"]).join(traces.select("trace_id", "sfreq", "samples"), "trace_id")
-    cut = [demeaned(sliced(F.col("samples"), F.col("trace_start_us"), F.col("sfreq"), F.col(a), F.col(b))) for a, b in (("a", "b"), ("start_us", "end_us"))]
-    return found.select("event_id", "station_id", "type", "component", "rank", "sfreq", cut[0].alias("short"), cut[1].alias("long"))
+    found = asked.join(hit, [*keys, "start_us", "end_us"])
+    used = traces.select("trace_id", "sfreq", "samples")
+    if o.resample_hz > 0:
+        used = resampled(used.join(hit.select("trace_id").distinct(), "trace_id", "left_semi"), o.resample_hz)
+    found = found.join(used, "trace_id")
+    cut = [demeaned(sliced(F.col("samples"), F.col("trace_start_us"), F.col("sfreq"), F.col(a), F.col(b))).alias(n) for n, a, b in (("short", "a", "b"), ("long", "start_us", "end_us"))]
+    names = ["event_id", "station_id", "type", "rank"]
+    found = found.select(*names, "wanted", "component", "turn", "sfreq", *cut)
+    if not set(o.components) & {"R", "T", "L2"}:
+        return found.select("event_id", "station_id", "type", "component", "rank", "sfreq", "short", "long")
+    side = lambda c: F.max(F.when(F.col("component") == c, F.struct("sfreq", "short", "long")))
+    pair = found.where(turned).groupBy(*names, "wanted").agg(F.max("turn").alias("turn"), *(side(c).alias(c) for c in HORIZONTAL)).where("N is not null and E is not null and N.sfreq = E.sfreq")
+    made = []
+    for span in ("short", "long"):
+        radial, transverse = radial_transverse(F.col(f"N.{span}"), F.col(f"E.{span}"), F.col("turn"))
+        made.append(F.when(F.col("wanted") == "L2", demeaned(l2_norm(F.col(f"N.{span}"), F.col(f"E.{span}")))).when(F.col("wanted") == "R", radial).otherwise(transverse).alias(span))
+    pair = pair.where("wanted = 'L2' or turn is not null").select("event_id", "station_id", "type", F.col("wanted").alias("component"), "rank", "N.sfreq", *made)
+    return found.where(~turned).select(pair.columns).unionByName(pair)
 
 
 def gated(edges: DataFrame, picks: DataFrame, events: DataFrame, stations: DataFrame, o: XcorrOptions) -> DataFrame:
@@ -86,14 +112,19 @@ def correlated(edges: DataFrame, windows: DataFrame, max_delay: float) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = []
-            for t1, t2, s1, l1, s2, l2, f in zip(b.trusted1, b.trusted2, b.short1, b.long1, b.short2, b.long2, b.sfreq1, strict=True):
-                ways = ([(l1, s2)] if t2 or not t1 else []) + ([(s1, l2)] if t1 or not t2 else [])
-                got = [best_lag(np.asarray(x, float), np.asarray(y, float), f, max_delay) for x, y in ways if x is not None and y is not None]
-                # a way whose short window can't be cut makes the component fail
-                found.append(max((g for g in got if g[0] is not None), key=lambda g: abs(g[0]), default=(None, None)) if len(got) == len(ways) else (None, None))
+            trusted, f = b[["trusted1", "trusted2"]].to_numpy(bool), b.sfreq1.to_numpy(float)
+            both = trusted[:, 0] == trusted[:, 1]
+            ways = [(both | trusted[:, 1], "long1", "short2"), (both | trusted[:, 0], "short1", "long2")]
+            best, lags, cut = np.full((2, len(b)), np.nan), np.full((2, len(b)), np.nan), np.ones(len(b), bool)
+            for k, (asked, one, two) in enumerate(ways):
+                at = np.flatnonzero(asked)
+                best[k, at], lags[k, at] = lags_of(b[one].iloc[at].to_list(), b[two].iloc[at].to_list(), f[at], max_delay)
+                cut &= ~(asked & (b[one].isna() | b[two].isna()).to_numpy())  # a way whose short window can't be cut makes the component fail
+            k = (np.nan_to_num(np.abs(best[1]), nan=-1.0) > np.nan_to_num(np.abs(best[0]), nan=-1.0)).astype(int)
+            row = np.arange(len(b))
+            known = cut & ~np.isnan(best[k, row])
             out = b[names].copy()
-            out["coefficient"], out["lag"] = (pd.array([g[i] for g in found], "Float64") for i in (0, 1))
+            out["coefficient"], out["lag"] = (pd.array(np.where(known, v[k, row], None), "Float64") for v in (best, lags))
             yield out
 
     done = rows.mapInPandas(run, schema).where("coefficient is not null").groupBy(*EDGE).agg(F.min(F.struct("rank", "component", "coefficient", "lag")).alias("best"))
@@ -108,7 +139,14 @@ def correlate_edges(edges: DataFrame, picks: DataFrame, events: DataFrame, stati
     asked = edges.select(*EDGE).withColumns(pair).dropDuplicates(["ev1", "ev2", "station_id", "type"])
     if known is not None:
         asked = asked.join(known.select("ev1", "ev2", "station_id", "type"), ["ev1", "ev2", "station_id", "type"], "left_anti")
-    found = correlated(gated(asked, picks, events, stations, o), windowed_picks(picks, traces, o), o.max_delay)
+    if set(o.components) & {"R", "T"}:
+        ev = events.select(F.col("id").alias("event_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+        st = stations.select(F.col("id").alias("station_id"), F.col("latitude").alias("_slat"), F.col("longitude").alias("_slon"))
+        there = picks.join(ev, "event_id").join(st, "station_id")
+        turned = there.withColumn("back_azimuth", F.degrees(geo.azimuth(*[F.col(c) for c in ("_slat", "_slon", "_lat", "_lon")]))).drop("_lat", "_lon", "_slat", "_slon")
+    else:
+        turned = picks
+    found = correlated(gated(asked, picks, events, stations, o), windowed_picks(turned, traces, o), o.max_delay)
     found = found.select(F.col("ref_id").alias("ev1"), F.col("neigh_id").alias("ev2"), "station_id", "type", "valid", "coefficient", "lag", F.lit(1).alias("_order"))
     if known is not None:
         found = found.unionByName(known.select("ev1", "ev2", "station_id", "type", "valid", "coefficient", "lag", F.lit(0).alias("_order")))

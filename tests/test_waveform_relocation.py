@@ -79,6 +79,37 @@ def test_lags_are_those_of_the_errors(spark):
     assert again[0, 1] is False and again[1, 3]
 
 
+@pytest.mark.parametrize("component", ["R", "T", "L2"])
+def test_turned_components_and_rates(spark, component):
+    """Motion that only R, only T, or only the length of N and E shows alike for two events in different directions; one trace has half the rate."""
+    st = spark.createDataFrame([("S", 46.5, 8.0, 0.0)], "id string, latitude double, longitude double, elevation double")
+    places = [(46.52, 8.0), (46.5, 8.03), (46.49, 7.98)]
+    ev = spark.createDataFrame([(k, *p, 5.0) for k, p in enumerate(places)], "id long, latitude double, longitude double, depth double")
+    shift = [0.0, 0.05, -0.1]
+    picks = spark.createDataFrame([(k, "S", "P", "P", "HHZ", 10_000_000 * (k + 1) + round(s * 1e6), 0.0) for k, s in enumerate(shift)], "event_id long, station_id string, type string, group string, channel string, t_us long, travel_time double")
+    rng, traces = np.random.default_rng(3), []
+    for k, (lat, lon) in enumerate(places):
+        f = FREQ / 2 if k == 1 else FREQ
+        t = np.arange(int(4 * f)) / f - 2.0
+        wave = np.exp(-((t / 0.08) ** 2)) * np.sin(2 * np.pi * 7 * t)
+        noise = 0.3 * np.exp(-((t / 0.2) ** 2)) * np.sin(2 * np.pi * rng.uniform(2, 9) * t + rng.uniform(0, 6))
+        f1, f2, dl = np.radians(46.5), np.radians(lat), np.radians(lon - 8.0)
+        back = np.arctan2(np.sin(dl) * np.cos(f2), np.cos(f1) * np.sin(f2) - np.sin(f1) * np.cos(f2) * np.cos(dl))
+        radial, transverse = (wave, noise) if component == "R" else (noise, wave) if component == "T" else (wave * np.cos(k), wave * np.sin(k))
+        north, east = -radial * np.cos(back) + transverse * np.sin(back), -radial * np.sin(back) - transverse * np.cos(back)
+        traces += [(2 * k + i, "S", c, 10_000_000 * (k + 1) - 2_000_000, f, x.tolist()) for i, (c, x) in enumerate((("N", north), ("E", east)))]
+    traces = spark.createDataFrame(traces, "trace_id long, station_id string, component string, start_us long, sfreq double, samples array<double>")
+    edges = spark.createDataFrame([(0, 1, "S", "P"), (0, 2, "S", "P"), (1, 2, "S", "P")], "ref_id long, neigh_id long, station_id string, type string")
+    o = xcorr.XcorrOptions(components=(component,), resample_hz=FREQ)
+    got = {(r.ev1, r.ev2): r for r in xcorr.correlate_edges(edges, picks, ev, st, traces, o).collect()}
+    for a, b in got:
+        assert got[a, b].valid and got[a, b].coefficient > 0.97 and abs(got[a, b].lag - (shift[a] - shift[b])) <= 1.5 / FREQ
+    alone = {(r.ev1, r.ev2): r.valid for r in xcorr.correlate_edges(edges, picks, ev, st, traces, replace(o, resample_hz=0.0)).collect()}
+    assert alone == {(0, 1): False, (0, 2): True, (1, 2): False}
+    other = {(r.ev1, r.ev2): r.valid for r in xcorr.correlate_edges(edges, picks, ev, st, traces.where("component = 'N'"), replace(o, components=(component, "N"))).collect()}
+    assert set(other.values()) == {True}  # without E the next component counts
+
+
 def test_a_table_of_travel_times(spark, cloud):
     cat, true, _ = cloud
     picks = catalog.with_processing(cat, ["P"], ["S"], [0.0, 0.1])
