@@ -41,7 +41,7 @@ from .texthash import chunks, flat_ranges, from_varint, span_hashes, to_varint
 
 BLOCK = 8 << 20
 #: Ids that are decoded at once.
-DECODED = 4 << 20
+DECODED = 1 << 20
 #: Unicode White_Space, as \s of the library's pattern engine has it.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A letter, a digit, a space and another sign that every version of Unicode has, for those that the splitter here takes for something else.
@@ -71,9 +71,10 @@ def stand_ins() -> dict[int, str]:
 class Splitter:
     """Splits texts by a pattern of letters, digits and spaces as the library does."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, own: dict[int, str] | None = None):
+        """``own``: what ``stand_ins`` gives, if another process has worked it out."""
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-        self.stand_ins = stand_ins()
+        self.stand_ins = stand_ins() if own is None else own
         self.strange = set(map(chr, self.stand_ins))
 
     def findall(self, text: str) -> list[str]:
@@ -138,8 +139,10 @@ def words_of(block: list[str | None], split: Splitter, buckets: int) -> tuple[li
 def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """(block, bucket, payload): packed words; a negative bucket has the block's documents and the word at each position."""
 
+    known = docs.sparkSession.sparkContext.broadcast(stand_ins())  # some 20,000 characters
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, block = Splitter(pattern), TaskContext.get().partitionId() << 32
+        split, block = Splitter(pattern, known.value), TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in chunks(texts, BLOCK):
