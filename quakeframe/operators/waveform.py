@@ -48,7 +48,7 @@ def sliding_pearson(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     return out[0] if np.ndim(short) == 1 else out
 
 
-def best_lags(short: np.ndarray, long: np.ndarray, sfreq: np.ndarray, max_delay: float) -> tuple[np.ndarray, np.ndarray]:
+def best_lags(short: np.ndarray, long: np.ndarray, sfreq: np.ndarray, max_delay: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients, lags in s) of rows of traces of one length each; NaN where there are none. Coefficients that differ by less than 1e-12 count
     as equal, and the first of equals wins."""
     room = (long.shape[1] - short.shape[1]) // 2
@@ -76,16 +76,16 @@ def best_lag(a: np.ndarray, b: np.ndarray, sfreq: float, max_delay: float) -> tu
     return float(best[0]), float(-lags[0] if swap else lags[0])
 
 
-def lags_of(one: list, two: list, sfreq: np.ndarray, max_delay: float) -> tuple[np.ndarray, np.ndarray]:
+def lags_of(one: list, two: list, sfreq: np.ndarray, max_delay: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``best_lag`` of each pair of traces, NaN where there is none; pairs of equal lengths are worked out together. None counts as no samples."""
-    best, lags = np.full(len(one), np.nan), np.full(len(one), np.nan)
+    best, lags, delays = np.full(len(one), np.nan), np.full(len(one), np.nan), np.broadcast_to(max_delay, len(one))
     n = np.array([(0 if x is None else len(x), 0 if y is None else len(y)) for x, y in zip(one, two, strict=True)]).reshape(-1, 2)
     for a, b in np.unique(n, axis=0):
         at = np.flatnonzero((n[:, 0] == a) & (n[:, 1] == b)) if min(a, b) else []
         for lo in range(0, len(at), step := max(1, AT_ONCE // max(a, b))):
             i = at[lo : lo + step]
             x, y = (np.stack([side[k] for k in i]).astype(float) for side in (one, two))
-            best[i], found = best_lags(*((y, x) if a > b else (x, y)), sfreq[i], max_delay)
+            best[i], found = best_lags(*((y, x) if a > b else (x, y)), sfreq[i], delays[i])
             lags[i] = -found if a > b else found
     return best, lags
 

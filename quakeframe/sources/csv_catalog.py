@@ -117,15 +117,21 @@ def read_xcorr(spark: SparkSession, path: str) -> DataFrame:
     return canonical_xcorr(rows, "_row").drop("_row")
 
 
-def origins_to_catalog(origins: DataFrame, arrivals: DataFrame, picks: DataFrame, sensors: DataFrame) -> Catalog:
+def origins_to_catalog(origins: DataFrame, arrivals: DataFrame, picks: DataFrame, sensors: DataFrame, references: DataFrame | None = None, events: DataFrame | None = None) -> Catalog:
     """Events and phases of origins (public_id, t_us, latitude, longitude, depth, magnitude) with arrivals (origin_id, pick_id, phase, weight,
     time_used), picks (public_id, t_us, mode, network, station, location, channel, lower_unc, upper_unc) and sensors (network, station, location,
     start_us, end_us, latitude, longitude, elevation).
 
-    Origins without arrivals go, as do arrivals without a pick or a sensor at its time, and picks that aren't manual with weight 0 or unused."""
+    With references (event_id, origin_id, seq) and events (event_id, preferred_magnitude) an origin's magnitude is that which the event it belongs to
+    prefers; its own counts where there is none. Origins without arrivals go, as do arrivals without a pick or a sensor at its time, and picks that aren't manual with weight 0 or unused."""
     from ..operators.joins import valid_at
+    from ..operators.origins import with_parents
     from ..operators.stats import ranked
 
+    if references is not None:
+        own = origins.columns if "magnitude" in origins.columns else [*origins.columns, "magnitude"]
+        origins = origins if "magnitude" in origins.columns else origins.withColumn("magnitude", F.lit(None).cast("double"))
+        origins = with_parents(origins, references, events).withColumn("magnitude", F.coalesce("preferred_magnitude", "magnitude")).select(own)
     rows = arrivals.join(picks.withColumnRenamed("public_id", "pick_id"), "pick_id").where("mode = 'manual' or (weight > 0 and time_used)")
     spans = sensors.select("network", "station", "location", "start_us", "end_us", F.col("latitude").alias("st_lat"), F.col("longitude").alias("st_lon"), F.col("elevation").alias("st_elev"))
     rows = valid_at(rows, spans, ["network", "station", "location"], "t_us").where("st_lat is not null")
@@ -165,3 +171,20 @@ def write_clusters(cat: Catalog, edges: DataFrame, named: DataFrame, path: str)
 def read_with_header(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """A CSV file without a header line, whose columns have these names."""
     return spark.read.option("quote", '"').option("escape", '"').csv(path).toDF(*names)
+
+
+#: The columns of a list of origins, and where they come from.
+ORIGIN_LIST = (
+    ("origin", "public_id"), ("event", "event_id"), ("eventType", "type"), ("evalMode", "mode"), ("evalStat", "status"), ("agencyID", "agency"), ("author", "author"), ("methodID", "method"), ("RMS", "rms"),
+    ("numPhases", "n_phases"), ("latitude", "latitude"), ("longitude", "longitude"), ("depth", "depth"), ("time", "t_us"), ("creationTime", "created_us"), ("modificationTime", "modified_us"),
+)
+
+
+def write_origin_list(rows: DataFrame, path: str, simple: bool = False) -> None:
+    """Origins with their events in the sixteen columns of the list, or ``simple``, their ids alone without a header. Columns that rows don't have are empty."""
+    if simple:
+        rows.select("public_id").write.mode("overwrite").option("header", False).csv(path)
+        return
+    known = {c: format_iso(F.col(c)) if c.endswith("_us") else F.col(c).cast("string") for c in rows.columns}
+    rows = rows.select(*[F.coalesce(known.get(c, F.lit(None).cast("string")), F.lit("")).alias(n) for n, c in ORIGIN_LIST])
+    rows.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)

@@ -87,3 +87,21 @@ def test_a_file_without_a_header(spark, tmp_path):
     p = tmp_path / "plain.csv"
     p.write_text('7,"a, b"\n8,c\n')
     assert [tuple(r) for r in io.read_with_header(spark, str(p), ["id", "name"]).collect()] == [("7", "a, b"), ("8", "c")]
+
+
+def test_the_list_of_origins_and_preferred_magnitudes(spark, tmp_path):
+    rows = spark.createDataFrame([("o1", "e1", "", 1_600_000_000_500_000, 7, 46.5), ("o2", "e2", None, 1_600_000_000_000_000, None, -1.0)], "public_id string, event_id string, type string, t_us long, n_phases long, latitude double")
+    io.write_origin_list(rows, str(tmp_path / "list"))
+    got = {r.origin: r.asDict() for r in io.read_csv(spark, str(tmp_path / "list")).drop("_row").collect()}
+    assert list(got["o1"]) == "origin event eventType evalMode evalStat agencyID author methodID RMS numPhases latitude longitude depth time creationTime modificationTime".split()
+    assert (got["o1"]["time"], got["o1"]["numPhases"], got["o2"]["time"], got["o2"]["numPhases"], got["o2"]["creationTime"]) == ("2020-09-13T12:26:40.5Z", "7", "2020-09-13T12:26:40.0000Z", "", "")
+    io.write_origin_list(rows, str(tmp_path / "ids"), simple=True)
+    assert sorted(r[0] for r in spark.read.csv(str(tmp_path / "ids")).collect()) == ["o1", "o2"]
+    origins = spark.createDataFrame([("o1", 0, 46.0, 8.0, 5.0, 1.0), ("o2", 0, 46.0, 8.0, 5.0, 2.0), ("o3", 0, 46.0, 8.0, 5.0, 3.0)], "public_id string, t_us long, latitude double, longitude double, depth double, magnitude double")
+    arrivals = spark.createDataFrame([(o, "p1", "P", 1.0, True) for o in ("o1", "o2", "o3")], "origin_id string, pick_id string, phase string, weight double, time_used boolean")
+    picks = spark.createDataFrame([("p1", 100, "manual", "CH", "AAA", "", "HHZ", 0.1, 0.1)], "public_id string, t_us long, mode string, network string, station string, location string, channel string, lower_unc double, upper_unc double")
+    sensors = spark.createDataFrame([("CH", "AAA", "", 0, None, 46.1, 8.1, 100.0)], "network string, station string, location string, start_us long, end_us long, latitude double, longitude double, elevation double")
+    references = spark.createDataFrame([("e1", "o1", 1), ("e2", "o1", 2), ("e3", "o2", 3)], "event_id string, origin_id string, seq long")
+    events = spark.createDataFrame([("e1", 4.5), ("e2", 9.9), ("e3", None)], "event_id string, preferred_magnitude double")
+    c = io.origins_to_catalog(origins, arrivals, picks, sensors, references, events)
+    assert [(r.id, r.magnitude) for r in c.events.orderBy("id").collect()] == [(1, 4.5), (2, 2.0), (3, 3.0)]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakeframe.operators import catalog, neighbours, xcorr
-from quakeframe.plans import rebuild, relocate, solver
+from quakeframe.plans import presets, rebuild, relocate, solver
 from quakeframe.schema import Catalog
 from quakeframe.sources import csv_catalog
 from tests.test_relocation import KM, synthetic
@@ -110,6 +110,25 @@ def test_turned_components_and_rates(spark, component):
     assert set(other.values()) == {True}  # without E the next component counts
 
 
+def test_phase_groups_have_options_of_their_own(spark):
+    """P by Z and S by the length of the horizontal motion, with windows and delays of each."""
+    st = spark.createDataFrame([("S", 46.5, 8.1, 0.0)], "id string, latitude double, longitude double, elevation double")
+    ev = spark.createDataFrame([(k, 46.5, 8.0 + k / 1000, 5.0) for k in range(2)], "id long, latitude double, longitude double, depth double")
+    at = {(0, "P"): 0.0, (1, "P"): 0.2, (0, "S"): 0.0, (1, "S"): 0.2}
+    picks = spark.createDataFrame([(e, "S", g, g, "HHZ", 20_000_000 * (e + 1) + (3_000_000 if g == "S" else 0) + round(s * 1e6), 4.0) for (e, g), s in at.items()], "event_id long, station_id string, type string, group string, channel string, t_us long, travel_time double")
+    t = np.arange(2000) / FREQ - 4.0
+    wave = lambda t, f: np.exp(-((t / 0.08) ** 2)) * np.sin(2 * np.pi * f * t)
+    traces = [(3 * e + i, "S", c, 20_000_000 * (e + 1) - 4_000_000, FREQ, x.tolist()) for e in range(2) for i, (c, x) in enumerate((("Z", wave(t, 7)), ("N", wave(t - 3, 5)), ("E", wave(t - 3, 5) / 2)))]
+    traces = spark.createDataFrame(traces, "trace_id long, station_id string, component string, start_us long, sfreq double, samples array<double>")
+    edges = spark.createDataFrame([(0, 1, "S", "P"), (0, 1, "S", "S")], "ref_id long, neigh_id long, station_id string, type string")
+    got = {r.type: r for r in xcorr.correlate_edges(edges, picks, ev, st, traces, presets.LIBRARY_XCORR).collect()}
+    assert all(got[g].valid and got[g].coefficient > 0.97 and abs(got[g].lag + 0.2) <= 1.5 / FREQ for g in "PS")
+    tight = tuple((g, replace(p, max_delay=0.1 if g == "S" else 0.5)) for g, p in presets.PHASES)
+    got = {r.type: r for r in xcorr.correlate_edges(edges, picks, ev, st, traces, xcorr.XcorrOptions(by_phase=tight)).collect()}
+    assert abs(got["P"].lag + 0.2) <= 1.5 / FREQ and abs(got["S"].lag) <= 0.1
+    assert presets.APPLICATION_SINGLE.selection.max_neighbours == 80 and presets.APPLICATION_MULTI.selection.in_nearest_mode and not presets.LIBRARY_SELECTION.in_nearest_mode
+
+
 def test_a_table_of_travel_times(spark, cloud):
     cat, true, _ = cloud
     picks = catalog.with_processing(cat, ["P"], ["S"], [0.0, 0.1])
