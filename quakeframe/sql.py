@@ -301,7 +301,7 @@ add("trace_windows", f"""WITH {TRACES}, {_RECORDS}, q AS (SELECT id, id * 100000
 g AS (SELECT id, segment, min(t) AS f, max(t) + 10000 AS l FROM sa GROUP BY 1, 2),
 h AS (SELECT w.*, greatest(0, least(l, b) - greatest(f, a)) AS c, segment, f, l FROM w JOIN g ON g.id = w.id),
 k AS (SELECT id, any_value(a) AS a, any_value(b) AS b, sum(c) / any_value(b - a)::DOUBLE AS av, count(*) FILTER (WHERE c > 0) AS n, min(segment) FILTER (WHERE c > 0) AS one FROM h GROUP BY id),
-y AS (SELECT k.*, f, l, f + (a - f) // 10000 * 10000 AS lo, f + -((f - b) // 10000) * 10000 AS hi FROM k LEFT JOIN g ON g.id = k.id AND g.segment = k.one),
+y AS (SELECT k.*, f, l, f + CAST(floor((a - f) / 1e4) AS BIGINT) * 10000 AS lo, f + CAST(ceil((b - f) / 1e4) AS BIGINT) * 10000 AS hi FROM k LEFT JOIN g ON g.id = k.id AND g.segment = k.one),
 z AS (SELECT *, CASE WHEN n = 0 THEN 'no_data' WHEN av < 0.95e0 THEN 'low_availability' WHEN n > 1 THEN 'gaps' WHEN lo < f OR hi >= l THEN 'short' ELSE 'ok' END AS status FROM y)
 SELECT z.id, status, round(av, 6) AS availability, CASE WHEN status = 'ok' THEN lo END AS trace_start_us, CASE WHEN status = 'ok' THEN (hi - lo) // 10000 + 1 END AS n,
   round(p.v, 6) AS first, round(e.v, 6) AS last FROM z LEFT JOIN sa p ON p.id = z.id AND p.t = z.lo AND status = 'ok' LEFT JOIN sa e ON e.id = z.id AND e.t = z.hi AND status = 'ok'""")
