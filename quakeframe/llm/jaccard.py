@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, small_batches, written
 from .components import settled
 from .texthash import ODD, Words, chunks, mix, ngram_hashes
 
@@ -52,6 +52,8 @@ AT_A_TIME = 1 << 20
 CHUNK = 2048
 #: Words of sketches that are compared at once.
 AT_ONCE = 1 << 19
+#: Pairs, with both texts, that a task takes at once.
+PAIRS = 256
 #: Bits of the filter by which texts are picked before they are shuffled.
 FILTER_BITS = 24
 
@@ -384,7 +386,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num:
                     good.append(common * den >= num * (len(x) + len(own) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
-    checked = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, good boolean"), "checked")
+    with small_batches(docs.sparkSession, PAIRS):
+        checked = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, good boolean"), "checked")
     drop_written(texts)
     return checked
 
