@@ -15,7 +15,7 @@ joins recipes with chunks, puts ids together in order, and hashes everything aga
 is missing, or whose root or numbers differ, raises an error.
 
 As the library's normaliser and splitter never look across white space, words are encoded once for each
-Python worker and looked up; texts that hold a special token's name are encoded whole. A test compares this with the library's encoding of
+Python worker and looked up; texts that hold a special token's name, or marks that join with letters, are encoded whole. A test compares this with the library's encoding of
 whole texts.
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes first; rows with
@@ -47,6 +47,8 @@ MIN, MASK, MAX, LOOK = 128, np.uint64(511), 2048, 8
 REMEMBER = 600_000
 #: Words of letters that are encoded in one text.
 JOINED = 512
+#: Marks that letters of ASCII join with when texts are normalised.
+MARKS = "[\u0300-\u036f]"
 _WORKER: list = []
 
 
@@ -121,6 +123,8 @@ def encode_texts(texts: pa.Array, key: str, tokenizer_json: str, end_id: int) ->
     odd = np.zeros(len(texts), bool)
     for token in enc.special:  # may hold what isn't split as words are
         odd |= pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+    # Some small letters join with a mark behind them that the capital doesn't join with, so texts with marks aren't made small here.
+    odd |= pc.match_substring_regex(texts, MARKS).to_numpy(zero_copy_only=False)
     plain = pc.ascii_lower(pc.if_else(pa.array(odd), "", texts))
     # The library parts a letter or digit from a stop behind it too, and so more words are alike. It normalises first, so only letters
     # that stay one letter then are parted here: those of ASCII and small ones of Latin-1.

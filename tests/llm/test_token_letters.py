@@ -36,3 +36,16 @@ def test_random_texts_with_stops():
     rng = random.Random(9)
     some = [*"aäßéİÿZ09", "क़", "ড়", "יִ", "é", "Ⅻ", "½", "ⁿ", "中", "ー", "'s", "<|im_end|>", "_", *",.;:!? \n\t\xa0"]
     held_against_library(["".join(rng.choices(some, k=rng.randint(1, 25))) for _ in range(20_000)])
+
+
+def test_letters_with_marks():
+    """A small letter may join with a mark behind it where its capital doesn't."""
+    import string
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        text = f.read()
+    tool = Tokenizer.from_str(text)
+    texts = [f"x{a}{chr(m)}y {a}{chr(m)}." for a in string.ascii_letters for m in range(0x300, 0x370)]
+    ids, at = tokens.encode_texts(pa.array(texts), "marks", text, 2)
+    want = [e.ids for e in tool.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[i : j - 1].tolist() for i, j in zip(at, at[1:], strict=False)] == want
