@@ -36,6 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import gives_back
 from .merges import Remembered
 from .texthash import chunks, flat_ranges, from_varint, span_hashes, to_varint
 
@@ -153,7 +154,7 @@ def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([k for k, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
                 block += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, bucket int, payload binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(gives_back(run), "block long, bucket int, payload binary")
 
 
 def encode_words(words: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
@@ -183,7 +184,7 @@ def encode_words(words: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
                 out.append(pack(np.concatenate([[n], size]), flat.astype("<u4" if enc.n_vocab > 1 << 16 else "<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
 
-    return words.mapInArrow(run, "block long, bucket int, payload binary")
+    return words.mapInArrow(gives_back(run), "block long, bucket int, payload binary")
 
 
 def reassemble(coded: DataFrame, wide: bool, buckets: int) -> DataFrame:
@@ -250,4 +251,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 out = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, out], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(gives_back(run), "doc_id long, ids array<int>, decoded binary")

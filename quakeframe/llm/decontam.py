@@ -44,7 +44,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import gives_back, written
 from .texthash import Words, chunks, flat_ranges, ngram_hashes
 
 K1, B = 1.2, 0.75
@@ -209,7 +209,7 @@ def term_counts(items: DataFrame) -> DataFrame:
             count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in bags)])
             yield pa.RecordBatch.from_arrays([pa.array([*term.tolist(), *[None] * len(bags)], pa.int64()), pa.array([*count.tolist(), *(int(c.sum()) for _, c in bags)], pa.int64())], names=["term", "words"])
 
-    return items.select("text").mapInArrow(run, "term long, words long").groupBy("term").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    return items.select("text").mapInArrow(gives_back(run), "term long, words long").groupBy("term").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
 
 
 Numbers = tuple[int, float, dict[int, int]] | None
@@ -312,7 +312,7 @@ def _with_shards(texts: DataFrame, shared: Broadcast, threshold: float, overlap:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
             row += batch.num_rows
 
-    return texts.mapInArrow(run, RESULT)
+    return texts.mapInArrow(gives_back(run), RESULT)
 
 
 def found_in(index: Index, texts: list[bytes | None], threshold: float, overlap: float, gram: int, stride: int) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -371,4 +371,4 @@ def _without_shards(docs: DataFrame, shared: Broadcast, threshold: float, overla
                 keep[[lo + d for d, _ in found_in(index, raw[lo:hi], threshold, overlap, gram, index.stride)]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(gives_back(run), docs.schema)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, small_batches, written
+from .common import drop_written, gives_back, small_batches, written
 from .components import settled
 from .texthash import ODD, Words, chunks, mix, ngram_hashes
 
@@ -170,7 +170,7 @@ def _rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 sig = pa.array(np.concatenate([mix(np.asarray(batch.column(1).slice(lo, hi - lo)).view(np.uint64)).view(np.int64), *own]))
                 yield pa.RecordBatch.from_arrays([sig, pa.concat_arrays([node, pa.array(owner, pa.int64())]), pa.concat_arrays([doc, pa.nulls(len(owner), doc.type)])], names=["sig", "node", "doc"])
 
-    return _texts(docs).mapInArrow(run, f"sig long, node long, doc {DOC}")
+    return _texts(docs).mapInArrow(gives_back(run), f"sig long, node long, doc {DOC}")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _buckets(rows: DataFrame, chunk: int) -> DataFrame:
         if len(sig) and (out := give(sig, node, long != sig[0])):
             yield out
 
-    return rows.mapInArrow(run, f"kind int, bucket long, whole boolean, members array<long>, node long, doc {DOC}")
+    return rows.mapInArrow(gives_back(run), f"kind int, bucket long, whole boolean, members array<long>, node long, doc {DOC}")
 
 
 def _members(buckets: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def _compared(dealt: DataFrame, num: int, den: int, allowed: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from give(held, np.array([0, held.num_rows]))
 
-    return dealt.mapInArrow(run, "bucket long, a long, b long")
+    return dealt.mapInArrow(gives_back(run), "bucket long, a long, b long")
 
 
 def _bits(picked: Column) -> tuple[Column, Column]:
@@ -387,7 +387,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
     with small_batches(docs.sparkSession, PAIRS):
-        checked = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, good boolean"), "checked")
+        checked = written(both.select("a", "b", "x", "y").mapInArrow(gives_back(run), "a long, b long, good boolean"), "checked")
     drop_written(texts)
     return checked
 

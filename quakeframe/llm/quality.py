@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import gives_back
 from .texthash import ODD, Words, chunks, mix, ngram_hashes
 
 BITS = 18
@@ -180,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cla
     counts = {r.y: r.n for r in agreed.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     sample = labelled_sample(docs, agreed, per_class).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "raw")
-    found = sample.mapInArrow(extract, "doc_id long, y int, x binary").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "y", "x")]).combine_chunks()
+    found = sample.mapInArrow(gives_back(extract), "doc_id long, y int, x binary").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "y", "x")]).combine_chunks()
     # views of one buffer, as thousands of arrays of their own would stay in the driver's memory
     model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in found.column("x")], found.column("y").to_numpy(), share)
     del found, sample
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: dict, into: str = "score") -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(m["a"] * margin + m["b"], -500, 500)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, into])
 
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(gives_back(apply), schema)
 
 
 def learnable(n: int, held: int) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .bpe import pack, unpack
-from .common import written
+from .common import gives_back, written
 from .texthash import ODD, chunks, flat_ranges, mix
 
 BLOCK, PIECE = 4 << 20, 1 << 19
@@ -295,7 +295,7 @@ def _blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield _rows(rows)
                 number += 1
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(gives_back(run), ROWS)
 
 
 def _shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
