@@ -13,7 +13,7 @@ from ..functions import geo
 from ..schema import Catalog
 from ..tables import drop, settled
 from .graph import components, oriented
-from .spatial import neighbours_within
+from .spatial import sharing_within
 
 
 @dataclass(frozen=True)
@@ -38,38 +38,39 @@ class Selection:
         return self.shells <= 0 or self.max_neighbours <= 0
 
 
-def station_distances(cat: Catalog, phases: DataFrame) -> DataFrame:
-    """event_id, station_id, km for each event and station that phases join."""
-    pairs = phases.select("event_id", "station_id").distinct()
-    ev = cat.events.select(F.col("id").alias("event_id"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"), "depth")
-    st = cat.stations.select(F.col("id").alias("station_id"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), "elevation")
-    km = geo.distance3d(F.col("lat1"), F.col("lon1"), F.col("depth"), F.col("lat2"), F.col("lon2"), geo.station_depth(F.col("elevation")))
-    return pairs.join(ev, "event_id").join(st, "station_id").select("event_id", "station_id", km.alias("km"))
-
-
 def eligible_edges(cat: Catalog, o: Selection) -> DataFrame:
-    """All pairs that could be neighbours: ref_id, neigh_id, distance, type, station_id, km (reference to station)."""
-    phases = cat.phases.select("event_id", "station_id", "type").distinct()
-    phases = phases.join(station_distances(cat, phases), ["event_id", "station_id"])
-    ref = phases.select(F.col("event_id").alias("ref_id"), "station_id", "type", "km")
-    lo, hi = F.col("km") >= o.min_station_km, (F.col("km") <= o.max_station_km) if o.max_station_km > 0 else F.lit(True)
-    ref = ref.where(lo & hi if o.strict_ref else lo | hi)
-    neigh = phases.select(F.col("event_id").alias("neigh_id"), "station_id", "type", F.col("km").alias("neigh_km"))
-    pairs = neighbours_within(cat.events, o.max_km) if o.in_nearest_mode else in_outermost(neighbours_within(cat.events, 2 * o.max_km), cat.events, o)
-    both = pairs.join(ref, "ref_id").join(neigh, ["neigh_id", "station_id", "type"])
-    ok = F.lit(True)
-    if o.min_ratio > 0:
-        ok &= (F.col("km") >= F.col("distance") * o.min_ratio) & (F.col("neigh_km") >= F.col("distance") * o.min_ratio)
-    if o.max_station_km > 0:
-        ok &= F.col("neigh_km") <= o.max_station_km
-    if o.min_station_km > 0:
-        ok &= F.col("neigh_km") >= o.min_station_km
-    both = both.where(ok).drop("neigh_km")
-    pair = Window.partitionBy("ref_id", "neigh_id")
+    """All pairs that could be neighbours: ref_id, neigh_id, distance, type, station_id, km (reference to station).
+
+    Events meet by the phases that they share, not by distance alone, so what is joined grows with the picks. A pair is counted once
+    for both directions, and only pairs with enough phases are given both ways."""
+    phases = cat.phases.select(F.col("event_id").alias("id"), "station_id", "type").distinct()
+    st = cat.stations.select(F.col("id").alias("station_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), geo.station_depth(F.col("elevation")).alias("_depth"))
+    rows = phases.join(cat.events.select("id", "latitude", "longitude", "depth"), "id").join(st, "station_id")
+    rows = settled(rows.withColumn("km", geo.distance3d(*map(F.col, ("latitude", "longitude", "depth", "_lat", "_lon", "_depth")))).drop("_lat", "_lon", "_depth"))
+    pairs = sharing_within(rows, ["station_id", "type"], o.max_km if o.in_nearest_mode else 2 * o.max_km)
+    ways = []
+    for a, b in ("12", "21"):
+        km, far = F.col(f"km{a}"), F.col(f"km{b}")
+        lo, hi = km >= o.min_station_km, (km <= o.max_station_km) if o.max_station_km > 0 else F.lit(True)
+        ok = lo & hi if o.strict_ref else lo | hi
+        if o.min_ratio > 0:
+            ok &= (km >= F.col("distance") * o.min_ratio) & (far >= F.col("distance") * o.min_ratio)
+        if o.max_station_km > 0:
+            ok &= far <= o.max_station_km
+        if o.min_station_km > 0:
+            ok &= far >= o.min_station_km
+        if not o.in_nearest_mode:
+            ok &= geo.in_ellipsoid(*(F.col(f"{c}{k}") for k in (b, a) for c in ("latitude", "longitude", "depth")), across=2 * o.max_km, along=o.max_km)
+        ways.append(ok)
+    pairs = pairs.select("id1", "id2", "distance", "type", "station_id", "km1", "km2", *[ok.alias(f"ok{k}") for k, ok in enumerate(ways, 1)]).where("ok1 or ok2")
+    pair = Window.partitionBy("id1", "id2")
+    pairs = pairs.withColumns({f"n{k}": F.count_if(F.col(f"ok{k}")).over(pair) for k in (1, 2)}).where(F.greatest("n1", "n2") >= o.min_phases)
+    way = F.array(*(F.struct(F.col(f"id{a}").alias("ref_id"), F.col(f"id{b}").alias("neigh_id"), F.col(f"km{a}").alias("km"), (F.col(f"ok{a}") & (F.col(f"n{a}") >= o.min_phases)).alias("ok")) for a, b in ("12", "21")))
+    both = pairs.select(F.explode(way).alias("w"), "distance", "type", "station_id").where("w.ok").select("w.ref_id", "w.neigh_id", "distance", "type", "station_id", "w.km")
     if o.max_phases > 0:
-        both = both.withColumns({"_n": F.count("*").over(pair), "_k": F.row_number().over(pair.orderBy("km", "station_id", "type"))}).where((F.col("_n") >= o.min_phases) & (F.col("_k") <= o.max_phases))
-        return both.drop("_n", "_k")
-    return both.withColumn("_n", F.count("*").over(pair)).where(F.col("_n") >= o.min_phases).drop("_n")
+        place = F.row_number().over(Window.partitionBy("ref_id", "neigh_id").orderBy("km", "station_id", "type"))
+        return both.withColumn("_k", place).where(F.col("_k") <= o.max_phases).drop("_k")
+    return both
 
 
 def peel(pairs: DataFrame, least: int, most: int) -> DataFrame:
@@ -109,11 +110,6 @@ def _inside(km: float) -> Column:
     return geo.in_ellipsoid(*map(F.col, ("latitude", "longitude", "depth", "lat0", "lon0", "dep0")), across=2 * km, along=km)
 
 
-def in_outermost(pairs: DataFrame, events: DataFrame, o: Selection) -> DataFrame:
-    """The pairs in the outermost ellipsoid, which reaches twice ``max_km`` up and down."""
-    return _placed(pairs, events).where(_inside(o.max_km)).select(*pairs.columns)
-
-
 def by_shells(pairs: DataFrame, events: DataFrame, o: Selection) -> DataFrame:
     """Neighbours taken in turns from shells and octants: the nearest of each, then the second of each, and so on.
 
