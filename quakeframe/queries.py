@@ -390,7 +390,7 @@ def limited_phases(x: Lens) -> DataFrame:
 
 @query
 def neighbour_catalog(x: Lens) -> DataFrame:
-    edges = neighbours.nearest_first(spatial.neighbours_within(x.events, 5.0), 3)
+    edges = spatial.nearest_within(x.events, 5.0, 3)
     found = neighbours.to_catalog(edges, cat1(x), with_reference=False)
     return found.phases.groupBy("event_id").agg(F.count("*").alias("n"))
 
@@ -433,7 +433,7 @@ def clusters(x: Lens) -> DataFrame:
 
 @query
 def pair_orientation(x: Lens) -> DataFrame:
-    edges = neighbours.nearest_first(spatial.neighbours_within(x.events, 5.0), 6)
+    edges = spatial.nearest_within(x.events, 5.0, 6)
     return graph.oriented(edges).select("ref_id", "neigh_id")
 
 
@@ -758,7 +758,7 @@ def interval_join(x: Lens) -> DataFrame:
 @query
 def sql_functions(x: Lens) -> DataFrame:
     register(x.spark)
-    pairs = spatial.neighbours_within(x.events, 3.0)
+    pairs = spatial.nearest_within(x.events, 3.0, 4)  # all that four rows of each partition can need
     return x.spark.sql(
         """SELECT n.ref_id, n.neigh_id, n.rank, round(n.distance, 6) AS distance, round(quake_distance(a.latitude, a.longitude, b.latitude, b.longitude, a.depth), 6) AS flat,
              round(quake_azimuth(a.latitude, a.longitude, b.latitude, b.longitude), 6) AS azimuth, round(quake_move(a.latitude, a.longitude, 12D, 350D, 5D).longitude, 6) AS moved,

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from quakeframe.operators import neighbours
+from quakeframe.operators import neighbours, spatial
 from quakeframe.schema import Catalog
 
 
@@ -40,3 +40,22 @@ def test_events_without_common_picks_do_not_meet(spark):
         assert most_rows(spark, lambda: got.extend(neighbours.eligible_edges(cat, o).groupBy("ref_id", "neigh_id").count().collect())) < 1_000_000
         assert {(r.ref_id, r.neigh_id) for r in got} == {(a, b) for a in range(1500) for b in range(a // 30 * 30, a // 30 * 30 + 30) if a != b}
         assert {r["count"] for r in got} == {10}
+
+
+def test_nearest_within_are_the_first_of_all(spark):
+    df = spark.createDataFrame(points(spark, 1500, 0.03)).repartition(4)
+    want = {(r.ref_id, r.neigh_id) for r in neighbours.nearest_first(spatial.neighbours_within(df, 1.0), 3).collect()}
+    got = []
+    assert most_rows(spark, lambda: got.extend(spatial.nearest_within(df, 1.0, 3).collect())) < 300_000
+    assert {(r.ref_id, r.neigh_id) for r in got} == want and len(want) == len(got) > 4000
+
+
+def test_nearest_from_far_below_looks_at_few(spark):
+    """Stations on a plain and events below them: what is asked of a row is a thin layer of stations, not all within its depth."""
+    st = points(spark, 3000, 0.2).assign(depth=lambda d: d.id % 100 / -100.0)
+    ev = points(spark, 400, 0.2).assign(depth=lambda d: 5.0 + d.id % 7)
+    a, b = spark.createDataFrame(ev), spark.createDataFrame(st)
+    got = []
+    assert most_rows(spark, lambda: got.extend(spatial.nearest(a, b, 2).collect())) < 100_000
+    d = spatial.radius_pairs(a, b, 60.0).toPandas().sort_values(["a_id", "distance", "b_id"]).groupby("a_id").head(2)
+    assert {(r.a_id, r.b_id) for r in got} == set(zip(d.a_id, d.b_id, strict=True)) and len(got) == 800
