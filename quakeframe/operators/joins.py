@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.geodesic import geodesic_m
 
@@ -87,20 +90,39 @@ def merge_growing(requests: DataFrame, keys: list[str], share: float = 0.1, slic
     slices' runs: what joins a run by its own tolerance also joins a longer one that the run itself has joined, so a slice's runs may be
     taken as windows and the result is that of one fold over all."""
     counted = requests.groupBy(*keys, "start_us", "end_us").agg(F.count("*").alias("n")).withColumn("_slice", F.floor(F.col("start_us") / slice_us))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.select(*keys, "start_us", "end_us", "n").schema.fields)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["start_us", "end_us"])
-        runs: list[list[int]] = []
-        for a, b, n in zip(group.start_us.tolist(), group.end_us.tolist(), group.n.tolist(), strict=True):
-            if runs and a <= runs[-1][1] + share * (runs[-1][1] - runs[-1][0]):
-                runs[-1][1:] = [max(runs[-1][1], b), runs[-1][2] + n]
-            else:
-                runs.append([a, b, n])
-        out = pd.DataFrame(runs, columns=["start_us", "end_us", "n"])
-        return out.assign(**{k: group[k].iloc[0] for k in keys})[[*keys, "start_us", "end_us", "n"]]
-
-    return counted.groupBy(*keys, "_slice").applyInPandas(fold, schema).groupBy(*keys).applyInPandas(fold, schema)
+    columns = [*keys, "start_us", "end_us", "n"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.select(*columns).schema.fields)
+
+    def folded(by: list[str]):
+        """Runs of the windows in a partition, which has all of its groups ``by``, one after another and in order; a run goes on over batches."""
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, run = None, None
+            for batch in batches:
+                done = []
+                own = [batch.column(k).to_pylist() for k in by]
+                told = [batch.column(k).to_pylist() for k in keys]
+                for *head, a, b, n in zip(*own, *told, *(batch.column(c).to_pylist() for c in columns[-3:]), strict=True):
+                    if run and head == group and a <= run[-2] + share * (run[-2] - run[-3]):
+                        run[-2:] = [max(run[-2], b), run[-1] + n]
+                    else:
+                        if run:
+                            done.append(run)
+                        group, run = head, [*head[len(by) :], a, b, n]
+                yield _table(done)
+            if run:
+                yield _table([run])
+
+        def _table(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=columns)
+
+        types = [to_arrow_type(f.dataType) for f in counted.select(*columns).schema.fields]
+        return fold
+
+    for by in ([*keys, "_slice"], keys):
+        dealt = counted.repartition(*by).sortWithinPartitions(*by, "start_us", "end_us")
+        counted = dealt.mapInArrow(folded(by), schema)
+    return counted
 
 
 def containing_trace(requests: DataFrame, traces: DataFrame, keys: list[str], bin_us: int = 300_000_000) -> DataFrame:

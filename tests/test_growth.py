@@ -2,8 +2,9 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from quakeframe.operators import neighbours, spatial
+from quakeframe.operators import joins, neighbours, spatial, stats
 from quakeframe.schema import Catalog
 
 
@@ -59,3 +60,20 @@ def test_nearest_from_far_below_looks_at_few(spark):
     assert most_rows(spark, lambda: got.extend(spatial.nearest(a, b, 2).collect())) < 100_000
     d = spatial.radius_pairs(a, b, 60.0).toPandas().sort_values(["a_id", "distance", "b_id"]).groupby("a_id").head(2)
     assert {(r.a_id, r.b_id) for r in got} == set(zip(d.a_id, d.b_id, strict=True)) and len(got) == 800
+
+
+def test_many_short_runs_are_folded_without_a_frame_each(spark, capsys):
+    """Windows of 2000 keys: each key by itself is too small for a group of its own."""
+    df = spark.range(20_000).selectExpr("id % 2000 as k", "(id div 2000) * 100 as start_us", "(id div 2000) * 100 + if(id % 2 = 0, 100, 50) as end_us")
+    found = joins.merge_growing(df, ["k"], 0.1, 300)
+    found.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+    assert sorted(map(tuple, found.groupBy(F.col("k") % 2, "n").count().collect())) == [(0, 10, 1000), (1, 1, 10_000)]
+
+
+def test_stations_are_counted_without_copies_of_arrivals(spark):
+    df = spark.range(30_000).selectExpr("id % 1000 as event_id", "concat('S', id % 7) as station_id", "id % 3 = 0 as used", "cast(id % 11 as double) as distance", "1e0 as residual")
+    got = []
+    assert most_rows(spark, lambda: got.extend(stats.origin_quality(df).collect())) <= 30_000
+    want = df.groupBy("event_id").agg(F.count_distinct("station_id"), F.count_distinct(F.when(F.col("used"), F.col("station_id"))))
+    assert {(r.event_id, r.stations, r.used_stations) for r in got} == set(map(tuple, want.collect()))
