@@ -179,10 +179,13 @@ def trilinear(x: Lens) -> DataFrame:
 def map_projections(x: Lens) -> DataFrame:
     lat, lon = F.col("latitude"), F.col("longitude")
     xy = {"flat": geo.to_flat(lat, lon, 46.8, 8.4, 30.0), "tm": geo.transverse_mercator(lat, lon, 46.8, 8.4), "lcc": geo.lambert(lat, lon, 46.8, 8.4, 46.0, 47.5), "aeqd": geo.azimuthal_equidistant(lat, lon, 46.8, 8.4), "sdc": geo.short_distance(lat, lon, 46.8, 8.4, 30.0)}
+    # inverses go back by steps from columns: from expressions each step would work the projection out again; a small file is one task, so rows are dealt
+    rows = x.events.select("id", *[c.alias(f"{n}_{k}") for n, p in xy.items() for k, c in zip("xy", p, strict=True)]).repartition("id")
+    xy = {n: (F.col(f"{n}_x"), F.col(f"{n}_y")) for n in xy}
     back = geo.from_flat(*xy["flat"], 46.8, 8.4, 30.0)
     others = {"tm": geo.from_transverse_mercator(*xy["tm"], 46.8, 8.4), "lcc": geo.from_lambert(*xy["lcc"], 46.8, 8.4, 46.0, 47.5), "aeqd": geo.from_azimuthal_equidistant(*xy["aeqd"], 46.8, 8.4), "sdc": geo.from_short_distance(*xy["sdc"], 46.8, 8.4, 30.0)}
     inverses = [r6(c).alias(f"{n}_{k}") for n, p in others.items() for k, c in zip(("lat", "lon"), p, strict=True)]
-    return x.events.select("id", *inverses, *[r6(c).alias(f"{n}_{k}") for n, p in xy.items() for k, c in zip("xy", p, strict=True)], r6(back[0]).alias("lat"), r6(back[1]).alias("lon"))
+    return rows.select("id", *inverses, *[r6(c).alias(f"{n}_{k}") for n, p in xy.items() for k, c in zip("xy", p, strict=True)], r6(back[0]).alias("lat"), r6(back[1]).alias("lon"))
 
 
 # archives and maps

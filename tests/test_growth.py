@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quakeframe import queries
 from quakeframe.operators import joins, neighbours, spatial, stats
 from quakeframe.schema import Catalog
 
@@ -77,3 +78,8 @@ def test_stations_are_counted_without_copies_of_arrivals(spark):
     assert most_rows(spark, lambda: got.extend(stats.origin_quality(df).collect())) <= 30_000
     want = df.groupBy("event_id").agg(F.count_distinct("station_id"), F.count_distinct(F.when(F.col("used"), F.col("station_id"))))
     assert {(r.event_id, r.stations, r.used_stations) for r in got} == set(map(tuple, want.collect()))
+
+
+def test_projections_are_worked_out_once_before_the_inverses(spark, capsys):
+    queries.queries()["map_projections"](spark, "/root/testdata/sf0.001").explain()
+    assert "hashpartitioning(id" in capsys.readouterr().out
