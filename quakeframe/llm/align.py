@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import written
+from .common import give_back, gives_back, written
 from .texthash import chunks, flat_ranges
 
 #: Bytes of text of a block, and of chunks that are encoded in one text.
-BLOCK, JOINED = 8 << 20, 1 << 16
+BLOCK, JOINED = 4 << 20, 1 << 16
 #: Parts that a pair's counts are first summed in.
 SALTS = 8
 _WORKER: list = []
+_SPELLED: list = []
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -147,6 +148,17 @@ def tokenizers(key: str, shared) -> Pair:
     return _WORKER[0]
 
 
+def spelled(key: str, shared) -> tuple[Spellings, Spellings]:
+    """Both tokenizers' spellings, for workers that encode nothing: these keep no tokenizers."""
+    if not _SPELLED or _SPELLED[0] != key:
+        pair = tokenizers(key, shared)
+        _SPELLED[:] = [key, pair.a, pair.b]
+        del pair
+        _WORKER.clear()
+        give_back()
+    return _SPELLED[1], _SPELLED[2]
+
+
 def cut_chunks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the chunks of documents that start at ``starts`` start, and whether what stands before a place is white space:
     before each run of spaces that follows a character that isn't white space and is followed by another character."""
@@ -263,7 +275,7 @@ def tokenize(docs: DataFrame, shared, key: str) -> DataFrame:
                 yield from rows(block, batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), pair)
                 block += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(gives_back(run), BLOCKS)
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -287,15 +299,16 @@ def align(docs: DataFrame, tokenizer_json: str, model: bytes) -> tuple[DataFrame
     marks = pairs.select("block", "a", "b").join(counts, ["a", "b"])
 
     def finish(blocks: pa.Table, marks: pa.Table) -> pa.Table:
-        pair = tokenizers(key, shared)
+        give_back()  # what the group before has freed
+        spelled_a, spelled_b = spelled(key, shared)
         numbers, raw = unpack(blocks.column("payload")[0].as_py())
         n_docs, n_chunks, n_a, n_b = numbers[:4].tolist()
         cut = np.cumsum([4, n_docs, n_docs, 0, n_chunks, n_chunks, n_a, n_b])
         count = numbers[4 : cut[1]]
         cut[3:] += int(count.sum())
         null, number, size_a, size_b, a, b = (numbers[i:j] for i, j in zip([cut[1], cut[2], *cut[3:-1]], [cut[2], *cut[3:]], strict=True))
-        x = align_chunks(a, b, size_a, size_b, pair.a, pair.b)
-        width = len(pair.b.start)
+        x = align_chunks(a, b, size_a, size_b, spelled_a, spelled_b)
+        width = len(spelled_b.start)
         code = marks.column("a").to_numpy().astype(np.int64) * width + marks.column("b").to_numpy()
         order = np.argsort(code)
         at = np.searchsorted(code[order], x.codes(width))

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -247,3 +248,9 @@ def test_crc_of_spans():
     spans = [(0, 0), (5, 1), (0, 64), (1, 65), (7, 2000), *((r.randrange(2000), r.randrange(100)) for _ in range(300))]
     start, size = map(np.array, zip(*spans, strict=True))
     assert importance.span_crcs(np.frombuffer(data, np.uint8), start, size).tolist() == [zlib.crc32(data[a : a + n]) for a, n in spans]
+
+
+def test_workers_that_encode_nothing_keep_no_tokenizers(monkeypatch):
+    monkeypatch.setattr(align, "tokenizers", lambda key, shared: align._WORKER.append("pair") or SimpleNamespace(a="a", b="b"))
+    assert align.spelled("only here", None) == ("a", "b") and not align._WORKER
+    align._SPELLED.clear()
