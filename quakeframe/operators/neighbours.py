@@ -13,7 +13,7 @@ from ..functions import geo
 from ..schema import Catalog
 from ..tables import drop, settled
 from .graph import components, oriented
-from .spatial import sharing_within
+from .spatial import first_radius, neighbours_within, others_reached, sharing_within
 
 
 @dataclass(frozen=True)
@@ -105,9 +105,18 @@ def _placed(pairs: DataFrame, events: DataFrame) -> DataFrame:
     return pairs.join(a, "ref_id").join(ev.withColumnRenamed("id", "neigh_id"), "neigh_id")
 
 
-def _inside(km: float) -> Column:
-    """Whether the neighbour lies in the reference's ellipsoid with horizontal half axes of ``km`` and a vertical one of twice that."""
-    return geo.in_ellipsoid(*map(F.col, ("latitude", "longitude", "depth", "lat0", "lon0", "dep0")), across=2 * km, along=km)
+def _with_shells(placed: DataFrame, o: Selection) -> DataFrame:
+    """Rows of ``_placed`` with ``shell`` (0 is the innermost, NULL if outside of all) and ``octant``. The distance across is worked out once."""
+    placed = placed.withColumns({"_h": geo.distance(*map(F.col, ("latitude", "longitude", "lat0", "lon0", "dep0"))), "_z": F.col("depth") - F.col("dep0")})
+    shell = F.when(F.lit(False), F.lit(0))
+    for k in range(o.shells):
+        km = o.max_km / 2 ** (o.shells - 1 - k)
+        shell = shell.when(geo.square(F.col("_h") / km) + geo.square(F.col("_z") / (2 * km)) <= 1.0, k)
+    # as ``geo.octants``, the first of them
+    east, north = geo.normalize_lon(F.col("longitude") - F.col("lon0")), F.col("latitude") >= F.col("lat0")
+    placed = placed.withColumns({"_e": east, "_n": north})
+    quarter = F.when(F.col("_n") & (F.col("_e") >= 0), 1).when((F.col("_e") >= 0) & (F.col("latitude") <= F.col("lat0")), 2).when((F.col("latitude") <= F.col("lat0")) & (F.col("_e") <= 0), 3).otherwise(4)
+    return placed.withColumns({"shell": shell, "octant": quarter + F.when(F.col("_z") >= 0, 0).otherwise(4)}).drop("_h", "_z", "_e", "_n")
 
 
 def by_shells(pairs: DataFrame, events: DataFrame, o: Selection) -> DataFrame:
@@ -115,12 +124,7 @@ def by_shells(pairs: DataFrame, events: DataFrame, o: Selection) -> DataFrame:
 
     The outermost of ``shells`` ellipsoids has horizontal half axes of ``max_km`` and a vertical one of twice that; each further one is half
     as large, and the innermost shell is all of its ellipsoid. A point on an octant's plane is counted in the first of its octants."""
-    rows = _placed(pairs, events)
-    shell = F.when(F.lit(False), F.lit(0))
-    for k in range(o.shells):  # shell 0 is the innermost
-        shell = shell.when(_inside(o.max_km / 2 ** (o.shells - 1 - k)), k)
-    octant = geo.octants(*map(F.col, ("latitude", "longitude", "depth", "lat0", "lon0", "dep0")))[0]
-    rows = rows.withColumns({"shell": shell, "octant": octant}).where("shell is not null")
+    rows = _with_shells(_placed(pairs, events), o).where("shell is not null")
     if o.max_neighbours > 0:
         turn = Window.partitionBy("ref_id", "shell", "octant").orderBy("distance", "neigh_id")
         rows = rows.withColumn("_turn", F.row_number().over(turn))
@@ -128,6 +132,53 @@ def by_shells(pairs: DataFrame, events: DataFrame, o: Selection) -> DataFrame:
     return rows.select(*pairs.columns, "shell", "octant")
 
 
+def shells_within(events: DataFrame, o: Selection) -> DataFrame:
+    """ref_id, neigh_id, distance, shell, octant: what ``by_shells`` takes of all pairs within twice ``max_km``, without all of these pairs.
+
+    Places are filled in the order of turn, shell and octant. Within a radius, only a shell that reaches beyond it may still fill a place that
+    is empty. So an event is settled once enough places before the first such one are filled, and the radius, at first such that an octant
+    has some four events if they were spread evenly over their extent, grows twofold for those that aren't."""
+    most, wanted = 2.0 * o.max_km, o.max_neighbours
+    if o.in_nearest_mode:
+        return by_shells(neighbours_within(events, most), events, o)
+    km, low, high, size = first_radius(events, events, 2 * max(8, wanted))
+    deepest, slots, found, before = max(0.0, high or 0.0), 8 * o.shells, None, None
+    left = events = events.select("id", "latitude", "longitude", "depth")
+    if not size:
+        return by_shells(neighbours_within(events, most), events, o)
+    ends = {f"{c}{k}": n for k, names in ((1, ("lat0", "lon0", "dep0")), (2, ("latitude", "longitude", "depth"))) for c, n in zip(("latitude", "longitude", "depth"), names, strict=True)}
+    while True:
+        km = min(km, most)
+        pairs = others_reached(left, events, km, deepest, low, high).withColumnsRenamed({"a_id": "ref_id", "b_id": "neigh_id", **ends})
+        rows = _with_shells(pairs, o)
+        # what lies farther or in no shell is left out behind the inlined column, as a filter before it would be taken into the join, where all of this would be worked out for each candidate
+        slot = F.inline(F.array(F.struct(F.when(F.col("distance") <= km, F.col("shell") * 8 + F.col("octant") - 1).alias("slot"))))
+        rows = rows.select("ref_id", "neigh_id", "distance", slot).where("slot is not null").repartition("ref_id")
+        turn = Window.partitionBy("ref_id", "slot").orderBy("distance", "neigh_id")
+        rows = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= wanted)
+        first = F.array_sort(F.collect_list(F.struct("turn", "slot", "neigh_id", "distance")))  # of ``wanted`` for each slot at most
+        rows = rows.groupBy("ref_id").agg(first.alias("all"), *(F.count_if(F.col("slot") == g).alias(f"n{g}") for g in range(slots)))
+        done = F.lit(True)
+        if km < most:
+            whole = sum(km >= 2 * o.max_km / 2 ** (o.shells - 1 - k) for k in range(o.shells))
+            rows = rows.withColumn("open", F.least(*((F.col(f"n{g}") + 1) * slots + g for g in range(8 * whole, slots)), F.lit(1 << 40)))  # turn and slot
+            rows = rows.withColumns({"turn": F.floor(F.col("open") / slots), "slot": F.col("open") % slots})
+            done = sum((F.least(F.col(f"n{g}"), F.col("turn") - F.when(F.lit(g) >= F.col("slot"), 1).otherwise(0)) for g in range(slots)), F.lit(0)) >= wanted
+        # written before it's filtered, as a filter would repeat all of this
+        rows = settled(rows.select("ref_id", F.slice("all", 1, wanted).alias("all"), done.alias("done"))).where("done")
+        found = rows if found is None else found.unionByName(rows)
+        if km >= most:
+            break
+        left = settled(left.join(rows.select(F.col("ref_id").alias("id")), "id", "left_anti"))
+        drop(before)
+        before = left
+        if left.isEmpty():
+            break
+        km *= 2
+    found = found.select("ref_id", F.explode("all").alias("x")).select("ref_id", "x.neigh_id", "x.distance", "x.slot")
+    return found.select("ref_id", "neigh_id", "distance", F.expr("slot div 8").cast("int").alias("shell"), (F.col("slot") % 8 + 1).alias("octant"))
+
+
 def select_neighbours(cat: Catalog, o: Selection) -> DataFrame:
     """ref_id, neigh_id, distance, type, station_id: the neighbours of all events that keep at least ``min_neighbours``."""
     edges = settled(eligible_edges(cat, o))

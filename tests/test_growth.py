@@ -52,6 +52,19 @@ def test_nearest_within_are_the_first_of_all(spark):
     assert {(r.ref_id, r.neigh_id) for r in got} == want and len(want) == len(got) > 4000
 
 
+def test_shells_within_are_those_of_all_pairs(spark):
+    """1200 events of which all pairs are near: most choices are settled within a small part of the innermost shell. Fewer shells and more
+    neighbours need later turns."""
+    df = spark.createDataFrame(points(spark, 1200, 0.06)).repartition(4).cache()
+    for o in (neighbours.Selection(max_neighbours=8, shells=3), neighbours.Selection(max_km=0.6, max_neighbours=30, shells=2)):
+        want = set(map(tuple, neighbours.by_shells(spatial.neighbours_within(df, 2 * o.max_km), df, o).drop("distance").collect()))
+        got = []
+        most = most_rows(spark, lambda: got.extend(neighbours.shells_within(df, o).drop("distance").collect()))
+        assert set(map(tuple, got)) == want and len(got) == len(want) > 4000
+        if o.shells == 3:
+            assert most < 600_000
+
+
 def test_nearest_from_far_below_looks_at_few(spark):
     """Stations on a plain and events below them: what is asked of a row is a thin layer of stations, not all within its depth."""
     st = points(spark, 3000, 0.2).assign(depth=lambda d: d.id % 100 / -100.0)
