@@ -93,6 +93,25 @@ def test_stations_are_counted_without_copies_of_arrivals(spark):
     assert {(r.event_id, r.stations, r.used_stations) for r in got} == set(map(tuple, want.collect()))
 
 
+def test_bins_are_counted_not_ranked(spark, monkeypatch):
+    """50,000 rows of which few lie in a step that a bin's edge cuts; with one step for all, or equal distances, all are ranked one by one."""
+    sizes, ranked = [], stats.ranked
+    monkeypatch.setattr(stats, "ranked", lambda df, *a: sizes.append(df.count()) or ranked(df, *a))
+    rows = spark.range(50_000).selectExpr("cast(id * 7919 % 10007 as double) / 1e3 as d", "if(id % 50 = 0, null, id * 31 % 101) as v", "id as o")
+    for df, step in ((rows, 1e-2), (rows, 1e3), (rows.withColumn("d", F.lit(2.0)), 1e-2)):
+        sizes.clear()
+        got = stats.binned_residuals(df, "d", "v", 20, ["o"], step=step).collect()
+        assert (max(sizes) < 10_000) == (df is rows and step < 1)
+        p = df.toPandas().sort_values(["d", "o"])
+        p["bin"] = np.arange(len(p)) // (len(p) // 20 + 1)
+        for r in got:
+            own = p[p.bin == r.bin]
+            v = np.sort(own.v.dropna().to_numpy())
+            n = len(v)
+            assert (r.n, r.min, r.q1, r.q2, r.q3, r.max, r["from"], r.to) == (n, v[0], v[n // 4], v[n // 2], v[n // 4 + n // 2], v[-1], own.d.min(), own.d.max())
+        assert len(got) == 20
+
+
 def test_projections_are_worked_out_once_before_the_inverses(spark, capsys):
     queries.queries()["map_projections"](spark, "/root/testdata/sf0.001").explain()
     assert "hashpartitioning(id" in capsys.readouterr().out
