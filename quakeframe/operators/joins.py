@@ -76,10 +76,12 @@ def merge_requests(requests: DataFrame, keys: list[str], tolerance_us: int = 0,
     """Windows (keys, start_us, end_us) that overlap or lie within a tolerance become one: keys, start_us, end_us, n.
 
     Equal windows are counted first; then those that start in one slice of time are merged, and what is left of all slices again,
-    so a key with very many windows is shared out."""
+    so a key with very many windows is shared out. Windows are dealt to all parts that a shuffle has: they are few bytes there, so parts would be
+    put together again, but take many times that to be sorted and merged."""
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = requests.groupBy(*keys, "start_us", "end_us").agg(F.count("*").alias("n"))
-    sliced = counted.withColumn("_slice", F.floor(F.col("start_us") / slice_us))
-    return _islands(_islands(sliced, [*keys, "_slice"], tolerance_us).drop("_slice"), keys, tolerance_us)
+    sliced = counted.withColumn("_slice", F.floor(F.col("start_us") / slice_us)).repartition(parts, *keys, "_slice")
+    return _islands(_islands(sliced, [*keys, "_slice"], tolerance_us).drop("_slice").repartition(parts, *keys), keys, tolerance_us)
 
 
 def merge_growing(requests: DataFrame, keys: list[str], share: float = 0.1, slice_us: int = 86_400_000_000) -> DataFrame:

@@ -85,6 +85,14 @@ def test_many_short_runs_are_folded_without_a_frame_each(spark, capsys):
     assert sorted(map(tuple, found.groupBy(F.col("k") % 2, "n").count().collect())) == [(0, 10, 1000), (1, 1, 10_000)]
 
 
+def test_windows_are_merged_in_all_parts(spark):
+    """Few bytes are one part after a shuffle unless their number of parts is asked for."""
+    df = spark.range(4000).selectExpr("id % 400 as k", "(id div 400) * 100 as start_us", "(id div 400) * 100 + if(id % 2 = 0, 100, 50) as end_us")
+    found = joins.merge_requests(df, ["k"], 10, slice_us=300)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert sorted(map(tuple, found.groupBy(F.col("k") % 2, "n").count().collect())) == [(0, 10, 200), (1, 1, 2000)]
+
+
 def test_stations_are_counted_without_copies_of_arrivals(spark):
     df = spark.range(30_000).selectExpr("id % 1000 as event_id", "concat('S', id % 7) as station_id", "id % 3 = 0 as used", "cast(id % 11 as double) as distance", "1e0 as residual")
     got = []
