@@ -1,13 +1,16 @@
 """Travel times, velocities and take-off angles from regular grids, 3-D or over distance and depth, that are tables.
 
 A grid has a header row and a row for each node. Cells, made of nodes once, have the values of all their corners in a row and a number,
-so a point meets its cell by equality, whatever the grid's size; nothing is kept open or in memory. Velocities at the source and
+so a point meets its cell by equality, whatever the grid's size; nothing is kept open or in memory. A point meets all grids of its
+station at once, and cells of times and angles in one shuffle where both kinds' grids have the same form. Velocities at the source and
 take-off angles give the partials. What isn't found has a kind: NO_GRID (none near enough to the station), OUT_OF_GRID,
 NEGATIVE (a corner of the time cell is below 0), or LOW_QUALITY (of an angle)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..tables import settled
 from .spatial import nearest_grid
 from .travel_time import partials
 
@@ -27,7 +31,7 @@ _FORM = ("three_d", "nx", "ny", "nz", "x0", "y0", "z0", "dx", "dy", "dz", "lat0"
 
 
 def make_cells(headers: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(grid_id, cell, v, a, quality): values, azimuths and least quality of the corners, of nodes (grid_id, ix, iy, iz, value, azimuth, quality).
+    """(grid_id, cell, v, a, quality): values, azimuths (of angles) and least quality of the corners, of nodes (grid_id, ix, iy, iz, value, azimuth, quality).
     Values are times in s, velocities in km/s, or dips (degrees from straight down); azimuths are those of the grid's axes. v[4 i + 2 j + k] is the corner i, j, k of a 3-D cell,
     v[2 j + k] of another."""
     h = headers.select("grid_id", "kind", "three_d", "nx", "ny", "nz", F.col("dy").alias("_step"), "unit")
@@ -36,13 +40,13 @@ def make_cells(headers: DataFrame, nodes: DataFrame) -> DataFrame:
     v = F.when(F.col("kind") != VELOCITY, v).when(F.col("unit") == "m/s", v / 1000.0).when(F.col("unit") == "s/km", 1.0 / v).when(F.col("unit") == "s", F.col("_step") / v).otherwise(v)
     corners = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
     of = F.explode(F.array(*(F.struct(*(F.lit(c).alias(f"{n}") for n, c in zip("ijk", x, strict=True))) for x in corners)))
-    n = n.withColumn("_v", v).withColumn("_c", of).where("three_d or _c.i = 0")
+    n = n.withColumns({"_v": v, "_a": F.when(F.col("kind") == ANGLE, F.col("azimuth"))}).withColumn("_c", of).where("three_d or _c.i = 0")
     at = {x: F.col(f"i{x}") - F.col(f"_c.{c}") for x, c in zip("xyz", "ijk", strict=True)}
     n = n.withColumns({f"_{x}": F.when(F.col("three_d") | F.lit(x != "x"), e).otherwise(0) for x, e in at.items()})
     n = n.where("_x >= 0 and _y >= 0 and _z >= 0 and _y < ny - 1 and _z < nz - 1 and (not three_d or _x < nx - 1)")
     n = n.withColumn("cell", (F.col("_x") * (F.col("ny") - 1) + F.col("_y")) * (F.col("nz") - 1) + F.col("_z")).withColumn("_k", 4 * F.col("_c.i") + 2 * F.col("_c.j") + F.col("_c.k"))
     pick = lambda c: F.array(*(F.max(F.when(F.col("_k") == k, F.col(c))) for k in range(8)))
-    return n.groupBy("grid_id", "cell").agg(pick("_v").alias("v"), pick("azimuth").alias("a"), F.min("quality").alias("quality"))
+    return n.groupBy("grid_id", "cell").agg(pick("_v").alias("v"), pick("_a").alias("a"), F.min("quality").alias("quality"))
 
 
 def assign(stations: DataFrame, headers: DataFrame, within_m: float) -> DataFrame:
@@ -60,34 +64,40 @@ def assign(stations: DataFrame, headers: DataFrame, within_m: float) -> DataFram
 
 
 def _placed(rows: DataFrame, kind: str) -> DataFrame:
-    """rows with the header's form and _lat, _lon, _dep: _cell, the number of that which holds the point (NULL outside), and fractions in it."""
-    x, y = geo.to_flat(F.col("_lat"), F.col("_lon"), F.col("lat0"), F.col("lon0"), F.col("rotation"))
-    sx, sy = geo.to_flat(F.col("source_latitude"), F.col("source_longitude"), F.col("lat0"), F.col("lon0"), F.col("rotation"))
-    flat = F.col("y0") if kind == VELOCITY else F.hypot(x - sx, y - sy)
-    at = {"x": F.when(F.col("three_d"), x).otherwise(F.col("x0")), "y": F.when(F.col("three_d"), y).otherwise(flat), "z": F.col("_dep")}
-    off = {n: (e - F.col(f"{n}0")) / F.col(f"d{n}") for n, e in at.items()}
-    rows = rows.withColumns({f"_{n}": e for n, e in off.items()})
+    """rows with _{kind}, the station's grid of that kind (a struct of its number and form), and _lat, _lon, _dep: instead of that struct, with _{kind} before them,
+    _id, the grid's number; _cell, that of the cell which holds the point; _x, _y and _z, fractions in it; _three_d and _rotation; and _missing, why there is no cell.
+    Numbers of missing cells are below 0 and many, as rows with one key would all go to one part of a shuffle."""
+    h = lambda c: F.col(f"_{kind}.{c}")
+    x, y = geo.to_flat(F.col("_lat"), F.col("_lon"), h("lat0"), h("lon0"), h("rotation"))
+    sx, sy = geo.to_flat(h("source_latitude"), h("source_longitude"), h("lat0"), h("lon0"), h("rotation"))
+    flat = h("y0") if kind == VELOCITY else F.hypot(x - sx, y - sy)
+    at = {"x": F.when(h("three_d"), x).otherwise(h("x0")), "y": F.when(h("three_d"), y).otherwise(flat), "z": F.col("_dep")}
+    rows = rows.withColumns({f"_{n}": (e - h(f"{n}0")) / h(f"d{n}") for n, e in at.items()})
     inside = F.lit(True)
     for n in "xyz":
-        inside &= F.col(f"_{n}").between(F.lit(0.0), F.col(f"n{n}") - 1.0) | (F.lit(n == "x") & ~F.col("three_d"))
+        inside &= F.col(f"_{n}").between(F.lit(0.0), h(f"n{n}") - 1.0) | (F.lit(n == "x") & ~h("three_d"))
     # the last grid line belongs to the cell before it
-    rows = rows.withColumns({f"_{n}i": F.when(F.col("three_d") | F.lit(n != "x"), F.least(F.floor(f"_{n}"), F.col(f"n{n}") - 2)).otherwise(0) for n in "xyz"})
-    cell = (F.col("_xi") * (F.col("ny") - 1) + F.col("_yi")) * (F.col("nz") - 1) + F.col("_zi")
-    return rows.withColumn("_cell", F.when(inside, cell)).withColumns({f"_{n}": F.col(f"_{n}") - F.col(f"_{n}i") for n in "xyz"}).drop("_xi", "_yi", "_zi")
+    rows = rows.withColumns({f"_{n}i": F.when(h("three_d") | F.lit(n != "x"), F.least(F.floor(f"_{n}"), h(f"n{n}") - 2)).otherwise(0) for n in "xyz"})
+    cell = (F.col("_xi") * (h("ny") - 1) + F.col("_yi")) * (h("nz") - 1) + F.col("_zi")
+    rows = rows.withColumns({"_cell": F.when(inside, cell), **{f"_{n}": F.col(f"_{n}") - F.col(f"_{n}i") for n in "xyz"}})
+    none = -1 - F.pmod(F.xxhash64("station_id", "_lat", "_lon"), F.lit(10_000))
+    missing = F.when(h("grid_id").isNull(), NO_GRID).when(F.col("_cell").isNull(), OUT_OF_GRID)
+    found = {"id": h("grid_id"), "cell": F.coalesce("_cell", none), **{n: F.col(f"_{n}") for n in "xyz"}, "three_d": h("three_d"), "rotation": h("rotation"), "missing": missing}
+    return rows.withColumns({f"_{kind}_{n}": c for n, c in found.items()}).drop(f"_{kind}", "_cell", *(f"_{n}{i}" for n in "xyz" for i in ("", "i")))
 
 
-def values_at(points: DataFrame, kind: str, headers: DataFrame, cells: DataFrame, assigned: DataFrame) -> DataFrame:
-    """points (station_id, group, _lat, _lon, _dep, ...) with what grids of a kind have there: _kind, and with _kind before them _azimuth (3-D
-    angles only), _quality and _found."""
-    own = assigned.where(F.col("kind") == kind).select("station_id", "group", F.col("grid_id").alias("_grid")).join(headers.select(F.col("grid_id").alias("_grid"), *_FORM), "_grid")
-    corners = cells.select(F.col("grid_id").alias("_grid"), F.col("cell").alias("_cell"), F.col("v").alias("_v"), F.col("a").alias("_a"), F.col("quality").alias("_q"))
-    rows = _placed(points.join(own, ["station_id", "group"], "left"), kind).join(corners, ["_grid", "_cell"], "left")
-    v, a = ([F.col(c)[k] for k in range(8)] for c in ("_v", "_a"))
-    x, y, z = (F.col(f"_{n}") for n in "xyz")
-    value = F.when(F.col("three_d"), geo.trilinear(x, y, z, v)).otherwise(geo.bilinear(y, z, *v[:4]))
-    found = F.when(F.col("_grid").isNull(), NO_GRID).when(F.col("_cell").isNull(), OUT_OF_GRID).when(F.lit(kind == TIME) & (F.least(*v) < 0), NEGATIVE).otherwise(FOUND)
-    azimuth = F.when(F.col("three_d"), geo.from_map_angle(geo.trilinear_angle(x, y, z, a), F.col("rotation")))
-    return rows.select(*points.columns, value.alias(f"_{kind}"), azimuth.alias(f"_{kind}_azimuth"), F.col("_q").alias(f"_{kind}_quality"), found.alias(f"_{kind}_found"))
+def _met(rows: DataFrame, cells: DataFrame, kind: str) -> DataFrame:
+    """rows of ``_placed`` with those columns of cells (grid_id, cell, ...) that lie where the kind's grid has the point."""
+    return rows.join(cells.withColumnsRenamed({"grid_id": f"_{kind}_id", "cell": f"_{kind}_cell"}), [f"_{kind}_id", f"_{kind}_cell"], "left")
+
+
+def _corners(column: str) -> list[Column]:
+    return [F.col(column)[k] for k in range(8)]
+
+
+def _value(kind: str, v: list[Column]) -> Column:
+    x, y, z = (F.col(f"_{kind}_{n}") for n in "xyz")
+    return F.when(F.col(f"_{kind}_three_d"), geo.trilinear(x, y, z, v)).otherwise(geo.bilinear(y, z, *v[:4]))
 
 
 @dataclass(frozen=True)
@@ -99,20 +109,56 @@ class GridTables:
     assigned: DataFrame
     least_quality: int = 0
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """(station_id, group, _time, _velocity, _angle): each station's grids, with number and form; written, so that Spark knows how small it is."""
+        own = self.assigned.join(self.headers.select("grid_id", *_FORM), "grid_id")
+        grid = F.struct("grid_id", *_FORM)
+        return settled(own.groupBy("station_id", "group").agg(*(F.first(F.when(F.col("kind") == k, grid), ignorenulls=True).alias(f"_{k}") for k in (TIME, VELOCITY, ANGLE))))
+
+    @cached_property
+    def velocities(self) -> DataFrame:
+        """Cells of velocities: as they are of few grids, in a table of their own."""
+        return settled(self._cells_of(VELOCITY).select("grid_id", "cell", F.col("v").alias("_v")))
+
+    @cached_property
+    def alike(self) -> bool:
+        """Whether each time grid goes with no more than one angle grid, and that has its form: a point is in the same cell of both."""
+        both = self.places.where("_time is not null and _angle is not null")
+        same = reduce(and_, (F.col(f"_time.{c}").eqNullSafe(F.col(f"_angle.{c}")) for c in _FORM))
+        own = both.groupBy("_time.grid_id").agg(F.min("_angle.grid_id").alias("first"), F.max("_angle.grid_id").alias("last"), F.bool_and(same).alias("same"))
+        return own.where("first <> last or not same").isEmpty()
+
+    def _cells_of(self, kind: str) -> DataFrame:
+        return self.cells.join(self.headers.where(F.col("kind") == kind).select("grid_id"), "grid_id", "left_semi")
+
     def compute(self, points: DataFrame) -> DataFrame:
         """points (station_id, group, _lat, _lon, _dep of the event, _slat, _slon of the station, ...) with travel_time, azimuth, dip, dtdd, dtdh, and
         ``found``, which says why the others are NULL. Without a 3-D angle the azimuth is that to the station."""
         columns = points.columns
-        for kind in (TIME, VELOCITY, ANGLE):
-            points = values_at(points, kind, self.headers, self.cells, self.assigned)
-        bad = F.when(F.col("_angle_quality") < self.least_quality, LOW_QUALITY)
-        found = F.coalesce(*(F.when(F.col(f"_{k}_found") != FOUND, F.col(f"_{k}_found")) for k in (TIME, VELOCITY, ANGLE)), bad, F.lit(FOUND))
-        points = points.withColumn("found", found)
+        to_station = geo.normalize_azimuth(F.degrees(geo.azimuth(*[F.col(c) for c in ("_lat", "_lon", "_slat", "_slon")])))
+        rows = points.withColumn("_to", to_station).join(self.places, ["station_id", "group"], "left")
+        rows = _placed(_placed(rows, TIME), VELOCITY)
+        if self.alike:
+            # by the number of the time grid they go with, so that times' and angles' cells meet points in one shuffle
+            at, pairs = TIME, self.places.select(F.col("_angle.grid_id").alias("grid_id"), F.col("_time.grid_id").alias("_with")).dropna().distinct()
+            angles = self.cells.join(pairs, "grid_id").drop("grid_id").withColumnRenamed("_with", "grid_id")
+            rows = rows.withColumn("_angle_missing", F.when(F.col("_angle").isNull(), NO_GRID)).drop("_angle")
+        else:
+            at, angles, rows = ANGLE, self._cells_of(ANGLE), _placed(rows, ANGLE)
+        carried = [*columns, "_to", *(c for c in rows.columns if c.startswith((f"_{TIME}_", f"_{ANGLE}_")))]
+        rows = _met(rows, self.velocities, VELOCITY).select(*carried, _value(VELOCITY, _corners("_v")).alias("_velocity"), "_velocity_missing")
+        rows = _met(rows, self._cells_of(TIME).select("grid_id", "cell", F.col("v").alias("_tv")), TIME)
+        rows = rows.withColumns({"_time": _value(TIME, _corners("_tv")), "_negative": F.when(F.least(*_corners("_tv")) < 0, NEGATIVE)}).drop("_tv")
+        rows = _met(rows, angles.select("grid_id", "cell", F.col("v").alias("_av"), F.col("a").alias("_aa"), F.col("quality").alias("_quality")), at)
+        turned = geo.trilinear_angle(*(F.col(f"_{at}_{n}") for n in "xyz"), _corners("_aa"))
+        rows = rows.withColumns({"_angle": _value(at, _corners("_av")), "_azimuth": F.when(F.col(f"_{at}_three_d"), geo.from_map_angle(turned, F.col(f"_{at}_rotation")))})
+        bad = F.when(F.col("_quality") < self.least_quality, LOW_QUALITY)
+        rows = rows.withColumn("found", F.coalesce("_time_missing", "_negative", "_velocity_missing", "_angle_missing", bad, F.lit(FOUND)))
         if_found = lambda c: F.when(F.col("found") == FOUND, c)
         dip = F.radians(F.col("_angle") - 90.0)
-        to_station = geo.normalize_azimuth(F.degrees(geo.azimuth(*[F.col(c) for c in ("_lat", "_lon", "_slat", "_slon")])))
-        return points.select(
-            *columns, "found", if_found(F.col("_time")).alias("travel_time"), if_found(F.coalesce("_angle_azimuth", to_station)).alias("azimuth"), if_found(F.col("_angle")).alias("dip"),
+        return rows.select(
+            *columns, "found", if_found(F.col("_time")).alias("travel_time"), if_found(F.coalesce("_azimuth", "_to")).alias("azimuth"), if_found(F.col("_angle")).alias("dip"),
             if_found(F.cos(dip) / geo.km2deg(F.col("_velocity"))).alias("dtdd"), if_found(F.sin(dip) / F.col("_velocity")).alias("dtdh"),
         )
 

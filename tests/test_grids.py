@@ -89,6 +89,48 @@ def test_bad_cells_have_kinds(spark):
     assert sorted(r.found for r in ray_grids(spark, STATIONS[1:], True).compute(edge).collect()) == [grids.FOUND, grids.FOUND, grids.OUT_OF_GRID]
 
 
+def some_points(spark, n=60):
+    rng = np.random.default_rng(2)
+    pts = pd.DataFrame({"n": np.arange(n), "_lat": LAT + rng.uniform(-0.12, 0.12, n), "_lon": LON + rng.uniform(-0.15, 0.15, n), "_dep": rng.uniform(-4, 14, n), "station_id": np.array(["A", "B", "none"])[np.arange(n) % 3], "group": np.where(np.arange(n) % 5 < 3, "P", "S")})
+    return spark.createDataFrame(pts.merge(STATIONS.drop(columns="elevation").rename(columns={"id": "station_id", "latitude": "_slat", "longitude": "_slon"}), "left"))
+
+
+def test_points_are_shuffled_once_for_all_kinds(spark):
+    """For their stations, for velocities if these are too many to broadcast, and for times and angles together; what has no cell isn't all of one key."""
+    g, pts = ray_grids(spark, STATIONS, True), some_points(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = g.compute(pts)
+        plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    steps = [x for x in plan.split("\n\n") if ") Exchange\n" in x and ("[n#" in x or ", n#" in x)]
+    assert len(steps) == 3
+    away = grids._placed(pts.where("station_id = 'none'").join(g.places, ["station_id", "group"], "left"), grids.TIME)
+    assert {r[0] for r in away.select("_time_missing").collect()} == {grids.NO_GRID} and away.select("_time_cell").distinct().count() > 10
+
+
+def test_angles_of_another_form(spark):
+    """Times of 3-D grids with angles over distance and depth: each is found in its own cells; a station without a grid of angles has none found."""
+    deep, flat, pts = ray_grids(spark, STATIONS, True), ray_grids(spark, STATIONS, False, negative=None), some_points(spark)
+    parts = []
+    for c in ("headers", "cells", "assigned"):
+        own, other = getattr(deep, c), getattr(flat, c).withColumn("grid_id", F.col("grid_id") + 100)
+        kind = F.col("kind") == grids.ANGLE
+        ids = [r[0] for r in flat.headers.where(kind).select("grid_id").collect()]
+        of_angle = F.col("grid_id").isin([*ids, *(k + 100 for k in ids)])  # both number alike
+        parts.append(settled(own.where(~of_angle).unionByName(other.where(of_angle))))
+    mixed = grids.GridTables(*parts)
+    assert deep.alike and flat.alike and not mixed.alike
+    a, b, c = (g.compute(pts).toPandas().sort_values("n").reset_index(drop=True) for g in (mixed, deep, flat))
+    ok = (a.found == "ok").to_numpy()
+    assert ok.sum() > 10 and (a.found == b.found.where(b.found != "ok", c.found)).all()
+    assert np.allclose(a.travel_time[ok], b.travel_time[ok], atol=0) and np.allclose(a.dip[ok], c.dip[ok], atol=0) and abs(a.dip[ok] - b.dip[ok]).max() > 0
+    bare = replace(deep, assigned=settled(deep.assigned.where("station_id <> 'A' or kind <> 'angle'")))
+    d = bare.compute(pts).toPandas().sort_values("n").reset_index(drop=True)
+    assert bare.alike and (d.found == b.found.where((d.station_id != "A") | (b.found != "ok"), grids.NO_GRID)).all()
+
+
 @pytest.mark.parametrize("three_d", [True, False])
 def test_relocation_by_grids(spark, three_d):
     """The same on arrays and on tables, near what straight rays give, and also if events leave the cells that are sent at first."""
