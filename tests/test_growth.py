@@ -123,3 +123,66 @@ def test_bins_are_counted_not_ranked(spark, monkeypatch):
 def test_projections_are_worked_out_once_before_the_inverses(spark, capsys):
     queries.queries()["map_projections"](spark, "/root/testdata/sf0.001").explain()
     assert "hashpartitioning(id" in capsys.readouterr().out
+
+
+def shuffled(df) -> int:
+    """Rows that the exchanges of a plan which has run wrote."""
+    plan, rows = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        if (name := p.getClass().getSimpleName()) == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        if name == "ShuffleExchangeExec":
+            rows += p.longMetric("shuffleRecordsWritten").value()
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return rows
+
+
+def kms(p: pd.DataFrame) -> np.ndarray:
+    """Distances of all rows of ``points``, as ``geo.distance3d`` has them."""
+    f, l0, d = np.radians(p.latitude.to_numpy()), np.radians(p.longitude.to_numpy()), p.depth.to_numpy()
+    a = np.sin((f[:, None] - f) / 2) ** 2 + np.cos(f)[:, None] * np.cos(f) * np.sin((l0[:, None] - l0) / 2) ** 2
+    return np.hypot(2 * np.arcsin(np.sqrt(np.clip(a, 0, 1))) * (6371.00877141506 - (d[:, None] + d) / 2), d[:, None] - d)
+
+
+def test_pairs_of_one_table_are_those_of_brute_force(spark):
+    """Rows around a pole, across the date line, at crossings of the axes, in a swarm that one cell holds, and anywhere; some ids are there twice."""
+    rng = np.random.default_rng(5)
+    parts = [(89.9, 0.0, 0.1, 360.0, 40), (46.0, 179.95, 0.1, 0.1, 60), (-0.05, -0.05, 0.1, 0.1, 60), (-0.05, 89.95, 0.1, 0.1, 60), (-33.0, -70.0, 0.01, 0.01, 400), (-80.0, -180.0, 160.0, 360.0, 200)]
+    at = np.concatenate([np.column_stack([lat + h * rng.random(n), lon + w * rng.random(n), 10 * rng.random(n)]) for lat, lon, h, w, n in parts])
+    ev = pd.DataFrame({"id": rng.permutation(len(at)), "latitude": at[:, 0], "longitude": (at[:, 1] + 180) % 360 - 180, "depth": at[:, 2]})
+    ev.loc[ev.index % 50 == 0, "id"] = ev.id.shift(-1, fill_value=0)
+    for km in (0.7, 5.0, 30.0, 9000.0):
+        d, ids = kms(ev), ev.id.to_numpy()
+        i, j = np.nonzero((d <= km) & (ids[:, None] != ids))
+        df = spatial.neighbours_within(spark.createDataFrame(ev), km, digits=6)
+        got = df.toPandas().sort_values(["ref_id", "neigh_id", "distance"])
+        want = pd.DataFrame({"ref_id": ids[i], "neigh_id": ids[j], "distance": d[i, j]}).sort_values(["ref_id", "neigh_id", "distance"])
+        assert len(got) == len(want) > 500 and (got[["ref_id", "neigh_id"]].to_numpy() == want[["ref_id", "neigh_id"]].to_numpy()).all()
+        assert np.allclose(got.distance, want.distance, atol=1e-5)
+
+
+def test_pairs_of_one_table_shuffle_few_copies(spark):
+    """Of 3,000 rows each was shuffled 29 times before, where no side is small enough to be sent to all."""
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spatial.neighbours_within(spark.createDataFrame(points(spark, 3000, 0.5)), 5.0)
+        assert len(df.collect()) > 50_000 and 3000 < shuffled(df) < 36_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_a_crowded_cell_is_split(spark):
+    """2,000 rows in one cell: its pairs are made in several parts, with no more rows of copies than the root of the parts."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        ev = points(spark, 2000, 0.001)
+        df = spatial.neighbours_within(spark.createDataFrame(ev), 1000.0)
+        made = df.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert made.sum() == 2000 * 1999 and len(made) > 4 and made.max() < 2000 * 1999 / 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
