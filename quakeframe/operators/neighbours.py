@@ -43,11 +43,12 @@ def eligible_edges(cat: Catalog, o: Selection) -> DataFrame:
 
     Events meet by the phases that they share, not by distance alone, so what is joined grows with the picks. A pair is counted once
     for both directions, and only pairs with enough phases are given both ways."""
-    phases = cat.phases.select(F.col("event_id").alias("id"), "station_id", "type").distinct()
+    phases = cat.phases.select(F.col("event_id").alias("id"), "station_id", "type")  # repeated ones count once where they meet
     st = cat.stations.select(F.col("id").alias("station_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), geo.station_depth(F.col("elevation")).alias("_depth"))
     rows = phases.join(cat.events.select("id", "latitude", "longitude", "depth"), "id").join(st, "station_id")
-    rows = settled(rows.withColumn("km", geo.distance3d(*map(F.col, ("latitude", "longitude", "depth", "_lat", "_lon", "_depth")))).drop("_lat", "_lon", "_depth"))
-    pairs = sharing_within(rows, ["station_id", "type"], o.max_km if o.in_nearest_mode else 2 * o.max_km)
+    rows = rows.withColumn("km", geo.distance3d(*map(F.col, ("latitude", "longitude", "depth", "_lat", "_lon", "_depth")))).drop("_lat", "_lon", "_depth")
+    most, ellipsoid = (o.max_km, None) if o.in_nearest_mode else (2 * o.max_km, (2 * o.max_km, o.max_km))
+    pairs = sharing_within(rows, ["station_id", "type"], most, ["id", "km"], ellipsoid, events=cat.events)
     ways = []
     for a, b in ("12", "21"):
         km, far = F.col(f"km{a}"), F.col(f"km{b}")
@@ -59,8 +60,8 @@ def eligible_edges(cat: Catalog, o: Selection) -> DataFrame:
             ok &= far <= o.max_station_km
         if o.min_station_km > 0:
             ok &= far >= o.min_station_km
-        if not o.in_nearest_mode:
-            ok &= geo.in_ellipsoid(*(F.col(f"{c}{k}") for k in (b, a) for c in ("latitude", "longitude", "depth")), across=2 * o.max_km, along=o.max_km)
+        if ellipsoid:
+            ok &= F.col(f"in{a}")
         ways.append(ok)
     pairs = pairs.select("id1", "id2", "distance", "type", "station_id", "km1", "km2", *[ok.alias(f"ok{k}") for k, ok in enumerate(ways, 1)]).where("ok1 or ok2")
     pair = Window.partitionBy("id1", "id2")

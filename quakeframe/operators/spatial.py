@@ -7,9 +7,14 @@ the poles and across the date line, and plans as a hash or merge join. Rows of o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from ..tables import settled
@@ -134,27 +139,129 @@ def neighbours_within(events: DataFrame, km: float, digits: int | None = None) -
     return pairs.select(ways).where(F.col("distance") <= km).select("ref_id", "neigh_id", F.col("shown").alias("distance"))
 
 
-def sharing_within(rows: DataFrame, keys: list[str], km: float) -> DataFrame:
+#: Bands of latitude, each as wide as rows may lie apart, that a group's rows are dealt by.
+_BANDS = 8
+#: Candidates that a task of ``sharing_within`` looks at together.
+_AT_ONCE = 1 << 19
+
+
+def _inside(h: np.ndarray, dz: np.ndarray, across: float, along: float) -> np.ndarray:
+    """As ``geo.in_ellipsoid``, of distances across and depths below the centre."""
+    if along == 0 or across == 0:
+        return ((h == 0.0) if along == 0 else (h <= along)) & ((dz == 0.0) if across == 0 else (np.abs(dz) <= across))
+    return (h / along) ** 2 + (dz / across) ** 2 <= 1.0
+
+
+def sharing_within(rows: DataFrame, keys: list[str], km: float, columns: list[str] | None = None, ellipsoid: tuple[float, float] | None = None, events: DataFrame | None = None) -> DataFrame:
     """Pairs of rows (id, latitude, longitude, depth, keys, ...) of different ids that have equal keys and lie not more than ``km`` apart:
-    keys, distance, and the other columns with 1 and 2 behind their names. Each pair of rows comes once, and ids in one order for all keys.
+    keys, distance, and ``columns`` (or all others) with 1 and 2 behind their names. Each pair comes once, and ids in one order for all keys; rows of equal keys,
+    id and latitude count once. With ``ellipsoid``, half axes (across, along) as ``geo.in_ellipsoid`` has them, ``in1`` tells whether 2 is inside of it around 1, ``in2`` whether 1 is around 2;
+    pairs of which neither is are left out. ``events``: a table that has all of ``rows``' depths and costs less to look at.
+
+    Rows are shuffled once, by their keys and wide bands of latitude; those near a band's upper end are given to the next one as well. In order of latitude a row
+    meets those that follow it and aren't farther north than ``km``, so what is looked at grows with the keys' rows, not with all pairs of points that lie near each other."""
+    deepest, parts = _deepest(rows if events is None else events), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [c for c in rows.columns if c not in keys] if columns is None else columns
+    need = list(dict.fromkeys(["id", "latitude", "longitude", "depth", *columns]))
+    step = math.degrees(min(km / (geo.EARTH_KM - deepest), math.pi)) * (1 + 1e-9) + 1e-9
+    line2 = km * km * (1 + 1e-9) + 1e-9
+    slab = lambda c: F.floor(c / (_BANDS * step))
+    known = F.col("depth").isNotNull()
+    for c in (*keys, "latitude", "longitude"):
+        known &= F.col(c).isNotNull()
+    dealt = rows.where(known).select(*keys, *need, slab(F.col("latitude")).alias("_own"))
+    dealt = dealt.withColumn("_slab", F.explode(F.sequence("_own", slab(F.col("latitude") + step))))
+    dealt = dealt.select(*keys, "_slab", (F.col("_own") == F.col("_slab")).alias("_own"), *need).repartition(parts, *keys, "_slab").sortWithinPartitions(*keys, "_slab", "latitude", "id")
+    fields = {f.name: f.dataType for f in dealt.schema}
+    schema = T.StructType([T.StructField(k, fields[k]) for k in keys])
+    schema.add("distance", T.DoubleType())
+    for k in "12":
+        for c in columns:
+            schema.add(f"{c}{k}", fields[c])
+    for n in ("in1", "in2") if ellipsoid else ():
+        schema.add(n, T.BooleanType())
+
+    def pairs(t: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Those of whole groups, which end before these rows."""
+        first = np.append(0, ends[:-1])
+        lat, lon, depth = (t.column(c).to_numpy() for c in ("latitude", "longitude", "depth"))
+        own, group = t.column("_own").to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ends)), ends - first)
+        f, l0 = np.radians(lat), np.radians(lon)
+        cos = np.cos(f)
+        unit = np.stack([cos * np.cos(l0), cos * np.sin(l0), np.sin(f)], axis=1) * (geo.EARTH_KM - deepest)
+        at = group * 1024.0 + lat
+        here = np.arange(len(lat))
+        to = np.minimum(np.searchsorted(at, at + step + 1e-6, "right"), ends[group])
+        n = to - here - 1
+        total = np.cumsum(n)
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _AT_ONCE, "right")))
+            i = np.repeat(here[lo:hi], n[lo:hi])
+            j = np.arange(len(i)) + np.repeat(here[lo:hi] + 1 - (total[lo:hi] - n[lo:hi] - (total[lo - 1] if lo else 0)), n[lo:hi])
+            lo = hi
+            keep = own[j]
+            i, j = i[keep], j[keep]
+            d = unit[i] - unit[j]
+            keep = np.einsum("ij,ij->i", d, d) + (depth[i] - depth[j]) ** 2 <= line2
+            i, j = i[keep], j[keep]
+            # as ``geo.distance3d``
+            dlat, dlon = np.radians(lat[j] - lat[i]), np.radians(lon[j] - lon[i])
+            a = np.clip(np.sin(dlat / 2) ** 2 + cos[i] * cos[j] * np.sin(dlon / 2) ** 2, 0.0, 1.0)
+            angle = np.where((np.abs(lat[i] - lat[j]) < geo.SAME) & (np.abs(dlon) < geo.SAME), 0.0, 2.0 * np.arcsin(np.sqrt(a)))
+            dz = depth[j] - depth[i]
+            distance = np.sqrt((angle * (geo.EARTH_KM - (depth[i] + depth[j]) / 2)) ** 2 + dz * dz)
+            keep = distance <= km
+            around = ()
+            if ellipsoid:
+                around = [_inside(angle * (geo.EARTH_KM - depth[x]), dz, *ellipsoid) for x in (i, j)]
+                keep &= around[0] | around[1]
+            i, j, distance, around = i[keep], j[keep], distance[keep], [x[keep] for x in around]
+            one, two = (t.column("id").take(pa.array(x)) for x in (i, j))
+            swap = np.asarray(pc.greater(one, two))
+            keep = np.asarray(pc.not_equal(one, two))
+            if not keep.any():
+                continue
+            i, j = np.where(swap, j, i)[keep], np.where(swap, i, j)[keep]
+            out = [t.column(k).take(pa.array(i)) for k in keys] + [pa.array(distance[keep])]
+            out += [t.column(c).take(pa.array(x)) for x in (i, j) for c in columns]
+            if ellipsoid:
+                out += [pa.array(np.where(swap, x, y)[keep]) for x, y in (around[::-1], around)]
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def changes(t: pa.RecordBatch, names: list[str]) -> np.ndarray:
+            """Rows, from the second on, that differ from the one before in one of these."""
+            found = np.zeros(max(0, t.num_rows - 1), bool)
+            for c in names:
+                x = t.column(c)
+                found |= np.asarray(pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)), True))
+            return found
 
-    Rows of one key meet in bands of one coordinate, each with its own band and the next, so what is joined grows with the
-    keys' rows, not with all pairs of points that lie near each other."""
-    deepest = _deepest(rows)
-    side, z = _side(km, deepest), F.sin(F.radians("latitude"))
-    own = [c for c in rows.columns if c not in keys]
-    f, l0 = F.radians("latitude"), F.radians("longitude")
-    rows = rows.withColumns({"ux": F.cos(f) * F.cos(l0), "uy": F.cos(f) * F.sin(l0), "uz": z, "band": F.floor(z / side)})
-    both = [*own, "ux", "uy", "uz", "band"]
-    left = rows.select(*keys, *[F.col(c).alias(f"{c}1") for c in both], F.explode(F.array("band", F.col("band") + 1)).alias("_band"))
-    right = rows.select(*keys, *[F.col(c).alias(f"{c}2") for c in both], F.col("band").alias("_band"))
-    on = [left[c] == right[c] for c in (*keys, "_band")]
-    same = on[0]
-    for c in on[1:]:
-        same &= c
-    pairs = left.join(right, same & ((F.col("band1") < F.col("band2")) | (F.col("id1") < F.col("id2"))) & (_line2(deepest) <= km * km * (1 + 1e-9) + 1e-9))
-    pairs = pairs.select(*[left[c] for c in keys], *[f"{c}{k}" for k in (1, 2) for c in own])
-    return _measured(pairs, False).where(F.col("distance") <= km)
+        def give(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            same = ~changes(t, [*keys, "_slab", "latitude", "id"])
+            if same.any():
+                t = t.filter(pa.array(np.append(True, ~same)))
+            yield from pairs(t, np.append(np.flatnonzero(changes(t, [*keys, "_slab"])) + 1, t.num_rows))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch]) if held else batch
+            last = np.flatnonzero(changes(both, [*keys, "_slab"]))
+            if not len(last):
+                held.append(batch)
+                continue
+            cut = int(last[-1]) + (0 if held else 1)  # rows of this batch that belong to whole groups
+            if held or cut:
+                yield from give(pa.concat_batches([*held, batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield from give(pa.concat_batches(held))
+
+    return dealt.mapInArrow(run, schema)
 
 
 def _reaching(left: DataFrame, right: DataFrame, km: float, deepest: float, low: float, high: float) -> DataFrame:

@@ -186,3 +186,44 @@ def test_a_crowded_cell_is_split(spark):
         assert made.sum() == 2000 * 1999 and len(made) > 4 and made.max() < 2000 * 1999 / 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_rows_that_share_keys_meet_as_by_brute_force(spark):
+    """Rows around a pole, across the date line and in several bands of latitude, some of them twice; an ellipsoid around either end. Rows are shuffled once."""
+    rng = np.random.default_rng(8)
+    parts = [(89.9, 0.0, 0.1, 360.0, 60), (46.0, 179.95, 0.1, 0.1, 90), (-0.05, -0.05, 0.1, 0.1, 90), (-33.0, -70.0, 3.0, 0.05, 300)]
+    at = np.concatenate([np.column_stack([lat + h * rng.random(n), lon + w * rng.random(n), 10 * rng.random(n)]) for lat, lon, h, w, n in parts])
+    ev = pd.DataFrame({"id": rng.permutation(len(at)), "latitude": at[:, 0], "longitude": (at[:, 1] + 180) % 360 - 180, "depth": at[:, 2], "key": rng.integers(0, 3, len(at)), "extra": np.arange(len(at)).astype(str)})
+    d, ids, key = kms(ev), ev.id.to_numpy(), ev.key.to_numpy()
+    near = (ids[:, None] < ids) & (key[:, None] == key)
+    z = ev.depth.to_numpy()
+    dz = z - z[:, None]
+    h = np.sqrt(np.maximum(0.0, d**2 - dz**2)) / (6371.00877141506 - (z[:, None] + z) / 2) * (6371.00877141506 - z[:, None])
+    inside = (h / 4.0) ** 2 + (dz / 8.0) ** 2 <= 1.0
+    df = spark.createDataFrame(pd.concat([ev, ev[ev.id % 5 == 0]]))
+    for km, ellipsoid in ((0.7, None), (8.0, (8.0, 4.0)), (9000.0, None)):
+        found = spatial.sharing_within(df, ["key"], km, ["id", "extra"], ellipsoid)
+        got = found.toPandas()
+        ok = near & (d <= km) & (inside | inside.T if ellipsoid else True)
+        i, j = np.nonzero(ok)
+        want = pd.DataFrame({"id1": ids[i], "id2": ids[j], "extra1": ev.extra.to_numpy()[i], "extra2": ev.extra.to_numpy()[j], "distance": d[i, j], "in1": inside[i, j], "in2": inside[j, i]}).sort_values(["id1", "id2"])
+        got = got.sort_values(["id1", "id2"])
+        same = ["id1", "id2", "extra1", "extra2", *(["in1", "in2"] if ellipsoid else [])]
+        assert len(got) == len(want) > 4 and (got[same].to_numpy() == want[same].to_numpy()).all() and np.allclose(got.distance, want.distance, atol=1e-5)
+        assert shuffled(found) <= 2 * df.count()
+
+
+def test_pairs_to_be_peeled_are_made_once(spark):
+    """Each pair was made three times: to be counted, and for both sides of the first round."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pairs = spark.range(12).selectExpr("id as ref_id").crossJoin(spark.range(12).selectExpr("id as neigh_id")).where("ref_id <> neigh_id and (ref_id > 0 or neigh_id < 3) and (neigh_id > 0 or ref_id < 3)")
+    n = pairs.count()
+    left = neighbours.peel(pairs.mapInArrow(seen, pairs.schema), 3, 0)
+    assert {(r.ref_id, r.neigh_id) for r in left.collect()} == {(a, b) for a in range(1, 12) for b in range(1, 12) if a != b}
+    assert made.value == n
