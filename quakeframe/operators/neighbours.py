@@ -80,7 +80,8 @@ def peel(pairs: DataFrame, least: int, most: int) -> DataFrame:
         return pairs
     if 0 < most < least:
         return pairs.limit(0)
-    before, last = pairs.count(), None
+    pairs = last = settled(pairs)  # looked at three times
+    before = pairs.count()
     while True:
         stay = pairs.groupBy("ref_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("ref_id").alias("id"))
         pairs = settled(pairs.join(stay.withColumnRenamed("id", "ref_id"), "ref_id", "left_semi").join(stay.withColumnRenamed("id", "neigh_id"), "neigh_id", "left_semi"))
