@@ -39,6 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,11 @@ AT_A_TIME = 1 << 20
 CHUNK = 2048
 #: Words of sketches that are compared at once.
 AT_ONCE = 1 << 19
+#: First bits of signatures by which they are packed, and signatures that are packed or sorted at once.
+HEAP_BITS = 12
+PACKED = 1 << 20
+#: Rows of packed signatures, or texts, that a task takes at once.
+LOADS = 2048
 #: Pairs, with both texts, that a task takes at once.
 PAIRS = 256
 #: Bits of the filter by which texts are picked before they are shuffled.
@@ -106,30 +112,54 @@ def scheme(k: int) -> tuple[int, int, int, np.ndarray]:
     return needed + spare, n2, spare, np.array(list(combinations(range(n2), n2 - k2)))
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of a non-empty set of hashes, over all its bands."""
-    out, own = [], mix(s * ODD)
-    for band, most in bands_of(len(s), num, den):
+def all_signatures(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The signatures of non-empty sets of hashes, band by band, for all sets of a band at once: numbers of sets, and their signatures."""
+    own_bands = {}
+    for i, s in enumerate(sets):
+        for band in bands_of(len(s), num, den):
+            own_bands.setdefault(band, []).append(i)
+    for (band, most), inside in own_bands.items():
         n1, n2, spare, choices = scheme((den - num) * 2 * most // (den + num))
-        part = ((mix(s + np.uint64(band)) >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part.astype(np.uint16) if n1 * n2 < 1 << 16 else part, kind="stable")
-        counts = np.bincount(part, minlength=n1 * n2)
-        full = np.flatnonzero(counts)
-        sums = np.zeros(n1 * n2, np.uint64)
-        sums[full] = np.add.reduceat(own[order], (np.cumsum(counts) - counts)[full])
-        sums, counts = sums.reshape(n1, n2), counts.reshape(n1, n2)
-        h = np.full((n1, len(choices)), np.uint64(band)) + np.arange(n1, dtype=np.uint64)[:, None] * ODD
-        for j in range(choices.shape[1]):
-            h = mix(h * ODD + sums[:, choices[:, j]] + choices[:, j].astype(np.uint64))
-        empty = counts[:, choices].sum(axis=2) == 0
-        out.append(h.ravel() if empty.any(axis=1).sum() > spare else h[~empty])
-    return np.concatenate(out)
-
-
-def node_of(s: np.ndarray) -> int:
-    """A hash of a set, the same for the same elements."""
-    h = mix(np.array([len(s), int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ ODD).sum(dtype=np.uint64))], np.uint64))
-    return int(ngram_hashes(h, 3).view(np.int64)[0])
+        parts = n1 * n2
+        for lo in range(0, len(inside), step := max(1, AT_ONCE // (parts + most))):
+            own = np.array(inside[lo : lo + step])
+            sizes = np.array([len(sets[i]) for i in own])
+            flat = np.concatenate([sets[i] for i in own])
+            at = ((mix(flat + np.uint64(band)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(len(own)) * parts, sizes)
+            counts = np.bincount(at, minlength=parts * len(own)).reshape(len(own), n1, n2)
+            h = mix(flat * ODD)
+            # sums of halves are exact as doubles
+            low, high = (np.bincount(at, weights=x.astype(np.float64), minlength=parts * len(own)).astype(np.uint64) for x in (h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)))
+            sums = (low + (high << np.uint64(32))).reshape(len(own), n1, n2)
+            h = np.broadcast_to(np.full((n1, 1), np.uint64(band)) + np.arange(n1, dtype=np.uint64)[:, None] * ODD, (len(own), n1, len(choices)))
+            for j in range(choices.shape[1]):
+                h = mix(h * ODD + sums[:, :, choices[:, j]] + choices[:, j].astype(np.uint64))
+            empty = counts[:, :, choices].sum(axis=3) == 0
+            keep = ~empty | (empty.any(axis=2).sum(axis=1) > spare)[:, None, None]
+            yield np.repeat(own, keep.sum(axis=(1, 2))), h[keep]
+
+
+def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The signatures of one set."""
+    return np.concatenate([sig for _, sig in all_signatures([s], num, den)])
+
+
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set, the same for the same elements."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate([*sets, np.zeros(1, np.uint64)])
+    first = np.cumsum(sizes) - sizes
+    sums = []
+    for x in (mix(flat), mix(flat ^ ODD)):
+        total = np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))
+        sums.append(total[first + sizes] - total[first])
+    a, b, c = (mix(x) for x in (sizes.astype(np.uint64), *sums))
+    return mix(mix(a * ODD + b) * ODD + c).view(np.int64)
+
+
+def heap_of(sig: np.ndarray) -> np.ndarray:
+    """The first bits of signatures."""
+    return (sig.view(np.uint64) >> np.uint64(64 - HEAP_BITS)).astype(np.uint16)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -152,25 +182,45 @@ def folded(words: np.ndarray, to: int) -> np.ndarray:
 
 
 DOC = "struct<doc_id:bigint,n:int,picked:bigint,sketch:binary>"
+DOC_TYPE = pa.struct([("doc_id", pa.int64()), ("n", pa.int32()), ("picked", pa.int64()), ("sketch", pa.binary())])
 
 
 def _rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A row with ``doc`` for each document, and one without for each of its signatures."""
+    """A row with ``doc`` for each document, and rows with a ``load`` of signatures and their nodes, packed by the signatures' first bits (``heap``)."""
+
+    def packed(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        heap = heap_of(sig)
+        order = np.argsort(heap, kind="stable")
+        count = np.bincount(heap, minlength=1 << HEAP_BITS)
+        own = np.flatnonzero(count)
+        ends = np.append(0, np.cumsum(count[own]) * 16).astype(np.int32)
+        data = np.stack([sig[order], node[order]], axis=1)
+        load = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), load, pa.nulls(len(own), pa.int64()), pa.nulls(len(own), DOC_TYPE)], names=["heap", "load", "node", "doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo, hi in chunks(texts, AT_A_TIME):
                 sets = list(shingle_sets(texts[lo:hi], n))
-                nodes, first = np.unique(np.array([node_of(s) for s in sets], np.int64), return_index=True)
-                own = [signatures(sets[i], num, den).view(np.int64) for i in first if len(sets[i])]
-                owner = np.repeat([x for x, i in zip(nodes, first, strict=True) if len(sets[i])], [len(x) for x in own])
-                doc = pa.StructArray.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), batch.column(1).slice(lo, hi - lo), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "n", "picked", "sketch"])
-                node = pa.array([node_of(s) for s in sets], pa.int64())
-                sig = pa.array(np.concatenate([mix(np.asarray(batch.column(1).slice(lo, hi - lo)).view(np.uint64)).view(np.int64), *own]))
-                yield pa.RecordBatch.from_arrays([sig, pa.concat_arrays([node, pa.array(owner, pa.int64())]), pa.concat_arrays([doc, pa.nulls(len(owner), doc.type)])], names=["sig", "node", "doc"])
-
-    return _texts(docs).mapInArrow(gives_back(run), f"sig long, node long, doc {DOC}")
+                nodes = nodes_of(sets)
+                _, first = np.unique(nodes, return_index=True)
+                first = [i for i in first if len(sets[i])]
+                picked = batch.column(1).slice(lo, hi - lo)
+                doc = pa.StructArray.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), picked, pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "n", "picked", "sketch"])
+                heap = heap_of(mix(np.asarray(picked).view(np.uint64)).view(np.int64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(heap), pa.nulls(hi - lo, pa.binary()), pa.array(nodes), doc], names=["heap", "load", "node", "doc"])
+                for own, sig in all_signatures([sets[i] for i in first], num, den):
+                    held.append((sig.view(np.int64), nodes[first][own]))
+                    count += len(sig)
+                if count >= PACKED:
+                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, count = [], 0
+        if count:
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return _texts(docs).mapInArrow(gives_back(run), f"heap int, load binary, node long, doc {DOC}")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -179,54 +229,67 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(rows: DataFrame, chunk: int) -> DataFrame:
-    """Documents as they are (kind 0); signatures, which must come sorted, as buckets of several nodes (kind 1), in pieces of ``chunk``
-    members; ``whole`` if one piece is all. No more than a piece is held."""
+    """Documents as they are (kind 0); signatures, whose heaps must come in order, as buckets of several nodes (kind 1); ``whole`` if one row is all of a
+    bucket. A heap is held, without what signatures of more than ``chunk`` nodes have, which leaves it in pieces."""
     names = ["kind", "bucket", "whole", "members", "node", "doc"]
 
-    def give(sig: np.ndarray, node: np.ndarray, whole: bool) -> pa.RecordBatch | None:
-        """Sorted by sig and node, without repeats."""
+    def give(sig: np.ndarray, node: np.ndarray, long: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets that go out, and the signatures, nodes and long signatures that stay: at first those of long buckets go, at ``last`` all that have several nodes."""
+        order = np.argsort(sig)
+        sig, node = sig[order], node[order]
         start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(start, len(sig)))
-        take = np.repeat(size > 1, size) if whole else np.ones(len(sig), bool)
-        start, kept = start[size > 1] if whole else start, size[size > 1] if whole else size
-        if not len(kept):
-            return None
-        members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)), pa.int32()), pa.array(node[take]))
-        m = len(kept)
-        doc_type = pa.struct([("doc_id", pa.int64()), ("n", pa.int32()), ("picked", pa.int64()), ("sketch", pa.binary())])
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(sig[start]), pa.array(np.full(m, whole)), members, pa.nulls(m, pa.int64()), pa.nulls(m, doc_type)], names=names)
+        several = np.repeat((size > 1) | np.isin(sig[start], long), size)
+        alone = sig[~several], node[~several]
+        sig, node = sig[several], node[several]
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
+        sig, node = sig[new], node[new]
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[: len(sig)]
+        size = np.diff(np.append(start, len(sig)))
+        known = np.isin(sig[start], long)
+        out = (size > 1) | known if last else size > chunk
+        whole = ~known & (size <= chunk)
+        took = np.repeat(out, size)
+        stay = [np.append(x, y[~took]) for x, y in zip(alone, (sig, node), strict=True)]
+        long = np.union1d(long, sig[start][out & ~whole])
+        if not out.any():
+            return None, *stay, long
+        members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[out])), pa.int32()), pa.array(node[took]))
+        m = int(out.sum())
+        batch = pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(sig[start][out]), pa.array(whole[out]), members, pa.nulls(m, pa.int64()), pa.nulls(m, DOC_TYPE)], names=names)
+        return batch, *stay, long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = node = np.zeros(0, np.int64)
-        long = None  # the signature of which pieces were given
+        none = np.zeros(0, np.int64)
+        loads, long, count, now, limit = [], none, 0, None, PACKED
         for batch in batches:
-            is_doc = batch.column(2).is_valid()
+            is_doc = batch.column(3).is_valid()
             docs = batch.filter(is_doc)
             if docs.num_rows:
                 m = docs.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.list_(pa.int64())), docs.column(1), docs.column(2)], names=names)
-            keep = ~np.asarray(is_doc)
-            sig, node = np.append(sig, batch.column(0).to_numpy()[keep]), np.append(node, batch.column(1).to_numpy()[keep])
-            if not len(sig):
-                continue
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
-            sig, node = sig[new], node[new]
-            cut = int(np.searchsorted(sig, sig[-1]))
-            if long is not None and cut:  # the last piece of a long bucket
-                end = int(np.searchsorted(sig, long, "right"))
-                if end and (out := give(sig[:end], node[:end], False)):
-                    yield out
-                sig, node, cut, long = sig[end:], node[end:], cut - end, None
-            if cut and (out := give(sig[:cut], node[:cut], True)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.list_(pa.int64())), docs.column(2), docs.column(3)], names=names)
+            packed = batch.filter(pc.invert(is_doc))
+            for heap, load in zip(packed.column(0).to_numpy(), packed.column(1)):
+                if heap != now or count >= limit:
+                    if count:
+                        both = np.concatenate(loads)
+                        out, sig, node, long = give(both[:, 0], both[:, 1], long, heap != now)
+                        loads, count = [np.stack([sig, node], axis=1)], len(sig)
+                        limit = max(PACKED, 2 * count)
+                        if out is not None:
+                            yield out
+                    if heap != now:
+                        loads, long, count, now, limit = [], none, 0, heap, PACKED
+                # a copy, as the batch is larger than this
+                loads.append(np.frombuffer(load.as_buffer(), np.int64).reshape(-1, 2).copy())
+                count += len(loads[-1])
+        if count:
+            both = np.concatenate(loads)
+            out = give(both[:, 0], both[:, 1], long, True)[0]
+            if out is not None:
                 yield out
-            sig, node = sig[cut:], node[cut:]
-            if len(sig) > chunk:
-                yield give(sig, node, False)
-                sig, node, long = sig[:0], node[:0], sig[0]
-        if len(sig) and (out := give(sig, node, long != sig[0])):
-            yield out
 
     return rows.mapInArrow(gives_back(run), f"kind int, bucket long, whole boolean, members array<long>, node long, doc {DOC}")
 
@@ -422,8 +485,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """doc_id, n_shingles and component_id for each document (columns doc_id, text); documents link when
     den * intersection >= num * union."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _rows(docs, n, num, den).repartition(parts, "sig").sortWithinPartitions("sig")
-    both = written(_buckets(rows, chunk), "signatures", ("kind",))
+    rows = _rows(docs, n, num, den).repartition(parts, "heap").sortWithinPartitions("heap")
+    with small_batches(docs.sparkSession, LOADS, "16m"):
+        both = written(_buckets(rows, chunk), "signatures", ("kind",))
     meta = both.where("kind = 0").select("node", "doc.*")
     members = written(_members(both.where("kind = 1").select("bucket", "whole", "members")), "members")
     nodes = meta.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("picked", "n", "sketch")).alias("doc")).select("node", "doc.*")
