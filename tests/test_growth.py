@@ -227,3 +227,28 @@ def test_pairs_to_be_peeled_are_made_once(spark):
     left = neighbours.peel(pairs.mapInArrow(seen, pairs.schema), 3, 0)
     assert {(r.ref_id, r.neigh_id) for r in left.collect()} == {(a, b) for a in range(1, 12) for b in range(1, 12) if a != b}
     assert made.value == n
+
+
+def test_pairs_are_binned_without_a_row_each(spark):
+    """1,200 rows around a pole, across the date line and in a swarm: 700,000 pairs and more were as many rows of a join. Few steps have all pairs of a cut step ranked."""
+    rng = np.random.default_rng(4)
+    parts = [(89.98, 0.0, 0.02, 360.0, 100), (46.0, 179.99, 0.02, 0.02, 200), (-33.0, -70.0, 0.01, 0.01, 900)]
+    at = np.concatenate([np.column_stack([lat + h * rng.random(n), lon + w * rng.random(n), 3 * rng.random(n)]) for lat, lon, h, w, n in parts])
+    ev = pd.DataFrame({"id": rng.permutation(len(at)), "latitude": at[:, 0], "longitude": (at[:, 1] + 180) % 360 - 180, "depth": at[:, 2]})
+    ev.loc[ev.index % 100 == 0, ["latitude", "longitude", "depth"]] = [-33.0, -70.0, 1.0]  # equal places, distances of 0
+    df, ids = spark.createDataFrame(ev), ev.id.to_numpy()
+    for km, steps in ((5.0, 200_000), (5.0, 30), (60.0, 1000)):
+        got = []
+        most = most_rows(spark, lambda: got.extend(stats.binned_within(df, km, "v", lambda a, b: (a * 31 + b * 17) % 101, 101, 7, steps).collect()))
+        near = spatial.neighbours_within(df, km).toPandas()
+        p = near.assign(mm=np.floor(near.distance * 1e6 + 0.5), v=(near.ref_id * 31 + near.neigh_id * 17) % 101).sort_values(["mm", "ref_id", "neigh_id"])
+        assert len(p) > 700_000 and len(got) == 7 and set(p.ref_id) <= set(ids)
+        assert steps <= 1000 or most < len(p) / 2
+        p["bin"] = np.arange(len(p)) // (len(p) // 7 + 1)
+        for r in got:
+            own = p[p.bin == r.bin]
+            v = np.sort(own.v.to_numpy())
+            n = len(v)
+            assert (r.n, r.min, r.q1, r.q2, r.q3, r.max) == (n, v[0], v[n // 4], v[n // 2], v[n // 4 + n // 2], v[-1])
+            assert abs(r["from"] - own.mm.min() / 1e6) < 1e-9 and abs(r.to - own.mm.max() / 1e6) < 1e-9
+    assert stats.binned_within(df.limit(0), 5.0, "v", lambda a, b: a * 0, 1, 7).collect() == []
